@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.functions import offset_sum
-from chatlens.plans.blocked import HEAVY_ROWS, chat_block, numbered, with_running
+from chatlens.plans.blocked import HEAVY_ROWS, block_heavy_groups, chat_block, numbered, with_running
 
 PAGE_SIZE = 15  # fixed value: records of history per partition and page
 OFFSETS_PER_BLOCK = 65_536
@@ -44,7 +44,7 @@ def _block(offset: Column | str = "offset") -> Column:
     return F.floor((F.col(offset) if isinstance(offset, str) else offset) / F.lit(OFFSETS_PER_BLOCK))
 
 
-def unread_ranges(log: DataFrame, positions: DataFrame) -> DataFrame:
+def unread_ranges(log: DataFrame, positions: DataFrame, min_rows: int = HEAVY_ROWS) -> DataFrame:
     """Per cursor, the unread part of its partition: count, last offset and latest time.
 
     ``[offset, last_offset]`` is the range a reader has to fetch; it is empty (nulls and a
@@ -55,10 +55,12 @@ def unread_ranges(log: DataFrame, positions: DataFrame) -> DataFrame:
     records = log.select(*_RECORD, F.unix_millis("server_time").alias("_ms"), F.lit(1).alias("_record"))
     asked = places.select(*_RECORD, F.lit(None).cast("long").alias("_ms"), F.lit(0).alias("_record"))
     merged = records.unionByName(asked).select(
-        "*", F.when(F.col("_record") == 1, F.col("offset")).alias("_seen"), _block().alias("_block")
+        "*", F.when(F.col("_record") == 1, F.col("offset")).alias("_seen")
     )
+    # A partition has no more positions than records, so the log alone shows which are heavy.
+    cut = block_heavy_groups(merged, ["chat_id", "partition"], {"_block": _block()}, min_rows, sizes_from=log)
     counted = with_running(
-        merged,
+        cut,
         ["chat_id", "partition"],
         [["_block"]],
         [F.desc("offset"), F.desc("_record")],
@@ -66,13 +68,14 @@ def unread_ranges(log: DataFrame, positions: DataFrame) -> DataFrame:
         descending=True,
     )
     answers = counted.filter("_record = 0").select(*_RECORD, "unread", "last_offset", "newest_ms")
-    return positions.select("user_id", *_RECORD).join(answers, _RECORD)
+    # Both sides grow with the data: never broadcast.
+    return positions.select("user_id", *_RECORD).hint("merge").join(answers, _RECORD)
 
 
-def unread_count(log: DataFrame, positions: DataFrame) -> DataFrame:
+def unread_count(log: DataFrame, positions: DataFrame, min_rows: int = HEAVY_ROWS) -> DataFrame:
     """Unread records per (user, chat), with the time of the newest one."""
     return (
-        unread_ranges(log, positions)
+        unread_ranges(log, positions, min_rows)
         .groupBy("user_id", "chat_id")
         .agg(F.sum("unread").alias("unread"), F.max("newest_ms").alias("newest_ms"))
     )
@@ -239,7 +242,7 @@ def chat_list_order(
     log: DataFrame, positions: DataFrame, users_chats: DataFrame, min_rows: int = HEAVY_ROWS
 ) -> DataFrame:
     """Each user's chats, newest first: by the latest unread record, else by the last one read."""
-    unread = unread_count(log, positions)
+    unread = unread_count(log, positions, min_rows)
     keyed = users_chats.select("user_id", "chat_id", "message_time").join(unread, ["user_id", "chat_id"], "left")
     keyed = keyed.select("user_id", "chat_id", F.coalesce("newest_ms", "message_time").alias("sort_time"))
     # A heavy user's chats are cut by minute, and a minute by exact time and the first digits

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chatlens.plans import materialize, scratch_path, with_running
@@ -32,16 +32,13 @@ def graph_membership(users: DataFrame, users_chats: DataFrame) -> DataFrame:
     return users_chats.select("user_id", "chat_id").join(ids, "user_id").select("chat_id", "id").distinct()
 
 
-def _cut(members: DataFrame, min_rows: int) -> DataFrame:
-    return block_heavy_groups(members, ["chat_id"], {"block": F.floor(F.col("id") / F.lit(IDS_PER_BLOCK))}, min_rows)
-
-
 def co_membership_edges(members: DataFrame, min_rows: int = HEAVY_ROWS) -> DataFrame:
     """The edges, one row per member and chat: how many lead from and to the member there.
 
     Edges of a row lead to the ``out_edges`` members with the next larger numbers.
     """
-    cut = _cut(members, min_rows).withColumn("_one", F.lit(1))
+    block = {"block": F.floor(F.col("id") / F.lit(IDS_PER_BLOCK))}
+    cut = block_heavy_groups(members, ["chat_id"], block, min_rows).withColumn("_one", F.lit(1))
     placed = with_running(cut, ["chat_id"], [["block"]], ["id"], {"_place": ("count", "_one")})
     sizes = members.groupBy("chat_id").agg(F.count(F.lit(1)).alias("_size"))
     return placed.join(sizes, "chat_id").select(
@@ -53,59 +50,51 @@ def co_membership_edges(members: DataFrame, min_rows: int = HEAVY_ROWS) -> DataF
     )
 
 
-def _passes_on(change: str, degree: str, tolerance: float) -> Column:
-    return (F.col(change) > F.lit(tolerance)) & (F.col(degree) > 0)
-
-
-def _superstep(members: DataFrame, state: DataFrame, tolerance: float) -> DataFrame:
-    """Pass changes above the tolerance along all edges, in both directions at once."""
-
-    def share(change: str, degree: str) -> Column:
-        return F.when(_passes_on(change, degree, tolerance), F.col(change) / F.col(degree)).otherwise(F.lit(0.0))
+def _superstep(members: DataFrame, state: DataFrame, tolerance: float, chained: bool) -> DataFrame:
+    """Pass changes above the tolerance along all edges, in both directions at once.
 
+    ``chained`` says whether any chat is cut into blocks.
+    """
     sent = members.join(
-        state.select("id", share("change", "out_degree").alias("down"), share("change_rev", "in_degree").alias("up")), "id"
+        state.selectExpr(
+            "id",
+            f"if(change > {tolerance}D and out_degree > 0, change / out_degree, 0D) as down",
+            f"if(change_rev > {tolerance}D and in_degree > 0, change_rev / in_degree, 0D) as up",
+        ),
+        "id",
     )
-    whole = Window.partitionBy("chat_id", "block")
-    so_far = whole.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = sent.select(
+    block = "over (partition by chat_id, block"
+    received = sent.selectExpr(
         "chat_id",
         "block",
         "id",
-        (F.sum("down").over(so_far) - F.col("down")).alias("down_here"),
-        (F.sum("up").over(whole) - F.sum("up").over(so_far)).alias("up_here"),
-    )
-    # Only chats cut into blocks have anything to carry from block to block.
-    totals = sent.filter(F.col("block").isNotNull()).groupBy("chat_id", "block").agg(
-        F.sum("down").alias("down"), F.sum("up").alias("up")
+        f"sum(down) {block} order by id rows between unbounded preceding and current row) - down as down",
+        f"sum(up) {block}) - sum(up) {block} order by id rows between unbounded preceding and current row) as up",
     )
-    chain = Window.partitionBy("chat_id").orderBy("block")
-    carried = totals.select(
-        F.col("chat_id").alias("_chat"),
-        F.col("block").alias("_block"),
-        F.coalesce(F.sum("down").over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("down_before"),
-        F.coalesce(
-            F.sum("up").over(Window.partitionBy("chat_id").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0.0),
-        ).alias("up_before"),
-    )
-    received = (
-        inside.join(carried, (F.col("chat_id") == F.col("_chat")) & (F.col("block") == F.col("_block")), "left")
-        .groupBy("id")
-        .agg(
-            F.sum(F.col("down_here") + F.coalesce("down_before", F.lit(0.0))).alias("down"),
-            F.sum(F.col("up_here") + F.coalesce("up_before", F.lit(0.0))).alias("up"),
+    if chained:
+        totals = sent.filter("block is not null").groupBy("chat_id", "block").agg(
+            F.sum("down").alias("down"), F.sum("up").alias("up")
         )
-    )
+        other = "rows between unbounded preceding and 1 preceding"
+        carried = totals.selectExpr(
+            "chat_id as _chat",
+            "block as _block",
+            f"sum(down) over (partition by chat_id order by block {other}) as _down",
+            f"sum(up) over (partition by chat_id order by block desc {other}) as _up",
+        )
+        received = received.join(carried, F.expr("chat_id = _chat and block = _block"), "left").selectExpr(
+            "id", "down + coalesce(_down, 0D) as down", "up + coalesce(_up, 0D) as up"
+        )
+    received = received.groupBy("id").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
     kept = 1.0 - RESET
-    return state.join(received, "id", "left").select(
+    return state.drop("change", "change_rev").join(received, "id", "left").selectExpr(
         "id",
         "out_degree",
         "in_degree",
-        (F.col("rank") + kept * F.coalesce("down", F.lit(0.0))).alias("rank"),
-        (kept * F.coalesce("down", F.lit(0.0))).alias("change"),
-        (F.col("rank_rev") + kept * F.coalesce("up", F.lit(0.0))).alias("rank_rev"),
-        (kept * F.coalesce("up", F.lit(0.0))).alias("change_rev"),
+        f"rank + {kept}D * coalesce(down, 0D) as rank",
+        f"{kept}D * coalesce(down, 0D) as change",
+        f"rank_rev + {kept}D * coalesce(up, 0D) as rank_rev",
+        f"{kept}D * coalesce(up, 0D) as change_rev",
     )
 
 
@@ -122,42 +111,41 @@ def page_ranks(
     to add up to the number of users. Every step is written to the shared folder, so a step
     that has to be repeated starts from the last table and not from the sources.
     """
-    spark = users.sparkSession
-    root = scratch_path(spark, "ranks")
-    edges = materialize(co_membership_edges(graph_membership(users, users_chats), min_rows), f"{root}/edges")
+    root = scratch_path(users.sparkSession, "ranks")
+    cut = Observation()
+    edges = materialize(
+        co_membership_edges(graph_membership(users, users_chats), min_rows),
+        f"{root}/edges",
+        cut,
+        F.count("block").alias("rows"),
+    )
     members = edges.select("chat_id", "block", "id")
     degrees = edges.groupBy("id").agg(F.sum("out_edges").alias("out_degree"), F.sum("in_edges").alias("in_degree"))
-    state = vertices(users).select("id").join(degrees, "id", "left").select(
+    state = vertices(users).select("id").join(degrees, "id", "left").selectExpr(
         "id",
-        F.coalesce("out_degree", F.lit(0)).alias("out_degree"),
-        F.coalesce("in_degree", F.lit(0)).alias("in_degree"),
-        F.lit(RESET).alias("rank"),
-        F.lit(RESET).alias("change"),
-        F.lit(RESET).alias("rank_rev"),
-        F.lit(RESET).alias("change_rev"),
+        "coalesce(out_degree, 0) as out_degree",
+        "coalesce(in_degree, 0) as in_degree",
+        *[f"{RESET}D as {name}" for name in ("rank", "change", "rank_rev", "change_rev")],
     )
-
+    moving = f"(change > {tolerance}D and out_degree > 0) or (change_rev > {tolerance}D and in_degree > 0)"
     # What is passed on shrinks by RESET in every step, so the loop ends.
     for step in count():
         seen = Observation()
         state = materialize(
-            _superstep(members, state, tolerance),
+            _superstep(members, state, tolerance, chained=cut.get["rows"] > 0),
             f"{root}/step-{step}",
             seen,
-            F.count(F.lit(1)).alias("users"),
-            F.sum("rank").alias("total"),
-            F.sum("rank_rev").alias("total_rev"),
-            F.count_if(
-                _passes_on("change", "out_degree", tolerance) | _passes_on("change_rev", "in_degree", tolerance)
-            ).alias("moving"),
+            F.expr("count(1) as users"),
+            F.expr("sum(rank) as total"),
+            F.expr("sum(rank_rev) as total_rev"),
+            F.expr(f"count_if({moving}) as moving"),
         )
         if not seen.get["moving"]:
             break
     figures = seen.get
-    if not figures["users"]:
-        scale = scale_rev = 1.0
-    else:
-        scale, scale_rev = figures["users"] / figures["total"], figures["users"] / figures["total_rev"]
+    scale, scale_rev = (
+        figures["users"] / figures[name] if figures["users"] else 1.0 for name in ("total", "total_rev")
+    )
     forward, backward = F.col("rank") * F.lit(scale), F.col("rank_rev") * F.lit(scale_rev)
     return state.select(
         F.col("id").alias("user_num_id"),

@@ -60,7 +60,8 @@ def block_heavy_groups(
     min_rows: int = HEAVY_ROWS,
     sizes_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Add the ``block`` columns, null in every group that is small enough for one task.
+    """Add ``_cut``, true in heavy groups, and there the ``block`` columns; all are null in
+    groups that are small enough for one task.
 
     ``sizes_from`` is a frame with the same groups that is cheaper to count than ``df``.
     """
@@ -72,6 +73,7 @@ def block_heavy_groups(
     marked = df.join(F.broadcast(heavy), _all_equal(group, renamed), "left")
     return marked.select(
         *[F.col(name) for name in df.columns],
+        F.col("_heavy").alias("_cut"),
         *[F.when(F.col("_heavy"), expr).alias(name) for name, expr in block.items()],
     )
 
@@ -121,29 +123,35 @@ def with_running(
     """Add, per row, aggregates over the row and all rows of its group before it.
 
     ``levels`` name the block columns, coarse to fine; they follow the order, so a smaller
-    block holds only earlier rows, and are null in groups that are not cut. Blocks of a level
-    are chained inside a block of the level above. ``order`` sorts inside the finest block.
+    block holds only earlier rows. Where ``block_heavy_groups`` has set them, only the groups
+    it marked have blocks to chain. Blocks of a level are chained inside a block of the level above. ``order`` sorts inside the finest block.
     ``aggs`` maps a new column to (kind, input column) with kind one of count, sum, max, min.
     ``descending`` reverses the blocks (the caller gives ``order`` in the wanted direction).
     """
     keys = [*group, *[name for level in levels for name in level]]
-    copies = [f"_key_{name}" for name in keys]
-    cut = df.filter(F.col(levels[0][0]).isNotNull())
-    carried = _carried(cut, group, levels, aggs, descending).select(
-        *[F.col(name).alias(copy) for name, copy in zip(keys, copies, strict=True)],
-        *[f"_carried_{name}" for name in aggs],
-    )
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = df.select(
-        "*", *[_KINDS[kind][0](column).over(inside).alias(f"_own_{name}") for name, (kind, column) in aggs.items()]
-    )
-    return own.join(carried, _all_equal(keys, copies), "left").select(
-        *df.columns,
+    fed = df.select(
+        "*",
+        F.lit(1).alias("_turn"),
         *[
-            _KINDS[kind][2](F.col(f"_carried_{name}"), F.col(f"_own_{name}")).alias(name)
-            for name, (kind, _) in aggs.items()
+            (F.when(F.col(column).isNotNull(), 1).otherwise(0) if kind == "count" else F.col(column)).alias(f"_fed_{name}")
+            for name, (kind, column) in aggs.items()
         ],
     )
+    # What a block inherits enters as one more row at its head, so rows are shuffled only once.
+    # The mark comes from the heavy side of a join alone, so without heavy groups nothing of
+    # this branch is run.
+    chained = df.filter(F.col("_cut")) if "_cut" in df.columns else df
+    heads = _carried(chained, group, levels, aggs, descending).select(
+        *keys, F.lit(0).alias("_turn"), *[F.col(f"_carried_{name}").alias(f"_fed_{name}") for name in aggs]
+    )
+    heads = heads.filter(F.coalesce(*[F.col(f"_fed_{name}").cast("string") for name in aggs]).isNotNull())
+    inside = (
+        Window.partitionBy(*keys).orderBy("_turn", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    merged = fed.unionByName(heads, allowMissingColumns=True)
+    return merged.select(
+        "*", *[_KINDS[kind][1](f"_fed_{name}").over(inside).alias(name) for name, (kind, _) in aggs.items()]
+    ).filter(F.col("_turn") == 1).select(*df.columns, *aggs)
 
 
 def numbered(
@@ -159,4 +167,4 @@ def numbered(
     block = {column: expr for level in levels for column, expr in level.items()}
     cut = block_heavy_groups(df.withColumn("_one", F.lit(1)), group, block, min_rows, sizes_from)
     ranked = with_running(cut, group, [list(level) for level in levels], order, {name: ("count", "_one")})
-    return ranked.drop("_one", *block)
+    return ranked.drop("_one", "_cut", *block)
