@@ -225,10 +225,12 @@ _BODIES: dict[str, str] = {
         JOIN settings s ON s.user_id = i.user_id WHERE i."offset" >= s.joining_offset""",
     "next_joining_offset": """SELECT s.user_id, greatest(s.joining_offset, i.next) AS joining_offset FROM settings s
         LEFT JOIN (SELECT user_id, max("offset") + 1 AS next FROM invitations GROUP BY user_id) i ON i.user_id = s.user_id""",
-    "mark_read": """SELECT r.user_id, r.chat_id, r."partition", greatest(r."offset", r.last_offset) AS "offset",
-            greatest(uc.message_time, c.newest_ms) AS message_time
-        FROM unread_parts r JOIN unread_chats c ON c.user_id = r.user_id AND c.chat_id = r.chat_id
-        JOIN users_chats uc ON uc.user_id = r.user_id AND uc.chat_id = r.chat_id""",
+    "mark_read": """SELECT r.user_id, r.chat_id, greatest(max(uc.message_time), max(r.newest_ms)) AS message_time,
+            max(greatest(r."offset", r.last_offset)) FILTER (WHERE r."partition" = 0) AS users_offset_0,
+            max(greatest(r."offset", r.last_offset)) FILTER (WHERE r."partition" = 1) AS users_offset_1,
+            max(greatest(r."offset", r.last_offset)) FILTER (WHERE r."partition" = 2) AS users_offset_2
+        FROM unread_parts r JOIN users_chats uc ON uc.user_id = r.user_id AND uc.chat_id = r.chat_id
+        GROUP BY r.user_id, r.chat_id""",
     "new_chats_from_invitations": """SELECT user_id, chat_id, chat_name, login AS invited_by,
             CAST(0 AS BIGINT) AS users_offset_0, CAST(0 AS BIGINT) AS users_offset_1, CAST(0 AS BIGINT) AS users_offset_2
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id, chat_id ORDER BY "offset", login, chat_name) AS nth

@@ -531,7 +531,7 @@ def next_joining_offset(spark, sf):
 
 @query
 def mark_read(spark, sf):
-    return cur.mark_read(fx.message_log(spark, sf), _positions(spark, sf), fx.users_chats(spark, sf))
+    return cur.mark_read(fx.message_log(spark, sf), fx.users_chats(spark, sf), fx.OFFSETS)
 
 
 @query
@@ -549,7 +549,7 @@ def typing_now(spark, sf):
 
 @query
 def chat_list_order(spark, sf):
-    return cur.chat_list_order(fx.message_log(spark, sf), _positions(spark, sf), fx.users_chats(spark, sf))
+    return cur.chat_list_order(fx.message_log(spark, sf), fx.users_chats(spark, sf), fx.OFFSETS)
 
 
 @query

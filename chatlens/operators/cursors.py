@@ -7,6 +7,9 @@ record: (chat_id, partition, offset, server_time, ...).
 Counts and latest times of unread records never pair users with records: cursors and
 records of a partition are merged in offset order and each cursor reads a running total.
 Only ``unread_messages``, whose result is the pairs themselves, joins the two.
+
+Exploded positions look as small to the optimizer as the table they come from, so joins with
+them ask for a sort-merge join instead of a broadcast.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ OFFSETS_PER_BLOCK = 65_536
 _RECORD = ["chat_id", "partition", "offset"]
 
 
-def cursors(users_chats: DataFrame, offset_columns: Sequence[str]) -> DataFrame:
-    """Wide offset columns as one cursor row per partition."""
+def cursors(users_chats: DataFrame, offset_columns: Sequence[str], *keep: str) -> DataFrame:
+    """Wide offset columns as one cursor row per partition; ``keep`` names columns to carry along."""
     offsets = F.array(*[F.col(name).cast("long") for name in offset_columns])
-    return users_chats.select("user_id", "chat_id", F.posexplode(offsets).alias("partition", "offset"))
+    return users_chats.select("user_id", "chat_id", *keep, F.posexplode(offsets).alias("partition", "offset"))
 
 
 def read_count(users_chats: DataFrame, offset_columns: Sequence[str]) -> DataFrame:
@@ -45,7 +48,8 @@ def _block(offset: Column | str = "offset") -> Column:
 
 
 def unread_ranges(log: DataFrame, positions: DataFrame, min_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Per cursor, the unread part of its partition: count, last offset and latest time.
+    """Per cursor, with all its columns, the unread part of its partition: count, last offset
+    and latest time.
 
     ``[offset, last_offset]`` is the range a reader has to fetch; it is empty (nulls and a
     zero count) for a reader who is up to date.
@@ -68,8 +72,7 @@ def unread_ranges(log: DataFrame, positions: DataFrame, min_rows: int = HEAVY_RO
         descending=True,
     )
     answers = counted.filter("_record = 0").select(*_RECORD, "unread", "last_offset", "newest_ms")
-    # Both sides grow with the data: never broadcast.
-    return positions.select("user_id", *_RECORD).hint("merge").join(answers, _RECORD)
+    return positions.hint("merge").join(answers, _RECORD)
 
 
 def unread_count(log: DataFrame, positions: DataFrame, min_rows: int = HEAVY_ROWS) -> DataFrame:
@@ -96,7 +99,7 @@ def unread_messages(log: DataFrame, positions: DataFrame) -> DataFrame:
     )
     return (
         log.withColumn("_block", _block())
-        .join(readers, ["chat_id", "partition", "_block"])
+        .join(readers.hint("merge"), ["chat_id", "partition", "_block"])
         .filter(F.col("offset") >= F.col("_from"))
         .select("user_id", *log.columns)
     )
@@ -126,7 +129,7 @@ def history_page(log: DataFrame, positions: DataFrame, page: int = 0, page_size:
     wanted = spans.select(
         "user_id", "chat_id", "partition", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)).alias("offset")
     )
-    return wanted.join(log, _RECORD).select("user_id", *log.columns)
+    return wanted.hint("merge").join(log, _RECORD).select("user_id", *log.columns)
 
 
 # --- moving positions -----------------------------------------------------------------
@@ -149,13 +152,17 @@ def apply_offset_updates(users_chats: DataFrame, updates: DataFrame, offset_colu
     Updates for unknown chats have no effect.
     """
     best = updates.groupBy("user_id", "chat_id").agg(
-        F.max_by(
-            F.struct("last_message_time", "partition_offsets"),
-            F.struct(offset_sum("partition_offsets"), -F.col("arrival")),
+        F.max(
+            F.struct(
+                offset_sum("partition_offsets").alias("total"),
+                (-F.col("arrival")).alias("earliest"),
+                "last_message_time",
+                "partition_offsets",
+            )
         ).alias("_best")
     )
     stored = sum((F.col(name) for name in offset_columns[1:]), F.col(offset_columns[0]))
-    accepted = offset_sum("_best.partition_offsets") > stored
+    accepted = F.col("_best.total") > stored
     new_offsets = F.map_from_entries(F.col("_best.partition_offsets"))
     changed = {
         name: F.when(
@@ -168,16 +175,18 @@ def apply_offset_updates(users_chats: DataFrame, updates: DataFrame, offset_colu
     return joined.select(*[changed[name].alias(name) if name in changed else F.col(name) for name in users_chats.columns])
 
 
-def mark_read(log: DataFrame, positions: DataFrame, users_chats: DataFrame) -> DataFrame:
+def mark_read(log: DataFrame, users_chats: DataFrame, offset_columns: Sequence[str], min_rows: int = HEAVY_ROWS) -> DataFrame:
     """Fold the unread records into what is read: per partition the last offset seen, and per
     (user, chat) the latest time, both only ever growing."""
-    ranges = unread_ranges(log, positions)
-    newest = ranges.groupBy("user_id", "chat_id").agg(F.max("newest_ms").alias("_newest"))
-    times = users_chats.select("user_id", "chat_id", "message_time").join(newest, ["user_id", "chat_id"])
-    times = times.select("user_id", "chat_id", F.greatest("message_time", "_newest").alias("message_time"))
-    return ranges.select(
-        "user_id", "chat_id", "partition", F.greatest("offset", "last_offset").alias("offset")
-    ).join(times, ["user_id", "chat_id"])
+    ranges = unread_ranges(log, cursors(users_chats, offset_columns, "message_time"), min_rows)
+    last = F.greatest("offset", "last_offset")
+    return ranges.groupBy("user_id", "chat_id").agg(
+        F.greatest(F.max("message_time"), F.max("newest_ms")).alias("message_time"),
+        *[
+            F.max(F.when(F.col("partition") == partition, last)).alias(name)
+            for partition, name in enumerate(offset_columns)
+        ],
+    )
 
 
 # --- invitations ----------------------------------------------------------------------
@@ -204,7 +213,7 @@ def new_chats_from_invitations(
 ) -> DataFrame:
     """Chats a user was invited to and does not have; the first invitation gives the name."""
     first = invitations.groupBy("user_id", "chat_id").agg(
-        F.min_by(F.struct("chat_name", "login"), F.struct("offset", "login", "chat_name")).alias("_first")
+        F.min(F.struct("offset", "login", "chat_name")).alias("_first")
     )
     return first.join(users_chats.select("user_id", "chat_id"), ["user_id", "chat_id"], "left_anti").select(
         "user_id",
@@ -239,12 +248,13 @@ def typing_now(writing: DataFrame, lifetime: str = "1 second", me: str | None =
 
 
 def chat_list_order(
-    log: DataFrame, positions: DataFrame, users_chats: DataFrame, min_rows: int = HEAVY_ROWS
+    log: DataFrame, users_chats: DataFrame, offset_columns: Sequence[str], min_rows: int = HEAVY_ROWS
 ) -> DataFrame:
     """Each user's chats, newest first: by the latest unread record, else by the last one read."""
-    unread = unread_count(log, positions, min_rows)
-    keyed = users_chats.select("user_id", "chat_id", "message_time").join(unread, ["user_id", "chat_id"], "left")
-    keyed = keyed.select("user_id", "chat_id", F.coalesce("newest_ms", "message_time").alias("sort_time"))
+    ranges = unread_ranges(log, cursors(users_chats, offset_columns, "message_time"), min_rows)
+    keyed = ranges.groupBy("user_id", "chat_id").agg(
+        F.coalesce(F.max("newest_ms"), F.max("message_time")).alias("sort_time")
+    )
     # A heavy user's chats are cut by minute, and a minute by exact time and the first digits
     # of the id, so that chats of equal time do not meet in one task. Both follow the order.
     return numbered(

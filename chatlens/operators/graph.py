@@ -14,7 +14,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from chatlens.plans import materialize, scratch_path, with_running
+from chatlens.plans import discard, materialize, scratch_path, with_running
 from chatlens.plans.blocked import HEAVY_ROWS, block_heavy_groups
 
 TOLERANCE = 0.001  # fixed value: smaller changes of a rank are not passed on
@@ -111,7 +111,8 @@ def page_ranks(
     to add up to the number of users. Every step is written to the shared folder, so a step
     that has to be repeated starts from the last table and not from the sources.
     """
-    root = scratch_path(users.sparkSession, "ranks")
+    spark = users.sparkSession
+    root = scratch_path(spark, "ranks")
     cut = Observation()
     edges = materialize(
         co_membership_edges(graph_membership(users, users_chats), min_rows),
@@ -140,6 +141,8 @@ def page_ranks(
             F.expr("sum(rank_rev) as total_rev"),
             F.expr(f"count_if({moving}) as moving"),
         )
+        if step:
+            discard(spark, f"{root}/step-{step - 1}")
         if not seen.get["moving"]:
             break
     figures = seen.get

@@ -19,3 +19,9 @@ def materialize(df: DataFrame, path: str, observation: Observation | None = None
     observed = df.observe(observation, *metrics) if observation is not None else df
     observed.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)

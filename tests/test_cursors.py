@@ -84,7 +84,7 @@ def test_chat_list(world, min_rows):
         left = [ms_of(at) for c, part, offset, at, _ in log if c == chat and offset >= ends[part]]
         per_user.setdefault(user, []).append((-(max(left) if left else last), chat))
     want = {(user, chat): place for user, chats in per_user.items() for place, (_, chat) in enumerate(sorted(chats), 1)}
-    got = cur.chat_list_order(log_df, cur.cursors(members_df, OFFSETS), members_df, min_rows).collect()
+    got = cur.chat_list_order(log_df, members_df, OFFSETS, min_rows).collect()
     assert {(r.user_id, r.chat_id): r.position for r in got} == want
 
 
@@ -150,10 +150,10 @@ def test_mark_read_folds_unread_into_read(world):
     for user, chat, _, last, _, *ends in members:
         left = [(part, offset, ms_of(at)) for c, part, offset, at, _ in log if c == chat and offset >= ends[part]]
         time = max([last, *[t for _, _, t in left]])
-        for part in range(3):
-            want[user, chat, part] = (max([ends[part], *[o for p, o, _ in left if p == part]]), time)
-    got = cur.mark_read(log_df, cur.cursors(members_df, OFFSETS), members_df).collect()
-    assert {(r.user_id, r.chat_id, r.partition): (r.offset, r.message_time) for r in got} == want
+        offsets = [max([ends[part], *[o for p, o, _ in left if p == part]]) for part in range(3)]
+        want[user, chat] = (time, *offsets)
+    got = cur.mark_read(log_df, members_df, OFFSETS).collect()
+    assert {(r.user_id, r.chat_id): tuple(r)[2:] for r in got} == want
 
 
 def test_merging_pages_keeps_each_record_once(world):
