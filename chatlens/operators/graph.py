@@ -50,6 +50,20 @@ def co_membership_edges(members: DataFrame, min_rows: int = HEAVY_ROWS) -> DataF
     )
 
 
+def edges_of(members: DataFrame, who: DataFrame) -> DataFrame:
+    """The edges that touch the given vertices (id), listed as (src, dst, chat_id).
+
+    The result has one row per vertex asked for and fellow member, so ask for some vertices,
+    not for all.
+    """
+    asked = who.select("id").distinct().join(members.select("id", "chat_id"), "id")
+    other = members.select("chat_id", F.col("id").alias("_other"))
+    pairs = asked.join(other, "chat_id").filter(F.col("id") != F.col("_other"))
+    return pairs.select(
+        F.least("id", "_other").alias("src"), F.greatest("id", "_other").alias("dst"), "chat_id"
+    ).distinct()
+
+
 def _superstep(members: DataFrame, state: DataFrame, tolerance: float, chained: bool) -> DataFrame:
     """Pass changes above the tolerance along all edges, in both directions at once.
 

@@ -123,7 +123,7 @@ def with_running(
     """Add, per row, aggregates over the row and all rows of its group before it.
 
     ``levels`` name the block columns, coarse to fine; they follow the order, so a smaller
-    block holds only earlier rows. Where ``block_heavy_groups`` has set them, only the groups
+    block holds only earlier rows, and have no nulls. Where ``block_heavy_groups`` has set them, only the groups
     it marked have blocks to chain. Blocks of a level are chained inside a block of the level above. ``order`` sorts inside the finest block.
     ``aggs`` maps a new column to (kind, input column) with kind one of count, sum, max, min.
     ``descending`` reverses the blocks (the caller gives ``order`` in the wanted direction).

@@ -3,6 +3,7 @@ from chatlens.streaming.sinks import (  # noqa: F401
     latest_rows,
     to_csv,
     to_jdbc,
+    to_keyed_log,
     to_log,
     to_table,
     to_versions,

@@ -20,6 +20,12 @@ def to_log(df: DataFrame, servers: str, topic: str, **options: str) -> DataStrea
     return writer.option("kafka.bootstrap.servers", servers).option("topic", topic).options(**options)
 
 
+def to_keyed_log(df: DataFrame, servers: str, topic: str, mode: str = "update", **options: str) -> DataStreamWriter:
+    """Write text pairs (key, value) to a topic, by default one for every change of a result."""
+    writer = df.select("key", "value").writeStream.outputMode(mode).format("kafka")
+    return writer.option("kafka.bootstrap.servers", servers).option("topic", topic).options(**options)
+
+
 def to_csv(df: DataFrame, path: str, every: str = "10 seconds") -> DataStreamWriter:
     """Append CSV files with a header, columns parted by ``||``."""
     return (

@@ -69,6 +69,16 @@ def test_ranks_equal_a_propagation_over_listed_edges(spark, world, monkeypatch,
     assert sum(row.page_rank for row in got) == pytest.approx(len(ids))
 
 
+def test_edges_of_some_users(spark, world):
+    ids, chats, _ = world
+    want = {
+        (*sorted((i, other)), chat) for chat, members in chats.items() for i in (1, 5) if i in members for other in members if other != i
+    }
+    members = graph.graph_membership(*frames(spark, ids, chats))
+    got = graph.edges_of(members, spark.createDataFrame([(1,), (5,)], "id long"))
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_one_direct_chat_ranks_both_alike(spark):
     got = graph.page_ranks(*frames(spark, [1, 2], {"c": [1, 2]})).collect()
     assert {round(row.page_rank, 9) for row in got} == {1.0}

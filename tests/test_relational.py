@@ -13,7 +13,7 @@ MEMBERSHIP = (
 @pytest.fixture(scope="module")
 def world(spark):
     users = spark.createDataFrame(
-        [("a1", 1, "Walo"), ("b2", 2, "Spejson"), ("c3", 3, "Oliwia"), ("d4", 4, "walo2")],
+        [("a1", 1, "Ramon"), ("b2", 2, "Boris"), ("c3", 3, "Oliwia"), ("d4", 4, "ramon2")],
         "user_id string, user_num_id long, login string",
     )
     settings = spark.createDataFrame(
@@ -41,14 +41,14 @@ def test_sessions(spark, world):
 
 
 def test_search_ignores_case_and_takes_many_patterns(world):
-    got = {tuple(r) for r in rel.search_users(world[0], ["WALO", "^o", "nobody"]).collect()}
-    assert got == {("WALO", "a1", "Walo"), ("WALO", "d4", "walo2"), ("^o", "c3", "Oliwia")}
+    got = {tuple(r) for r in rel.search_users(world[0], ["RAMON", "^o", "nobody"]).collect()}
+    assert got == {("RAMON", "a1", "Ramon"), ("RAMON", "d4", "ramon2"), ("^o", "c3", "Oliwia")}
 
 
 def test_lookups(spark, world):
-    wanted = spark.createDataFrame([("a1", "Walo"), ("a1", "Spejson"), ("x", "x")], "user_id string, login string")
+    wanted = spark.createDataFrame([("a1", "Ramon"), ("a1", "Boris"), ("x", "x")], "user_id string, login string")
     assert {r.user_id for r in rel.user_by_login(world[0], wanted).collect()} == {"a1", "b2"}
-    assert {tuple(r) for r in rel.missing_users(world[0], wanted).collect()} == {("a1", "Spejson"), ("x", "x")}
+    assert {tuple(r) for r in rel.missing_users(world[0], wanted).collect()} == {("a1", "Boris"), ("x", "x")}
 
 
 def test_profiles_keep_users_without_chats(world):
@@ -67,7 +67,7 @@ def test_profile_pages(world, min_rows):
     assert set(pages) == {("a1", 0), ("a1", 1), ("b2", 0), ("b2", 1), ("c3", 0), ("d4", 0)}
     assert pages["d4", 0]["chatList"] == []
     assert pages["a1", 0] == {
-        "user": {"userId": "a1", "login": "Walo"},
+        "user": {"userId": "a1", "login": "Ramon"},
         "settings": {"joiningOffset": 0, "sessionDuration": 900_000, "zoneId": "Europe/Warsaw"},
         "chatList": [
             {
@@ -119,6 +119,6 @@ def test_invitation_candidates(spark, world):
     requests = spark.createDataFrame([("o", "c3", "chat--a1--b2")], "request_id string, me string, chat_id string")
     selected = spark.createDataFrame([], "request_id string, user_id string")
     found = rel.invite_candidates(hits, requests, selected, rel.chat_members(members, users))
-    assert {r.login for r in found.collect()} == {"walo2"}
+    assert {r.login for r in found.collect()} == {"ramon2"}
     picked = spark.createDataFrame([("o", "d4")], "request_id string, user_id string")
     assert rel.invite_candidates(hits, requests, picked, rel.chat_members(members, users)).count() == 0

@@ -3,11 +3,11 @@ import json
 from chatlens.operators import routing
 
 UUID = "79df5513-0000-4000-8000-000000000002"
-USER = {"userId": "u1", "login": "Walo"}
+USER = {"userId": "u1", "login": "Ramon"}
 MESSAGE = {
     "content": "hi",
     "authorId": "u1",
-    "authorLogin": "Walo",
+    "authorLogin": "Ramon",
     "sendingTime": 1,
     "serverTime": 0,
     "zoneId": "UTC",

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatlens.operators import windows
+from chatlens.operators.encode import log_record
 from chatlens.schemas import CHAT_MESSAGE, ENVELOPE
 from chatlens.sources import chat_log_files, decode_messages
 from chatlens.streaming import latest_rows, run_available, start, to_csv, to_table, to_versions
@@ -122,6 +123,24 @@ def test_records_behind_the_watermark_are_dropped(spark, log, tmp_path):
     assert {row.window_start.minute: row.messages for row in got.collect()} == {0: 2, 1: 3}
 
 
+def test_keyed_changes_as_records(spark, log, tmp_path):
+    log.add(envelope(0, "u1", "a b"), envelope(1, "u1", "a"))
+    log.add(envelope(2, "u1", "a"))
+    pairs = windows.keyed_result(windows.avg_words_windowed(log.stream(), "user_id"), "user_id", "avg_words")
+    run_available(to_versions(pairs, str(tmp_path / "out")), "pairs", str(tmp_path / "checkpoints"))
+    versions = spark.read.parquet(str(tmp_path / "out")).orderBy("batch_id").collect()
+    assert [row.value for row in versions] == ["1.50", "1.33"]
+    assert {row.key for row in versions} == {"2024-01-01T00:00:00Z___u1"}
+
+
+def test_rows_as_log_records(spark, log, tmp_path):
+    log.add(*[envelope(i * 20_000) for i in range(12)])
+    records = log_record(windows.num_messages(log.stream()))
+    run_available(to_table(records, str(tmp_path / "out")), "records", str(tmp_path / "checkpoints"))
+    values = [json.loads(row.value) for row in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert {"window_start": "2024-01-01T00:00:00.000Z", "window_end": "2024-01-01T00:01:00.000Z", "num_of_messages_per_time": 3} in values
+
+
 def test_csv_sink(spark, log, tmp_path):
     log.add(*[envelope(i * 20_000) for i in range(12)])
     result = windows.avg_delay_by_zone(log.stream())
