@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from chatlens.plans import discard, materialize, scratch_path, with_running
@@ -38,10 +38,11 @@ def co_membership_edges(members: DataFrame, min_rows: int = HEAVY_ROWS) -> DataF
     Edges of a row lead to the ``out_edges`` members with the next larger numbers.
     """
     block = {"block": F.floor(F.col("id") / F.lit(IDS_PER_BLOCK))}
-    cut = block_heavy_groups(members, ["chat_id"], block, min_rows).withColumn("_one", F.lit(1))
+    cut = block_heavy_groups(members, ["chat_id"], block, min_rows, size_as="_size").withColumn("_one", F.lit(1))
     placed = with_running(cut, ["chat_id"], [["block"]], ["id"], {"_place": ("count", "_one")})
-    sizes = members.groupBy("chat_id").agg(F.count(F.lit(1)).alias("_size"))
-    return placed.join(sizes, "chat_id").select(
+    # A chat that is not cut lies in one block, where it can be counted without a shuffle.
+    here = F.count(F.lit(1)).over(Window.partitionBy("chat_id", "block"))
+    return placed.withColumn("_size", F.coalesce(F.col("_size"), here)).select(
         "chat_id",
         "block",
         "id",

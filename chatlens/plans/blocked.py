@@ -44,13 +44,13 @@ def _all_equal(left: Sequence[str], right: Sequence[str]) -> Column:
 
 
 def heavy_groups(df: DataFrame, group: Sequence[str], min_rows: int = HEAVY_ROWS) -> DataFrame:
-    """The largest groups, at most MAX_HEAVY of them.
+    """The largest groups and their ``_rows``, at most MAX_HEAVY of them.
 
     Fewer than MAX_HEAVY groups can hold more than 1/MAX_HEAVY of the rows each, so every
     group beyond that share is here; the others fit a task's fair share.
     """
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > F.lit(min_rows))
-    return sizes.orderBy(F.desc("_rows"), *group).limit(MAX_HEAVY).select(*group)
+    return sizes.orderBy(F.desc("_rows"), *group).limit(MAX_HEAVY)
 
 
 def block_heavy_groups(
@@ -59,21 +59,26 @@ def block_heavy_groups(
     block: Mapping[str, Column],
     min_rows: int = HEAVY_ROWS,
     sizes_from: DataFrame | None = None,
+    size_as: str | None = None,
 ) -> DataFrame:
     """Add ``_cut``, true in heavy groups, and there the ``block`` columns; all are null in
     groups that are small enough for one task.
 
-    ``sizes_from`` is a frame with the same groups that is cheaper to count than ``df``.
+    ``sizes_from`` is a frame with the same groups that is cheaper to count than ``df``;
+    ``size_as`` names a column for the size of a heavy group.
     """
     renamed = [f"_heavy_{name}" for name in group]
     heavy = heavy_groups(sizes_from if sizes_from is not None else df, group, min_rows).select(
-        *[F.col(name).alias(new) for name, new in zip(group, renamed, strict=True)], F.lit(True).alias("_heavy")
+        *[F.col(name).alias(new) for name, new in zip(group, renamed, strict=True)],
+        F.col("_rows").alias("_heavy_rows"),
+        F.lit(True).alias("_heavy"),
     )
     # At most MAX_HEAVY rows whatever the input, see heavy_groups.
     marked = df.join(F.broadcast(heavy), _all_equal(group, renamed), "left")
     return marked.select(
         *[F.col(name) for name in df.columns],
         F.col("_heavy").alias("_cut"),
+        *([F.col("_heavy_rows").alias(size_as)] if size_as else []),
         *[F.when(F.col("_heavy"), expr).alias(name) for name, expr in block.items()],
     )
 

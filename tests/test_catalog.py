@@ -53,6 +53,14 @@ def test_windows_need_one_shuffle(spark):
         assert plan.count("Exchange hashpartitioning") == 1 and "partial_" in plan
 
 
+@pytest.mark.parametrize("name", ["late_records", "co_membership_edges"])
+def test_without_heavy_groups_no_chain_is_run(spark, name):
+    df = QUERIES[name](spark, SF)
+    df.collect()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    assert "Union" not in final and "TakeOrderedAndProject" not in final
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["window_start", "window_end", "user_id", "avg_diff_time_ms"] and df.count() > 0
