@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.llm import line_dedup, ngram_join, packing
+from chatlens.llm import epsgrid, line_dedup, ngram_join, packing, topk
 from chatlens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(read(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.filter(f"vec_id % {topk.EVERY} = 0"))
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsgrid.embedding_components(read(spark, sf_dir, "embeddings"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(read(spark, sf_dir, "documents"))
 

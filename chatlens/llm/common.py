@@ -240,3 +240,37 @@ def finite(column: str) -> Column:
 
 
 SetOf = Callable[[list], list]
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of an Arrow list column as doubles, shorter lists filled with zeros."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    counts = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, np.int64)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    out = np.zeros((len(column), width))
+    row = np.repeat(np.arange(len(column)), counts)
+    at = np.arange(len(values)) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) if len(column) else row
+    out[row, at] = values
+    return out
+
+
+def principal_axes(df: DataFrame, column: str, width: int) -> np.ndarray:
+    """Orthonormal directions (as columns) of the vectors in ``column``, most weight first.
+
+    Every task adds up its second moments; their sums are width * width numbers.
+    """
+
+    def moments(batches):
+        total = np.zeros((width, width))
+        for batch in batches:
+            rows = matrix(batch.column(0), width)
+            total += rows.T @ rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(total.ravel())], ["at", "value"])
+
+    parts = df.select(column).mapInArrow(moments, "at long, value double").groupBy("at").agg(F.sum("value").alias("value"))
+    total = np.zeros(width * width)
+    for row in parts.collect():
+        total[row["at"]] = row["value"]
+    total = total.reshape(width, width)
+    return np.linalg.eigh((total + total.T) / 2)[1][:, ::-1].copy()
