@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.llm import epsgrid, line_dedup, ngram_join, packing, topk
+from chatlens.llm import epsgrid, hilbert, langid, line_dedup, mixing, ngram_join, packing, topk, urls
 from chatlens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,10 +18,27 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(f"vec_id % {topk.EVERY} = 0"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epsgrid.embedding_components(read(spark, sf_dir, "embeddings"))
 
 
+def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.document_shards(read(spark, sf_dir, "documents"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.curriculum(read(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = langid.with_pages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages"))
+    return langid.identify(rows)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(read(spark, sf_dir, "documents"))
 
@@ -40,4 +57,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": urls.ORACLE_SQL}
