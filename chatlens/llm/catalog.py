@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.llm import epsgrid, hilbert, langid, line_dedup, mixing, ngram_join, packing, topk, urls
+from chatlens.llm import epsgrid, hilbert, langid, line_dedup, lm, mixing, ngram_join, packing, topk, urls
 from chatlens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.pseudo_likelihood(read(spark, sf_dir, "documents"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epsgrid.embedding_components(read(spark, sf_dir, "embeddings"))
 

@@ -119,42 +119,45 @@ def identify(docs: DataFrame, languages=LANGUAGES, least: float = LEAST) -> Data
     )
     scored = text_evidence(rows, trigram_counts(rows, languages))
     texts = [F.col(f"t{at}") for at in range(len(classes))]
-    scored = table(scored.withColumn("text_language", F.when(F.col("lettered"), _best(texts, classes))), "evidence")
+    scored = scored.withColumn("text_language", F.when(F.col("lettered"), _best(texts, classes)))
+    scored = table(scored.withColumn("scores", F.array(*texts)).drop(*[f"t{at}" for at in range(len(classes))]), "evidence")
 
-    def counts(key: str, prefix: str) -> DataFrame:
-        each = [F.sum((F.col("text_language") == name).cast("long")).alias(f"{prefix}{at}") for at, name in enumerate(classes)]
+    def counts(key: str) -> DataFrame:
+        """How often each class, by its text, goes with each value of ``key``."""
+        each = F.array(*[F.sum((F.col("text_language") == name).cast("double")) for name in classes])
         seen = scored.filter(F.col(key).isNotNull() & F.col("text_language").isNotNull())
-        return seen.groupBy(F.col(key).alias(f"_{key}")).agg(*each)
+        return seen.groupBy(F.col(key).alias(f"_{key}")).agg(each.alias(f"{key}_n"))
 
     overall = scored.filter("text_language is not null").groupBy("text_language").count().collect()
     total = {row["text_language"]: row["count"] for row in overall}
     whole = sum(total.values()) + len(classes)
-    share = [(total.get(name, 0) + 1) / whole for name in classes]
+    share = F.array(*[F.lit((total.get(name, 0) + 1) / whole) for name in classes])
+    none = F.array(*[F.lit(0.0) for _ in classes])
     joined = scored
-    for key, prefix in (("declared", "d"), ("suffix", "s"), ("host", "h"), ("domain", "m")):
-        joined = joined.join(counts(key, prefix), F.col(key) == F.col(f"_{key}"), "left").drop(f"_{key}")
-
-    def count(prefix: str, at: int) -> Column:
-        return F.coalesce(F.col(f"{prefix}{at}"), F.lit(0)).cast("double")
-
-    def likelihood(prefix: str, at: int) -> Column:
-        """P(value | class) up to a factor of the value, smoothed by one row spread as the classes are."""
-        n = sum((count(prefix, other) for other in range(len(classes))), F.lit(0.0))
-        return F.log((count(prefix, at) + share[at]) / (n + 1) / share[at])
-
-    values = []
-    for at in range(len(classes)):
-        all_domain = sum((count("m", other) for other in range(len(classes))), F.lit(0.0))
-        all_host = sum((count("h", other) for other in range(len(classes))), F.lit(0.0))
-        domain = (count("m", at) + SMOOTHING * share[at]) / (all_domain + SMOOTHING)
-        host = (count("h", at) + SMOOTHING * domain) / (all_host + SMOOTHING)
-        text = F.when(F.col("lettered"), texts[at]).otherwise(0.0)
-        values.append((text + likelihood("d", at) + likelihood("s", at) + F.log(host)).alias(f"v{at}"))
-    fused = joined.select("doc_id", "text_language", "lettered", *values)
-    scores = [F.col(f"v{at}") for at in range(len(classes))]
-    top = F.greatest(*scores)
-    posterior = 1 / sum((F.exp(score - top) for score in scores), F.lit(0.0))
-    named = fused.select("doc_id", _best(scores, classes).alias("language"), "text_language", F.round(posterior, 6).alias("posterior"), "lettered")
+    for key in ("declared", "suffix"):
+        # P(value | class) up to a factor of the value, smoothed by one row spread as the classes are.
+        n = F.aggregate(f"{key}_n", F.lit(0.0), lambda a, b: a + b)
+        found = counts(key).withColumn("_all", n)
+        likelihood = F.zip_with(f"{key}_n", share, lambda c, p: F.log((c + p) / (F.col("_all") + 1) / p))
+        found = found.select(f"_{key}", likelihood.alias(f"{key}_n"))
+        joined = joined.join(found, F.col(key) == F.col(f"_{key}"), "left").drop(f"_{key}")
+    for key in ("domain", "host"):
+        joined = joined.join(counts(key), F.col(key) == F.col(f"_{key}"), "left").drop(f"_{key}")
+
+    def smoothed(seen: Column, wider: Column) -> Column:
+        seen = F.coalesce(seen, none)
+        n = F.aggregate(seen, F.lit(0.0), lambda a, b: a + b)
+        return F.zip_with(F.zip_with(seen, wider, lambda c, p: c + SMOOTHING * p), F.transform(wider, lambda _: n), lambda c, m: c / (m + SMOOTHING))
+
+    prior = smoothed(F.col("host_n"), smoothed(F.col("domain_n"), share))
+    fused = F.transform(prior, F.log)
+    for part in (F.when(F.col("lettered"), F.col("scores")), F.col("declared_n"), F.col("suffix_n")):
+        fused = F.zip_with(fused, F.coalesce(part, none), lambda a, b: a + b)
+    fused = joined.select("doc_id", "text_language", "lettered", fused.alias("fused"))
+    top = F.array_max("fused")
+    posterior = 1 / F.aggregate("fused", F.lit(0.0), lambda a, b: a + F.exp(b - top))
+    language = F.get(F.array(*[F.lit(name) for name in classes]), F.call_function("array_position", F.col("fused"), top).cast("int") - 1)
+    named = fused.select("doc_id", language.alias("language"), "text_language", F.round(posterior, 6).alias("posterior"), "lettered")
     accepted = F.col("lettered") & (F.col("language") != OTHER) & (F.col("posterior") >= least)
     return named.select("doc_id", "language", "text_language", "posterior", accepted.alias("accepted"))
 

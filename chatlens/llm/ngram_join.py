@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlens.llm.common import keep_marked, lists, mix, slices, table, word_shingles, components
-from chatlens.llm.setjoin import join_buckets
+from chatlens.llm.common import components, keep_marked, lists, mix, slices, table, word_shingles
+from chatlens.llm.setjoin import opened_links, star_links
+from chatlens.plans.lineage import discard, materialize, scratch_path
 
 PERCENT = 75
 WIDTH = 5
@@ -115,32 +116,34 @@ def profiles(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, percent:
     )
 
 
-def qualifying_groups(profile: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs of groups (g1 < g2) with members that may be similar.
+def shared_elements(profile: DataFrame) -> DataFrame:
+    """The matrix where it matters: (token, group, head) of elements in several groups; head is the smallest."""
+    matrix = profile.select(F.explode("heads").alias("token"), "group").repartition("token").distinct()
+    own = Window.partitionBy("token")
+    ends = matrix.select("token", "group", F.min("group").over(own).alias("head"), F.max("group").over(own).alias("tail"))
+    return ends.filter("head <> tail").drop("tail")
+
+
+def _band(column: str):
+    return F.col(column).bitwiseAND(1023)
+
+
+def _qualifying(overlap: DataFrame, spans: DataFrame, percent: int) -> DataFrame:
+    """Of (g1, g2, common) the pairs with members that may be similar; ``spans``: (group, lo, hi, members, ...).
 
     Members with sizes a <= b need an overlap of t / (1 + t) * (a + b), of which at most t * b
     lies behind the leading elements; the rest must be among the shared leading ones.
     """
-    # Python's floor division keeps these sound for every percentage.
-    matrix = profile.filter("n > 0").select(F.explode("heads").alias("token"), "group").distinct()
-    other = matrix.select("token", F.col("group").alias("other"))
-    reach = int(np.ceil(np.log(100 / percent) / np.log(STEP))) + 1
-    near = F.abs(F.col("group").bitwiseAND(1023) - F.col("other").bitwiseAND(1023)) <= reach
-    overlap = matrix.join(other, "token").filter((F.col("group") < F.col("other")) & near)
-    overlap = overlap.groupBy("group", "other").agg(F.count(F.lit(1)).alias("common"))
-    spans = profile.filter("n > 0").groupBy("group").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    there = spans.select(F.col("group").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     t = percent / 100
 
-    def behind(small: str, large: str):
+    def ahead(small: str, large: str):
         return t / (1 + t) * (F.col(small) + F.col(large)) - t * F.col(large)
 
-    need = F.least(behind("lo", "hi2"), behind("lo2", "hi")) - 0.001
-    fits = (100 * F.col("hi") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo"))
-    return (
-        overlap.join(spans, "group").join(there, "other").filter(fits & (F.col("common") >= need))
-        .select(F.col("group").alias("g1"), F.col("other").alias("g2"))
-    )
+    one = spans.select(*[F.col(name).alias("g1" if name == "group" else f"{name}1") for name in spans.columns])
+    two = spans.select(*[F.col(name).alias("g2" if name == "group" else f"{name}2") for name in spans.columns])
+    need = F.least(ahead("lo1", "hi2"), ahead("lo2", "hi1")) - 0.001
+    fits = (100 * F.col("hi1") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo1"))
+    return overlap.join(one, "g1").join(two, "g2").filter(fits & (F.col("common") >= need))
 
 
 def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -150,32 +153,79 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
     that repeat a doc_id are one document: what any of them links to, it links to. A row without doc_id links with
     nothing and has no component. Other columns are ignored; an empty table gives an empty result.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = frequent_elements(docs, width)
-    profile = table(profiles(docs, frequent, width, percent), "profiles")
-    usable = profile.filter("n > 0 and doc_id is not null")
+    path = scratch_path(spark, "llm-profiles")
+    profile = materialize(profiles(docs, frequent, width, percent), path)
+    ids = table(profile.drop("heads"), "ids")
+    usable = ids.filter("n > 0 and doc_id is not null")
+    shared = table(shared_elements(profile.filter("n > 0 and doc_id is not null")), "matrix")
+    discard(spark, path)
     sets = table(
         usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.min("group").alias("group"), F.min("n").alias("n")), "sets"
     )
-    pairs = table(qualifying_groups(usable, percent), "pairs")
-    members = sets.select("group", "node", "n").distinct()
-    first = members.select(F.col("group").cast("string").alias("bucket"), "node", "n")
-    name = F.concat_ws("_", "g1", "g2").alias("bucket")
-    of_pairs = pairs.select(name, F.explode(F.array("g1", "g2")).alias("group")).join(members, "group")
-    crowded = members.groupBy("group").count().filter("count > 1").select(F.col("group").cast("string").alias("bucket"))
-    buckets = first.join(crowded, "bucket", "left_semi").unionByName(of_pairs.select("bucket", "node", "n"))
-
-    def texts(nodes: DataFrame) -> DataFrame:
+    members = table(sets.select("group", "node", "n").distinct(), "members")
+    spans = members.groupBy("group").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("node").alias("head"), F.count(F.lit(1)).alias("members"))
+    spans = table(spans, "groups")
+    reach = int(np.ceil(np.log(100 / percent) / np.log(STEP))) + 1
+
+    def named_texts(nodes: DataFrame) -> DataFrame:
         named = docs.withColumnRenamed("doc_id", "node").filter("node is not null")
-        return keep_marked(named, "node", nodes).join(nodes, "node", "left_semi")
+        return table(keep_marked(named, "node", nodes).join(nodes, "node", "left_semi"), "texts")
+
+    # First every node against the head of its group, and the heads of groups against the head of the smallest
+    # group they share elements with: that joins most copies, in as many comparisons as there are groups.
+    star = shared.filter((F.col("group") != F.col("head")) & (F.abs(_band("group") - _band("head")) <= reach))
+    star = star.groupBy(F.col("head").alias("g1"), F.col("group").alias("g2")).agg(F.count(F.lit(1)).alias("common"))
+    star = _qualifying(star, spans, percent).select(F.col("head2").alias("a"), F.col("head1").alias("b"))
+    inner = members.join(spans.filter("members > 1").select("group", "head"), "group").filter("node <> head")
+    pairs = table(star.unionByName(inner.select(F.col("node").alias("a"), F.col("head").alias("b"))).distinct(), "stars")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = table(star_links(pairs, named_texts(nodes), _sets(width), percent), "links")
+    joined = table(components(links), "joined")
+
+    # Groups within one component merge with the component's other groups of their size.
+    placed = members.join(joined, "node", "left").select("group", "node", "n", F.coalesce("component", "node").alias("c"))
+    pure = placed.groupBy("group").agg(F.min("c").alias("c"), F.max("c").alias("d"))
+    merged = F.xxhash64(F.lit("m"), "c", _band("group")).bitwiseAND(~1023).bitwiseOR(_band("group"))
+    whole = F.col("c") == F.col("d")
+    named = pure.select("group", F.when(whole, merged).otherwise(F.col("group")).alias("super"), F.when(whole, F.col("c")).alias("pure"))
+    named = table(named, "supers")
+    placed = table(placed.join(named, "group").select(F.col("super").alias("group"), "node", "n", "c", "pure"), "placed")
+    spans = placed.groupBy("group").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pure").alias("pure"), F.count(F.lit(1)).alias("members"))
+    spans = table(spans, "spans")
+    matrix = shared.join(named, "group").select("token", F.col("super").alias("g1"), F.col("pure").alias("pure1")).distinct()
+    matrix = table(matrix, "merged")
+    other = matrix.select("token", F.col("g1").alias("g2"), F.col("pure1").alias("pure2"))
+    apart = F.coalesce(F.col("pure1") != F.col("pure2"), F.lit(True))
+    overlap = matrix.join(other, "token").filter(
+        (F.col("g1") < F.col("g2")) & apart & (F.abs(_band("g1") - _band("g2")) <= reach))
+    overlap = overlap.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("common"))
+    opened = _qualifying(overlap, spans, percent)
+    # The smaller group of a pair is the guest: its members meet those of the larger one, once for all its guests.
+    larger = F.col("members1") >= F.col("members2")
+    opened = opened.select(F.when(larger, F.col("g1")).otherwise(F.col("g2")).alias("host"),
+                           F.when(larger, F.col("g2")).otherwise(F.col("g1")).alias("group"))
+    opened = table(opened, "opened-groups")
+    guests = opened.join(placed, "group").select(F.col("host").alias("bucket"), "node", "n", F.lit(True).alias("left"), F.lit(False).alias("right"))
+    hosts = opened.select(F.col("host").alias("group")).distinct()
+    heads = placed.filter("pure is null").groupBy("group").agg(F.min(F.struct("node", "c"))["c"].alias("hc"))
+    hosts = hosts.unionByName(heads.select("group")).distinct()
+    own = placed.join(hosts, "group").join(heads, "group", "left").select(
+        F.col("group").alias("bucket"), "node", "n", F.coalesce(F.col("c") != F.col("hc"), F.lit(False)).alias("left"), F.lit(True).alias("right"))
+    rows = table(own.unionByName(guests), "rows")
+    texts = named_texts(rows.select("node").distinct())
+    more = table(opened_links(rows, texts, _sets(width), percent), "opened")
 
-    near = join_buckets(buckets, texts, _sets(width), percent)
     # Equal sets link without being compared; repeated ids are one node.
     copies = usable.join(sets.select("f1", "f2", "node"), ["f1", "f2"]).filter("doc_id <> node")
     edges = copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    edges = edges.unionByName(near.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+    edges = edges.unionByName(links).unionByName(more)
     whole = components(edges).withColumnRenamed("node", "doc_id")
-    return profile.select("doc_id", F.col("n").alias("n_shingles")).join(whole, "doc_id", "left").select(
+    return ids.select("doc_id", F.col("n").alias("n_shingles")).join(whole, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
 

@@ -67,7 +67,7 @@ def spanning_links(sets: list[np.ndarray], left: np.ndarray, percent: int) -> li
     return links
 
 
-def _star_links(pairs: DataFrame, texts: DataFrame, sets_of: Sets, percent: int) -> DataFrame:
+def star_links(pairs: DataFrame, texts: DataFrame, sets_of: Sets, percent: int) -> DataFrame:
     """Pairs (a, b) that are similar."""
     other = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(texts.withColumnRenamed("node", "a"), "a").join(other, "b")
@@ -90,27 +90,48 @@ def _star_links(pairs: DataFrame, texts: DataFrame, sets_of: Sets, percent: int)
     return both.select("a", "b", "text", "text_b").mapInArrow(check, pairs.select("a", "b").schema)
 
 
-def _opened_links(units: DataFrame, sets_of: Sets, percent: int, schema) -> DataFrame:
+def opened_links(rows: DataFrame, texts: DataFrame, sets_of: Sets, percent: int, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) that join what is similar between the left and the right nodes of each bucket.
+
+    ``rows``: (bucket, node, n, left, right). Each side is cut into chunks of about ``chunk`` elements, and
+    every left chunk meets every right chunk in a unit of its own.
+    """
+    total = lambda side: F.sum(F.when(F.col(side), F.greatest("n", F.lit(1))).otherwise(0))
+    sizes = rows.groupBy("bucket").agg(total("left").alias("l"), total("right").alias("r"))
+    cuts = sizes.filter("l > 0 and r > 0").select(
+        "bucket", F.ceil(F.col("l") / chunk).cast("int").alias("lefts"), F.ceil(F.col("r") / chunk).cast("int").alias("rights")
+    )
+    cut = rows.join(cuts, "bucket")
+    mine = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)).cast("int")
+    left = cut.filter("left").select(
+        "bucket", "node", F.lit(True).alias("left"), (mine % F.col("lefts")).alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"),
+    )
+    right = cut.filter("right").select(
+        "bucket", "node", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"),
+        (mine % F.col("rights")).alias("j"),
+    )
+    units = left.unionByName(right).select("node", "left", F.concat_ws("/", F.col("bucket").cast("string"), "i", "j").alias("unit"))
+    kind = dict(units.dtypes)["node"]
+
     def check(batches):
         for unit in runs(batches, "unit"):
             nodes = unit.column("node").to_pylist()
-            left = np.array(unit.column("left").to_pylist(), bool)
+            marks = unit.column("left").to_pylist()
             seen: dict = {}
             for at, node in enumerate(nodes):
                 seen.setdefault((node, unit.column("text")[at].as_py()), []).append(at)
             keys = list(seen)
             sets = sets_of([text for _, text in keys])
-            marked = np.array([left[places].any() for places in seen.values()], bool)
+            marked = np.array([any(marks[at] for at in places) for places in seen.values()], bool)
             found = spanning_links(sets, marked, percent)
-            yield pa.RecordBatch.from_pydict(
-                {"a": [keys[a][0] for a, _ in found], "b": [keys[b][0] for _, b in found]}, schema=check.schema
+            kinds = unit.schema.field("node").type
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([keys[a][0] for a, _ in found], kinds), pa.array([keys[b][0] for _, b in found], kinds)], ["a", "b"]
             )
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    check.schema = to_arrow_schema(schema)
-    ready = units.repartition("unit").sortWithinPartitions("unit")
-    return ready.mapInArrow(check, schema)
+    ready = units.join(texts, "node").repartition("unit").sortWithinPartitions("unit")
+    return ready.mapInArrow(check, f"a {kind}, b {kind}")
 
 
 def join_buckets(
@@ -128,7 +149,7 @@ def join_buckets(
     pairs = table(inside.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "stars")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     found = table(texts(nodes), "texts")
-    links = table(_star_links(pairs, found, sets_of, percent), "links")
+    links = table(star_links(pairs, found, sets_of, percent), "links")
     joined = table(components(links), "joined")
 
     own = joined.select(F.col("node"), F.col("component").alias("c"))
@@ -138,25 +159,6 @@ def join_buckets(
         .select("bucket", "node", "n", (F.coalesce("c", "node") != F.coalesce("hc", "head")).alias("out"))
     )
     marked = table(marked, "marked")
-    sizes = marked.groupBy("bucket").agg(
-        F.sum(F.when(F.col("out"), F.col("n")).otherwise(0)).alias("n_out"),
-        F.sum("n").alias("n_all"), F.sum(F.col("out").cast("int")).alias("outs"),
-    )
-    # One node outside was compared with the head; a bucket of which only the head is inside is
-    # resolved by comparing the nodes outside among themselves, which the general case covers.
-    opened = sizes.filter("outs > 0").select(
-        "bucket", F.ceil(F.col("n_out") / chunk).cast("int").alias("lefts"), F.ceil(F.col("n_all") / chunk).cast("int").alias("rights")
-    )
-    rows = marked.join(opened, "bucket")
-    mine = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)).cast("int")
-    left = rows.filter("out").select(
-        "bucket", "node", F.lit(True).alias("left"), (mine % F.col("lefts")).alias("i"),
-        F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"),
-    )
-    right = rows.select(
-        "bucket", "node", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"),
-        (mine % F.col("rights")).alias("j"),
-    )
-    units = left.unionByName(right).select("node", "left", F.concat_ws("/", F.col("bucket").cast("string"), "i", "j").alias("unit"))
-    more = table(_opened_links(units.join(found, "node"), sets_of, percent, links.schema), "opened")
+    rows = marked.select("bucket", "node", "n", F.col("out").alias("left"), F.lit(True).alias("right"))
+    more = table(opened_links(rows, found, sets_of, percent, chunk), "opened")
     return components(links.unionByName(more))
