@@ -150,7 +150,7 @@ def identify(docs: DataFrame, languages=LANGUAGES, least: float = LEAST) -> Data
         return F.zip_with(F.zip_with(seen, wider, lambda c, p: c + SMOOTHING * p), F.transform(wider, lambda _: n), lambda c, m: c / (m + SMOOTHING))
 
     prior = smoothed(F.col("host_n"), smoothed(F.col("domain_n"), share))
-    fused = F.transform(prior, F.log)
+    fused = F.transform(prior, lambda p: F.log(p))
     for part in (F.when(F.col("lettered"), F.col("scores")), F.col("declared_n"), F.col("suffix_n")):
         fused = F.zip_with(fused, F.coalesce(part, none), lambda a, b: a + b)
     fused = joined.select("doc_id", "text_language", "lettered", fused.alias("fused"))
