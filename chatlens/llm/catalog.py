@@ -61,4 +61,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": urls.ORACLE_SQL}
+    return {
+        "op1_exact_top_k": topk.ORACLE_SQL,
+        "op2_url_filter": urls.ORACLE_SQL,
+        "op4_embedding_near_dedup": epsgrid.ORACLE_SQL,
+        "op6_source_mixing": mixing.ORACLE_SQL,
+        "op8_ngram_jaccard_join": ngram_join.ORACLE_SQL,
+    }

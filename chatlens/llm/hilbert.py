@@ -75,42 +75,44 @@ def hilbert_shards(
 
     ``numbers`` are cut at quantiles, ``names`` (texts) hashed; null is the lowest part of a number
     and a text of its own. ``tie`` orders rows within a cell, after a hash of its first column;
-    rows equal in all of ``tie`` are interchangeable. Slots count from 0 without gaps.
+    rows equal in all of ``tie`` are interchangeable. Slots count from 0 without gaps. Columns of ``rows``
+    with the names of new ones are replaced.
     """
+    rows = rows.drop("hilbert", "shard", "slot")
     cuts = _steps(rows, numbers, bits)
     coordinate = {
         name: sum([(F.coalesce(F.col(name).cast("double"), F.lit(float("-inf"))) >= F.lit(float(cut))).cast("int") for cut in cuts[name]], F.lit(0))
         for name in numbers
     } | {name: F.pmod(F.xxhash64(F.coalesce(F.col(name).cast("string"), F.lit("\0"))), F.lit(1 << bits)).cast("int") for name in names}
-    axes = [f"_c{at}" for at in range(len(coordinate))]
+    axes = [f"_hs_c{at}" for at in range(len(coordinate))]
     placed = table(rows.select("*", *[c.alias(axis) for c, axis in zip(coordinate.values(), axes, strict=True)]), "placed")
     # One row per cell that has rows, 2 ** (bits * dimensions) at most.
-    cells = placed.groupBy(*axes).agg(F.count(F.lit(1)).alias("_n"))
+    cells = placed.groupBy(*axes).agg(F.count(F.lit(1)).alias("_hs_n"))
     cells = table(cells.withColumn("hilbert", hilbert_index([F.col(axis) for axis in axes], bits)), "cells")
-    total = cells.agg(F.sum("_n")).first()[0] or 0
+    total = cells.agg(F.sum("_hs_n")).first()[0] or 0
     along = Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(*axes, "hilbert", F.ceil(F.col("_n") / run).cast("int").alias("_parts"),
-                         F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
+    cells = cells.select(*axes, "hilbert", F.ceil(F.col("_hs_n") / run).cast("int").alias("_hs_parts"),
+                         F.coalesce(F.sum("_hs_n").over(along), F.lit(0)).alias("_hs_before"))
     located = placed.join(cells, axes)
     # Cells above ``run`` rows are numbered in parts, so a cell of any size is spread over tasks.
-    located = located.withColumn("_part", F.pmod(F.xxhash64(tie[0]), F.col("_parts")).cast("int"))
-    parts = located.groupBy("hilbert", "_part").agg(F.count(F.lit(1)).alias("_m"))
-    inside = Window.partitionBy("hilbert").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("hilbert", "_part", F.coalesce(F.sum("_m").over(inside), F.lit(0)).alias("_ahead"))
-    order = Window.partitionBy("hilbert", "_part").orderBy(*tie)
-    numbered = located.withColumn("_row", F.row_number().over(order)).join(parts, ["hilbert", "_part"])
-    rank = (F.col("_before") + F.col("_ahead") + F.col("_row") - 1).cast("long")
+    located = located.withColumn("_hs_part", F.pmod(F.xxhash64(tie[0]), F.col("_hs_parts")).cast("int"))
+    parts = located.groupBy("hilbert", "_hs_part").agg(F.count(F.lit(1)).alias("_hs_m"))
+    inside = Window.partitionBy("hilbert").orderBy("_hs_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("hilbert", "_hs_part", F.coalesce(F.sum("_hs_m").over(inside), F.lit(0)).alias("_hs_ahead"))
+    order = Window.partitionBy("hilbert", "_hs_part").orderBy(*tie)
+    numbered = located.withColumn("_hs_row", F.row_number().over(order)).join(parts, ["hilbert", "_hs_part"])
+    rank = (F.col("_hs_before") + F.col("_hs_ahead") + F.col("_hs_row") - 1).cast("long")
     small, larger = divmod(total, shards)
     edge = larger * (small + 1)
-    at = F.col("_rank")
+    at = F.col("_hs_rank")
     size = max(small, 1)
-    late = F.expr(f"cast((_rank - {edge}L) div {size}L as int)") + larger
-    shard = F.when(at < edge, F.expr(f"cast(_rank div {small + 1}L as int)")).otherwise(late)
+    late = F.expr(f"cast((_hs_rank - {edge}L) div {size}L as int)") + larger
+    shard = F.when(at < edge, F.expr(f"cast(_hs_rank div {small + 1}L as int)")).otherwise(late)
     start = F.when(F.col("shard") <= larger, F.col("shard") * F.lit(small + 1)).otherwise(
         F.lit(edge) + (F.col("shard") - larger) * F.lit(small)
     )
     return (
-        numbered.withColumn("_rank", rank).withColumn("shard", shard.cast("int"))
+        numbered.withColumn("_hs_rank", rank).withColumn("shard", shard.cast("int"))
         .withColumn("slot", (at - start).cast("long")).select(*rows.columns, "hilbert", "shard", "slot")
     )
 
@@ -135,7 +137,7 @@ def document_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, run
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, bits: int = BITS) -> None:
     """``docs`` (doc_id, text, lang, source, ...) as files, one folder for each shard, in curve order."""
     text = F.col("text").cast("string")
-    sized = docs.withColumn("_size", F.coalesce(F.octet_length(text), F.lit(0)) + 1).withColumn("_crc", F.crc32(F.coalesce(text, F.lit(""))))
-    found = hilbert_shards(sized, ["_size", "doc_id"], ["lang", "source"], ["doc_id", "_size", "_crc"], shards, bits)
-    ready = found.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("_size", "_crc", "hilbert", "slot")
+    sized = docs.withColumn("_hs_size", F.coalesce(F.octet_length(text), F.lit(0)) + 1).withColumn("_hs_crc", F.crc32(F.coalesce(text, F.lit(""))))
+    found = hilbert_shards(sized, ["_hs_size", "doc_id"], ["lang", "source"], ["doc_id", "_hs_size", "_hs_crc"], shards, bits)
+    ready = found.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("_hs_size", "_hs_crc", "hilbert", "slot")
     ready.write.mode("overwrite").partitionBy("shard").parquet(path)

@@ -59,44 +59,45 @@ def training_position(demand: Column, target: Column, slope: Column) -> Column:
 
 
 def mixed(docs: DataFrame, run: int = RUN, **options) -> DataFrame:
-    """``docs`` with _size, _source_size, _target, _taken and _ahead, the words of the source before the document.
+    """``docs`` with _mix_size, _mix_source_size, _mix_target, _mix_taken and _mix_ahead, the words of the source before the document.
 
     ``docs`` has doc_id, text and source; null is a source of its own. The order within a source is
     that of md5(doc_id), then doc_id; rows with the same doc_id lie in the order of size. The document at the
     target's end is taken in part, so a source gives its target to the word, rounded down.
     """
-    rows = docs.withColumn("_size", word_count(F.col("text").cast("string")))
+    rows = docs.withColumn("_mix_size", word_count(F.col("text").cast("string")))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = rows.withColumn("_key", digest)
-    per_source = rows.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
+    rows = rows.withColumn("_mix_key", digest)
+    per_source = rows.groupBy("source").agg(F.sum("_mix_size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     targets = table(source_targets(per_source, **options), "targets")
-    named = targets.withColumnRenamed("source", "_name")
-    rows = rows.join(named, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
+    named = targets.select(F.col("source").alias("_mix_name"), F.col("source_size").alias("_mix_source_size"), F.col("docs").alias("_mix_docs"),
+                           F.col("target").alias("_mix_target"), F.col("slope").alias("_mix_slope"))
+    rows = rows.join(named, F.col("source").eqNullSafe(F.col("_mix_name"))).drop("_mix_name")
     # Parts of a source follow its order: the first 24 bits of the digest, cut evenly.
-    part = F.floor(F.conv(F.substring("_key", 1, 6), 16, 10).cast("long") * F.ceil(F.col("docs") / run) / (1 << 24))
-    rows = rows.withColumn("_part", part.cast("int"))
-    order = Window.partitionBy("source", "_part").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    summed = rows.groupBy("source", "_part").agg(F.sum("_size").alias("_m"))
-    chain = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    summed = summed.select(F.col("source").alias("_name"), F.col("_part").alias("_p"), F.coalesce(F.sum("_m").over(chain), F.lit(0)).alias("_base"))
-    rows = rows.withColumn("_own", F.coalesce(F.sum("_size").over(order), F.lit(0)))
-    rows = rows.join(summed, F.col("source").eqNullSafe(F.col("_name")) & (F.col("_part") == F.col("_p")))
-    ahead = F.col("_base") + F.col("_own")
-    goal = F.floor("target")
+    part = F.floor(F.conv(F.substring("_mix_key", 1, 6), 16, 10).cast("long") * F.ceil(F.col("_mix_docs") / run) / (1 << 24))
+    rows = rows.withColumn("_mix_part", part.cast("int"))
+    order = Window.partitionBy("source", "_mix_part").orderBy("_mix_key", "doc_id", "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.groupBy("source", "_mix_part").agg(F.sum("_mix_size").alias("_mix_m"))
+    chain = Window.partitionBy("source").orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    summed = summed.select(F.col("source").alias("_mix_name"), F.col("_mix_part").alias("_mix_p"), F.coalesce(F.sum("_mix_m").over(chain), F.lit(0)).alias("_mix_base"))
+    rows = rows.withColumn("_mix_own", F.coalesce(F.sum("_mix_size").over(order), F.lit(0)))
+    rows = rows.join(summed, F.col("source").eqNullSafe(F.col("_mix_name")) & (F.col("_mix_part") == F.col("_mix_p")))
+    ahead = F.col("_mix_base") + F.col("_mix_own")
+    goal = F.floor("_mix_target")
     copies = range(options.get("repeats", REPEATS))
-    taken = sum([F.greatest(F.lit(0), F.least(F.col("_size"), goal - (ahead + F.col("source_size") * at))) for at in copies], F.lit(0))
-    return rows.select(*docs.columns, "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
-                       F.col("slope").alias("_slope"), taken.cast("long").alias("_taken"), ahead.cast("long").alias("_ahead"))
+    taken = sum([F.greatest(F.lit(0), F.least(F.col("_mix_size"), goal - (ahead + F.col("_mix_source_size") * at))) for at in copies], F.lit(0))
+    return rows.select(*docs.columns, "_mix_size", "_mix_source_size", "_mix_target", "_mix_slope",
+                       taken.cast("long").alias("_mix_taken"), ahead.cast("long").alias("_mix_ahead"))
 
 
 def curriculum(docs: DataFrame, run: int = RUN, **options) -> DataFrame:
     """Per row of ``docs``: doc_id, size, source_size, target, taken and position (of its first copy,
     null where nothing is taken), in the order of position. Every row counts; a text without words has size 0."""
     rows = mixed(docs.select("doc_id", "text", "source"), run, **options)
-    position = F.when(F.col("_taken") > 0, training_position(F.col("_ahead"), F.col("_target"), F.col("_slope")))
+    position = F.when(F.col("_mix_taken") > 0, training_position(F.col("_mix_ahead"), F.col("_mix_target"), F.col("_mix_slope")))
     out = rows.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"), F.col("_taken").alias("taken"), position.alias("position"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"),
+        F.col("_mix_target").alias("target"), F.col("_mix_taken").alias("taken"), position.alias("position"),
     )
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
@@ -108,15 +109,56 @@ def mixed_documents(docs: DataFrame, run: int = RUN, **options) -> DataFrame:
     """
     rows = mixed(docs, run, **options)
     repeats = options.get("repeats", REPEATS)
-    copies = F.when(F.col("_size") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(repeats - 1)))
-    rows = rows.withColumn("_copy", F.explode(copies))
-    demand = F.col("_ahead") + F.col("_source_size") * F.col("_copy")
-    words = F.least(F.col("_size"), F.floor("_target") - demand)
-    rows = rows.withColumn("_words", words).filter((F.col("_words") > 0) | (F.col("_size") == 0))
-    rows = rows.withColumn("_position", F.coalesce(training_position(demand, F.greatest("_target", F.lit(1.0)), F.col("_slope")), F.lit(0.0)))
+    copies = F.when(F.col("_mix_size") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(repeats - 1)))
+    rows = rows.withColumn("_mix_copy", F.explode(copies))
+    demand = F.col("_mix_ahead") + F.col("_mix_source_size") * F.col("_mix_copy")
+    words = F.least(F.col("_mix_size"), F.floor("_mix_target") - demand)
+    rows = rows.withColumn("_mix_words", words).filter((F.col("_mix_words") > 0) | (F.col("_mix_size") == 0))
+    rows = rows.withColumn("_mix_position", F.coalesce(training_position(demand, F.greatest("_mix_target", F.lit(1.0)), F.col("_mix_slope")), F.lit(0.0)))
     pieces = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*" + WORD + ")"), F.lit(1))
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col("_words"), F.lit(1)).cast("int")), "")
-    text = F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text"))
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col("_mix_words"), F.lit(1)).cast("int")), "")
+    text = F.when(F.col("_mix_words") < F.col("_mix_size"), cut).otherwise(F.col("text"))
     # Range-sort by position; the copies of one document lie apart.
-    ready = rows.withColumn("text", text).orderBy("_position", "doc_id", "_copy")
+    ready = rows.withColumn("text", text).orderBy("_mix_position", "doc_id", "_mix_copy")
     return ready.select(*docs.columns)
+
+
+ORACLE_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source
+), turned AS (
+  SELECT source, source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn FROM sources
+), weighted AS (
+  SELECT source, source_size, 2 * source_size AS cap,
+         CASE turn WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight,
+         CASE turn WHEN 0 THEN -0.5::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS slope
+  FROM turned
+), levels AS (
+  SELECT *, CAST(cap AS DOUBLE) / weight AS ratio,
+         (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - CAST(coalesce(sum(cap) OVER (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+         / CAST(sum(weight) OVER (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST
+            ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+  FROM weighted
+), common AS (
+  SELECT min_by(level, (ratio, source)) AS common FROM levels WHERE level <= ratio
+), targets AS (
+  SELECT source, source_size, slope,
+         CASE WHEN common IS NULL OR ratio <= common THEN CAST(cap AS DOUBLE) ELSE common * weight END AS target
+  FROM levels, common
+), placed AS (
+  SELECT doc_id, size, source_size, target, slope, CAST(coalesce(sum(size) OVER (
+           PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), taken AS (
+  SELECT *, CAST(greatest(0, least(size, floor(target) - ahead)) + greatest(0, least(size, floor(target) - ahead - source_size)) AS BIGINT) AS taken
+  FROM placed
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken,
+       CASE WHEN taken > 0 THEN 2 * least(1::DOUBLE, ahead / target) / ((1 + slope) + sqrt(greatest(0::DOUBLE,
+         (1 + slope) * (1 + slope) - 4 * slope * least(1::DOUBLE, ahead / target)))) END AS position
+FROM taken
+"""
