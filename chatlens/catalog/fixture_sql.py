@@ -88,8 +88,9 @@ VIEWS: dict[str, str] = {
         FROM lineitem GROUP BY l_orderkey, l_suppkey""",
     "chats": """
         SELECT chat_id, count(*) > 2 AS group_chat FROM users_chats GROUP BY chat_id""",
-    "recent_memberships": """
-        SELECT * FROM users_chats WHERE message_time >= 1004572800000""",
+    "full_profile": """
+        SELECT * FROM profile UNION ALL
+        SELECT 'c' || c_custkey, c_name, 0, 900000, 'UTC' FROM customer""",
     "message_log": """
         SELECT 'chat--' || l_orderkey AS chat_id, l_linenumber % 3 AS "partition",
                row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 3

@@ -255,16 +255,11 @@ def user_profile_chats(spark, sf):
     )
 
 
-def _recent_memberships(spark, sf):
-    """Memberships since 2001-11-01, so that some users have none."""
-    return fx.users_chats(spark, sf).filter(F.col("message_time") >= 1_004_572_800_000)
-
-
 @query
 def user_profile(spark, sf):
     profile = _profile_columns(
         relational.user_profile(
-            fx.users(spark, sf), fx.settings(spark, sf), _recent_memberships(spark, sf), fx.chats(spark, sf)
+            fx.profile_users(spark, sf), fx.profile_settings(spark, sf), fx.users_chats(spark, sf), fx.chats(spark, sf)
         )
     )
     return _as_text(profile, "group_chat", "message_time", "silent", *fx.OFFSETS)
@@ -294,6 +289,16 @@ def chats_with_members(spark, sf):
     return pages.select("chat_id", "group_chat", "page", F.array_join(listed, ",").alias("members"))
 
 
+@query
+def chats_with_members_cut(spark, sf):
+    """The same in 64 ranges."""
+    pages = relational.chats_with_members(
+        fx.users_chats(spark, sf), fx.chats(spark, sf), fx.users(spark, sf), members_per_page=5, pieces=64
+    )
+    listed = F.transform("members", lambda member: F.concat_ws(":", member["user_id"], member["login"]))
+    return pages.select("chat_id", "group_chat", "page", F.array_join(listed, ",").alias("members"))
+
+
 @query
 def graph_membership(spark, sf):
     return graph.graph_membership(fx.users(spark, sf), fx.users_chats(spark, sf))
@@ -301,12 +306,13 @@ def graph_membership(spark, sf):
 
 @query
 def invite_candidates(spark, sf):
+    """Every member of a chat looks for the user with the next number by login."""
     users, memberships = fx.users(spark, sf), fx.users_chats(spark, sf)
-    hits = relational.search_users(users, LOGIN_PATTERNS).withColumnRenamed("pattern", "request_id")
-    # Every search is made by the same user for the same chat, the first ones by id.
-    first = memberships.agg(F.min(F.struct("user_id", "chat_id")).alias("_first"))
-    asked = F.explode(F.array(*[F.lit(pattern) for pattern in LOGIN_PATTERNS]))
-    requests = first.select(asked.alias("request_id"), F.col("_first.user_id").alias("me"), F.col("_first.chat_id"))
+    request = F.concat_ws("/", "chat_id", "user_id")
+    requests = memberships.select(request.alias("request_id"), F.col("user_id").alias("me"), "chat_id")
+    number = F.lpad((F.col("me").cast("long") + 1).cast("string"), 9, "0")
+    wanted = requests.select("request_id", F.concat(F.lit("Supplier#"), number).alias("login"))
+    hits = wanted.join(users.select("user_id", "login"), "login").select("request_id", "user_id", "login")
     picked = fx.settings(spark, sf).filter("zone_id = 'UTC'").select("user_id")
     selected = hits.select("request_id", "user_id").join(picked, "user_id", "left_semi")
     members = relational.chat_members(memberships, users)
@@ -346,9 +352,10 @@ def default_vertex(spark, sf):
 
 @query
 def rank_join(spark, sf):
-    edges = graph.co_membership_edges(graph.graph_membership(fx.users(spark, sf), fx.users_chats(spark, sf)))
-    degrees = edges.groupBy("id").agg(F.sum("out_edges").alias("down"), F.sum("in_edges").alias("up"))
-    return graph.rank_join(degrees, degrees, ("down", "up"))
+    """Two rank tables over different vertices: shipments per supplier, and per part."""
+    lines = fx.table(spark, sf, "lineitem")
+    ranks = [lines.groupBy(F.col(name).alias("id")).agg(F.count(F.lit(1)).cast("double").alias("rank")) for name in ("l_partkey", "l_suppkey")]
+    return graph.rank_join(*ranks)
 
 
 # --- aggregates -----------------------------------------------------------------------
@@ -471,6 +478,12 @@ def late_records(spark, sf):
     return windows.late_records(fx.message_log(spark, sf), "offset", key_space=["chat_id", "partition"])
 
 
+@query
+def late_records_cut(spark, sf):
+    """The same with blocks of two records, so that every key space is cut."""
+    return windows.late_records(fx.message_log(spark, sf), "offset", key_space=["chat_id", "partition"], rows_per_block=2)
+
+
 @query
 def msg_count_by_chat_on_time(spark, sf):
     kept = windows.on_time(fx.message_log(spark, sf), "offset", key_space=["chat_id", "partition"])
@@ -491,12 +504,21 @@ def unread_messages(spark, sf):
 
 @query
 def unread_ranges(spark, sf):
-    return _as_text(cur.unread_ranges(fx.message_log(spark, sf), _positions(spark, sf)), "last_offset", "newest_ms")
+    ranges = cur.unread_ranges(fx.message_log(spark, sf), _positions(spark, sf))
+    return ranges.withColumns({name: F.coalesce(name, F.lit(-1)) for name in ("last_offset", "newest_ms")})
 
 
 @query
 def unread_count(spark, sf):
-    return _as_text(cur.unread_count(fx.message_log(spark, sf), _positions(spark, sf)), "newest_ms")
+    counts = cur.unread_count(fx.message_log(spark, sf), _positions(spark, sf))
+    return counts.withColumn("newest_ms", F.coalesce("newest_ms", F.lit(-1)))
+
+
+@query
+def unread_count_cut(spark, sf):
+    """The same with blocks of two offsets."""
+    counts = cur.unread_count(fx.message_log(spark, sf), _positions(spark, sf), per_block=2)
+    return counts.withColumn("newest_ms", F.coalesce("newest_ms", F.lit(-1)))
 
 
 @query
@@ -552,6 +574,12 @@ def chat_list_order(spark, sf):
     return cur.chat_list_order(fx.message_log(spark, sf), fx.users_chats(spark, sf), fx.OFFSETS)
 
 
+@query
+def chat_list_order_cut(spark, sf):
+    """The same in 64 ranges and blocks of two offsets, so that users and partitions are cut."""
+    return cur.chat_list_order(fx.message_log(spark, sf), fx.users_chats(spark, sf), fx.OFFSETS, per_block=2, pieces=64)
+
+
 @query
 def timeline(spark, sf):
     return cur.timeline(fx.message_log(spark, sf))
@@ -589,7 +617,7 @@ def vertices(spark, sf):
 
 @query
 def co_membership_edges(spark, sf):
-    return graph.co_membership_edges(graph.graph_membership(fx.users(spark, sf), fx.users_chats(spark, sf))).drop("block")
+    return graph.co_membership_edges(graph.graph_membership(fx.users(spark, sf), fx.users_chats(spark, sf)))
 
 
 def _ranks(spark, sf, name):
@@ -602,6 +630,13 @@ def pagerank(spark, sf):
     return _ranks(spark, sf, "rank_forward")
 
 
+@query
+def pagerank_cut(spark, sf):
+    """Forward ranks with memberships in 64 ranges, so that chats are cut."""
+    ranks = graph.page_ranks(fx.users(spark, sf), fx.users_chats(spark, sf), pieces=64)
+    return ranks.select("user_num_id", F.round("rank_forward", 6).alias("rank_forward"))
+
+
 @query
 def pagerank_reversed(spark, sf):
     return _ranks(spark, sf, "rank_reversed")
@@ -689,7 +724,7 @@ def decode_commands(spark, sf):
 @query
 def encode_profile(spark, sf):
     profile = relational.user_profile(
-        fx.users(spark, sf), fx.settings(spark, sf), _recent_memberships(spark, sf), fx.chats(spark, sf)
+        fx.profile_users(spark, sf), fx.profile_settings(spark, sf), fx.users_chats(spark, sf), fx.chats(spark, sf)
     )
     return relational.encode_profile(profile, chats_per_page=10)
 

@@ -39,10 +39,10 @@ def is_invalid_login(login: Column | str) -> Column:
 def count_words(content: Column | str) -> Column:
     """Pieces between single whitespace characters of the trimmed text.
 
-    Two spaces in a row enclose an empty piece, which counts; empty text is one piece.
+    Two spaces in a row enclose an empty piece, which counts; empty text is one piece, null stays null.
     """
     trimmed = F.btrim(content, F.lit(_MARGIN))
-    return F.size(F.split(trimmed, r"\s"))
+    return F.regexp_count(trimmed, F.lit(r"\s")) + 1
 
 
 def delivery_delay_ms(server_time: Column | str = "server_time", message_time: Column | str = "message_time") -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.functions import offset_sum
-from chatlens.plans.blocked import HEAVY_ROWS, block_heavy_groups, chat_block, numbered, with_running
+from chatlens.plans import numbered, with_running
 
 PAGE_SIZE = 15  # fixed value: records of history per partition and page
 OFFSETS_PER_BLOCK = 65_536
@@ -43,16 +43,17 @@ def read_count(users_chats: DataFrame, offset_columns: Sequence[str]) -> DataFra
 # --- unread ---------------------------------------------------------------------------
 
 
-def _block(offset: Column | str = "offset") -> Column:
-    return F.floor((F.col(offset) if isinstance(offset, str) else offset) / F.lit(OFFSETS_PER_BLOCK))
+def _block(offset: Column | str = "offset", per_block: int | None = None) -> Column:
+    return F.floor((F.col(offset) if isinstance(offset, str) else offset) / F.lit(per_block or OFFSETS_PER_BLOCK))
 
 
-def unread_ranges(log: DataFrame, positions: DataFrame, min_rows: int = HEAVY_ROWS) -> DataFrame:
+def unread_ranges(log: DataFrame, positions: DataFrame, per_block: int | None = None) -> DataFrame:
     """Per cursor, with all its columns, the unread part of its partition: count, last offset
     and latest time.
 
     ``[offset, last_offset]`` is the range a reader has to fetch; it is empty (nulls and a
-    zero count) for a reader who is up to date.
+    zero count) for a reader who is up to date. Partitions are scanned in blocks of ``per_block``
+    offsets.
     """
     # Many users share a position, so each position is looked up once.
     places = positions.select(*_RECORD).distinct()
@@ -61,10 +62,8 @@ def unread_ranges(log: DataFrame, positions: DataFrame, min_rows: int = HEAVY_RO
     merged = records.unionByName(asked).select(
         "*", F.when(F.col("_record") == 1, F.col("offset")).alias("_seen")
     )
-    # A partition has no more positions than records, so the log alone shows which are heavy.
-    cut = block_heavy_groups(merged, ["chat_id", "partition"], {"_block": _block()}, min_rows, sizes_from=log)
     counted = with_running(
-        cut,
+        merged.withColumn("_block", _block("offset", per_block)),
         ["chat_id", "partition"],
         [["_block"]],
         [F.desc("offset"), F.desc("_record")],
@@ -75,10 +74,10 @@ def unread_ranges(log: DataFrame, positions: DataFrame, min_rows: int = HEAVY_RO
     return positions.hint("merge").join(answers, _RECORD)
 
 
-def unread_count(log: DataFrame, positions: DataFrame, min_rows: int = HEAVY_ROWS) -> DataFrame:
+def unread_count(log: DataFrame, positions: DataFrame, per_block: int | None = None) -> DataFrame:
     """Unread records per (user, chat), with the time of the newest one."""
     return (
-        unread_ranges(log, positions, min_rows)
+        unread_ranges(log, positions, per_block)
         .groupBy("user_id", "chat_id")
         .agg(F.sum("unread").alias("unread"), F.max("newest_ms").alias("newest_ms"))
     )
@@ -118,18 +117,23 @@ def history_page(log: DataFrame, positions: DataFrame, page: int = 0, page_size:
     Per partition a page spans ``page_size`` offsets. A chat whose positions are all zero has
     no history left.
     """
+    # Readers at one position share a page, which lies in two blocks of its length at most.
+    places = positions.select(*_RECORD).distinct()
     before = F.greatest(F.col("offset") - F.lit(page * page_size), F.lit(0))
-    spans = positions.select(
-        "user_id",
-        "chat_id",
-        "partition",
-        F.greatest(before - F.lit(page_size), F.lit(0)).alias("_from"),
-        before.alias("_to"),
+    spans = places.select(
+        *_RECORD, F.greatest(before - F.lit(page_size), F.lit(0)).alias("_from"), before.alias("_to")
     ).filter(F.col("_to") > 0)
-    wanted = spans.select(
-        "user_id", "chat_id", "partition", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)).alias("offset")
+    ends = F.array_distinct(F.array(_block("_from", page_size), _block(F.col("_to") - 1, page_size)))
+    spans = spans.select(
+        "chat_id", "partition", F.col("offset").alias("_place"), "_from", "_to", F.explode(ends).alias("_block")
+    )
+    pages = (
+        spans.hint("merge")
+        .join(log.withColumn("_block", _block("offset", page_size)), ["chat_id", "partition", "_block"])
+        .filter((F.col("offset") >= F.col("_from")) & (F.col("offset") < F.col("_to")))
     )
-    return wanted.hint("merge").join(log, _RECORD).select("user_id", *log.columns)
+    readers = positions.select("user_id", "chat_id", "partition", F.col("offset").alias("_place"))
+    return pages.join(readers, ["chat_id", "partition", "_place"]).select("user_id", *log.columns)
 
 
 # --- moving positions -----------------------------------------------------------------
@@ -151,34 +155,39 @@ def apply_offset_updates(users_chats: DataFrame, updates: DataFrame, offset_colu
     the first one with the largest sum remains. What is stored is each offset plus one.
     Updates for unknown chats have no effect.
     """
-    best = updates.groupBy("user_id", "chat_id").agg(
-        F.max(
-            F.struct(
-                offset_sum("partition_offsets").alias("total"),
-                (-F.col("arrival")).alias("earliest"),
-                "last_message_time",
-                "partition_offsets",
-            )
-        ).alias("_best")
+    # One number orders the updates, largest sum and then earliest arrival first, so the aggregate
+    # keeps numbers only. A partition named twice counts with its larger offset, one without a number not at all.
+    def offset_of(partition: int) -> Column:
+        named = F.filter("partition_offsets", lambda item: item["partition"] == partition)
+        return F.array_max(F.transform(named, lambda item: item["offset"]))
+
+    total = offset_sum("partition_offsets")
+    step = F.lit("10000000000000000000").cast("decimal(20,0)")  # above every arrival
+    key = (total.cast("decimal(19,0)") * step - F.col("arrival").cast("decimal(19,0)")).cast("decimal(38,0)")
+    ranked = updates.select(
+        "user_id", "chat_id", "last_message_time", total.alias("_total"), key.alias("_key"),
+        *[offset_of(partition).cast("long").alias(f"_new_{name}") for partition, name in enumerate(offset_columns)],
+    )
+    best = ranked.groupBy("user_id", "chat_id").agg(
+        F.max("_total").alias("_total"),
+        F.max_by("last_message_time", "_key").alias("_time"),
+        *[F.max_by(f"_new_{name}", "_key").alias(f"_new_{name}") for name in offset_columns],
     )
     stored = sum((F.col(name) for name in offset_columns[1:]), F.col(offset_columns[0]))
-    accepted = F.col("_best.total") > stored
-    new_offsets = F.map_from_entries(F.col("_best.partition_offsets"))
+    accepted = F.col("_total") > stored
     changed = {
-        name: F.when(
-            accepted, F.coalesce(F.element_at(new_offsets, F.lit(partition)) + 1, F.col(name))
-        ).otherwise(F.col(name))
-        for partition, name in enumerate(offset_columns)
+        name: F.when(accepted, F.coalesce(F.col(f"_new_{name}") + 1, F.col(name))).otherwise(F.col(name))
+        for name in offset_columns
     }
-    changed["message_time"] = F.when(accepted, F.col("_best.last_message_time")).otherwise(F.col("message_time"))
+    changed["message_time"] = F.when(accepted, F.col("_time")).otherwise(F.col("message_time"))
     joined = users_chats.join(best, ["user_id", "chat_id"], "left")
     return joined.select(*[changed[name].alias(name) if name in changed else F.col(name) for name in users_chats.columns])
 
 
-def mark_read(log: DataFrame, users_chats: DataFrame, offset_columns: Sequence[str], min_rows: int = HEAVY_ROWS) -> DataFrame:
+def mark_read(log: DataFrame, users_chats: DataFrame, offset_columns: Sequence[str], per_block: int | None = None) -> DataFrame:
     """Fold the unread records into what is read: per partition the last offset seen, and per
     (user, chat) the latest time, both only ever growing."""
-    ranges = unread_ranges(log, cursors(users_chats, offset_columns, "message_time"), min_rows)
+    ranges = unread_ranges(log, cursors(users_chats, offset_columns, "message_time"), per_block)
     last = F.greatest("offset", "last_offset")
     return ranges.groupBy("user_id", "chat_id").agg(
         F.greatest(F.max("message_time"), F.max("newest_ms")).alias("message_time"),
@@ -212,14 +221,16 @@ def new_chats_from_invitations(
     invitations: DataFrame, users_chats: DataFrame, offset_columns: Sequence[str]
 ) -> DataFrame:
     """Chats a user was invited to and does not have; the first invitation gives the name."""
-    first = invitations.groupBy("user_id", "chat_id").agg(
-        F.min(F.struct("offset", "login", "chat_name")).alias("_first")
-    )
-    return first.join(users_chats.select("user_id", "chat_id"), ["user_id", "chat_id"], "left_anti").select(
+    known = users_chats.select("user_id", "chat_id")
+    new = invitations.join(known, ["user_id", "chat_id"], "left_anti")
+    # The smallest offset is a number, so the aggregate needs no sort; texts are read off its row.
+    first = new.groupBy("user_id", "chat_id").agg(F.min("offset").alias("offset"))
+    named = new.join(first, ["user_id", "chat_id", "offset"]).select("user_id", "chat_id", "login", "chat_name")
+    return named.dropDuplicates(["user_id", "chat_id"]).select(
         "user_id",
         "chat_id",
-        F.col("_first.chat_name").alias("chat_name"),
-        F.col("_first.login").alias("invited_by"),
+        "chat_name",
+        F.col("login").alias("invited_by"),
         *[F.lit(0).cast("long").alias(name) for name in offset_columns],
     )
 
@@ -248,27 +259,18 @@ def typing_now(writing: DataFrame, lifetime: str = "1 second", me: str | None =
 
 
 def chat_list_order(
-    log: DataFrame, users_chats: DataFrame, offset_columns: Sequence[str], min_rows: int = HEAVY_ROWS
+    log: DataFrame,
+    users_chats: DataFrame,
+    offset_columns: Sequence[str],
+    per_block: int | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Each user's chats, newest first: by the latest unread record, else by the last one read."""
-    ranges = unread_ranges(log, cursors(users_chats, offset_columns, "message_time"), min_rows)
+    ranges = unread_ranges(log, cursors(users_chats, offset_columns, "message_time"), per_block)
     keyed = ranges.groupBy("user_id", "chat_id").agg(
         F.coalesce(F.max("newest_ms"), F.max("message_time")).alias("sort_time")
     )
-    # A heavy user's chats are cut by minute, and a minute by exact time and the first digits
-    # of the id, so that chats of equal time do not meet in one task. Both follow the order.
-    return numbered(
-        keyed,
-        ["user_id"],
-        [
-            {"_minute": -F.floor(F.col("sort_time") / F.lit(60_000))},
-            {"_time": -F.col("sort_time"), "_digits": chat_block()},
-        ],
-        [F.desc("sort_time"), F.col("chat_id")],
-        "position",
-        min_rows,
-        sizes_from=users_chats,
-    )
+    return numbered(keyed, ["user_id"], [F.desc("sort_time"), F.col("chat_id")], "position", pieces)
 
 
 def chats_by_last_message(users_chats: DataFrame, newest_first: bool = False) -> DataFrame:

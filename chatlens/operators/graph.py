@@ -14,12 +14,10 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from chatlens.plans import discard, materialize, scratch_path, with_running
-from chatlens.plans.blocked import HEAVY_ROWS, block_heavy_groups
+from chatlens.plans import discard, materialize, ranged, scratch_path, with_running
 
 TOLERANCE = 0.001  # fixed value: smaller changes of a rank are not passed on
 RESET = 0.15  # fixed value: rank every vertex starts from
-IDS_PER_BLOCK = 4_096
 
 
 def vertices(users: DataFrame) -> DataFrame:
@@ -32,19 +30,24 @@ def graph_membership(users: DataFrame, users_chats: DataFrame) -> DataFrame:
     return users_chats.select("user_id", "chat_id").join(ids, "user_id").select("chat_id", "id").distinct()
 
 
-def co_membership_edges(members: DataFrame, min_rows: int = HEAVY_ROWS) -> DataFrame:
+def co_membership_edges(members: DataFrame, pieces: int | None = None) -> DataFrame:
     """The edges, one row per member and chat: how many lead from and to the member there.
 
     Edges of a row lead to the ``out_edges`` members with the next larger numbers.
     """
-    block = {"block": F.floor(F.col("id") / F.lit(IDS_PER_BLOCK))}
-    cut = block_heavy_groups(members, ["chat_id"], block, min_rows, size_as="_size").withColumn("_one", F.lit(1))
-    placed = with_running(cut, ["chat_id"], [["block"]], ["id"], {"_place": ("count", "_one")})
-    # A chat that is not cut lies in one block, where it can be counted without a shuffle.
-    here = F.count(F.lit(1)).over(Window.partitionBy("chat_id", "block"))
-    return placed.withColumn("_size", F.coalesce(F.col("_size"), here)).select(
+    return _placed_edges(members, pieces).drop("block")
+
+
+def _placed_edges(members: DataFrame, pieces: int | None = None) -> DataFrame:
+    """The same with ``block``, the part of its chat a row lies in; null in chats that lie in one part."""
+    blocked = ranged(members, ["chat_id"], ["id"], pieces).withColumn("_one", F.lit(1))
+    placed = with_running(blocked, ["chat_id"], [["_block"]], ["id"], {"_place": ("count", "_one")})
+    sizes = blocked.groupBy("chat_id").agg(
+        F.count(F.lit(1)).alias("_size"), (F.min("_block") < F.max("_block")).alias("_parted")
+    )
+    return placed.join(sizes, "chat_id").select(
         "chat_id",
-        "block",
+        F.when(F.col("_parted"), F.col("_block")).alias("block"),
         "id",
         (F.col("_size") - F.col("_place")).alias("out_edges"),
         (F.col("_place") - 1).alias("in_edges"),
@@ -117,7 +120,7 @@ def page_ranks(
     users: DataFrame,
     users_chats: DataFrame,
     tolerance: float = TOLERANCE,
-    min_rows: int = HEAVY_ROWS,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Rank of every user along the edges, against them, and the mean of both.
 
@@ -130,7 +133,7 @@ def page_ranks(
     root = scratch_path(spark, "ranks")
     cut = Observation()
     edges = materialize(
-        co_membership_edges(graph_membership(users, users_chats), min_rows),
+        _placed_edges(graph_membership(users, users_chats), pieces),
         f"{root}/edges",
         cut,
         F.count("block").alias("rows"),

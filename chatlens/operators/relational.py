@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from chatlens.functions import offsets_array, session_expiry
 from chatlens.plans import numbered
-from chatlens.plans.blocked import HEAVY_ROWS, chat_block, user_block
 
 OFFSET_COLUMNS = ("users_offset_0", "users_offset_1", "users_offset_2")
 
@@ -87,8 +86,7 @@ def invite_candidates(
 
     ``hits`` (request_id, user_id, login) come from a search; ``requests`` (request_id, me,
     chat_id) name who asks for which chat; ``selected`` (request_id, user_id) are picked
-    already; ``members`` (chat_id, login) are in the chat. A request is a single search, so
-    requests are few against hits.
+    already; ``members`` (chat_id, login) are in the chat.
     """
     asked = hits.join(requests, "request_id").filter(~F.col("user_id").eqNullSafe(F.col("me")))
     unpicked = asked.join(selected.select("request_id", "user_id"), ["request_id", "user_id"], "left_anti")
@@ -147,7 +145,7 @@ def chat_members(users_chats: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def chats_with_members(
-    users_chats: DataFrame, chats: DataFrame, users: DataFrame, members_per_page: int = 1000, min_rows: int = HEAVY_ROWS
+    users_chats: DataFrame, chats: DataFrame, users: DataFrame, members_per_page: int = 1000, pieces: int | None = None
 ) -> DataFrame:
     """Every chat with its members, in pages of at most ``members_per_page``.
 
@@ -155,9 +153,7 @@ def chats_with_members(
     view is ``my_chats`` joined to this on ``chat_id``.
     """
     members = chat_members(users_chats, users).join(chats.select("chat_id", "group_chat"), "chat_id")
-    placed = numbered(
-        members, ["chat_id"], [{"_block": user_block()}], ["user_id"], "_position", min_rows, sizes_from=users_chats
-    )
+    placed = numbered(members, ["chat_id"], ["user_id"], "_position", pieces)
     page = F.floor((F.col("_position") - 1) / F.lit(members_per_page)).cast("int")
     return (
         placed.groupBy("chat_id", "group_chat", page.alias("page"))
@@ -221,13 +217,13 @@ def encode_chats(chat_rows: DataFrame) -> DataFrame:
     return chat_rows.select("user_id", "chat_id", F.to_json(_chat_entry()).alias("json"))
 
 
-def encode_profile(profile: DataFrame, chats_per_page: int = 100, min_rows: int = HEAVY_ROWS) -> DataFrame:
+def encode_profile(profile: DataFrame, chats_per_page: int = 100, pieces: int | None = None) -> DataFrame:
     """A user's settings and chats as JSON, in pages of at most ``chats_per_page`` chats.
 
     Takes the rows of ``user_profile``. Most users fit on page 0; a user without chats has
     one page with an empty list.
     """
-    placed = numbered(profile, ["user_id"], [{"_block": chat_block()}], ["chat_id"], "_position", min_rows)
+    placed = numbered(profile, ["user_id"], ["chat_id"], "_position", pieces)
     page = F.floor((F.col("_position") - 1) / F.lit(chats_per_page)).cast("int")
     header = ["user_id", "login", "joining_offset", "session_duration", "zone_id"]
     entry = F.when(F.col("chat_id").isNotNull(), _chat_entry())

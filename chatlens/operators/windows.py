@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.functions import average_text, count_words, delivery_delay_ms, instant_text, window_text
-from chatlens.plans.blocked import HEAVY_ROWS, block_heavy_groups, with_running
+from chatlens.plans import with_running
 
 # Fixed values of the delay job and of the words job.
 DELAY_SIZE, DELAY_SLIDE, DELAY_WATERMARK = "1 minute", "30 seconds", "30 seconds"
@@ -148,27 +148,26 @@ def with_lateness(
     grace_ms: int = 5,
     ts: str = "server_time",
     rows_per_block: int = 65_536,
-    min_rows: int = HEAVY_ROWS,
+    blocks_per_span: int = 1_024,
 ) -> DataFrame:
     """Mark the records a per-record grace rule drops.
 
     Stream time is the largest event time seen so far in arrival order within a key space.
     A record is late when its window's end plus the grace is not after stream time.
-    ``arrival`` is a whole number; a large key space is scanned in blocks of ``rows_per_block``
-    of it.
+    ``arrival`` is a whole number; a key space is scanned in blocks of ``rows_per_block`` of it, and
+    blocks are chained in spans of ``blocks_per_span``, so no task sees more than one of either.
     """
-    timed = messages.withColumn("_ts_ms", F.unix_millis(ts))
-    block = F.floor(F.col(arrival) / F.lit(rows_per_block))
-    if key_space:
-        cut = block_heavy_groups(timed, list(key_space), {"_block": block}, min_rows, sizes_from=messages)
-    else:
-        cut = timed.withColumn("_block", block)
-    seen = with_running(cut, list(key_space), [["_block"]], [arrival], {"stream_time_ms": ("max", "_ts_ms")})
+    timed = messages.withColumn("_ts_ms", F.unix_millis(ts)).withColumn("_block", F.floor(F.col(arrival) / F.lit(rows_per_block)))
+    levels = [["_block"]]
+    if not key_space:
+        timed = timed.withColumn("_span", F.floor(F.col("_block") / F.lit(blocks_per_span)))
+        levels = [["_span"], ["_block"]]
+    seen = with_running(timed, list(key_space), levels, [arrival], {"stream_time_ms": ("max", "_ts_ms")})
     window_end = F.col("_ts_ms") - F.pmod("_ts_ms", F.lit(size_ms)) + F.lit(size_ms)
     return (
         seen.withColumn("window_end_ms", window_end)
         .withColumn("late", F.col("window_end_ms") + F.lit(grace_ms) <= F.col("stream_time_ms"))
-        .drop("_ts_ms", "_block", "_cut")
+        .drop("_ts_ms", "_block", "_span")
     )
 
 

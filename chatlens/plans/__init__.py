@@ -1,2 +1,2 @@
-from chatlens.plans.blocked import block_heavy_groups, heavy_groups, numbered, with_running  # noqa: F401
+from chatlens.plans.blocked import numbered, ranged, with_running  # noqa: F401
 from chatlens.plans.lineage import discard, materialize, scratch_path  # noqa: F401

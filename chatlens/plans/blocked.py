@@ -1,9 +1,10 @@
 """Running totals and row numbers that no single group can bring down.
 
-A window partitioned by one chat or one user puts that whole group into one task. Here a
-large group is cut into blocks that follow the sort order. Each block is scanned on its own,
-the blocks of a group are chained through one summary row per block, and the two parts are
-combined. The result equals the plain window; the largest unit of work is one block.
+A window partitioned by one chat or one user puts that whole group into one task. Here groups
+are cut into blocks that follow the sort order, by a number in the order itself or, where it has
+none, by range partitioning. Each block is scanned on its own, the blocks of a group are chained through one
+summary row per block, and the two parts are combined. The result equals the plain window; the
+largest unit of work is one block. All groups are treated alike, whatever their size.
 """
 
 from __future__ import annotations
@@ -14,10 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Most groups that are ever cut.
-MAX_HEAVY = 1000
-# Below this size a group is never worth cutting.
-HEAVY_ROWS = 100_000
+from chatlens.plans.lineage import materialize, scratch_path
 
 # kind -> (aggregate of rows, aggregate of block summaries, how two parts combine)
 _KINDS = {
@@ -28,59 +26,23 @@ _KINDS = {
 }
 
 
-def user_block(name: str = "user_id") -> Column:
-    """Up to 4096 blocks of UUID texts, in text order."""
-    return F.substring(F.coalesce(name, F.lit("")), 1, 3)
-
-
-def chat_block(name: str = "chat_id") -> Column:
-    """The same for chat ids, a fixed word of six characters before a UUID."""
-    return F.substring(F.coalesce(name, F.lit("")), 1, 9)
-
-
 def _all_equal(left: Sequence[str], right: Sequence[str]) -> Column:
     pairs = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)]
     return reduce(lambda one, other: one & other, pairs)
 
 
-def heavy_groups(df: DataFrame, group: Sequence[str], min_rows: int = HEAVY_ROWS) -> DataFrame:
-    """The largest groups and their ``_rows``, at most MAX_HEAVY of them.
-
-    Fewer than MAX_HEAVY groups can hold more than 1/MAX_HEAVY of the rows each, so every
-    group beyond that share is here; the others fit a task's fair share.
-    """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > F.lit(min_rows))
-    return sizes.orderBy(F.desc("_rows"), *group).limit(MAX_HEAVY)
-
-
-def block_heavy_groups(
-    df: DataFrame,
-    group: Sequence[str],
-    block: Mapping[str, Column],
-    min_rows: int = HEAVY_ROWS,
-    sizes_from: DataFrame | None = None,
-    size_as: str | None = None,
-) -> DataFrame:
-    """Add ``_cut``, true in heavy groups, and there the ``block`` columns; all are null in
-    groups that are small enough for one task.
+def ranged(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], pieces: int | None = None) -> DataFrame:
+    """``df`` as a table with ``_block``, the piece of a range partitioning by group and order.
 
-    ``sizes_from`` is a frame with the same groups that is cheaper to count than ``df``;
-    ``size_as`` names a column for the size of a heavy group.
+    Bounds come from the data, so a large group is spread over many pieces whatever its keys look
+    like, and a piece holds a bounded share of the rows. ``pieces`` is the number of pieces, by default
+    what adaptive execution makes of the shuffle. The table is written once to the shared folder, so
+    everything that reads it sees the same blocks.
     """
-    renamed = [f"_heavy_{name}" for name in group]
-    heavy = heavy_groups(sizes_from if sizes_from is not None else df, group, min_rows).select(
-        *[F.col(name).alias(new) for name, new in zip(group, renamed, strict=True)],
-        F.col("_rows").alias("_heavy_rows"),
-        F.lit(True).alias("_heavy"),
-    )
-    # At most MAX_HEAVY rows whatever the input, see heavy_groups.
-    marked = df.join(F.broadcast(heavy), _all_equal(group, renamed), "left")
-    return marked.select(
-        *[F.col(name) for name in df.columns],
-        F.col("_heavy").alias("_cut"),
-        *([F.col("_heavy_rows").alias(size_as)] if size_as else []),
-        *[F.when(F.col("_heavy"), expr).alias(name) for name, expr in block.items()],
-    )
+    keys = [*group, *order]
+    dealt = df.repartitionByRange(pieces, *keys) if pieces else df.repartitionByRange(*keys)
+    blocked = dealt.withColumn("_block", F.spark_partition_id().cast("long"))
+    return materialize(blocked, scratch_path(df.sparkSession, "ranged"))
 
 
 def _carried(
@@ -128,8 +90,8 @@ def with_running(
     """Add, per row, aggregates over the row and all rows of its group before it.
 
     ``levels`` name the block columns, coarse to fine; they follow the order, so a smaller
-    block holds only earlier rows, and have no nulls. Where ``block_heavy_groups`` has set them, only the groups
-    it marked have blocks to chain. Blocks of a level are chained inside a block of the level above. ``order`` sorts inside the finest block.
+    block holds only earlier rows, and have no nulls. Blocks of a level are chained inside a block of
+    the level above. ``order`` sorts inside the finest block.
     ``aggs`` maps a new column to (kind, input column) with kind one of count, sum, max, min.
     ``descending`` reverses the blocks (the caller gives ``order`` in the wanted direction).
     """
@@ -142,11 +104,9 @@ def with_running(
             for name, (kind, column) in aggs.items()
         ],
     )
-    # What a block inherits enters as one more row at its head, so rows are shuffled only once.
-    # The mark comes from the heavy side of a join alone, so without heavy groups nothing of
-    # this branch is run.
-    chained = df.filter(F.col("_cut")) if "_cut" in df.columns else df
-    heads = _carried(chained, group, levels, aggs, descending).select(
+    # What a block inherits enters as one more row at its head, so rows are shuffled only once. The
+    # first block of a group inherits nothing.
+    heads = _carried(df, group, levels, aggs, descending).select(
         *keys, F.lit(0).alias("_turn"), *[F.col(f"_carried_{name}").alias(f"_fed_{name}") for name in aggs]
     )
     heads = heads.filter(F.coalesce(*[F.col(f"_fed_{name}").cast("string") for name in aggs]).isNotNull())
@@ -160,16 +120,8 @@ def with_running(
 
 
 def numbered(
-    df: DataFrame,
-    group: Sequence[str],
-    levels: Sequence[Mapping[str, Column]],
-    order: Sequence[Column | str],
-    name: str,
-    min_rows: int = HEAVY_ROWS,
-    sizes_from: DataFrame | None = None,
+    df: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str, pieces: int | None = None
 ) -> DataFrame:
-    """Add the 1-based position of each row in its group; only heavy groups are cut."""
-    block = {column: expr for level in levels for column, expr in level.items()}
-    cut = block_heavy_groups(df.withColumn("_one", F.lit(1)), group, block, min_rows, sizes_from)
-    ranked = with_running(cut, group, [list(level) for level in levels], order, {name: ("count", "_one")})
-    return ranked.drop("_one", "_cut", *block)
+    """Add the 1-based position of each row in its group. ``order`` leaves no ties."""
+    blocked = ranged(df, group, order, pieces).withColumn("_one", F.lit(1))
+    return with_running(blocked, group, [["_block"]], order, {name: ("count", "_one")}).drop("_one", "_block")

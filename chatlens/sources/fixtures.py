@@ -6,10 +6,9 @@ definitions as SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatlens.plans import numbered
 from chatlens.sources.tables import parquet_table
 
 OFFSETS = ["users_offset_0", "users_offset_1", "users_offset_2"]
@@ -126,6 +125,26 @@ def settings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def profile_users(spark: SparkSession, sf: str) -> DataFrame:
+    """The users, and every customer as a user without chats."""
+    customers = table(spark, sf, "customer").select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("user_id"),
+        (F.col("c_custkey") + 1_000_000).alias("user_num_id"),
+        F.col("c_name").alias("login"),
+    )
+    return users(spark, sf).unionByName(customers)
+
+
+def profile_settings(spark: SparkSession, sf: str) -> DataFrame:
+    customers = table(spark, sf, "customer").select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("user_id"),
+        F.lit(0).cast("long").alias("joining_offset"),
+        F.lit(900_000).cast("long").alias("session_duration"),
+        F.lit("UTC").alias("zone_id"),
+    )
+    return settings(spark, sf).unionByName(customers)
+
+
 def users_chats(spark: SparkSession, sf: str) -> DataFrame:
     """One membership per order and supplier; a position counts the supplier's own lines."""
     lines = table(spark, sf, "lineitem")
@@ -160,17 +179,13 @@ def message_log(spark: SparkSession, sf: str) -> DataFrame:
         "l_extendedprice",
         "l_shipdate",
     )
-    placed = numbered(
-        lines,
-        ["l_orderkey", "partition"],
-        [{"_line": F.col("l_linenumber"), "_supp": F.col("l_suppkey")}],
-        ["l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice"],
-        "_position",
-    )
+    # An order has a handful of lines at any scale, so one window row number is enough.
+    order = Window.partitionBy("l_orderkey", "partition").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
+    placed = lines.withColumn("_position", F.row_number().over(order))
     return placed.select(
         _chat("l_orderkey").alias("chat_id"),
         "partition",
-        (F.col("_position") - 1).alias("offset"),
+        (F.col("_position") - 1).cast("long").alias("offset"),
         F.col("l_shipdate").alias("server_time"),
         F.col("l_suppkey").cast("string").alias("author_id"),
         F.col("l_partkey").cast("string").alias("content"),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chatlens.plans.blocked import block_heavy_groups, numbered, with_running
+from chatlens.plans import numbered, ranged, with_running
 
 
 @pytest.fixture(scope="module")
@@ -34,17 +34,24 @@ def plain(rows):
 AGGS = {"n": ("count", "v"), "s": ("sum", "v"), "hi": ("max", "v"), "lo": ("min", "v")}
 
 
-@pytest.mark.parametrize("min_rows", [0, 110, 10**6])
-def test_running_totals_equal_a_plain_window(rows, min_rows):
-    cut = block_heavy_groups(rows, ["g"], {"b": F.floor(F.col("at") / 7)}, min_rows)
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_running_totals_equal_a_plain_window(rows, width):
+    cut = rows.withColumn("b", F.floor(F.col("at") / width))
     got = with_running(cut, ["g"], [["b"]], ["at", "id"], AGGS)
     assert {row.id: (row.n, row.s, row.hi, row.lo) for row in got.collect()} == plain(rows)
 
 
+@pytest.mark.parametrize("pieces", [1, 30, None])
+def test_running_totals_over_ranges(rows, pieces):
+    got = with_running(ranged(rows, ["g"], ["at", "id"], pieces), ["g"], [["_block"]], ["at", "id"], AGGS)
+    assert {row.id: (row.n, row.s, row.hi, row.lo) for row in got.collect()} == plain(rows)
+
+
 def test_two_levels_of_blocks(rows):
-    cut = block_heavy_groups(rows, ["g"], {"b": F.floor(F.col("at") / 7), "c": F.col("at")}, 0)
+    cut = rows.withColumn("b", F.floor(F.col("at") / 7)).withColumn("c", F.col("at"))
     got = with_running(cut, ["g"], [["b"], ["c"]], ["at", "id"], AGGS)
-    assert {row.id: (row.n, row.s, row.hi, row.lo) for row in got.collect()} == plain(rows)
+    assert {row.id: (row.n, row.s, row.hi, row.lo) for row in got.collect() if row.g is not None} == {
+        row.id: plain(rows)[row.id] for row in rows.collect() if row.g is not None}
 
 
 def test_the_whole_input_as_one_group(rows):
@@ -59,12 +66,16 @@ def test_the_whole_input_as_one_group(rows):
 
 
 def test_positions_downwards(rows):
-    got = numbered(rows, ["g"], [{"b": -F.floor(F.col("at") / 7)}], [F.desc("at"), "id"], "place", min_rows=110)
+    got = numbered(rows, ["g"], [F.desc("at"), F.col("id")], "place", pieces=20)
     window = Window.partitionBy("g").orderBy(F.desc("at"), "id")
     want = rows.select("id", F.row_number().over(window).alias("place"))
     assert sorted(map(tuple, got.select("id", "place").collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_only_heavy_groups_are_cut(rows):
-    cut = block_heavy_groups(rows, ["g"], {"b": F.col("at")}, 110)
-    assert {row.g for row in cut.filter("_cut").collect()} == {"hot", None}
+@pytest.mark.parametrize("key", ["concat('chat--0b7e--', lpad(id, 6, '0'))", "cast(id as string)"])
+def test_every_large_group_is_cut_whatever_its_ids_look_like(spark, key):
+    """1,100 groups, and one of them with most rows; ids of direct chats of one user, and plain numbers."""
+    rows = spark.range(1_100).selectExpr("id as g", "'x' as k").unionByName(spark.range(20_000).selectExpr("0L as g", f"{key} as k"))
+    cut = ranged(rows, ["g"], ["k"], 50)
+    sizes = [row["count"] for row in cut.filter("g = 0").groupBy("_block").count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 2_000

@@ -62,29 +62,28 @@ def test_unread_records_across_blocks(world, monkeypatch):
     assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == wanted_unread(log, members)
 
 
-@pytest.mark.parametrize("min_rows", [20, 10**6])
-def test_unread_ranges(world, monkeypatch, min_rows):
+@pytest.mark.parametrize("per_block", [7, None])
+def test_unread_ranges(world, per_block):
     log, members, log_df, members_df = world
-    monkeypatch.setattr(cur, "OFFSETS_PER_BLOCK", 7)
     want = {}
     for user, chat, _, _, _, *ends in members:
         for part in range(3):
             left = [(offset, ms_of(at)) for c, p, offset, at, _ in log if (c, p) == (chat, part) and offset >= ends[part]]
             want[user, chat, part] = (len(left), max((o for o, _ in left), default=None), max((t for _, t in left), default=None))
-    got = cur.unread_ranges(log_df, cur.cursors(members_df, OFFSETS), min_rows).collect()
+    got = cur.unread_ranges(log_df, cur.cursors(members_df, OFFSETS), per_block).collect()
     assert {(r.user_id, r.chat_id, r.partition): (r.unread, r.last_offset, r.newest_ms) for r in got} == want
     assert len(got) == len(want)
 
 
-@pytest.mark.parametrize("min_rows", [3, 10**6])
-def test_chat_list(world, min_rows):
+@pytest.mark.parametrize("pieces", [40, None])
+def test_chat_list(world, pieces):
     log, members, log_df, members_df = world
     per_user = {}
     for user, chat, _, last, _, *ends in members:
         left = [ms_of(at) for c, part, offset, at, _ in log if c == chat and offset >= ends[part]]
         per_user.setdefault(user, []).append((-(max(left) if left else last), chat))
     want = {(user, chat): place for user, chats in per_user.items() for place, (_, chat) in enumerate(sorted(chats), 1)}
-    got = cur.chat_list_order(log_df, members_df, OFFSETS, min_rows).collect()
+    got = cur.chat_list_order(log_df, members_df, OFFSETS, 7, pieces).collect()
     assert {(r.user_id, r.chat_id): r.position for r in got} == want
 
 

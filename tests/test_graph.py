@@ -44,23 +44,21 @@ def world():
     return ids, chats, edges
 
 
-@pytest.mark.parametrize("min_rows", [10, 10**6])
-def test_edges_in_factored_form(spark, world, monkeypatch, min_rows):
-    monkeypatch.setattr(graph, "IDS_PER_BLOCK", 4)
+@pytest.mark.parametrize("pieces", [12, None])
+def test_edges_in_factored_form(spark, world, pieces):
     ids, chats, edges = world
-    got = graph.co_membership_edges(graph.graph_membership(*frames(spark, ids, chats)), min_rows).collect()
+    got = graph.co_membership_edges(graph.graph_membership(*frames(spark, ids, chats)), pieces).collect()
     for row in got:
         members = chats[row.chat_id]
         assert row.out_edges == sum(m > row.id for m in members) and row.in_edges == sum(m < row.id for m in members)
     assert sum(r.out_edges for r in got) == len(edges) and len(got) == sum(map(len, chats.values()))
 
 
-@pytest.mark.parametrize("min_rows", [10, 10**6])
-def test_ranks_equal_a_propagation_over_listed_edges(spark, world, monkeypatch, min_rows):
-    monkeypatch.setattr(graph, "IDS_PER_BLOCK", 4)
+@pytest.mark.parametrize("pieces", [12, None])
+def test_ranks_equal_a_propagation_over_listed_edges(spark, world, pieces):
     ids, chats, edges = world
     forward, backward = propagate(ids, edges), propagate(ids, [(b, a) for a, b in edges])
-    got = graph.page_ranks(*frames(spark, ids, chats), min_rows=min_rows).collect()
+    got = graph.page_ranks(*frames(spark, ids, chats), pieces=pieces).collect()
     assert len(got) == len(ids)
     for row in got:
         assert row.rank_forward == pytest.approx(forward[row.user_num_id], abs=1e-9)

@@ -102,7 +102,7 @@ def test_lateness_equals_a_replay(spark):
     base = int(START.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
     absolute = [(i, space, ms - 10**12 + base) for i, space, ms in records]
     for keys, spaces in ((["space"], absolute), ([], [(i, "", ms) for i, _, ms in absolute])):
-        options = dict(key_space=keys, size_ms=2_000, grace_ms=250, rows_per_block=16, min_rows=50)
+        options = dict(key_space=keys, size_ms=2_000, grace_ms=250, rows_per_block=16, blocks_per_span=5)
         late = windows.late_records(log, "arrival", **options)
         want = replay(spaces, 2_000, 250)
         assert want and {row.arrival for row in late.collect()} == want
