@@ -39,8 +39,8 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = langid.with_pages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages"))
-    return langid.identify(rows)
+    rows = langid.documents_evidence(read(spark, sf_dir, "documents"))
+    return langid.identify(rows, more=langid.pages_evidence(read(spark, sf_dir, "pages")))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

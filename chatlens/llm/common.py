@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -116,18 +116,41 @@ def word_shingles(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     return found
 
 
-def char_shingles(line: str, width: int) -> np.ndarray:
-    """The set of shingles of ``width`` characters, as sorted distinct hashes; a shorter line is one shingle."""
-    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    span = min(width, len(points))
-    if not span:
-        return np.zeros(0, np.uint64)
+def char_hashes(points: np.ndarray, span: int) -> np.ndarray:
+    """Hash of the ``span`` code points from each place on."""
     size = len(points) - span + 1
     factors = mix(np.arange(101, 101 + span, dtype=np.uint64)) | np.uint64(1)
-    value = points[:size] * factors[0]
+    value = points[:size].astype(np.uint64) * factors[0]
     for at in range(1, span):
-        value = value + points[at : at + size] * factors[at]
-    return np.unique(mix(value + np.uint64(span)))
+        value += points[at : at + size].astype(np.uint64) * factors[at]
+    return mix(value + np.uint64(span))
+
+
+def char_shingles(lines: list[str], width: int) -> list[np.ndarray]:
+    """The set of shingles of ``width`` characters of each line, as sorted distinct hashes; a shorter line is one shingle."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    hashes = char_hashes(points, width) if len(points) >= width else np.zeros(0, np.uint64)
+    sets, start = [], 0
+    for line in lines:
+        stop = start + len(line)
+        if stop - start >= width:
+            own = np.sort(hashes[start : stop - width + 1])
+            sets.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        else:
+            sets.append(char_hashes(points[start:stop], stop - start) if stop > start else np.zeros(0, np.uint64))
+        start = stop
+    return sets
+
+
+def shared_count(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int(np.count_nonzero(b[at] == a))
 
 
 def slices(texts: list[bytes], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
@@ -239,8 +262,6 @@ def finite(column: str) -> Column:
     return F.coalesce(value.isNotNull() & ~bad, F.lit(False))
 
 
-SetOf = Callable[[list], list]
-
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     """Rows of an Arrow list column as doubles, shorter lists filled with zeros."""

@@ -104,23 +104,30 @@ def _best(values: list[Column], names: list[str]) -> Column:
     return out
 
 
-def identify(docs: DataFrame, languages=LANGUAGES, least: float = LEAST) -> DataFrame:
+def identify(docs: DataFrame, languages=LANGUAGES, least: float = LEAST, more: DataFrame | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, declared, suffix, host, domain): doc_id, language, text_language,
-    posterior and accepted.
+    posterior and accepted. ``more`` (doc_id, declared, suffix, host, domain), one row per doc_id, goes before the
+    evidence in ``docs``; it is joined when the texts are scored, so no text is shuffled for it.
 
     Null evidence says nothing. ``other`` stands for a text in no listed language; it, a text without any
     letter (null, empty, signs only), and a posterior below ``least`` are not accepted.
     """
     classes = [*languages, OTHER]
-    declared = F.lower(F.regexp_extract(F.coalesce(F.col("declared").cast("string"), F.lit("")), "^([A-Za-z]{2,3})(?:[-_]|$)", 1))
+    subtag = F.lower(F.regexp_extract(F.coalesce(F.col("declared").cast("string"), F.lit("")), "^([A-Za-z]{2,3})(?:[-_]|$)", 1))
+    declared = F.nullif(subtag, F.lit(""))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.nullif(declared, F.lit("")).alias("declared"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), declared.alias("declared"),
         F.col("suffix").cast("string").alias("suffix"), F.col("host").cast("string").alias("host"), F.col("domain").cast("string").alias("domain"),
     )
     scored = text_evidence(rows, trigram_counts(rows, languages))
     texts = [F.col(f"t{at}") for at in range(len(classes))]
     scored = scored.withColumn("text_language", F.when(F.col("lettered"), _best(texts, classes)))
     scored = table(scored.withColumn("scores", F.array(*texts)).drop(*[f"t{at}" for at in range(len(classes))]), "evidence")
+    if more is not None:
+        names = ["declared", "suffix", "host", "domain"]
+        found = more.withColumn("declared", declared).select(F.col("doc_id").alias("_doc"), *[F.col(name).alias(f"_{name}") for name in names])
+        both = scored.join(found, F.col("doc_id") == F.col("_doc"), "left")
+        scored = table(both.withColumns({name: F.coalesce(f"_{name}", name) for name in names}).drop("_doc", *[f"_{name}" for name in names]), "joined")
 
     def counts(key: str) -> DataFrame:
         """How often each class, by its text, goes with each value of ``key``."""
@@ -168,19 +175,16 @@ def documents_evidence(docs: DataFrame) -> DataFrame:
                        F.col("source").alias("host"), F.lit(None).cast("string").alias("domain"))
 
 
-def with_pages(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """The evidence of `documents` and of the page that shows a document, named by the number in its address."""
+def pages_evidence(pages: DataFrame) -> DataFrame:
+    """Per document the evidence of the pages that show it; a page names its document by the number in its address."""
     host = F.regexp_extract(F.col("url"), "://([^/?#:]*)", 1)
     found = pages.select(
-        F.nullif(F.regexp_extract("url", r"/(\d{1,18})(?:[/.?#]|$)", 1), F.lit("")).cast("long").alias("_doc"),
-        F.nullif(host, F.lit("")).alias("page_host"),
-        F.nullif(F.lower(F.regexp_extract("html", r'(?i)<html[^>]{0,200}?\slang="?([a-z]{2,3})', 1)), F.lit("")).alias("page_lang"),
-    ).filter("_doc is not null").groupBy("_doc").agg(F.min("page_host").alias("page_host"), F.min("page_lang").alias("page_lang"))
-    joined = docs.join(found, F.col("doc_id") == F.col("_doc"), "left")
-    return joined.select(
-        "doc_id", "text", F.coalesce("page_lang", "lang").alias("declared"), F.substring_index("page_host", ".", -1).alias("suffix"),
-        F.coalesce("page_host", "source").alias("host"), F.substring_index("page_host", ".", -2).alias("domain"),
-    )
+        F.nullif(F.regexp_extract("url", r"/(\d{1,18})(?:[/.?#]|$)", 1), F.lit("")).cast("long").alias("doc_id"),
+        F.nullif(host, F.lit("")).alias("host"),
+        F.nullif(F.regexp_extract("html", r'(?i)<html[^>]{0,200}?\slang="?([a-z]{2,3})', 1), F.lit("")).alias("declared"),
+    ).filter("doc_id is not null").groupBy("doc_id").agg(F.min("host").alias("host"), F.min("declared").alias("declared"))
+    return found.select("doc_id", "declared", F.substring_index("host", ".", -1).alias("suffix"), "host",
+                        F.substring_index("host", ".", -2).alias("domain"))
 
 
 def keep_identified(docs: DataFrame, languages=LANGUAGES, least: float = LEAST) -> DataFrame:

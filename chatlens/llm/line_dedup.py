@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.llm.common import char_shingles, lists, mix, slices, table
+from chatlens.llm.common import char_hashes, char_shingles, lists, mix, slices, table
 from chatlens.llm.setjoin import join_buckets
 
 # Characters of a shingle, similarity in percent, bands of the signature and values in each. A pair
@@ -46,15 +46,10 @@ def signatures(lines: list[str], width: int = WIDTH, bands: int = BANDS, rows: i
     count = np.array([len(line) for line in lines], np.int64)
     starts = np.concatenate([[0], np.cumsum(count + 1)[:-1]])
     least = np.full(len(lines) * slots, np.iinfo(np.uint64).max, np.uint64)
-    factors = mix(np.arange(101, 101 + width, dtype=np.uint64)) | np.uint64(1)
     step = 1 << 17
     for low in range(0, len(points) - width + 1, step):
-        part = points[low : low + step + width - 1].astype(np.uint64)
-        size = len(part) - width + 1
-        value = part[:size] * factors[0]
-        for at in range(1, width):
-            value += part[at : at + size] * factors[at]
-        value = mix(value)
+        value = char_hashes(points[low : low + step + width - 1], width)
+        size = len(value)
         place = np.arange(low, low + size)
         owner = np.searchsorted(starts, place, side="right") - 1
         inside = place + width <= starts[owner] + count[owner]
@@ -150,7 +145,7 @@ def line_classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, ba
     buckets = banded.join(crowded, "bucket", "left_semi").select("bucket", "node", "n").distinct()
 
     def sets_of(texts: list) -> list:
-        return [char_shingles(text, width) for text in texts]
+        return char_shingles(texts, width)
 
     near = join_buckets(buckets, _texts_of(docs), sets_of, percent)
     place = (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(38,0)")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.llm.common import components, runs, table
+from chatlens.llm.common import components, runs, shared_count, table
 
 Sets = Callable[[list], list]
 # Elements of the sets of one side of an opened unit.
@@ -83,7 +83,7 @@ def star_links(pairs: DataFrame, texts: DataFrame, sets_of: Sets, percent: int)
                 for own, head in zip(mine, heads[low : low + 256], strict=True):
                     if head != held:
                         held, held_set = head, sets_of([head])[0]
-                    common = len(np.intersect1d(own, held_set, assume_unique=True))
+                    common = shared_count(own, held_set)
                     keep.append(common > 0 and bool(similar(common, len(own), len(held_set), percent)))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -119,8 +119,8 @@ def opened_links(rows: DataFrame, texts: DataFrame, sets_of: Sets, percent: int,
             nodes = unit.column("node").to_pylist()
             marks = unit.column("left").to_pylist()
             seen: dict = {}
-            for at, node in enumerate(nodes):
-                seen.setdefault((node, unit.column("text")[at].as_py()), []).append(at)
+            for at, key in enumerate(zip(nodes, unit.column("text").to_pylist(), strict=True)):
+                seen.setdefault(key, []).append(at)
             keys = list(seen)
             sets = sets_of([text for _, text in keys])
             marked = np.array([any(marks[at] for at in places) for places in seen.values()], bool)
