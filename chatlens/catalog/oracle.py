@@ -188,6 +188,17 @@ _BODIES: dict[str, str] = {
     "avg_words_1m_per_user": _words("document_messages", "user_id", windowed=True),
     "avg_words_1m_per_zone": _words("document_messages", "zone_id", windowed=True),
     "avg_words_1m_per_chat": _words("word_messages", "chat_id", windowed=True),
+    "words_all_keys": " UNION ALL ".join(
+        f"""SELECT window_start, window_end, '{name}' AS metric, CAST({key} AS VARCHAR) AS key, words, messages, avg_words
+        FROM ({_words("document_messages", key, windowed=True)}) AS {name}_words"""
+        for name, key in (("user", "user_id"), ("zone", "zone_id"), ("chat", "chat_id"))
+    ),
+    "delays_all_keys": " UNION ALL ".join(
+        f"""SELECT window_start, {_SLIDE_END}, '{name}' AS metric, {key} AS key, {_AVERAGE}, count(*) AS messages
+        FROM sliding GROUP BY window_start, {group}"""
+        for name, key, group in (
+            ("all", "CAST(NULL AS VARCHAR)", "1 + 0"), ("user", "CAST(user_id AS VARCHAR)", "user_id"), ("zone", "zone_id", "zone_id"))
+    ).replace(", 1 + 0", ""),
     "msg_count_total": _count("word_messages", 2),
     "msg_count_by_zone": _count("word_messages", 1, "zone_id"),
     "msg_count_by_user": _count("delay_messages", 2, "user_id"),
@@ -257,7 +268,10 @@ _BODIES: dict[str, str] = {
     # scalar functions
     "word_count": f"SELECT doc_id, {words('text')} AS words FROM documents",
     "local_time": """SELECT arrival, strftime(make_timestamp(epoch_us(server_time)) AT TIME ZONE 'UTC' AT TIME ZONE zone_id,
-        '%A, %d/%m/%Y, %H:%M:%S') AS local_time FROM delay_messages""",
+        '%A, %d/%m/%Y, %H:%M:%S') || ' GMT' || CASE WHEN minutes < 0 THEN '-' ELSE '+' END
+        || lpad(CAST(abs(minutes) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs(minutes) % 60 AS VARCHAR), 2, '0') AS local_time
+        FROM (SELECT *, (epoch_us(make_timestamp(epoch_us(server_time)) AT TIME ZONE 'UTC' AT TIME ZONE zone_id)
+                         - epoch_us(server_time)) // 60000000 AS minutes FROM delay_messages) AS zoned /* FROM delay_messages */""",
     "parse_session_token": """SELECT
             CASE shape WHEN 0 THEN sid || '__' || uid || '__' || validity_time WHEN 1 THEN sid || '__' || uid
               WHEN 2 THEN sid || '__' || plain || '__' || validity_time WHEN 3 THEN sid || '__' || uid || '__' || validity_time || 'x'

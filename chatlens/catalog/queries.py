@@ -56,8 +56,7 @@ def _as_text(df: DataFrame, *columns: str) -> DataFrame:
 
 @query
 def src_chat_log(spark, sf):
-    chat_records = fx.envelopes(spark, sf).filter(fn.is_chat_topic("topic"))
-    return chat_records.select("topic", "partition", "offset", "timestamp")
+    return log.chat_records(fx.envelopes(spark, sf)).select("topic", "partition", "offset", "timestamp")
 
 
 @query
@@ -447,6 +446,18 @@ def avg_words_1m_per_chat(spark, sf):
     return windows.split_window(windows.avg_words_windowed(fx.word_messages(spark, sf), "chat_id"))
 
 
+@query
+def words_all_keys(spark, sf):
+    """Words by user, zone and chat from one scan."""
+    return windows.words_by(fx.document_messages(spark, sf), {"user": "user_id", "zone": "zone_id", "chat": "chat_id"})
+
+
+@query
+def delays_all_keys(spark, sf):
+    """Delays over all, by user and by zone from one scan."""
+    return windows.delays_by(fx.delay_messages(spark, sf), {"all": None, "user": "user_id", "zone": "zone_id"})
+
+
 @query
 def msg_count_total(spark, sf):
     return windows.msg_count(fx.word_messages(spark, sf))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from zoneinfo import available_timezones
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,10 @@ WHOLE_NUMBER = r"[+-]?[0-9]+"
 _MARGIN = "".join(chr(code) for code in range(0x21))
 
 
+# Ids of time zones, without the few entries of the zone database that are no zones.
+KNOWN_ZONES = sorted(name for name in available_timezones() if "/" in name or name in {"UTC", "GMT"})
+
+
 def _full_match(column: Column | str, pattern: str) -> Column:
     return F.col(column).rlike(rf"\A(?:{pattern})\z") if isinstance(column, str) else column.rlike(
         rf"\A(?:{pattern})\z"
@@ -72,10 +77,24 @@ def window_text(ts: Column | str) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 
 
-def local_time_text(epoch_ms: Column | str, zone_id: Column | str) -> Column:
-    """Epoch milliseconds shown on the clock of ``zone_id``."""
+def known_zone(zone_id: Column | str) -> Column:
+    """The zone id, or null where it names no zone; one wrong id must not fail a job."""
     zone = F.col(zone_id) if isinstance(zone_id, str) else zone_id
-    return F.date_format(F.from_utc_timestamp(F.timestamp_millis(epoch_ms), zone), "EEEE, dd/MM/yyyy, HH:mm:ss")
+    return F.when(zone.isin(*KNOWN_ZONES), zone)
+
+
+def local_time_text(epoch_ms: Column | str, zone_id: Column | str) -> Column:
+    """Epoch milliseconds shown on the clock of ``zone_id``, with the offset the zone has at that time.
+
+    Null for an unknown zone. The offset stands for the zone's short name, which differs by locale.
+    """
+    utc = F.timestamp_millis(epoch_ms)
+    local = F.from_utc_timestamp(utc, known_zone(zone_id))
+    minutes = F.floor((F.unix_millis(local) - F.unix_millis(utc)) / 60_000)
+    hours = F.lpad(F.floor(F.abs(minutes) / 60).cast("string"), 2, "0")
+    rest = F.lpad((F.abs(minutes) % 60).cast("string"), 2, "0")
+    sign = F.when(minutes < 0, F.lit(" GMT-")).otherwise(F.lit(" GMT+"))
+    return F.concat(F.date_format(local, "EEEE, dd/MM/yyyy, HH:mm:ss"), sign, hours, F.lit(":"), rest)
 
 
 def offsets_array(columns: Sequence[str]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.functions import instant_text, rounded_ms
-from chatlens.functions.scalars import UUID_TEXT
+from chatlens.functions.scalars import UUID_TEXT, known_zone
 
 
 def log_record(df: DataFrame, *columns: str) -> DataFrame:
@@ -37,3 +37,13 @@ def delay_result(df: DataFrame, group: str | None = None, uuid_group: bool = Fal
 
 def encode_delay(df: DataFrame, group: str | None = None, uuid_group: bool = False) -> DataFrame:
     return log_record(delay_result(df, group, uuid_group))
+
+
+def checked_results(df: DataFrame, group: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose group is well formed, rows to be looked at): no row is lost, and none stops a stream.
+
+    ``kind`` is "uuid" or "zone".
+    """
+    fine = F.col(group).rlike(rf"\A{UUID_TEXT}\z") if kind == "uuid" else known_zone(group).isNotNull()
+    fine = F.coalesce(fine, F.lit(False))
+    return df.filter(fine), df.filter(~fine)

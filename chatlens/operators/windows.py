@@ -85,6 +85,27 @@ def num_messages(messages: DataFrame) -> DataFrame:
     )
 
 
+def delays_by(messages: DataFrame, metrics: Mapping[str, str | None]) -> DataFrame:
+    """Several delay metrics from one read: (window_start, window_end, metric, key, avg_diff_time_ms, messages).
+
+    ``metrics`` maps a metric's name to its key column, or to None for one over all messages. Rows
+    multiply by the number of metrics before the partial aggregate, so little of that is shuffled.
+    """
+    keyed = with_delay(messages, *{name for name in metrics.values() if name})
+    aggs = {"avg_diff_time_ms": F.avg("diff_time_ms"), "messages": F.count(F.lit(1))}
+    spread = _per_metric(keyed, metrics)
+    return split_window(windowed(spread, DELAY_SIZE, aggs, ["metric", "key"], DELAY_SLIDE, DELAY_WATERMARK))
+
+
+def _per_metric(df: DataFrame, metrics: Mapping[str, str | None]) -> DataFrame:
+    """Each row once per metric, with the metric's name and its key as text."""
+    pairs = [
+        F.struct(F.lit(name).alias("metric"), (F.col(key) if key else F.lit(None)).cast("string").alias("key"))
+        for name, key in metrics.items()
+    ]
+    return df.select("*", F.inline(F.array(*pairs)))
+
+
 # --- words per message ----------------------------------------------------------------
 
 
@@ -110,6 +131,17 @@ def avg_words_windowed(
     )
 
 
+def words_by(messages: DataFrame, metrics: Mapping[str, str], size: str = WORDS_SIZE, grace: str = WORDS_GRACE) -> DataFrame:
+    """Words per message for several keys from one read: window bounds, metric, key and the averages.
+
+    ``metrics`` maps a metric's name to its key column. Takes a stream as well, so one query feeds all sinks.
+    """
+    counted = messages.select(*dict.fromkeys(metrics.values()), "server_time", count_words("content").alias("_words"))
+    spread = _per_metric(counted, metrics)
+    totals = windowed(spread, size, _word_aggs(), ["metric", "key"], grace=grace)
+    return split_window(totals.withColumn("avg_words", average_text("words", "messages")))
+
+
 def keyed_result(df: DataFrame, key: str, value: str) -> DataFrame:
     """A windowed result as a text pair: ``{window start}___{key}`` and the value."""
     return df.select(

@@ -22,7 +22,12 @@ def chat_log_files(spark: SparkSession, path: str, streaming: bool = True, files
     reader = (spark.readStream if streaming else spark.read).schema(ENVELOPE)
     if streaming and files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path).filter(is_chat_topic("topic"))
+    return chat_records(reader.parquet(path))
+
+
+def chat_records(envelopes: DataFrame) -> DataFrame:
+    """The envelopes of chat topics."""
+    return envelopes.filter(is_chat_topic("topic"))
 
 
 def _parsed(envelopes: DataFrame) -> DataFrame:

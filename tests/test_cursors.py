@@ -112,6 +112,15 @@ def test_next_offsets_never_go_back(spark):
     assert {(r.partition, r.offset) for r in cur.next_offsets(log, positions).collect()} == {(0, 5), (1, 9), (2, 7)}
 
 
+def test_updates_with_repeated_and_null_partitions(spark):
+    members = spark.createDataFrame([("u", "c", 1, 0, 0)], "user_id string, chat_id string, message_time long, users_offset_0 long, users_offset_1 long")
+    updates = spark.createDataFrame(
+        [("u", "c", 9, [(0, 3), (0, 5), (None, 2)], 1)],
+        "user_id string, chat_id string, last_message_time long, partition_offsets array<struct<partition int, offset long>>, arrival long",
+    )
+    assert tuple(cur.apply_offset_updates(members, updates, OFFSETS[:2]).first()) == ("u", "c", 9, 6, 0)
+
+
 def test_offset_updates_equal_a_replay(spark):
     rng = random.Random(5)
     members = [(f"u{i}", "c", i, rng.randrange(5), rng.randrange(5)) for i in range(20)]

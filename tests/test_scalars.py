@@ -114,7 +114,24 @@ def test_instants_windows_and_local_clocks(spark):
         )
         .first()
     )
-    assert tuple(row) == ("2024-03-31T01:00:00Z", "2024-03-31 01:00:00", "Sunday, 31/03/2024, 03:00:00")
+    assert tuple(row) == ("2024-03-31T01:00:00Z", "2024-03-31 01:00:00", "Sunday, 31/03/2024, 03:00:00 GMT+02:00")
+
+
+def test_clocks_of_unknown_and_western_zones(spark):
+    rows = spark.createDataFrame([(0, "Nowhere/Land"), (0, None), (0, "America/St_Johns")], "ms long, zone string")
+    got = [row[0] for row in rows.select(fn.local_time_text("ms", "zone")).collect()]
+    assert got == [None, None, "Wednesday, 31/12/1969, 20:30:00 GMT-03:30"]
+
+
+def test_null_text_has_no_words_in_either_mode(spark):
+    rows = spark.createDataFrame([(None,), ("",), ("a  b",)], "t string")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for mode in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", mode)
+            assert [row[0] for row in rows.select(fn.count_words("t")).collect()] == [None, 1, 3]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
 
 
 def test_offsets_round_trip(spark):

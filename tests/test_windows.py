@@ -110,6 +110,14 @@ def test_lateness_equals_a_replay(spark):
         assert kept.columns == log.columns and kept.count() == 500 - len(want)
 
 
+def test_rows_with_a_wrong_group_are_set_apart(spark):
+    rows = spark.createDataFrame([("Europe/Paris",), ("Mars/Base",), (None,)], "zone_id string")
+    fine, wrong = encode.checked_results(rows, "zone_id", "zone")
+    assert [r.zone_id for r in fine.collect()] == ["Europe/Paris"] and wrong.count() == 2
+    ids = spark.createDataFrame([("541e7401-957f-4d2c-a4b0-2d0b1f1f1f1f",), ("7",)], "user_id string")
+    assert [part.count() for part in encode.checked_results(ids, "user_id", "uuid")] == [1, 1]
+
+
 def test_result_records(spark):
     log = messages(spark, [(0, "1", PARIS, "", False, "", 2), (1, "1", PARIS, "", False, "", 3)])
     delays = windows.avg_delay_by_zone(log).filter(F.col("window_start") == F.lit(START))
