@@ -29,6 +29,22 @@ def table(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, scratch_path(df.sparkSession, f"llm-{label}"))
 
 
+class Scratch:
+    """Tables of one operator that nobody reads once its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        self.paths.append(scratch_path(self.spark, f"llm-{label}"))
+        return materialize(df, self.paths[-1])
+
+    def clear(self) -> None:
+        for path in self.paths:
+            discard(self.spark, path)
+        self.paths = []
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit values that spreads every bit over all others."""
     x = x ^ (x >> np.uint64(30))

@@ -59,13 +59,13 @@ def training_position(demand: Column, target: Column, slope: Column) -> Column:
 
 
 def mixed(docs: DataFrame, run: int = RUN, **options) -> DataFrame:
-    """``docs`` with _mix_size, _mix_source_size, _mix_target, _mix_taken and _mix_ahead, the words of the source before the document.
+    """``docs`` with _mix_source_size, _mix_target, _mix_slope, _mix_taken and _mix_ahead, the words of the source before the document.
 
-    ``docs`` has doc_id, text and source; null is a source of its own. The order within a source is
+    ``docs`` has doc_id, source and _mix_size, its words; a null source is one of its own. The order within a source is
     that of md5(doc_id), then doc_id; rows with the same doc_id lie in the order of size. The document at the
     target's end is taken in part, so a source gives its target to the word, rounded down.
     """
-    rows = docs.withColumn("_mix_size", word_count(F.col("text").cast("string")))
+    rows = docs
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = rows.withColumn("_mix_key", digest)
     per_source = rows.groupBy("source").agg(F.sum("_mix_size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
@@ -86,14 +86,15 @@ def mixed(docs: DataFrame, run: int = RUN, **options) -> DataFrame:
     goal = F.floor("_mix_target")
     copies = range(options.get("repeats", REPEATS))
     taken = sum([F.greatest(F.lit(0), F.least(F.col("_mix_size"), goal - (ahead + F.col("_mix_source_size") * at))) for at in copies], F.lit(0))
-    return rows.select(*docs.columns, "_mix_size", "_mix_source_size", "_mix_target", "_mix_slope",
+    return rows.select(*docs.columns, "_mix_source_size", "_mix_target", "_mix_slope",
                        taken.cast("long").alias("_mix_taken"), ahead.cast("long").alias("_mix_ahead"))
 
 
 def curriculum(docs: DataFrame, run: int = RUN, **options) -> DataFrame:
     """Per row of ``docs``: doc_id, size, source_size, target, taken and position (of its first copy,
     null where nothing is taken), in the order of position. Every row counts; a text without words has size 0."""
-    rows = mixed(docs.select("doc_id", "text", "source"), run, **options)
+    size = word_count(F.col("text").cast("string")).alias("_mix_size")
+    rows = mixed(docs.select("doc_id", "source", size), run, **options)
     position = F.when(F.col("_mix_taken") > 0, training_position(F.col("_mix_ahead"), F.col("_mix_target"), F.col("_mix_slope")))
     out = rows.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"),
@@ -107,14 +108,28 @@ def mixed_documents(docs: DataFrame, run: int = RUN, **options) -> DataFrame:
 
     A copy taken in part keeps its first words. Documents without words cost nothing and stay once.
     """
-    rows = mixed(docs, run, **options)
+    # The mix is worked out on short rows; texts are shuffled to meet it and to be sorted, no more.
+    mark = F.xxhash64("text")
+    size = word_count(F.col("text").cast("string")).alias("_mix_size")
+    short = table(docs.select("doc_id", "source", size, mark.alias("_mix_mark")), "sizes")
+    rows = mixed(short, run, **options)
+    same = Window.partitionBy("doc_id", "_mix_mark", "source").orderBy("_mix_ahead")
+    plan = rows.withColumn("_mix_nth", F.row_number().over(same)).select(
+        F.col("doc_id").alias("_mix_doc"), F.col("source").alias("_mix_from"), "_mix_mark", "_mix_nth", "_mix_size", "_mix_source_size",
+        "_mix_target", "_mix_slope", "_mix_ahead")
+    equal = Window.partitionBy("doc_id", "_mix_mark", "source").orderBy("_mix_mark")
+    rows = docs.withColumn("_mix_mark", mark).withColumn("_mix_nth", F.row_number().over(equal))
+    on = F.col("doc_id").eqNullSafe(F.col("_mix_doc")) & F.col("source").eqNullSafe(F.col("_mix_from"))
+    on = on & (rows["_mix_mark"] == plan["_mix_mark"]) & (rows["_mix_nth"] == plan["_mix_nth"])
+    rows = rows.join(plan, on).drop(plan["_mix_mark"]).drop(plan["_mix_nth"])
     repeats = options.get("repeats", REPEATS)
     copies = F.when(F.col("_mix_size") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(repeats - 1)))
     rows = rows.withColumn("_mix_copy", F.explode(copies))
     demand = F.col("_mix_ahead") + F.col("_mix_source_size") * F.col("_mix_copy")
     words = F.least(F.col("_mix_size"), F.floor("_mix_target") - demand)
     rows = rows.withColumn("_mix_words", words).filter((F.col("_mix_words") > 0) | (F.col("_mix_size") == 0))
-    rows = rows.withColumn("_mix_position", F.coalesce(training_position(demand, F.greatest("_mix_target", F.lit(1.0)), F.col("_mix_slope")), F.lit(0.0)))
+    position = training_position(demand, F.greatest("_mix_target", F.lit(1.0)), F.col("_mix_slope"))
+    rows = rows.withColumn("_mix_position", F.coalesce(position, F.lit(0.0)))
     pieces = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*" + WORD + ")"), F.lit(1))
     cut = F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col("_mix_words"), F.lit(1)).cast("int")), "")
     text = F.when(F.col("_mix_words") < F.col("_mix_size"), cut).otherwise(F.col("text"))

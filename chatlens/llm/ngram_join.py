@@ -5,7 +5,8 @@ about the same size. Each group stores the union of its members' leading element
 as rows of element and group). The overlap of two groups in that matrix bounds the overlap of
 any two of their members, and only pairs of groups that can qualify are opened and verified.
 
-Order of elements: those frequent in the corpus last, otherwise by hash. Two sets with
+Order of elements: a third of them is counted over all rows; first the counted ones that are rare, then the
+uncounted ones, then the frequent ones, each by hash. Two sets with
 similarity t share one of their first n - ceil(t n) + 1 elements in any common order, so only these
 leading elements enter the matrix and nothing is lost.
 """
@@ -17,14 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlens.llm.common import components, keep_marked, lists, mix, slices, table, word_shingles
+from chatlens.llm.common import Scratch, components, keep_marked, lists, mix, slices, table, word_shingles
 from chatlens.llm.setjoin import opened_links, star_links
 from chatlens.plans.lineage import discard, materialize, scratch_path
 
 PERCENT = 75
 WIDTH = 5
-# Elements in at least this share of all set entries count as frequent: at most 1/SHARE of them.
+# Elements with a hash below this are counted: a third of them, more than the leading elements of a set.
+COUNTED = np.uint64((1 << 64) // 3)
+# An element in so many rows is frequent.
+OFTEN = 24
+# An element that is not counted is frequent with this share of all set entries.
 SHARE = 4e-6
+# Bits of the bitmap of frequent elements (2 MB).
+BITS = 24
 # Ratio of sizes inside a group.
 STEP = 1.08
 
@@ -40,48 +47,67 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [b"" if text is None else text for text in column.cast(pa.binary()).to_pylist()]
 
 
-def frequent_elements(docs: DataFrame, width: int = WIDTH, share: float = SHARE) -> np.ndarray:
-    """Elements (sorted) in at least ``share`` of all entries of all sets, 1 / share of them at most.
+def frequent_elements(docs: DataFrame, width: int = WIDTH, often: int = OFTEN, share: float = SHARE) -> np.ndarray:
+    """A bitmap of the frequent elements.
 
-    Each slice of texts reports what is frequent in it, and the reports are added up. An element that
-    is missed only makes the join slower, never wrong.
+    Elements with a hash below COUNTED are counted over all rows and marked from ``often`` rows on. Of the
+    others, those are marked that have ``share`` of all entries, by adding up what is frequent in
+    slices of the rows. The bitmap has a fixed size, so an element may be marked by chance; the order stays the
+    same for all sets, and only the order depends on it.
     """
 
-    def count(batches):
+    def emit(batches):
         held, size = [], 0
 
+        def rows(tokens: np.ndarray, times: np.ndarray | None, kind: int):
+            times = np.ones(len(tokens), np.int64) if times is None else times
+            kinds = pa.array(np.full(len(tokens), kind, np.int8))
+            return pa.RecordBatch.from_arrays([kinds, pa.array(tokens.view(np.int64)), pa.array(times)], ["kind", "token", "n"])
+
         def report():
             values, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times >= max(4, share * size)
-            rows = {"token": [None, *values[often].view(np.int64).tolist()], "n": [size, *times[often].tolist()]}
-            return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("token", pa.int64()), ("n", pa.int64())]))
+            local = times >= max(4, share * size)
+            yield rows(values[local], times[local], 1)
+            yield rows(np.zeros(1, np.uint64), np.array([size]), 2)
 
         for batch in batches:
             texts = _bytes(batch.column(0))
             for low, high in slices(texts):
                 found = word_shingles(texts[low:high], width)
-                held += found
+                yield rows(np.concatenate([x[: np.searchsorted(x, COUNTED)] for x in found]), None, 0)
+                held += [x[np.searchsorted(x, COUNTED) :] for x in found]
                 size += sum(map(len, found))
                 if size > 2_000_000:
-                    yield report()
+                    yield from report()
                     held, size = [], 0
         if size:
-            yield report()
-
-    counted = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    counted = table(counted, "frequent")
-    total = counted.filter("token is null").agg(F.max("n")).first()[0] or 0
-    rows = counted.filter("token is not null").filter(F.col("n") >= share * total).select("token").collect()
-    return np.sort(np.array([row[0] for row in rows], np.int64).view(np.uint64))
+            yield from report()
+
+    tokens = docs.select("text").mapInArrow(emit, "kind byte, token long, n long")
+    summed = tokens.groupBy("kind", "token").agg(F.sum("n").alias("n")).filter((F.col("kind") > 0) | (F.col("n") >= often))
+    scratch = Scratch(docs.sparkSession)
+    summed = scratch.table(summed, "frequent")
+    total = summed.filter("kind = 2").agg(F.max("n")).first()[0] or 0
+    marked = summed.filter((F.col("kind") == 0) | ((F.col("kind") == 1) & (F.col("n") >= share * total)))
+    spot = F.col("token").bitwiseAND((1 << BITS) - 1)
+    words = marked.select(spot.alias("s")).groupBy(F.shiftright("s", 6).alias("w"))
+    bitmap = np.zeros(1 << (BITS - 6), np.int64)
+    for row in words.agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("m")).collect():
+        bitmap[row["w"]] = row["m"]
+    scratch.clear()
+    return bitmap
 
 
 def leading(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The elements one of which any similar set must share, in the common order."""
+    """The elements one of which any similar set must share, in the common order: counted and rare, not counted and
+    rare, frequent."""
     size = len(tokens)
     length = size - -(-percent * size // 100) + 1
-    at = np.minimum(np.searchsorted(frequent, tokens), max(len(frequent) - 1, 0))
-    often = frequent[at] == tokens if len(frequent) else np.zeros(size, bool)
-    return np.concatenate([tokens[~often], tokens[often]])[:length]
+    at = (tokens & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    often = ((frequent[at >> 6] >> (at & 63)) & 1).astype(bool)
+    rare = tokens[~often]
+    # Counted elements have the smaller hashes, so the rare ones are in order already.
+    return rare[:length] if len(rare) >= length else np.concatenate([rare, tokens[often]])[:length]
 
 
 def profiles(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -154,26 +180,27 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
     nothing and has no component. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = frequent_elements(docs, width)
     path = scratch_path(spark, "llm-profiles")
     profile = materialize(profiles(docs, frequent, width, percent), path)
     ids = table(profile.drop("heads"), "ids")
     usable = ids.filter("n > 0 and doc_id is not null")
-    shared = table(shared_elements(profile.filter("n > 0 and doc_id is not null")), "matrix")
+    shared = scratch.table(shared_elements(profile.filter("n > 0 and doc_id is not null")), "matrix")
     discard(spark, path)
-    sets = table(
+    sets = scratch.table(
         usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.min("group").alias("group"), F.min("n").alias("n")), "sets"
     )
-    members = table(sets.select("group", "node", "n").distinct(), "members")
+    members = scratch.table(sets.select("group", "node", "n").distinct(), "members")
     spans = members.groupBy("group").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("node").alias("head"), F.count(F.lit(1)).alias("members"))
-    spans = table(spans, "groups")
+    spans = scratch.table(spans, "groups")
     reach = int(np.ceil(np.log(100 / percent) / np.log(STEP))) + 1
 
     def named_texts(nodes: DataFrame) -> DataFrame:
         named = docs.withColumnRenamed("doc_id", "node").filter("node is not null")
-        return table(keep_marked(named, "node", nodes).join(nodes, "node", "left_semi"), "texts")
+        return scratch.table(keep_marked(named, "node", nodes).join(nodes, "node", "left_semi"), "texts")
 
     # First every node against the head of its group, and the heads of groups against the head of the smallest
     # group they share elements with: that joins most copies, in as many comparisons as there are groups.
@@ -181,10 +208,10 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
     star = star.groupBy(F.col("head").alias("g1"), F.col("group").alias("g2")).agg(F.count(F.lit(1)).alias("common"))
     star = _qualifying(star, spans, percent).select(F.col("head2").alias("a"), F.col("head1").alias("b"))
     inner = members.join(spans.filter("members > 1").select("group", "head"), "group").filter("node <> head")
-    pairs = table(star.unionByName(inner.select(F.col("node").alias("a"), F.col("head").alias("b"))).distinct(), "stars")
+    pairs = scratch.table(star.unionByName(inner.select(F.col("node").alias("a"), F.col("head").alias("b"))).distinct(), "stars")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = table(star_links(pairs, named_texts(nodes), _sets(width), percent), "links")
-    joined = table(components(links), "joined")
+    links = scratch.table(star_links(pairs, named_texts(nodes), _sets(width), percent), "links")
+    joined = scratch.table(components(links), "joined")
 
     # Groups within one component merge with the component's other groups of their size.
     placed = members.join(joined, "node", "left").select("group", "node", "n", F.coalesce("component", "node").alias("c"))
@@ -192,13 +219,13 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
     merged = F.xxhash64(F.lit("m"), "c", _band("group")).bitwiseAND(~1023).bitwiseOR(_band("group"))
     whole = F.col("c") == F.col("d")
     named = pure.select("group", F.when(whole, merged).otherwise(F.col("group")).alias("super"), F.when(whole, F.col("c")).alias("pure"))
-    named = table(named, "supers")
-    placed = table(placed.join(named, "group").select(F.col("super").alias("group"), "node", "n", "c", "pure"), "placed")
+    named = scratch.table(named, "supers")
+    placed = scratch.table(placed.join(named, "group").select(F.col("super").alias("group"), "node", "n", "c", "pure"), "placed")
     spans = placed.groupBy("group").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pure").alias("pure"), F.count(F.lit(1)).alias("members"))
-    spans = table(spans, "spans")
+    spans = scratch.table(spans, "spans")
     matrix = shared.join(named, "group").select("token", F.col("super").alias("g1"), F.col("pure").alias("pure1")).distinct()
-    matrix = table(matrix, "merged")
+    matrix = scratch.table(matrix, "merged")
     other = matrix.select("token", F.col("g1").alias("g2"), F.col("pure1").alias("pure2"))
     apart = F.coalesce(F.col("pure1") != F.col("pure2"), F.lit(True))
     overlap = matrix.join(other, "token").filter(
@@ -209,22 +236,23 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
     larger = F.col("members1") >= F.col("members2")
     opened = opened.select(F.when(larger, F.col("g1")).otherwise(F.col("g2")).alias("host"),
                            F.when(larger, F.col("g2")).otherwise(F.col("g1")).alias("group"))
-    opened = table(opened, "opened-groups")
+    opened = scratch.table(opened, "opened-groups")
     guests = opened.join(placed, "group").select(F.col("host").alias("bucket"), "node", "n", F.lit(True).alias("left"), F.lit(False).alias("right"))
     hosts = opened.select(F.col("host").alias("group")).distinct()
     heads = placed.filter("pure is null").groupBy("group").agg(F.min(F.struct("node", "c"))["c"].alias("hc"))
     hosts = hosts.unionByName(heads.select("group")).distinct()
     own = placed.join(hosts, "group").join(heads, "group", "left").select(
         F.col("group").alias("bucket"), "node", "n", F.coalesce(F.col("c") != F.col("hc"), F.lit(False)).alias("left"), F.lit(True).alias("right"))
-    rows = table(own.unionByName(guests), "rows")
+    rows = scratch.table(own.unionByName(guests), "rows")
     texts = named_texts(rows.select("node").distinct())
-    more = table(opened_links(rows, texts, _sets(width), percent), "opened")
+    more = scratch.table(opened_links(rows, texts, _sets(width), percent), "opened")
 
     # Equal sets link without being compared; repeated ids are one node.
     copies = usable.join(sets.select("f1", "f2", "node"), ["f1", "f2"]).filter("doc_id <> node")
     edges = copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     edges = edges.unionByName(links).unionByName(more)
     whole = components(edges).withColumnRenamed("node", "doc_id")
+    scratch.clear()
     return ids.select("doc_id", F.col("n").alias("n_shingles")).join(whole, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.llm.common import components, runs, shared_count, table
+from chatlens.llm.common import Scratch, components, runs, shared_count, slices
 
 Sets = Callable[[list], list]
 # Elements of the sets of one side of an opened unit.
@@ -75,17 +75,16 @@ def star_links(pairs: DataFrame, texts: DataFrame, sets_of: Sets, percent: int)
     def check(batches):
         held, held_set = None, None
         for batch in batches:
-            heads = batch.column("text_b").to_pylist()
-            for low in range(0, len(heads), 256):
-                part = batch.slice(low, 256)
-                mine = sets_of(part.column("text").to_pylist())
-                keep = []
-                for own, head in zip(mine, heads[low : low + 256], strict=True):
+            texts, heads = batch.column("text").to_pylist(), batch.column("text_b").to_pylist()
+            keep = []
+            # Sets of a bounded stretch of text at a time.
+            for low, high in slices(texts, 1 << 18):
+                for own, head in zip(sets_of(texts[low:high]), heads[low:high], strict=True):
                     if head != held:
                         held, held_set = head, sets_of([head])[0]
                     common = shared_count(own, held_set)
                     keep.append(common > 0 and bool(similar(common, len(own), len(held_set), percent)))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "text", "text_b").mapInArrow(check, pairs.select("a", "b").schema)
 
@@ -122,9 +121,11 @@ def opened_links(rows: DataFrame, texts: DataFrame, sets_of: Sets, percent: int,
             for at, key in enumerate(zip(nodes, unit.column("text").to_pylist(), strict=True)):
                 seen.setdefault(key, []).append(at)
             keys = list(seen)
-            sets = sets_of([text for _, text in keys])
+            texts = [text for _, text in keys]
+            sets = [one for low, high in slices(texts, 1 << 20) for one in sets_of(texts[low:high])]
             marked = np.array([any(marks[at] for at in places) for places in seen.values()], bool)
             found = spanning_links(sets, marked, percent)
+            del sets
             kinds = unit.schema.field("node").type
             yield pa.RecordBatch.from_arrays(
                 [pa.array([keys[a][0] for a, _ in found], kinds), pa.array([keys[b][0] for _, b in found], kinds)], ["a", "b"]
@@ -142,15 +143,16 @@ def join_buckets(
     ``buckets``: distinct rows (bucket, node, n) with n the size of the node's set. ``texts``
     gives (node, text) for the nodes of a frame, ``sets_of`` the sets of a list of texts.
     """
-    buckets = table(buckets, "buckets")
+    scratch = Scratch(buckets.sparkSession)
+    buckets = scratch.table(buckets, "buckets")
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members"))
-    heads = table(heads.filter("members > 1"), "heads")
+    heads = scratch.table(heads.filter("members > 1"), "heads")
     inside = buckets.join(heads, "bucket")
-    pairs = table(inside.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "stars")
+    pairs = scratch.table(inside.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "stars")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    found = table(texts(nodes), "texts")
-    links = table(star_links(pairs, found, sets_of, percent), "links")
-    joined = table(components(links), "joined")
+    found = scratch.table(texts(nodes), "texts")
+    links = scratch.table(star_links(pairs, found, sets_of, percent), "links")
+    joined = scratch.table(components(links), "joined")
 
     own = joined.select(F.col("node"), F.col("component").alias("c"))
     head = joined.select(F.col("node").alias("head"), F.col("component").alias("hc"))
@@ -158,7 +160,9 @@ def join_buckets(
         inside.filter("members > 2").join(own, "node", "left").join(head, "head", "left")
         .select("bucket", "node", "n", (F.coalesce("c", "node") != F.coalesce("hc", "head")).alias("out"))
     )
-    marked = table(marked, "marked")
+    marked = scratch.table(marked, "marked")
     rows = marked.select("bucket", "node", "n", F.col("out").alias("left"), F.lit(True).alias("right"))
-    more = table(opened_links(rows, found, sets_of, percent, chunk), "opened")
-    return components(links.unionByName(more))
+    more = scratch.table(opened_links(rows, found, sets_of, percent, chunk), "opened")
+    found = components(links.unionByName(more))
+    scratch.clear()
+    return found
