@@ -98,20 +98,21 @@ def frequent_elements(docs: DataFrame, width: int = WIDTH, often: int = OFTEN, s
     return bitmap
 
 
-def leading(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def leading(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
     """The elements one of which any similar set must share, in the common order: counted and rare, not counted and
-    rare, frequent."""
+    rare, frequent. And how many of all elements are rare."""
     size = len(tokens)
     length = size - -(-percent * size // 100) + 1
     at = (tokens & np.uint64((1 << BITS) - 1)).astype(np.int64)
     often = ((frequent[at >> 6] >> (at & 63)) & 1).astype(bool)
     rare = tokens[~often]
     # Counted elements have the smaller hashes, so the rare ones are in order already.
-    return rare[:length] if len(rare) >= length else np.concatenate([rare, tokens[often]])[:length]
+    head = rare[:length] if len(rare) >= length else np.concatenate([rare, tokens[often]])[:length]
+    return head, len(rare)
 
 
 def profiles(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, n, a 128-bit fingerprint of the set, its group and its leading elements."""
+    """Per row: doc_id, n, how many elements are rare, a 128-bit fingerprint of the set, its group and its leading elements."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def make(batches):
@@ -121,7 +122,8 @@ def profiles(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, percent:
             for low, high in slices(texts):
                 sets = word_shingles(texts[low:high], width)
                 n = np.array([len(x) for x in sets], np.int64)
-                heads = [leading(x, often, percent) if len(x) else x for x in sets]
+                found = [leading(x, often, percent) if len(x) else (x, 0) for x in sets]
+                heads, rare = [x for x, _ in found], np.array([n for _, n in found], np.int64)
                 first = np.array([x[0] if len(x) else 0 for x in heads], np.uint64)
                 band = np.floor(np.log(np.maximum(n, 1)) / np.log(STEP)).astype(np.uint64)
                 group = (mix(first + band * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(1023)) | np.minimum(band, 1023)
@@ -129,25 +131,27 @@ def profiles(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, percent:
                     [
                         batch.column("doc_id").slice(low, high - low),
                         pa.array(n),
+                        pa.array(rare),
                         pa.array(np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)),
                         pa.array(np.array([mix(x + np.uint64(77)).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)),
                         pa.array(group.view(np.int64)),
                         lists(heads),
                     ],
-                    ["doc_id", "n", "f1", "f2", "group", "heads"],
+                    ["doc_id", "n", "rare", "f1", "f2", "group", "heads"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        make, "doc_id long, n long, f1 long, f2 long, group long, heads array<long>"
+        make, "doc_id long, n long, rare long, f1 long, f2 long, group long, heads array<long>"
     )
 
 
 def shared_elements(profile: DataFrame) -> DataFrame:
-    """The matrix where it matters: (token, group, head) of elements in several groups; head is the smallest."""
-    matrix = profile.select(F.explode("heads").alias("token"), "group").repartition("token").distinct()
+    """The matrix where it matters: (token, group, rare) of elements in several groups."""
+    rows = profile.select(F.posexplode("heads").alias("at", "token"), "group", F.col("rare").alias("up_to"))
+    matrix = rows.select("token", "group", (F.col("at") < F.col("up_to")).alias("rare")).repartition("token").distinct()
     own = Window.partitionBy("token")
-    ends = matrix.select("token", "group", F.min("group").over(own).alias("head"), F.max("group").over(own).alias("tail"))
-    return ends.filter("head <> tail").drop("tail")
+    ends = matrix.select("token", "group", "rare", F.min("group").over(own).alias("head"), F.max("group").over(own).alias("tail"))
+    return ends.filter("head <> tail").select("token", "group", "rare")
 
 
 def _band(column: str):
@@ -158,7 +162,9 @@ def _qualifying(overlap: DataFrame, spans: DataFrame, percent: int) -> DataFrame
     """Of (g1, g2, common) the pairs with members that may be similar; ``spans``: (group, lo, hi, members, ...).
 
     Members with sizes a <= b need an overlap of t / (1 + t) * (a + b), of which at most t * b
-    lies behind the leading elements; the rest must be among the shared leading ones.
+    lies behind the leading elements; the rest must be among the shared leading ones. Told apart by kind:
+    what is shared is at most the shared rare leading elements, the rare ones behind the leading of either, and
+    the smaller number of frequent ones.
     """
     t = percent / 100
 
@@ -169,7 +175,22 @@ def _qualifying(overlap: DataFrame, spans: DataFrame, percent: int) -> DataFrame
     two = spans.select(*[F.col(name).alias("g2" if name == "group" else f"{name}2") for name in spans.columns])
     need = F.least(ahead("lo1", "hi2"), ahead("lo2", "hi1")) - 0.001
     fits = (100 * F.col("hi1") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo1"))
-    return overlap.join(one, "g1").join(two, "g2").filter(fits & (F.col("common") >= need))
+    rest = F.greatest("behind1", "behind2") + F.least("often1", "often2")
+    need_rare = t / (1 + t) * (F.col("lo1") + F.col("lo2")) - rest - 0.001
+    enough = (F.col("common") >= need) & (F.col("common_rare") >= need_rare)
+    return overlap.join(one, "g1").join(two, "g2").filter(fits & enough)
+
+
+def _spans(members: DataFrame, percent: int, *more) -> DataFrame:
+    """Per group of (group, node, n, rare) what bounds its members: sizes, rare elements behind the leading ones, frequent ones."""
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return members.groupBy("group").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.greatest(F.lit(0), F.col("rare") - length)).alias("behind"),
+        F.max(F.col("n") - F.col("rare")).alias("often"), F.count(F.lit(1)).alias("members"), *more)
+
+
+def _common() -> list:
+    return [F.count(F.lit(1)).alias("common"), F.count_if("rare").alias("common_rare")]
 
 
 def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -190,22 +211,30 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
     shared = scratch.table(shared_elements(profile.filter("n > 0 and doc_id is not null")), "matrix")
     discard(spark, path)
     sets = scratch.table(
-        usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.min("group").alias("group"), F.min("n").alias("n")), "sets"
+        usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.min("group").alias("group"), F.min("n").alias("n"),
+                                         F.min("rare").alias("rare")), "sets"
     )
-    members = scratch.table(sets.select("group", "node", "n").distinct(), "members")
-    spans = members.groupBy("group").agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("node").alias("head"), F.count(F.lit(1)).alias("members"))
-    spans = scratch.table(spans, "groups")
+    members = scratch.table(sets.select("group", "node", "n", "rare").distinct(), "members")
+    spans = scratch.table(_spans(members, percent, F.min("node").alias("head")), "groups")
     reach = int(np.ceil(np.log(100 / percent) / np.log(STEP))) + 1
 
     def named_texts(nodes: DataFrame) -> DataFrame:
         named = docs.withColumnRenamed("doc_id", "node").filter("node is not null")
         return scratch.table(keep_marked(named, "node", nodes).join(nodes, "node", "left_semi"), "texts")
 
-    # First every node against the head of its group, and the heads of groups against the head of the smallest
-    # group they share elements with: that joins most copies, in as many comparisons as there are groups.
-    star = shared.filter((F.col("group") != F.col("head")) & (F.abs(_band("group") - _band("head")) <= reach))
-    star = star.groupBy(F.col("head").alias("g1"), F.col("group").alias("g2")).agg(F.count(F.lit(1)).alias("common"))
+    # First every node against the head of its group, and the heads of groups against one other group for each shared
+    # element, of about the same size: the one with the most frequent elements, which is the same for most elements of
+    # a cluster. That joins most copies, in as many comparisons as there are groups.
+    weights = shared.groupBy("group").agg(F.count_if(~F.col("rare")).alias("weight"))
+    def first(step: int):
+        around = Window.partitionBy("token", F.floor(_band("group") / step))
+        return F.max(F.struct("weight", "group")).over(around)["group"]
+
+    # Once among groups of the same size, once among those of similar size.
+    star = shared.join(weights, "group").select("token", "group", "rare", first(1).alias("near"), first(4).alias("far"))
+    star = star.select("token", "group", "rare", F.explode(F.array_distinct(F.array("near", "far"))).alias("head"))
+    star = star.filter((F.col("group") != F.col("head")) & (F.abs(_band("group") - _band("head")) <= reach))
+    star = star.groupBy(F.col("head").alias("g1"), F.col("group").alias("g2")).agg(*_common())
     star = _qualifying(star, spans, percent).select(F.col("head2").alias("a"), F.col("head1").alias("b"))
     inner = members.join(spans.filter("members > 1").select("group", "head"), "group").filter("node <> head")
     pairs = scratch.table(star.unionByName(inner.select(F.col("node").alias("a"), F.col("head").alias("b"))).distinct(), "stars")
@@ -214,23 +243,21 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
     joined = scratch.table(components(links), "joined")
 
     # Groups within one component merge with the component's other groups of their size.
-    placed = members.join(joined, "node", "left").select("group", "node", "n", F.coalesce("component", "node").alias("c"))
+    placed = members.join(joined, "node", "left").select("group", "node", "n", "rare", F.coalesce("component", "node").alias("c"))
     pure = placed.groupBy("group").agg(F.min("c").alias("c"), F.max("c").alias("d"))
     merged = F.xxhash64(F.lit("m"), "c", _band("group")).bitwiseAND(~1023).bitwiseOR(_band("group"))
     whole = F.col("c") == F.col("d")
     named = pure.select("group", F.when(whole, merged).otherwise(F.col("group")).alias("super"), F.when(whole, F.col("c")).alias("pure"))
     named = scratch.table(named, "supers")
-    placed = scratch.table(placed.join(named, "group").select(F.col("super").alias("group"), "node", "n", "c", "pure"), "placed")
-    spans = placed.groupBy("group").agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pure").alias("pure"), F.count(F.lit(1)).alias("members"))
-    spans = scratch.table(spans, "spans")
-    matrix = shared.join(named, "group").select("token", F.col("super").alias("g1"), F.col("pure").alias("pure1")).distinct()
+    placed = scratch.table(placed.join(named, "group").select(F.col("super").alias("group"), "node", "n", "rare", "c", "pure"), "placed")
+    spans = scratch.table(_spans(placed, percent, F.min("pure").alias("pure")), "spans")
+    matrix = shared.join(named, "group").select("token", "rare", F.col("super").alias("g1"), F.col("pure").alias("pure1")).distinct()
     matrix = scratch.table(matrix, "merged")
     other = matrix.select("token", F.col("g1").alias("g2"), F.col("pure1").alias("pure2"))
     apart = F.coalesce(F.col("pure1") != F.col("pure2"), F.lit(True))
     overlap = matrix.join(other, "token").filter(
         (F.col("g1") < F.col("g2")) & apart & (F.abs(_band("g1") - _band("g2")) <= reach))
-    overlap = overlap.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("common"))
+    overlap = overlap.groupBy("g1", "g2").agg(*_common())
     opened = _qualifying(overlap, spans, percent)
     # The smaller group of a pair is the guest: its members meet those of the larger one, once for all its guests.
     larger = F.col("members1") >= F.col("members2")
