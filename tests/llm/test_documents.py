@@ -253,10 +253,10 @@ def test_language_id_of_odd_rows(spark):
 def test_language_model_learns_and_scores_all(spark):
     docs = documents(spark, [(i, "the cat sat on the mat and the dog sat on the rug " * 40, "en", "a", 0) for i in range(6)]
                      + [(7, None, "en", "a", 0), (8, "", "en", "a", 0), (None, "the mat", "en", "a", 0)])
-    first, later = lm.pseudo_likelihood(docs, 0).toPandas(), lm.pseudo_likelihood(docs, 2).toPandas()
+    first, later = lm.pseudo_likelihood(docs, 0).toPandas(), lm.pseudo_likelihood(docs, 6).toPandas()
     assert len(first) == len(later) == 9
     assert later.log_likelihood.sum() > 0.8 * first.log_likelihood.sum()
-    assert later.n_tokens.sum() == 6 * 12 * 40 + 2 and later.per_token.isna().sum() == 2
+    assert later.n_tokens.sum() == 6 * 13 * 40 + 2 and later.per_token.isna().sum() == 2
     assert lm.pseudo_likelihood(documents(spark, []), 1).count() == 0
 
 
