@@ -87,7 +87,8 @@ def text_evidence(rows: DataFrame, counts: np.ndarray) -> DataFrame:
                 data, starts = _joined(texts[low:high])
                 bucket = _buckets(data)
                 # The two trigrams across a border of texts hold blanks only or belong to both sides alike.
-                sums = [np.add.reduceat(row[bucket], starts[:-1]) for row in table_of]
+                # Two places without weight follow, so that a last text without bytes has a place too.
+                sums = [np.add.reduceat(np.append(row[bucket], (0.0, 0.0)), starts[:-1]) for row in table_of]
                 lettered = np.add.reduceat(letter[data].astype(np.int64), starts[:-1]) > 0
                 rest = [batch.column(name).slice(low, high - low) for name in names]
                 yield pa.RecordBatch.from_arrays([*rest, *map(pa.array, sums), pa.array(lettered)], [*names, *scores, "lettered"])

@@ -250,6 +250,15 @@ def test_language_id_of_odd_rows(spark):
     assert not {r["doc_id"]: r["accepted"] for r in langid.identify(langid.documents_evidence(foreign)).collect() if r["language"] == "other"}.get(1, False)
 
 
+@pytest.mark.parametrize("last", [None, ""])
+@pytest.mark.parametrize("before", [[], [(1, "the house is on the hill", "en", "a", 0)]])
+def test_language_id_of_a_last_text_without_bytes(spark, before, last):
+    docs = documents(spark, [*before, (2, last, "en", "a", 0)]).coalesce(1)
+    got = {r["doc_id"]: r for r in langid.identify(langid.documents_evidence(docs)).collect()}
+    assert len(got) == len(before) + 1 and not got[2]["accepted"] and got[2]["text_language"] is None
+    assert langid.keep_identified(docs).columns == docs.columns
+
+
 def test_language_model_learns_and_scores_all(spark):
     docs = documents(spark, [(i, "the cat sat on the mat and the dog sat on the rug " * 40, "en", "a", 0) for i in range(6)]
                      + [(7, None, "en", "a", 0), (8, "", "en", "a", 0), (None, "the mat", "en", "a", 0)])
