@@ -1,32 +1,38 @@
 """Operator 3: documents scored by masked pseudo-likelihood.
 
 A small network sees two words on each side of a masked word and predicts it; the sum of the
-log-probabilities of all words of a document is its score. Words are hashed to a fixed vocabulary
-and predicted in two steps: the network predicts the word's class, corpus counts the word within its
-class (frequent words have classes of their own). Counts and network come from all documents: every
-task trains on its documents, starting from the same parameters, and the results are averaged.
+log-probabilities of all words of a document is its score. A word is predicted in two steps: the
+network predicts its class, corpus counts give the word within its class. Counts belong to the full
+64-bit hash of a word and lie in a table. The most frequent words have classes of their own, the
+others share classes by ranges of their count; the number of classes grows with the square root of
+the number of distinct words. Counts and network come from all documents: every task
+trains on its documents, starting from the same parameters, and the results are averaged.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlens.llm.common import hash_words, slices
+from chatlens.llm.common import Scratch, hash_words, slices, table
 
+# Places of a model that is given as arrays over hashes, see ``scores``.
 VOCABULARY = 1 << 20
+# Classes of a small corpus; larger ones have the square root of their distinct words.
 CLASSES = 128
-# Classes shared by the words that have none of their own.
-SHARED = 32
 HIDDEN = 32
 SIDE = 2
 # One of so many positions is masked in a round of training.
 MASKED = 8
 ROUNDS = 2
 RATE = 0.08
-BATCH = 2048
+BATCH = 4096
+# Bytes of text in one row of encoded words, and words that share one dictionary.
+STRETCH = 1 << 20
+DICTIONARY = 1 << 21
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -38,98 +44,268 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & np.uint64(VOCABULARY - 1)).astype(np.int64), counts
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """How often each word of the vocabulary occurs in all texts."""
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of 32-bit values, first all lowest ones; the highest are mostly zero and compress well."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    """Rows of consecutive documents: part, doc_ids, counts (words of each) and local (places of all
+    words in the dictionary of the part). One row of a part has the dictionary, words and n of each."""
+
+    def encode(batches):
+        held, size, number = [], 0, 0
+
+        def flush():
+            part = (TaskContext.get().partitionId() << 32) + number
+            found = pa.array(np.concatenate([hashes for _, _, hashes in held]).view(np.int64)).dictionary_encode()
+            local = found.indices.to_numpy()
+            words, n = found.dictionary.to_numpy(), np.bincount(local, minlength=len(found.dictionary)).astype(np.int64)
+            start = 0
+            for at, (ids, counts, hashes) in enumerate(held):
+                stop = start + len(hashes)
+                row = [[part], [ids], [counts], [_planes(local[start:stop])], [None if at else words.tobytes()], [None if at else n.tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, field.type) for x, field in zip(row, encode.schema, strict=True)], schema=encode.schema)
+                start = stop
 
-    def count(batches):
-        total = np.zeros(VOCABULARY, np.int64)
         for batch in batches:
-            texts = _bytes(batch.column(0))
-            for low, high in slices(texts):
-                total += np.bincount(_words(texts[low:high])[0], minlength=VOCABULARY)
-        at = np.flatnonzero(total)
-        for low in range(0, len(at), 100_000):
-            part = at[low : low + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["at", "n"])
-
-    found = docs.select("text").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(VOCABULARY, np.int64)
-    total[found.column("at").to_numpy()] = found.column("n").to_numpy()
-    return total
-
-
-def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each word, and the logarithm of its share in the class."""
-    own = CLASSES - SHARED
-    kind = (own + np.arange(len(counts)) % SHARED).astype(np.uint8)
+            texts = _bytes(batch.column("text"))
+            for low, high in slices(texts, STRETCH):
+                hashes, counts = hash_words(texts[low:high])
+                held.append((batch.column("doc_id").slice(low, high - low).to_pylist(), counts, hashes))
+                size += len(hashes)
+                if size >= DICTIONARY:
+                    yield from flush()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield from flush()
+
+    long = pa.list_(pa.int64())
+    kinds = {"part": pa.int64(), "doc_ids": long, "counts": long, "local": pa.binary(), "words": pa.binary(), "n": pa.binary()}
+    encode.schema = pa.schema(kinds.items())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(encode, "part long, doc_ids array<long>, counts array<long>, local binary, words binary, n binary")
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """Per word of a part (``encoded``): part, at, word, n in the part and total, its count in all texts."""
+
+    def flat(batches):
+        for batch in batches:
+            for part, words, n in zip(*[column.to_pylist() for column in batch.columns], strict=True):
+                words, n = np.frombuffer(words, np.int64), np.frombuffer(n, np.int64)
+                for low in range(0, len(words), 100_000):
+                    own = words[low : low + 100_000]
+                    at = np.arange(low, low + len(own), dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(own), part)), pa.array(at), pa.array(own), pa.array(n[low : low + len(own)])],
+                        ["part", "at", "word", "n"],
+                    )
+
+    each = rows.filter("words is not null").select("part", "words", "n").mapInArrow(flat, "part long, at int, word long, n long")
+    return each.withColumn("total", F.sum("n").over(Window.partitionBy("word")))
+
+
+def ranges(totals: np.ndarray, tokens: np.ndarray, most: int) -> np.ndarray:
+    """The least counts of at most ``most`` classes that take about as many ``tokens`` each; ``totals`` ascend."""
+    if not len(totals):
+        return np.ones(1, np.int64)
+    middle = (np.cumsum(tokens) - tokens / 2) / tokens.sum()
+    place = np.minimum((middle * most).astype(np.int64), most - 1)
+    return totals[np.concatenate([[True], place[1:] != place[:-1]])]
+
+
+class Classes:
+    """Classes of words by their counts: ``own`` words with a class each, then ranges of counts.
+
+    ``totals`` (ascending) and ``tokens`` say how many words of the texts have which count; ``top`` has
+    the own words, most frequent first, with their counts.
+    """
+
+    def __init__(self, totals: np.ndarray, tokens: np.ndarray, top: list[tuple[int, int]], number: int):
+        self.number, self.own = number, len(top)
+        words, counts = np.array([x[0] for x in top], np.int64), np.array([x[1] for x in top], np.int64)
+        rest = tokens.astype(np.int64)
+        np.subtract.at(rest, np.searchsorted(totals, counts), counts)
+        left = rest > 0
+        self.least = ranges(totals[left], rest[left], number - self.own)
+        self.order = np.argsort(words)
+        self.words, self.floor = words[self.order], counts.min(initial=np.iinfo(np.int64).max)
+        self.tokens = np.zeros(number, np.int64)
+        self.tokens[: self.own] = counts
+        np.add.at(self.tokens, self._shared(totals[left]), rest[left])
+
+    def _shared(self, totals: np.ndarray) -> np.ndarray:
+        return self.own + np.maximum(np.searchsorted(self.least, totals, side="right") - 1, 0)
+
+    def of(self, words: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The class of each word, and the logarithm of its share in the class."""
+        kind = self._shared(totals)
+        often = np.flatnonzero(totals >= self.floor)
+        at = np.minimum(np.searchsorted(self.words, words[often]), max(self.own - 1, 0))
+        same = self.words[at] == words[often]
+        kind[often[same]] = self.order[at[same]]
+        return kind, np.log(totals / self.tokens[kind])
+
+
+def corpus_classes(words: DataFrame) -> Classes:
+    """Classes from the table of ``word_counts``. A count is met as often as it has tokens by it."""
+    # Distinct counts: fewer than the square root of twice the words of all texts.
+    found = words.groupBy("total").agg(F.sum("n").alias("tokens")).orderBy("total").toArrow()
+    totals, tokens = found.column("total").to_numpy(), found.column("tokens").to_numpy()
+    having = tokens // np.maximum(totals, 1)
+    distinct = int(having.sum())
+    number = max(CLASSES, int(np.ceil(np.sqrt(distinct))))
+    own = number * 3 // 4
+    top = []
+    if distinct:
+        above = np.cumsum(having[::-1])[::-1]
+        floor = int(totals[max(int(np.count_nonzero(above >= own)) - 1, 0)])
+        often = words.filter(F.col("total") >= floor).select("word", "total").distinct()
+        top = [(row["word"], row["total"]) for row in often.orderBy(F.desc("total"), "word").limit(own).collect()]
+    return Classes(totals, tokens, top, number)
+
+
+def classes_of(counts: np.ndarray, number: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each place of ``counts``, and the logarithm of its share in the class."""
+    own = number * 3 // 4
+    kind = np.zeros(len(counts), np.int64)
     top = np.argsort(-counts, kind="stable")[:own]
-    kind[top] = np.arange(own)
+    kind[top] = np.arange(len(top))
+    rest = np.argsort(-counts, kind="stable")[own:]
+    totals, n = np.unique(counts[rest], return_counts=True)
+    kind[rest] = own + np.maximum(np.searchsorted(ranges(totals, (totals + 0.1) * n, number - own), counts[rest], side="right") - 1, 0)
     smooth = counts + 0.1
-    return kind, np.log(smooth / np.bincount(kind, weights=smooth, minlength=CLASSES)[kind]).astype(np.float32)
+    return kind, np.log(smooth / np.bincount(kind, weights=smooth, minlength=number)[kind]).astype(np.float32)
 
 
-class Network:
-    """Context classes -> hidden layer -> class. All parameters lie in one vector."""
+def _softmax(scores: np.ndarray) -> np.ndarray:
+    scores -= scores.max(axis=1, keepdims=True)
+    np.exp(scores, out=scores)
+    scores /= scores.sum(axis=1, keepdims=True)
+    return scores
 
-    shapes = [(2 * SIDE, CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
 
-    def __init__(self, values: np.ndarray):
-        self.values = values.astype(np.float32).copy()
-        self.parts, at = [], 0
+class Network:
+    """Context classes -> hidden layer -> class, in two steps: a group of classes that follow each
+    other, and the class in its group. All parameters lie in one vector."""
+
+    def __init__(self, values: np.ndarray, classes: int = CLASSES):
+        self.classes, self.width = classes, int(np.ceil(np.sqrt(classes)))
+        groups = -(-classes // self.width)
+        self.shapes = [
+            (2 * SIDE, classes + 1, HIDDEN), (HIDDEN,), (HIDDEN, groups), (groups,), (groups, HIDDEN, self.width), (groups, self.width),
+        ]
+        self.values = np.zeros(self.size) if values is None else values
+        self.values = self.values.astype(np.float32).copy()
+        self.parts = self.split(self.values)
+
+    @property
+    def size(self) -> int:
+        return sum(int(np.prod(shape)) for shape in self.shapes)
+
+    def split(self, values: np.ndarray) -> list[np.ndarray]:
+        parts, at = [], 0
         for shape in self.shapes:
             size = int(np.prod(shape))
-            self.parts.append(self.values[at : at + size].reshape(shape))
+            parts.append(values[at : at + size].reshape(shape))
             at += size
+        return parts
 
     @classmethod
     def start(cls, share: np.ndarray) -> Network:
-        """Small random embeddings; the bias gives every class its share in the corpus."""
-        made = cls(np.zeros(sum(int(np.prod(shape)) for shape in cls.shapes)))
+        """Small random embeddings; the biases give every class its share in the corpus."""
+        made = cls(None, len(share))
         random = np.random.default_rng(11)
-        made.parts[0][:] = random.normal(0, 0.2, cls.shapes[0])
-        made.parts[2][:] = random.normal(0, 0.1, cls.shapes[2])
-        made.parts[3][:] = np.log(share)
+        for at, spread in ((0, 0.2), (2, 0.1), (4, 0.1)):
+            made.parts[at][:] = random.normal(0, spread, made.shapes[at])
+        grid = np.zeros(made.shapes[5])
+        grid.ravel()[: len(share)] = share
+        made.parts[3][:] = np.log(grid.sum(axis=1))
+        with np.errstate(divide="ignore"):
+            # Places behind the last class are never taken.
+            made.parts[5][:] = np.maximum(np.log(grid / grid.sum(axis=1, keepdims=True)), -1e4)
         return made
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        table, bias, out, out_bias = self.parts
-        hidden = bias + table[0][context[:, 0]]
+    def _hidden(self, context: np.ndarray) -> np.ndarray:
+        places, bias = self.parts[:2]
+        hidden = bias + places[0].take(context[:, 0], axis=0)
         for at in range(1, 2 * SIDE):
-            hidden += table[at][context[:, at]]
-        np.tanh(hidden, out=hidden)
-        scores = hidden @ out + out_bias
-        scores -= scores.max(axis=1, keepdims=True)
-        return hidden, scores
+            hidden += places[at].take(context[:, at], axis=0)
+        return np.tanh(hidden, out=hidden)
+
+    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden layer and the log-probabilities of all classes."""
+        hidden = self._hidden(context)
+        group = np.log(_softmax(hidden @ self.parts[2] + self.parts[3]))
+        inner = np.einsum("nh,ghk->ngk", hidden, self.parts[4]) + self.parts[5]
+        inner -= inner.max(axis=2, keepdims=True)
+        inner -= np.log(np.exp(inner).sum(axis=2, keepdims=True))
+        return hidden, (group[:, :, None] + inner).reshape(len(context), -1)[:, : self.classes]
+
+    def _steps(self, context: np.ndarray, target: np.ndarray) -> tuple:
+        """For rows in the order of their target's group: hidden layer, probabilities of groups, those of
+        the classes in the target's group, the target's place in both, and the rows of each group."""
+        hidden = self._hidden(context)
+        group, place = np.divmod(target, self.width)
+        outer = _softmax(hidden @ self.parts[2] + self.parts[3])
+        inner = self.parts[5].take(group, axis=0)
+        bounds = np.searchsorted(group, np.arange(len(self.parts[3]) + 1))
+        runs = [(at, slice(bounds[at], bounds[at + 1])) for at in np.flatnonzero(bounds[1:] > bounds[:-1])]
+        for at, rows in runs:
+            inner[rows] += hidden[rows] @ self.parts[4][at]
+        return hidden, outer, _softmax(inner), group, place, runs
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, scores = self.forward(context)
-        return scores[np.arange(len(target)), target] - np.log(np.exp(scores).sum(axis=1))
+        order = np.argsort(target // self.width, kind="stable")
+        _, outer, inner, group, place, _ = self._steps(context[order], target[order])
+        found, rows = np.empty(len(target), np.float64), np.arange(len(target))
+        tiny = np.finfo(np.float32).tiny
+        found[order] = np.log(np.maximum(outer[rows, group], tiny)) + np.log(np.maximum(inner[rows, place], tiny))
+        return found
 
     def train(self, context: np.ndarray, target: np.ndarray, memory: np.ndarray, rate: float) -> None:
         """One step of Adagrad; ``memory`` holds the sums of squared gradients."""
-        hidden, scores = self.forward(context)
-        error = np.exp(scores)
-        error /= error.sum(axis=1, keepdims=True)
-        error[np.arange(len(target)), target] -= 1
-        error /= len(target)
-        back = (error @ self.parts[2].T) * (1 - hidden * hidden)
-        gradient = Network(np.zeros(len(self.values)))
+        order = np.argsort(target // self.width, kind="stable")
+        context = context[order]
+        hidden, outer, inner, group, place, runs = self._steps(context, target[order])
+        rows = np.arange(len(target))
+        outer[rows, group] -= 1
+        inner[rows, place] -= 1
+        outer /= len(target)
+        inner /= len(target)
+        back = outer @ self.parts[2].T
+        within, within_bias = np.zeros(self.shapes[4], np.float32), np.zeros(self.shapes[5], np.float32)
+        ones = np.ones(len(target), np.float32)
+        for at, own in runs:
+            back[own] += inner[own] @ self.parts[4][at].T
+            within[at] = hidden[own].T @ inner[own]
+            within_bias[at] = ones[own] @ inner[own]
+        back *= 1 - hidden * hidden
+        sums = self.split(memory)
+        for part, held, slope in zip(self.parts[1:], sums[1:], (ones @ back, hidden.T @ outer, ones @ outer, within, within_bias), strict=True):
+            held += slope**2
+            part -= rate * slope / np.sqrt(held + 1e-8)
+        units = np.ascontiguousarray(back.T)
         for at in range(2 * SIDE):
-            marks = np.zeros((len(target), CLASSES + 1), np.float32)
-            marks[np.arange(len(target)), context[:, at]] = 1
-            gradient.parts[0][at] = marks.T @ back
-        gradient.parts[1][:] = back.sum(axis=0)
-        gradient.parts[2][:] = hidden.T @ error
-        gradient.parts[3][:] = error.sum(axis=0)
-        memory += gradient.values**2
-        self.values -= rate * gradient.values / np.sqrt(memory + 1e-8)
+            # Only the classes met have a gradient.
+            own = context[:, at].astype(np.int64)
+            met = np.flatnonzero(np.bincount(own, minlength=self.classes + 1))
+            slope = np.stack([np.bincount(own, weights=unit, minlength=self.classes + 1)[met] for unit in units], axis=1).astype(np.float32)
+            held = sums[0][at][met] + slope**2
+            sums[0][at][met] = held
+            self.parts[0][at][met] -= rate * slope / np.sqrt(held + 1e-8)
 
 
-def _contexts(kinds: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _contexts(kinds: np.ndarray, counts: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Class sequence with an edge class around every document, and the place of each word in it."""
     owner = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(kinds)) + SIDE * (owner + 1)
-    padded = np.full(len(kinds) + SIDE * (len(counts) + 1), CLASSES, np.uint8)
+    padded = np.full(len(kinds) + SIDE * (len(counts) + 1), classes, kinds.dtype)
     padded[place] = kinds
     return padded, place
 
@@ -137,22 +313,53 @@ def _contexts(kinds: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 _SHIFTS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 
 
-def trained(docs: DataFrame, kind: np.ndarray, start: Network, rounds: int = ROUNDS, masked: int = MASKED) -> Network:
-    """The network after ``rounds`` over all documents. One in ``masked`` words is predicted in a round, others in the next."""
-    network = start
-    kinds_of = docs.sparkSession.sparkContext.broadcast(kind)
+def _width(classes: int) -> np.dtype:
+    """Type of a class number; ``classes`` itself is the edge."""
+    return np.dtype(np.uint16 if classes < 1 << 16 else np.uint32)
+
+
+def with_classes(rows: DataFrame, words: DataFrame, classes: Classes) -> DataFrame:
+    """``rows`` of ``encoded`` with the classes of their words: doc_ids, counts, inside (per document, the
+    sum of the log shares of its words in their classes) and kinds."""
+    shared = rows.sparkSession.sparkContext.broadcast(vars(classes))
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = Classes.__new__(Classes)
+        vars(known).update(shared.value)
+        order = np.argsort(right.column("at").to_numpy())
+        kind, share = known.of(right.column("word").to_numpy()[order], right.column("total").to_numpy()[order])
+        kind = kind.astype(_width(known.number))
+        inside, kinds = [], []
+        for counts, data in zip(left.column("counts").to_pylist(), left.column("local").to_pylist(), strict=True):
+            local = _unplaned(data)
+            ends = np.concatenate([[0.0], np.cumsum(share[local])])
+            bounds = np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])
+            inside.append(ends[bounds[1:]] - ends[bounds[:-1]])
+            kinds.append(kind[local].tobytes())
+        return pa.table({
+            "doc_ids": left.column("doc_ids"), "counts": left.column("counts"),
+            "inside": pa.array(inside, pa.list_(pa.float64())), "kinds": pa.array(kinds, pa.binary()),
+        })
+
+    left = rows.select("part", "doc_ids", "counts", "local").groupBy("part")
+    right = words.select("part", "at", "word", "total").groupBy("part")
+    return left.cogroup(right).applyInArrow(look_up, "doc_ids array<long>, counts array<long>, inside array<double>, kinds binary")
+
+
+def trained(rows: DataFrame, start: Network, rounds: int = ROUNDS) -> Network:
+    """The network after ``rounds`` over all rows (counts, kinds); one in MASKED words is predicted in a round, others in the next."""
+    network, classes = start, start.classes
     for number in range(rounds):
-        now = docs.sparkSession.sparkContext.broadcast(network.values)
+        now = rows.sparkSession.sparkContext.broadcast(network.values)
 
         def fit(batches, now=now, number=number):
-            own, memory, seen = Network(now.value), np.full(len(now.value), 0.01, np.float32), 0
+            own, seen = Network(now.value, classes), 0
+            memory = np.full(len(now.value), 0.01, np.float32)
             for batch in batches:
-                texts = _bytes(batch.column(0))
-                for low, high in slices(texts, 1 << 20):
-                    words, counts = _words(texts[low:high])
-                    kinds = kinds_of.value[words]
-                    padded, place = _contexts(kinds, counts)
-                    chosen = np.arange((number * 3) % masked, len(kinds), masked)
+                for counts, data in zip(batch.column("counts").to_pylist(), batch.column("kinds").to_pylist(), strict=True):
+                    kinds = np.frombuffer(data, _width(classes))
+                    padded, place = _contexts(kinds, np.array(counts, np.int64), classes)
+                    chosen = np.arange((number * 3) % MASKED, len(kinds), MASKED)
                     for at in range(0, len(chosen), BATCH):
                         part = chosen[at : at + BATCH]
                         own.train(padded[place[part][:, None] + _SHIFTS], kinds[part], memory, RATE)
@@ -162,57 +369,83 @@ def trained(docs: DataFrame, kind: np.ndarray, start: Network, rounds: int = ROU
                 [pa.array(at), pa.array(np.append(own.values.astype(np.float64) * seen, seen))], ["at", "value"]
             )
 
-        sums = docs.select("text").mapInArrow(fit, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+        sums = rows.select("counts", "kinds").mapInArrow(fit, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
         total = np.zeros(len(network.values) + 1)
         total[sums.column("at").to_numpy()] = sums.column("value").to_numpy()
         if total[-1]:
-            network = Network(total[:-1] / total[-1])
+            network = Network(total[:-1] / total[-1], classes)
     return network
 
 
-def model(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, Network]:
-    """(class of each word, log share of each word in its class, network) from all texts of ``docs``."""
-    counts = word_counts(docs)
-    kind, inside = classes_of(counts)
-    share = np.bincount(kind, weights=counts + 0.1, minlength=CLASSES)
-    return kind, inside, trained(docs, kind, Network.start(share / share.sum()), rounds)
+def _scored(net: Network, ids: pa.Array, counts: np.ndarray, kinds: np.ndarray, inside: np.ndarray) -> pa.RecordBatch:
+    """Scores of documents with ``kinds`` in order; ``inside`` is each one's sum of log shares."""
+    padded, place = _contexts(kinds, counts, net.classes)
+    each = np.zeros(len(kinds))
+    for at in range(0, len(kinds), 16_384):
+        part = slice(at, at + 16_384)
+        each[part] = net.log_probability(padded[place[part][:, None] + _SHIFTS], kinds[part])
+    ends = np.concatenate([[0.0], np.cumsum(each)])
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    total = np.round(ends[bounds[1:]] - ends[bounds[:-1]] + inside, 6)
+    mean = np.divide(total, counts, out=np.zeros(len(counts)), where=counts > 0)
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(counts), pa.array(total), pa.array(mean, mask=counts == 0)], ["doc_id", "n_tokens", "log_likelihood", "per_token"]
+    )
 
 
-def scores(docs: DataFrame, parts: tuple[np.ndarray, np.ndarray, Network]) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_tokens, log_likelihood and its mean per word, per_token.
+_SCHEMA = "doc_id long, n_tokens long, log_likelihood double, per_token double"
 
-    A text without words has log_likelihood 0 and no mean. Every row is scored, also with a null or repeated doc_id.
+
+def scores(docs: DataFrame, parts: tuple[np.ndarray, np.ndarray, Network]) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text) its score under a given model: (class, log share) for each of
+    VOCABULARY places that words are hashed to, and network. Operator 3 does not use it: its words share no place.
     """
     kind, inside, network = parts
-    shared = docs.sparkSession.sparkContext.broadcast((kind, inside, network.values))
+    shared = docs.sparkSession.sparkContext.broadcast((kind, inside, network.values, network.classes))
 
     def score(batches):
-        kind_of, share_of, values = shared.value
-        net = Network(values)
+        kind_of, share_of, values, classes = shared.value
+        net = Network(values, classes)
         for batch in batches:
             texts = _bytes(batch.column("text"))
             for low, high in slices(texts):
                 words, counts = _words(texts[low:high])
-                kinds = kind_of[words]
-                padded, place = _contexts(kinds, counts)
-                each = share_of[words].astype(np.float64)
-                for at in range(0, len(words), 16_384):
-                    part = slice(at, at + 16_384)
-                    each[part] += net.log_probability(padded[place[part][:, None] + _SHIFTS], kinds[part])
-                ends = np.concatenate([[0.0], np.cumsum(each)])
+                ends = np.concatenate([[0.0], np.cumsum(share_of[words].astype(np.float64))])
                 bounds = np.concatenate([[0], np.cumsum(counts)])
-                total = np.round(ends[bounds[1:]] - ends[bounds[:-1]], 6)
-                mean = np.divide(total, counts, out=np.zeros(len(counts)), where=counts > 0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, high - low), pa.array(counts), pa.array(total), pa.array(mean, mask=counts == 0)],
-                    ["doc_id", "n_tokens", "log_likelihood", "per_token"],
-                )
+                yield _scored(net, batch.column("doc_id").slice(low, high - low), counts, kind_of[words], ends[bounds[1:]] - ends[bounds[:-1]])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(score, "doc_id long, n_tokens long, log_likelihood double, per_token double")
+    return rows.mapInArrow(score, _SCHEMA)
+
+
+def scored_rows(rows: DataFrame, network: Network) -> DataFrame:
+    """Scores of the documents in the rows of ``with_classes``."""
+    shared, classes = rows.sparkSession.sparkContext.broadcast(network.values), network.classes
+
+    def score(batches):
+        net = Network(shared.value, classes)
+        for batch in batches:
+            for ids, counts, inside, data in zip(*[batch.column(name).to_pylist() for name in ("doc_ids", "counts", "inside", "kinds")], strict=True):
+                yield _scored(net, pa.array(ids, pa.int64()), np.array(counts, np.int64), np.frombuffer(data, _width(classes)), np.array(inside))
+
+    return rows.mapInArrow(score, _SCHEMA)
 
 
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Scores of all documents under a model of all documents; see ``scores``."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return scores(rows, model(rows, rounds))
+    """Per row of ``docs`` (doc_id, text): doc_id, n_tokens, log_likelihood and its mean per word, per_token,
+    under a model of all documents.
+
+    A text without words has log_likelihood 0 and no mean. Every row is scored, also with a null or repeated doc_id.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.table(encoded(docs), "encoded")
+    words = scratch.table(word_counts(rows), "words")
+    classes = corpus_classes(words)
+    share = classes.tokens + 0.1
+    large = Scratch(docs.sparkSession)
+    known = large.table(with_classes(rows, words, classes), "classes")
+    scratch.clear()
+    network = trained(known, Network.start(share / share.sum()), rounds)
+    found = table(scored_rows(known, network), "scores")
+    large.clear()
+    return found

@@ -285,3 +285,25 @@ def test_score_equals_the_network_word_by_word(spark):
         total += scores[0, row[at + 2]] - np.log(np.exp(scores[0]).sum()) + inside[words[at]]
     found = lm.scores(documents(spark, [(1, text.decode(), "en", "a", 0)]), (kind, inside, net)).first()
     assert abs(found["log_likelihood"] - total) < 1e-3
+
+
+def test_no_words_share_a_count_and_classes_grow_with_the_words(spark):
+    # Two words whose hashes agree in the lowest 20 bits.
+    names = [b"w%d" % i for i in range(20_000)]
+    low, _ = lm._words([b" ".join(names)])
+    order = np.argsort(low, kind="stable")
+    at = int(np.flatnonzero(low[order][1:] == low[order][:-1])[0])
+    often, rare = names[order[at]].decode(), names[order[at + 1]].decode()
+    texts = [f"{often} " * 500, rare, "", None, *[name.decode() for name in names]]
+    docs = documents(spark, [(i, text, "en", "a", 0) for i, text in enumerate(texts)])
+    truth = Counter(word for text in texts for word in (text or "").split())
+    words = lm.word_counts(lm.encoded(docs)).select("word", "total").distinct()
+    found = {row["word"]: row["total"] for row in words.collect()}
+    hashed = hash_words([" ".join(truth).encode()])[0].view(np.int64).tolist()
+    assert found == dict(zip(hashed, truth.values(), strict=True))
+    classes = lm.corpus_classes(lm.word_counts(lm.encoded(docs)))
+    assert classes.number == int(np.ceil(np.sqrt(20_000))) > lm.CLASSES and classes.tokens.sum() == sum(truth.values())
+    kind, share = classes.of(np.array(list(found)), np.array(list(found.values())))
+    assert np.allclose(np.exp(share) * classes.tokens[kind], list(found.values())) and kind.max() < classes.number
+    got = {row["doc_id"]: row["log_likelihood"] for row in lm.pseudo_likelihood(docs).filter("doc_id < 4").collect()}
+    assert len(got) == 4 and got[2] == got[3] == 0 and got[0] / 500 > got[1] + 3
