@@ -5,8 +5,9 @@ log-probabilities of all words of a document is its score. A word is predicted i
 network predicts its class, corpus counts give the word within its class. Counts belong to the full
 64-bit hash of a word and lie in a table. The most frequent words have classes of their own, the
 others share classes by ranges of their count; the number of classes grows with the square root of
-the number of distinct words. Counts and network come from all documents: every task
-trains on its documents, starting from the same parameters, and the results are averaged.
+the number of distinct words. Counts and network come from all documents, and every word of them is
+a target of the training once a round: every task trains on its documents, starting from the same
+parameters, and the results are averaged.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ VOCABULARY = 1 << 20
 CLASSES = 128
 HIDDEN = 32
 SIDE = 2
-# One of so many positions is masked in a round of training.
+# The words of a stretch are trained in so many strides.
 MASKED = 8
-ROUNDS = 2
+ROUNDS = 1
 RATE = 0.08
 BATCH = 4096
 # Bytes of text in one row of encoded words, and words that share one dictionary.
@@ -346,20 +347,25 @@ def with_classes(rows: DataFrame, words: DataFrame, classes: Classes) -> DataFra
     return left.cogroup(right).applyInArrow(look_up, "doc_ids array<long>, counts array<long>, inside array<double>, kinds binary")
 
 
+def positions(length: int, masked: int = MASKED) -> np.ndarray:
+    """Every position once, in strides."""
+    return np.concatenate([np.arange(first, length, masked) for first in range(masked)])
+
+
 def trained(rows: DataFrame, start: Network, rounds: int = ROUNDS) -> Network:
-    """The network after ``rounds`` over all rows (counts, kinds); one in MASKED words is predicted in a round, others in the next."""
+    """The network after ``rounds`` over all rows (counts, kinds); a round predicts every word once."""
     network, classes = start, start.classes
-    for number in range(rounds):
+    for _ in range(rounds):
         now = rows.sparkSession.sparkContext.broadcast(network.values)
 
-        def fit(batches, now=now, number=number):
+        def fit(batches, now=now):
             own, seen = Network(now.value, classes), 0
             memory = np.full(len(now.value), 0.01, np.float32)
             for batch in batches:
                 for counts, data in zip(batch.column("counts").to_pylist(), batch.column("kinds").to_pylist(), strict=True):
                     kinds = np.frombuffer(data, _width(classes))
                     padded, place = _contexts(kinds, np.array(counts, np.int64), classes)
-                    chosen = np.arange((number * 3) % MASKED, len(kinds), MASKED)
+                    chosen = positions(len(kinds))
                     for at in range(0, len(chosen), BATCH):
                         part = chosen[at : at + BATCH]
                         own.train(padded[place[part][:, None] + _SHIFTS], kinds[part], memory, RATE)

@@ -307,3 +307,14 @@ def test_no_words_share_a_count_and_classes_grow_with_the_words(spark):
     assert np.allclose(np.exp(share) * classes.tokens[kind], list(found.values())) and kind.max() < classes.number
     got = {row["doc_id"]: row["log_likelihood"] for row in lm.pseudo_likelihood(docs).filter("doc_id < 4").collect()}
     assert len(got) == 4 and got[2] == got[3] == 0 and got[0] / 500 > got[1] + 3
+
+
+def test_every_word_is_a_target_of_training(spark):
+    assert all(sorted(lm.positions(length)) == list(range(length)) for length in range(40))
+    start = lm.Network.start(np.full(lm.CLASSES, 1 / lm.CLASSES))
+    kinds = np.array([5, 70, 9, 5, 90], np.uint16)
+    rows = spark.createDataFrame([([2, 3], bytearray(kinds.tobytes()))], "counts array<long>, kinds binary")
+    after = lm.trained(rows, start)
+    edge = lm.CLASSES
+    context = np.array([[edge, edge, 70, edge], [edge, 5, edge, edge], [edge, edge, 5, 90], [edge, 9, 90, edge], [9, 5, edge, edge]])
+    assert (after.log_probability(context, kinds) > start.log_probability(context, kinds)).all()
