@@ -33,7 +33,7 @@ RATE = 0.08
 BATCH = 4096
 # Bytes of text in one row of encoded words, and words that share one dictionary.
 STRETCH = 1 << 20
-DICTIONARY = 1 << 21
+DICTIONARY = 1 << 20
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -50,7 +50,7 @@ def _planes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _unplaned(data: bytes) -> np.ndarray:
+def _unplaned(data: pa.Buffer) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
@@ -74,14 +74,17 @@ def encoded(docs: DataFrame) -> DataFrame:
                 start = stop
 
         for batch in batches:
-            texts = _bytes(batch.column("text"))
-            for low, high in slices(texts, STRETCH):
-                hashes, counts = hash_words(texts[low:high])
-                held.append((batch.column("doc_id").slice(low, high - low).to_pylist(), counts, hashes))
-                size += len(hashes)
-                if size >= DICTIONARY:
-                    yield from flush()
-                    held, size, number = [], 0, number + 1
+            for begin in range(0, batch.num_rows, 256):
+                few = batch.slice(begin, 256)
+                texts = _bytes(few.column("text"))
+                for low, high in slices(texts, STRETCH):
+                    hashes, counts = hash_words(texts[low:high])
+                    held.append((few.column("doc_id").slice(low, high - low).to_pylist(), counts, hashes))
+                    size += len(hashes)
+                    if size >= DICTIONARY:
+                        yield from flush()
+                        held, size, number = [], 0, number + 1
+                        pa.default_memory_pool().release_unused()
         if held:
             yield from flush()
 
@@ -97,8 +100,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
     def flat(batches):
         for batch in batches:
-            for part, words, n in zip(*[column.to_pylist() for column in batch.columns], strict=True):
-                words, n = np.frombuffer(words, np.int64), np.frombuffer(n, np.int64)
+            for part, words, n in zip(*batch.columns, strict=True):
+                part, words, n = part.as_py(), np.frombuffer(words.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int64)
                 for low in range(0, len(words), 100_000):
                     own = words[low : low + 100_000]
                     at = np.arange(low, low + len(own), dtype=np.int32)
@@ -331,10 +334,10 @@ def with_classes(rows: DataFrame, words: DataFrame, classes: Classes) -> DataFra
         kind, share = known.of(right.column("word").to_numpy()[order], right.column("total").to_numpy()[order])
         kind = kind.astype(_width(known.number))
         inside, kinds = [], []
-        for counts, data in zip(left.column("counts").to_pylist(), left.column("local").to_pylist(), strict=True):
-            local = _unplaned(data)
+        for counts, data in zip(left.column("counts"), left.column("local"), strict=True):
+            local = _unplaned(data.as_buffer())
             ends = np.concatenate([[0.0], np.cumsum(share[local])])
-            bounds = np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])
+            bounds = np.concatenate([[0], np.cumsum(counts.values.to_numpy())])
             inside.append(ends[bounds[1:]] - ends[bounds[:-1]])
             kinds.append(kind[local].tobytes())
         return pa.table({
@@ -362,9 +365,9 @@ def trained(rows: DataFrame, start: Network, rounds: int = ROUNDS) -> Network:
             own, seen = Network(now.value, classes), 0
             memory = np.full(len(now.value), 0.01, np.float32)
             for batch in batches:
-                for counts, data in zip(batch.column("counts").to_pylist(), batch.column("kinds").to_pylist(), strict=True):
-                    kinds = np.frombuffer(data, _width(classes))
-                    padded, place = _contexts(kinds, np.array(counts, np.int64), classes)
+                for counts, data in zip(batch.column("counts"), batch.column("kinds"), strict=True):
+                    kinds = np.frombuffer(data.as_buffer(), _width(classes))
+                    padded, place = _contexts(kinds, counts.values.to_numpy(), classes)
                     chosen = positions(len(kinds))
                     for at in range(0, len(chosen), BATCH):
                         part = chosen[at : at + BATCH]
@@ -431,8 +434,9 @@ def scored_rows(rows: DataFrame, network: Network) -> DataFrame:
     def score(batches):
         net = Network(shared.value, classes)
         for batch in batches:
-            for ids, counts, inside, data in zip(*[batch.column(name).to_pylist() for name in ("doc_ids", "counts", "inside", "kinds")], strict=True):
-                yield _scored(net, pa.array(ids, pa.int64()), np.array(counts, np.int64), np.frombuffer(data, _width(classes)), np.array(inside))
+            for ids, counts, inside, data in zip(*[batch.column(name) for name in ("doc_ids", "counts", "inside", "kinds")], strict=True):
+                kinds = np.frombuffer(data.as_buffer(), _width(classes))
+                yield _scored(net, ids.values, counts.values.to_numpy(), kinds, inside.values.to_numpy())
 
     return rows.mapInArrow(score, _SCHEMA)
 
