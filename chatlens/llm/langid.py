@@ -107,8 +107,9 @@ def _best(values: list[Column], names: list[str]) -> Column:
 
 def identify(docs: DataFrame, languages=LANGUAGES, least: float = LEAST, more: DataFrame | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, declared, suffix, host, domain): doc_id, language, text_language,
-    posterior and accepted. ``more`` (doc_id, declared, suffix, host, domain), one row per doc_id, goes before the
-    evidence in ``docs``; it is joined when the texts are scored, so no text is shuffled for it.
+    posterior and accepted. ``more`` (doc_id, declared, suffix, host, domain, n) goes before the evidence in ``docs``;
+    of several rows of a document, each counts n times: likelihoods add up, priors are averaged. It is joined
+    when the texts are scored, so no text is shuffled for it.
 
     Null evidence says nothing. ``other`` stands for a text in no listed language; it, a text without any
     letter (null, empty, signs only), and a posterior below ``least`` are not accepted.
@@ -124,19 +125,20 @@ def identify(docs: DataFrame, languages=LANGUAGES, least: float = LEAST, more: D
     texts = [F.col(f"t{at}") for at in range(len(classes))]
     scored = scored.withColumn("text_language", F.when(F.col("lettered"), _best(texts, classes)))
     scored = table(scored.withColumn("scores", F.array(*texts)).drop(*[f"t{at}" for at in range(len(classes))]), "evidence")
+    overall = scored.filter("text_language is not null").groupBy("text_language").count().collect()
+    scored = scored.withColumns({"_row": F.monotonically_increasing_id(), "n": F.lit(1)})
     if more is not None:
-        names = ["declared", "suffix", "host", "domain"]
+        names = ["declared", "suffix", "host", "domain", "n"]
         found = more.withColumn("declared", declared).select(F.col("doc_id").alias("_doc"), *[F.col(name).alias(f"_{name}") for name in names])
         both = scored.join(found, F.col("doc_id") == F.col("_doc"), "left")
         scored = table(both.withColumns({name: F.coalesce(f"_{name}", name) for name in names}).drop("_doc", *[f"_{name}" for name in names]), "joined")
 
     def counts(key: str) -> DataFrame:
         """How often each class, by its text, goes with each value of ``key``."""
-        each = F.array(*[F.sum((F.col("text_language") == name).cast("double")) for name in classes])
+        each = F.array(*[F.sum((F.col("text_language") == name).cast("double") * F.col("n")) for name in classes])
         seen = scored.filter(F.col(key).isNotNull() & F.col("text_language").isNotNull())
         return seen.groupBy(F.col(key).alias(f"_{key}")).agg(each.alias(f"{key}_n"))
 
-    overall = scored.filter("text_language is not null").groupBy("text_language").count().collect()
     total = {row["text_language"]: row["count"] for row in overall}
     whole = sum(total.values()) + len(classes)
     share = F.array(*[F.lit((total.get(name, 0) + 1) / whole) for name in classes])
@@ -158,10 +160,19 @@ def identify(docs: DataFrame, languages=LANGUAGES, least: float = LEAST, more: D
         return F.zip_with(F.zip_with(seen, wider, lambda c, p: c + SMOOTHING * p), F.transform(wider, lambda _: n), lambda c, m: c / (m + SMOOTHING))
 
     prior = smoothed(F.col("host_n"), smoothed(F.col("domain_n"), share))
-    fused = F.transform(prior, lambda p: F.log(p))
-    for part in (F.when(F.col("lettered"), F.col("scores")), F.col("declared_n"), F.col("suffix_n")):
-        fused = F.zip_with(fused, F.coalesce(part, none), lambda a, b: a + b)
-    fused = joined.select("doc_id", "text_language", "lettered", fused.alias("fused"))
+    likelihood = F.zip_with(F.coalesce("declared_n", none), F.coalesce("suffix_n", none), lambda a, b: a + b)
+    names = ["doc_id", "text_language", "lettered", "scores"]
+    weighed = joined.select("_row", "n", *names, prior.alias("prior"), likelihood.alias("likelihood"))
+    if more is not None:
+        def added(name: str) -> list[Column]:
+            return [F.sum(F.get(name, F.lit(at)) * F.col("n")) for at in range(len(classes))]
+
+        priors = F.array(*[value / F.sum("n") for value in added("prior")])
+        first = [F.first(name).alias(name) for name in names]
+        weighed = weighed.groupBy("_row").agg(*first, priors.alias("prior"), F.array(*added("likelihood")).alias("likelihood"))
+    fused = F.zip_with(F.transform("prior", lambda p: F.log(p)), "likelihood", lambda a, b: a + b)
+    fused = F.zip_with(fused, F.coalesce(F.when(F.col("lettered"), F.col("scores")), none), lambda a, b: a + b)
+    fused = weighed.select("doc_id", "text_language", "lettered", fused.alias("fused"))
     top = F.array_max("fused")
     posterior = 1 / F.aggregate("fused", F.lit(0.0), lambda a, b: a + F.exp(b - top))
     language = F.get(F.array(*[F.lit(name) for name in classes]), F.call_function("array_position", F.col("fused"), top).cast("int") - 1)
@@ -177,15 +188,17 @@ def documents_evidence(docs: DataFrame) -> DataFrame:
 
 
 def pages_evidence(pages: DataFrame) -> DataFrame:
-    """Per document the evidence of the pages that show it; a page names its document by the number in its address."""
+    """The evidence of the pages that show a document, which they name by the number in their address: doc_id, declared,
+    suffix, host, domain and n, the number of its pages with this host and declared language."""
     host = F.regexp_extract(F.col("url"), "://([^/?#:]*)", 1)
+    tag = F.regexp_extract("html", r"(?i)<html(\s[^>]*)", 1)
     found = pages.select(
         F.nullif(F.regexp_extract("url", r"/(\d{1,18})(?:[/.?#]|$)", 1), F.lit("")).cast("long").alias("doc_id"),
         F.nullif(host, F.lit("")).alias("host"),
-        F.nullif(F.regexp_extract("html", r'(?i)<html[^>]{0,200}?\slang="?([a-z]{2,3})', 1), F.lit("")).alias("declared"),
-    ).filter("doc_id is not null").groupBy("doc_id").agg(F.min("host").alias("host"), F.min("declared").alias("declared"))
+        F.nullif(F.regexp_extract(tag, r"""(?i)\slang\s*=\s*["']?([a-z]{2,3})""", 1), F.lit("")).alias("declared"),
+    ).filter("doc_id is not null").groupBy("doc_id", "host", "declared").agg(F.count(F.lit(1)).alias("n"))
     return found.select("doc_id", "declared", F.substring_index("host", ".", -1).alias("suffix"), "host",
-                        F.substring_index("host", ".", -2).alias("domain"))
+                        F.substring_index("host", ".", -2).alias("domain"), "n")
 
 
 def keep_identified(docs: DataFrame, languages=LANGUAGES, least: float = LEAST) -> DataFrame:

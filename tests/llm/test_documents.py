@@ -259,6 +259,29 @@ def test_language_id_of_a_last_text_without_bytes(spark, before, last):
     assert langid.keep_identified(docs).columns == docs.columns
 
 
+def test_all_pages_of_a_document_are_evidence(spark):
+    pages = spark.createDataFrame(
+        [("http://a.org/1", "<html lang='de'>"), ("http://a.org/1.html", "<HTML class=x LANG = 'DE-at'>"), ("http://b.net/1", "<html>"),
+         ("http://b.net/2", '<html data-x="' + "y" * 500 + '" lang="fr">'), ("http://b.net/none", "<html lang=es>")], "url string, html string")
+    evidence = langid.pages_evidence(pages)
+    found = {(r["doc_id"], r["host"], r["n"]): (r["declared"] or "").lower() for r in evidence.collect()}
+    assert {(1, "b.net", 1): "", (2, "b.net", 1): "fr"}.items() <= found.items()
+    assert sum(r["n"] for r in evidence.filter("doc_id = 1 and lower(declared) = 'de'").collect()) == 2
+
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = base.unionByName(documents(spark, [(90_001, None, None, None, 1), (90_001, None, None, None, 1)]))
+    schema = "doc_id long, declared string, suffix string, host string, domain string, n long"
+
+    def posterior(*rows):
+        more = spark.createDataFrame([(90_001, declared, None, host, None, n) for declared, host, n in rows], schema)
+        rows = langid.identify(langid.documents_evidence(docs), more=more).filter("doc_id = 90001").collect()
+        assert len(rows) == 2 and rows[0] == rows[1]
+        return rows[0]["language"], rows[0]["posterior"]
+
+    one, both = posterior(("de", None, 1)), posterior(("de", None, 1), ("fr", None, 3))
+    assert one[0] == "de" and both[0] == "fr"
+
+
 def test_language_model_learns_and_scores_all(spark):
     docs = documents(spark, [(i, "the cat sat on the mat and the dog sat on the rug " * 40, "en", "a", 0) for i in range(6)]
                      + [(7, None, "en", "a", 0), (8, "", "en", "a", 0), (None, "the mat", "en", "a", 0)])
