@@ -201,7 +201,8 @@ def pages_evidence(pages: DataFrame) -> DataFrame:
                         F.substring_index("host", ".", -2).alias("domain"), "n")
 
 
-def keep_identified(docs: DataFrame, languages=LANGUAGES, least: float = LEAST) -> DataFrame:
-    """``docs`` whose language is accepted; columns stay. Rows without doc_id go where no such row is accepted."""
-    good = identify(documents_evidence(docs), languages, least).filter("accepted").select(F.col("doc_id").alias("_doc")).distinct()
+def keep_identified(docs: DataFrame, languages=LANGUAGES, least: float = LEAST, more: DataFrame | None = None) -> DataFrame:
+    """``docs`` whose language is accepted, with the evidence ``more`` of ``identify``; columns stay. Rows without
+    doc_id go where no such row is accepted."""
+    good = identify(documents_evidence(docs), languages, least, more).filter("accepted").select(F.col("doc_id").alias("_doc")).distinct()
     return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")

@@ -22,8 +22,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the accepted languages."""
-    return langid.keep_identified(docs)
+    """Documents in one of the accepted languages, by all evidence of operator 7."""
+    return langid.keep_identified(docs, more=langid.pages_evidence(read(spark, sf_dir, "pages")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -282,6 +282,23 @@ def test_all_pages_of_a_document_are_evidence(spark):
     assert one[0] == "de" and both[0] == "fr"
 
 
+def test_pipeline_gives_language_id_the_pages(spark, monkeypatch):
+    import corpus_pipeline
+    from chatlens.llm import catalog
+
+    folder, given, identify = "/root/testdata/sf0.001", [], langid.identify
+
+    def seen(docs, languages=langid.LANGUAGES, least=langid.LEAST, more=None):
+        given.append(more)
+        return identify(docs, languages, least, more)
+
+    monkeypatch.setattr(langid, "identify", seen)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {row["doc_id"] for row in corpus_pipeline.language_id(spark, docs, folder).collect()}
+    assert kept == {row["doc_id"] for row in catalog.op7_language_id(spark, folder).filter("accepted").collect()}
+    assert all(more is not None and more.count() for more in given) and len(given) == 2
+
+
 def test_language_model_learns_and_scores_all(spark):
     docs = documents(spark, [(i, "the cat sat on the mat and the dog sat on the rug " * 40, "en", "a", 0) for i in range(6)]
                      + [(7, None, "en", "a", 0), (8, "", "en", "a", 0), (None, "the mat", "en", "a", 0)])
