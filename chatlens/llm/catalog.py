@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.llm import epsgrid, hilbert, langid, line_dedup, lm, mixing, ngram_join, packing, topk, urls
+from chatlens.llm import (
+    divergence, epsgrid, hilbert, langid, line_dedup, lm, mixing, negatives, ngram_join, packing, secrets, topk, urls
+)
 from chatlens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +57,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(read(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = negatives.labelled_vectors(read(spark, sf_dir, "embeddings"))
+    return negatives.hard_negatives(vectors, vectors.filter(f"vec_id % {negatives.EVERY} = 0"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = [make for name, make in globals().items() if name.startswith("op") and callable(make)]
     return {make.__name__: make for make in found}
@@ -67,4 +82,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_embedding_near_dedup": epsgrid.ORACLE_SQL,
         "op6_source_mixing": mixing.ORACLE_SQL,
         "op8_ngram_jaccard_join": ngram_join.ORACLE_SQL,
+        "op12_hard_negatives": negatives.ORACLE_SQL,
+        "op13_source_divergence": divergence.ORACLE_SQL,
     }

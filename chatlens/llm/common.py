@@ -39,10 +39,13 @@ class Scratch:
         self.paths.append(scratch_path(self.spark, f"llm-{label}"))
         return materialize(df, self.paths[-1])
 
+    def drop(self, path: str) -> None:
+        discard(self.spark, path)
+        self.paths.remove(path)
+
     def clear(self) -> None:
-        for path in self.paths:
-            discard(self.spark, path)
-        self.paths = []
+        for path in list(self.paths):
+            self.drop(path)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
