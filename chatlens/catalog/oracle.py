@@ -315,6 +315,8 @@ _BODIES: dict[str, str] = {
 # The same results with a cut forced on every group.
 for _name in ("unread_count", "chat_list_order", "late_records", "chats_with_members", "pagerank"):
     _BODIES[f"{_name}_cut"] = _BODIES[_name]
+for _name in ("unread_count", "unread_messages", "history_page", "next_offsets", "chat_list_order"):
+    _BODIES[f"{_name}_bucketed"] = _BODIES[_name]
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,7 +14,7 @@ from chatlens.operators import encode, graph, relational, routing, windows
 from chatlens.plans import scratch_path
 from chatlens.session import prepare
 from chatlens.sources import fixtures as fx
-from chatlens.sources import log
+from chatlens.sources import layout, log
 from chatlens.streaming import latest_rows, run_available, to_csv, to_table, to_versions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -532,11 +532,33 @@ def unread_count_cut(spark, sf):
     return counts.withColumn("newest_ms", F.coalesce("newest_ms", F.lit(-1)))
 
 
+def _laid_out(spark, sf):
+    """The log in cells of four offsets, so that partitions of the sample have several."""
+    return layout.lay_out(fx.message_log(spark, sf), per_cell=4)
+
+
+@query
+def unread_count_bucketed(spark, sf):
+    """The same on a laid-out log, whose records are not shuffled."""
+    counts = cur.unread_count(_laid_out(spark, sf), _positions(spark, sf))
+    return counts.withColumn("newest_ms", F.coalesce("newest_ms", F.lit(-1)))
+
+
+@query
+def unread_messages_bucketed(spark, sf):
+    return cur.unread_messages(_laid_out(spark, sf), _positions(spark, sf))
+
+
 @query
 def history_page(spark, sf):
     return cur.history_page(fx.message_log(spark, sf), _positions(spark, sf))
 
 
+@query
+def history_page_bucketed(spark, sf):
+    return cur.history_page(_laid_out(spark, sf), _positions(spark, sf))
+
+
 @query
 def history_page_second(spark, sf):
     return cur.history_page(fx.message_log(spark, sf), _positions(spark, sf), page=1, page_size=1)
@@ -547,6 +569,12 @@ def next_offsets(spark, sf):
     return cur.next_offsets(fx.message_log(spark, sf), _positions(spark, sf))
 
 
+@query
+def next_offsets_bucketed(spark, sf):
+    """The same from the summary of cells, without a look at the records."""
+    return cur.next_offsets(_laid_out(spark, sf), _positions(spark, sf))
+
+
 @query
 def apply_offset_updates(spark, sf):
     return cur.apply_offset_updates(fx.users_chats(spark, sf), fx.offset_updates(spark, sf), fx.OFFSETS)
@@ -585,6 +613,11 @@ def chat_list_order(spark, sf):
     return cur.chat_list_order(fx.message_log(spark, sf), fx.users_chats(spark, sf), fx.OFFSETS)
 
 
+@query
+def chat_list_order_bucketed(spark, sf):
+    return cur.chat_list_order(_laid_out(spark, sf), fx.users_chats(spark, sf), fx.OFFSETS)
+
+
 @query
 def chat_list_order_cut(spark, sf):
     """The same in 64 ranges and blocks of two offsets, so that users and partitions are cut."""

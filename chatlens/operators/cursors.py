@@ -8,6 +8,8 @@ Counts and latest times of unread records never pair users with records: cursors
 records of a partition are merged in offset order and each cursor reads a running total.
 Only ``unread_messages``, whose result is the pairs themselves, joins the two.
 
+Where a function takes a log, a ``LaidOutLog`` does as well; its records are then not shuffled.
+
 Exploded positions look as small to the optimizer as the table they come from, so joins with
 them ask for a sort-merge join instead of a broadcast.
 """
@@ -16,11 +18,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlens.functions import offset_sum
 from chatlens.plans import numbered, with_running
+from chatlens.sources.layout import CELL, LaidOutLog
 
 PAGE_SIZE = 15  # fixed value: records of history per partition and page
 OFFSETS_PER_BLOCK = 65_536
@@ -47,7 +50,20 @@ def _block(offset: Column | str = "offset", per_block: int | None = None) -> Col
     return F.floor((F.col(offset) if isinstance(offset, str) else offset) / F.lit(per_block or OFFSETS_PER_BLOCK))
 
 
-def unread_ranges(log: DataFrame, positions: DataFrame, per_block: int | None = None) -> DataFrame:
+def _in_blocks(log: DataFrame | LaidOutLog, per_block: int) -> tuple[DataFrame, list[str], int]:
+    """Records with their ``_block``, the log's own columns, and the offsets in a block."""
+    if isinstance(log, LaidOutLog):
+        return log.in_cells.withColumnRenamed(CELL, "_block"), log.records.columns, log.per_cell
+    return log.withColumn("_block", _block("offset", per_block)), log.columns, per_block
+
+
+def _ends(log: DataFrame | LaidOutLog) -> DataFrame:
+    if isinstance(log, LaidOutLog):
+        return log.ends()
+    return log.groupBy("chat_id", "partition").agg(F.max("offset").alias("last_offset"))
+
+
+def unread_ranges(log: DataFrame | LaidOutLog, positions: DataFrame, per_block: int | None = None) -> DataFrame:
     """Per cursor, with all its columns, the unread part of its partition: count, last offset
     and latest time.
 
@@ -55,6 +71,8 @@ def unread_ranges(log: DataFrame, positions: DataFrame, per_block: int | None =
     zero count) for a reader who is up to date. Partitions are scanned in blocks of ``per_block``
     offsets.
     """
+    if isinstance(log, LaidOutLog):
+        return log.unread_ranges(positions)
     # Many users share a position, so each position is looked up once.
     places = positions.select(*_RECORD).distinct()
     records = log.select(*_RECORD, F.unix_millis("server_time").alias("_ms"), F.lit(1).alias("_record"))
@@ -74,7 +92,7 @@ def unread_ranges(log: DataFrame, positions: DataFrame, per_block: int | None =
     return positions.hint("merge").join(answers, _RECORD)
 
 
-def unread_count(log: DataFrame, positions: DataFrame, per_block: int | None = None) -> DataFrame:
+def unread_count(log: DataFrame | LaidOutLog, positions: DataFrame, per_block: int | None = None) -> DataFrame:
     """Unread records per (user, chat), with the time of the newest one."""
     return (
         unread_ranges(log, positions, per_block)
@@ -83,65 +101,66 @@ def unread_count(log: DataFrame, positions: DataFrame, per_block: int | None = N
     )
 
 
-def unread_messages(log: DataFrame, positions: DataFrame) -> DataFrame:
+def unread_messages(log: DataFrame | LaidOutLog, positions: DataFrame) -> DataFrame:
     """The unread records of every reader, one row per (user, record).
 
     Reader and record meet in a block of offsets, so a busy chat is split over many tasks
     and a reader touches only blocks with something left to read.
     """
-    ends = log.groupBy("chat_id", "partition").agg(F.max("offset").alias("_end"))
+    records, columns, size = _in_blocks(log, OFFSETS_PER_BLOCK)
+    blocks = F.sequence(_block("_from", size), _block("last_offset", size))
     readers = (
         positions.select("user_id", "chat_id", "partition", F.col("offset").alias("_from"))
-        .join(ends, ["chat_id", "partition"])
-        .filter(F.col("_from") <= F.col("_end"))
-        .select("user_id", "chat_id", "partition", "_from", F.explode(F.sequence(_block("_from"), _block("_end"))).alias("_block"))
+        .join(_ends(log), ["chat_id", "partition"])
+        .filter(F.col("_from") <= F.col("last_offset"))
+        .select("user_id", "chat_id", "partition", "_from", F.explode(blocks).alias("_block"))
     )
     return (
-        log.withColumn("_block", _block())
-        .join(readers.hint("merge"), ["chat_id", "partition", "_block"])
+        records.join(readers.hint("merge"), ["chat_id", "partition", "_block"])
         .filter(F.col("offset") >= F.col("_from"))
-        .select("user_id", *log.columns)
+        .select("user_id", *columns)
     )
 
 
-def unread_in_time_order(log: DataFrame, positions: DataFrame) -> DataFrame:
+def unread_in_time_order(log: DataFrame | LaidOutLog, positions: DataFrame) -> DataFrame:
     return unread_messages(log, positions).orderBy("user_id", "server_time", *_RECORD)
 
 
 # --- history --------------------------------------------------------------------------
 
 
-def history_page(log: DataFrame, positions: DataFrame, page: int = 0, page_size: int = PAGE_SIZE) -> DataFrame:
+def history_page(log: DataFrame | LaidOutLog, positions: DataFrame, page: int = 0, page_size: int = PAGE_SIZE) -> DataFrame:
     """The records just before each reader's position; page 1 are those before page 0.
 
     Per partition a page spans ``page_size`` offsets. A chat whose positions are all zero has
     no history left.
     """
-    # Readers at one position share a page, which lies in two blocks of its length at most.
+    # Readers at one position share a page, which lies in few blocks, in two of its length at most.
+    records, columns, size = _in_blocks(log, page_size)
     places = positions.select(*_RECORD).distinct()
     before = F.greatest(F.col("offset") - F.lit(page * page_size), F.lit(0))
     spans = places.select(
         *_RECORD, F.greatest(before - F.lit(page_size), F.lit(0)).alias("_from"), before.alias("_to")
     ).filter(F.col("_to") > 0)
-    ends = F.array_distinct(F.array(_block("_from", page_size), _block(F.col("_to") - 1, page_size)))
+    blocks = F.sequence(_block("_from", size), _block(F.col("_to") - 1, size))
     spans = spans.select(
-        "chat_id", "partition", F.col("offset").alias("_place"), "_from", "_to", F.explode(ends).alias("_block")
+        "chat_id", "partition", F.col("offset").alias("_place"), "_from", "_to", F.explode(blocks).alias("_block")
     )
     pages = (
         spans.hint("merge")
-        .join(log.withColumn("_block", _block("offset", page_size)), ["chat_id", "partition", "_block"])
+        .join(records, ["chat_id", "partition", "_block"])
         .filter((F.col("offset") >= F.col("_from")) & (F.col("offset") < F.col("_to")))
     )
     readers = positions.select("user_id", "chat_id", "partition", F.col("offset").alias("_place"))
-    return pages.join(readers, ["chat_id", "partition", "_place"]).select("user_id", *log.columns)
+    return pages.join(readers, ["chat_id", "partition", "_place"]).select("user_id", *columns)
 
 
 # --- moving positions -----------------------------------------------------------------
 
 
-def next_offsets(log: DataFrame, positions: DataFrame) -> DataFrame:
+def next_offsets(log: DataFrame | LaidOutLog, positions: DataFrame) -> DataFrame:
     """Cursors after reading everything in ``log``; none moves backwards."""
-    seen = log.groupBy("chat_id", "partition").agg((F.max("offset") + 1).alias("_next"))
+    seen = _ends(log).select("chat_id", "partition", (F.col("last_offset") + 1).alias("_next"))
     return positions.join(seen, ["chat_id", "partition"], "left").select(
         "user_id", "chat_id", "partition", F.greatest("offset", "_next").alias("offset")
     )
@@ -184,7 +203,7 @@ def apply_offset_updates(users_chats: DataFrame, updates: DataFrame, offset_colu
     return joined.select(*[changed[name].alias(name) if name in changed else F.col(name) for name in users_chats.columns])
 
 
-def mark_read(log: DataFrame, users_chats: DataFrame, offset_columns: Sequence[str], per_block: int | None = None) -> DataFrame:
+def mark_read(log: DataFrame | LaidOutLog, users_chats: DataFrame, offset_columns: Sequence[str], per_block: int | None = None) -> DataFrame:
     """Fold the unread records into what is read: per partition the last offset seen, and per
     (user, chat) the latest time, both only ever growing."""
     ranges = unread_ranges(log, cursors(users_chats, offset_columns, "message_time"), per_block)
@@ -221,12 +240,11 @@ def new_chats_from_invitations(
     invitations: DataFrame, users_chats: DataFrame, offset_columns: Sequence[str]
 ) -> DataFrame:
     """Chats a user was invited to and does not have; the first invitation gives the name."""
-    known = users_chats.select("user_id", "chat_id")
-    new = invitations.join(known, ["user_id", "chat_id"], "left_anti")
-    # The smallest offset is a number, so the aggregate needs no sort; texts are read off its row.
-    first = new.groupBy("user_id", "chat_id").agg(F.min("offset").alias("offset"))
-    named = new.join(first, ["user_id", "chat_id", "offset"]).select("user_id", "chat_id", "login", "chat_name")
-    return named.dropDuplicates(["user_id", "chat_id"]).select(
+    # The first invitation of each (user, chat) is found before the chats the user has are taken away: one key
+    # serves both, and a task passes on one row of it, however often a user was invited.
+    order = Window.partitionBy("user_id", "chat_id").orderBy("offset", "login", "chat_name")
+    first = invitations.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
+    return first.join(users_chats.select("user_id", "chat_id"), ["user_id", "chat_id"], "left_anti").select(
         "user_id",
         "chat_id",
         "chat_name",
@@ -259,7 +277,7 @@ def typing_now(writing: DataFrame, lifetime: str = "1 second", me: str | None =
 
 
 def chat_list_order(
-    log: DataFrame,
+    log: DataFrame | LaidOutLog,
     users_chats: DataFrame,
     offset_columns: Sequence[str],
     per_block: int | None = None,
