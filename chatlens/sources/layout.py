@@ -2,7 +2,7 @@
 
 A cell is a run of ``per_cell`` offsets of one partition. Records are bucketed by (chat_id, partition, cell)
 and sorted by offset inside, so whatever meets them by cell needs no shuffle of the log, and a busy chat
-lies in all buckets. Beside the records a summary keeps one row per cell; totals over many cells read
+lies in all buckets. Beside the records a summary keeps one row per cell and addition; totals over many cells read
 it instead of the records.
 """
 
@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.plans import discard, scratch_path, with_running
+from chatlens.plans import discard, materialize, scratch_path, with_running
 
 PER_CELL = 256
 CELLS_PER_BLOCK = 65_536
@@ -52,11 +52,16 @@ class LaidOutLog:
         Records are read in the cells that hold a cursor; all cells after them count by their summary.
         """
         record = ["chat_id", "partition", "offset"]
+        spark = positions.sparkSession
+        # Read three times below, so it is written once.
         places = positions.select(*record).distinct().withColumn(CELL, cell_of("offset", self.per_cell))
+        places = materialize(places, scratch_path(spark, "places"))
         held = self.in_cells.select(*KEYS, F.col("offset").alias("_at"), F.unix_millis("server_time").alias("_ms"))
-        near = places.hint("merge").join(held, KEYS).filter(F.col("_at") >= F.col("offset"))
+        held = held.withColumnsRenamed({name: f"_{name}" for name in KEYS})
+        meet = [F.col(name) == F.col(f"_{name}") for name in KEYS]
+        near = places.hint("merge").join(held, [*meet, F.col("_at") >= F.col("offset")], "left")
         near = near.groupBy(*KEYS, "offset").agg(
-            F.count(F.lit(1)).alias("_n"), F.max("_at").alias("_last"), F.max("_ms").alias("_newest")
+            F.count("_at").alias("_n"), F.max("_at").alias("_last"), F.max("_ms").alias("_newest")
         )
         known = self.cells.select(*KEYS, "records", "last_offset", "newest_ms", F.lit(1).alias("_known"))
         asked = places.select(*KEYS).distinct().withColumn("_known", F.lit(0))
@@ -71,9 +76,9 @@ class LaidOutLog:
             descending=True,
         )
         later = later.filter("_known = 0").select(*KEYS, "_more", "_end", "_latest")
-        answers = places.join(near.hint("merge"), [*KEYS, "offset"], "left").join(later.hint("merge"), KEYS, "left").select(
+        answers = near.join(later.hint("merge"), KEYS).select(
             *record,
-            (F.coalesce("_n", F.lit(0)) + F.coalesce("_more", F.lit(0))).alias("unread"),
+            (F.col("_n") + F.coalesce("_more", F.lit(0))).alias("unread"),
             F.coalesce("_end", "_last").alias("last_offset"),
             F.greatest("_newest", "_latest").alias("newest_ms"),
         )
@@ -105,10 +110,8 @@ def _fields(df: DataFrame) -> str:
 def open_layout(spark: SparkSession, path: str, schema: str, buckets: int, per_cell: int = PER_CELL) -> LaidOutLog:
     """A layout written before; ``schema`` lists the columns of the records and the cell."""
     name = _register(spark, f"{path}/records", schema, buckets)
-    # Every addition wrote a summary of its own.
-    written = spark.read.parquet(f"{path}/cells")
-    cells = written.groupBy(*KEYS).agg(F.sum("records").alias("records"), F.max("last_offset").alias("last_offset"), F.max("newest_ms").alias("newest_ms"))
-    return LaidOutLog(name, path, spark.table(name), cells, buckets, per_cell)
+    # Every addition wrote a summary of its own, so a cell may have several rows; all uses add them up.
+    return LaidOutLog(name, path, spark.table(name), spark.read.parquet(f"{path}/cells"), buckets, per_cell)
 
 
 def add_records(log: DataFrame, path: str, buckets: int, per_cell: int = PER_CELL, mode: str = "append") -> str:
