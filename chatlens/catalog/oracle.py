@@ -315,6 +315,15 @@ _BODIES: dict[str, str] = {
 # The same results with a cut forced on every group.
 for _name in ("unread_count", "chat_list_order", "late_records", "chats_with_members", "pagerank"):
     _BODIES[f"{_name}_cut"] = _BODIES[_name]
+_BODIES["apply_offset_updates_streamed"] = _BODIES["apply_offset_updates"]
+_BODIES["stream_updates_compacted"] = _BODIES["stream_avg_words_updates"]
+_BODIES["late_records_streamed"] = f"""SELECT * FROM (
+        SELECT chat_id, user_id, server_time, arrival,
+            max({ms('server_time')}) OVER (PARTITION BY chat_id ORDER BY arrival ROWS UNBOUNDED PRECEDING) AS stream_time_ms,
+            {ms('server_time')} // 60000 * 60000 + 60000 AS window_end_ms
+        FROM (SELECT chat_id, user_id, arrival,
+                make_timestamp(epoch_us(server_time) - 1000 * (epoch_us(server_time) - epoch_us(message_time))) AS server_time
+              FROM delay_messages) AS sent) AS marked WHERE window_end_ms + 5 <= stream_time_ms"""
 for _name in ("unread_count", "unread_messages", "history_page", "next_offsets", "chat_list_order"):
     _BODIES[f"{_name}_bucketed"] = _BODIES[_name]
 

@@ -15,7 +15,17 @@ from chatlens.plans import scratch_path
 from chatlens.session import prepare
 from chatlens.sources import fixtures as fx
 from chatlens.sources import layout, log
-from chatlens.streaming import latest_rows, run_available, to_csv, to_table, to_versions
+from chatlens.streaming import (
+    VersionedTable,
+    latest_rows,
+    run_available,
+    to_compacted,
+    to_csv,
+    to_keyed,
+    to_kept_and_late,
+    to_table,
+    to_versions,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -122,6 +132,57 @@ def stream_avg_words_updates(spark, sf):
     return latest_rows(spark, f"{root}/table", result.schema, ["window_start", "window_end", "zone_id"])
 
 
+@query
+def stream_updates_compacted(spark, sf):
+    """The same with versions folded into a snapshot after every batch."""
+    root = scratch_path(spark, "compacted")
+    result, keys = windows.split_window(windows.avg_words_windowed(_event_stream(spark, sf), "zone_id")), ["window_start", "window_end", "zone_id"]
+    run_available(to_compacted(result, f"{root}/table", keys, compact_every=1), "words", root)
+    return VersionedTable(spark, f"{root}/table", result.schema, keys).state()
+
+
+def _in_thirds(df, arrival):
+    """The rows in three parts of rising ``arrival``, as they would come one after another."""
+    low, high = df.agg(F.percentile_approx(arrival, [1 / 3, 2 / 3])).first()[0]
+    return [df.filter(F.col(arrival) <= low), df.filter((F.col(arrival) > low) & (F.col(arrival) <= high)), df.filter(F.col(arrival) > high)]
+
+
+@query
+def late_records_streamed(spark, sf):
+    """Late records of a live log that comes in three parts, by one stream time per chat."""
+    root, server_us = scratch_path(spark, "grace"), F.unix_micros(F.col("server_time").cast("timestamp"))
+    # A message of n milliseconds delay counts as sent n seconds before, so that some come late.
+    delay_us = server_us - F.unix_micros(F.col("message_time").cast("timestamp"))
+    messages = fx.delay_messages(spark, sf).select(
+        "chat_id", "user_id", F.timestamp_micros(server_us - delay_us * 1000).alias("server_time"), "arrival"
+    )
+    for part in _in_thirds(messages, "arrival"):
+        part.write.mode("append").parquet(f"{root}/log")
+        log_stream = spark.readStream.schema(messages.schema).parquet(f"{root}/log")
+        run_available(to_kept_and_late(log_stream, f"{root}/table", "arrival", ["chat_id"]), "grace", root)
+    marked = spark.read.parquet(f"{root}/table").filter("late")
+    return marked.select(*messages.columns, "stream_time_ms", "window_end_ms")
+
+
+@query
+def apply_offset_updates_streamed(spark, sf):
+    """Updates that come in three parts, applied to the stored memberships."""
+    root, keys = scratch_path(spark, "memberships"), ["user_id", "chat_id"]
+    members = fx.users_chats(spark, sf).withColumn("accepted", F.lit(None).cast("long"))
+    updates = fx.offset_updates(spark, sf)
+    held = VersionedTable(spark, f"{root}/table", members.schema, keys)
+    held.load(members)
+
+    def merge(stored, changes):
+        return cur.apply_offset_updates(stored, changes, fx.OFFSETS, "accepted")
+
+    for part in _in_thirds(updates, "arrival"):
+        part.write.mode("append").parquet(f"{root}/changes")
+        changes = spark.readStream.schema(updates.schema).parquet(f"{root}/changes")
+        run_available(to_keyed(changes, f"{root}/table", members.schema, keys, merge), "updates", root)
+    return held.state().drop("accepted")
+
+
 @query
 def encode_delay(spark, sf):
     by_window = windows.split_window(

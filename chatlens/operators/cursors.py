@@ -166,13 +166,18 @@ def next_offsets(log: DataFrame | LaidOutLog, positions: DataFrame) -> DataFrame
     )
 
 
-def apply_offset_updates(users_chats: DataFrame, updates: DataFrame, offset_columns: Sequence[str]) -> DataFrame:
+def apply_offset_updates(
+    users_chats: DataFrame, updates: DataFrame, offset_columns: Sequence[str], accepted_sum: str | None = None
+) -> DataFrame:
     """Memberships after a series of client updates.
 
     ``updates``: (user_id, chat_id, last_message_time, partition_offsets, arrival). An update
     counts only if its offset sum exceeds that of everything accepted before, so of a series
     the first one with the largest sum remains. What is stored is each offset plus one.
     Updates for unknown chats have no effect.
+
+    ``accepted_sum`` names a column of the memberships that holds the sum of the last accepted update, null before
+    the first; with it a series may come in several parts.
     """
     # One number orders the updates, largest sum and then earliest arrival first, so the aggregate
     # keeps numbers only. A partition named twice counts with its larger offset, one without a number not at all.
@@ -193,12 +198,14 @@ def apply_offset_updates(users_chats: DataFrame, updates: DataFrame, offset_colu
         *[F.max_by(f"_new_{name}", "_key").alias(f"_new_{name}") for name in offset_columns],
     )
     stored = sum((F.col(name) for name in offset_columns[1:]), F.col(offset_columns[0]))
-    accepted = F.col("_total") > stored
+    accepted = F.col("_total") > (F.coalesce(accepted_sum, stored) if accepted_sum else stored)
     changed = {
         name: F.when(accepted, F.coalesce(F.col(f"_new_{name}") + 1, F.col(name))).otherwise(F.col(name))
         for name in offset_columns
     }
     changed["message_time"] = F.when(accepted, F.col("_time")).otherwise(F.col("message_time"))
+    if accepted_sum:
+        changed[accepted_sum] = F.when(accepted, F.col("_total").cast("long")).otherwise(F.col(accepted_sum))
     joined = users_chats.join(best, ["user_id", "chat_id"], "left")
     return joined.select(*[changed[name].alias(name) if name in changed else F.col(name) for name in users_chats.columns])
 

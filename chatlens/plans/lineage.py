@@ -25,3 +25,23 @@ def discard(spark: SparkSession, path: str) -> None:
     """Remove a table that nothing reads any more."""
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [entry.getPath().getName() for entry in system.listStatus(location)] if system.exists(location) else []
+
+
+def publish(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that appears whole under its name, by renaming."""
+    paths = spark._jvm.org.apache.hadoop.fs
+    folder, name = path.rsplit("/", 1)
+    hidden, final = paths.Path(f"{folder}/.{name}-{uuid.uuid4().hex}"), paths.Path(path)
+    system = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(hidden, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not system.rename(hidden, final):
+        raise OSError(f"could not publish {path}")

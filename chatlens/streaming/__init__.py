@@ -8,3 +8,5 @@ from chatlens.streaming.sinks import (  # noqa: F401
     to_table,
     to_versions,
 )
+from chatlens.streaming.grace import mark_late, to_kept_and_late  # noqa: F401
+from chatlens.streaming.versions import VersionedTable, to_compacted, to_keyed  # noqa: F401

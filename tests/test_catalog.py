@@ -14,6 +14,7 @@ SF = "/root/testdata/sf0.001"
 QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
 # These run jobs when called and return a finished table.
 EAGER = {"sink_table", "sink_csv", "stream_avg_words_updates", "pagerank", "pagerank_reversed", "pagerank_symmetric", "pagerank_cut"}
+EAGER |= {"stream_updates_compacted", "late_records_streamed", "apply_offset_updates_streamed"}
 
 
 @pytest.fixture(scope="module")
