@@ -315,6 +315,24 @@ _BODIES: dict[str, str] = {
 # The same results with a cut forced on every group.
 for _name in ("unread_count", "chat_list_order", "late_records", "chats_with_members", "pagerank"):
     _BODIES[f"{_name}_cut"] = _BODIES[_name]
+_BODIES["search_users_indexed"] = """SELECT pattern, user_id, login FROM users, (
+        SELECT pattern FROM (VALUES ('supplier#0+1'), ('[1-3]0$'), ('99')) p(pattern)
+        UNION SELECT right(c_name, 4) || '$' FROM customer) AS wanted
+    WHERE regexp_matches(login, '(?i)' || pattern)"""
+_BODIES["typing_intervals"] = """SELECT chat_id, user_id AS writer_id, min(login) AS writer_login, min(server_time) AS typing_from,
+        max(server_time) + INTERVAL 1 HOUR AS typing_until, count(*) AS signals
+    FROM (SELECT *, sum(fresh) OVER (PARTITION BY chat_id, user_id ORDER BY server_time, arrival ROWS UNBOUNDED PRECEDING) AS island
+          FROM (SELECT *, CASE WHEN server_time <= lag(server_time) OVER (PARTITION BY chat_id, user_id ORDER BY server_time, arrival)
+                    + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM delay_messages) AS marked) AS islands
+    GROUP BY chat_id, user_id, island"""
+_BODIES["merge_old_new_streamed"] = _BODIES["merge_old_new"]
+_BODIES["avg_delay_by_user_panes"] = _BODIES["avg_delay_by_user"]
+_BODIES["delay_metrics_panes"] = " UNION ALL ".join([
+    *[f"SELECT window_start, window_end, '{key}' AS metric, {key} AS key, avg_diff_time_ms AS value FROM ({_delay(key)}) AS by_{key}"
+      for key in ("user_id", "zone_id")],
+    f"""SELECT window_start, {_SLIDE_END}, 'messages' AS metric, 'all' AS key, CAST(count(*) AS DOUBLE) AS value
+        FROM sliding GROUP BY window_start""",
+])
 _BODIES["apply_offset_updates_streamed"] = _BODIES["apply_offset_updates"]
 _BODIES["stream_updates_compacted"] = _BODIES["stream_avg_words_updates"]
 _BODIES["late_records_streamed"] = f"""SELECT * FROM (

@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from chatlens import functions as fn
 from chatlens.operators import cursors as cur
-from chatlens.operators import encode, graph, relational, routing, windows
-from chatlens.plans import scratch_path
+from chatlens.operators import encode, graph, relational, routing, search, windows
+from chatlens.plans import materialize, scratch_path
 from chatlens.session import prepare
 from chatlens.sources import fixtures as fx
 from chatlens.sources import layout, log
@@ -255,6 +255,14 @@ def search_users(spark, sf):
     return relational.search_users(fx.users(spark, sf), LOGIN_PATTERNS)
 
 
+@query
+def search_users_indexed(spark, sf):
+    """The patterns above, and the last four characters of every customer's name: thousands at once."""
+    given = spark.createDataFrame([(pattern,) for pattern in LOGIN_PATTERNS], "pattern string")
+    names = fx.table(spark, sf, "customer").select(F.concat(F.right("c_name", F.lit(4)), F.lit("$")).alias("pattern"))
+    return search.search_users_indexed(fx.users(spark, sf), given.unionByName(names))
+
+
 @query
 def user_sessions(spark, sf):
     return relational.user_sessions(fx.sessions(spark, sf), fx.users(spark, sf))
@@ -472,6 +480,27 @@ def edge_count(spark, sf):
 # --- windows --------------------------------------------------------------------------
 
 
+def _panes(spark, sf):
+    """One stored table of panes by user and zone."""
+    panes = windows.delay_panes(fx.delay_messages(spark, sf), "user_id", "zone_id")
+    return materialize(panes, scratch_path(spark, "panes"))
+
+
+@query
+def avg_delay_by_user_panes(spark, sf):
+    return windows.delay_from_panes(windows.delay_panes(fx.delay_messages(spark, sf), "user_id"), "user_id")
+
+
+@query
+def delay_metrics_panes(spark, sf):
+    """Delay by user and by zone, and the number of messages, from one table of panes."""
+    panes = _panes(spark, sf)
+    by = [windows.delay_from_panes(panes, key).withColumnRenamed(key, "key").withColumn("metric", F.lit(key)) for key in ("user_id", "zone_id")]
+    count = windows.num_messages_from_panes(panes).withColumn("avg_diff_time_ms", F.col("num_of_messages_per_time").cast("double"))
+    count = count.drop("num_of_messages_per_time").withColumns({"key": F.lit("all"), "metric": F.lit("messages")})
+    return by[0].unionByName(by[1]).unionByName(count).select("window_start", "window_end", "metric", "key", F.col("avg_diff_time_ms").alias("value"))
+
+
 @query
 def avg_delay(spark, sf):
     return windows.avg_delay(fx.delay_messages(spark, sf))
@@ -666,6 +695,12 @@ def typing_now(spark, sf):
     return cur.typing_now(fx.writing(spark, sf))
 
 
+@query
+def typing_intervals(spark, sf):
+    """Signals of one writer in a chat go on with an interval for an hour."""
+    return cur.typing_intervals(fx.writing(spark, sf), "1 hour")
+
+
 # --- orders and merging ---------------------------------------------------------------
 
 
@@ -712,6 +747,18 @@ def merge_old_new(spark, sf):
     return cur.merge_old_new(loaded, older)
 
 
+@query
+def merge_old_new_streamed(spark, sf):
+    """The same on two streams; the older page comes first here, and its records again with the loaded ones."""
+    root, records = scratch_path(spark, "merge"), fx.message_log(spark, sf)
+    records = records.withColumn("server_time", F.col("server_time").cast("timestamp"))
+    records.filter(F.col("server_time") >= F.lit("1998-01-01").cast("timestamp")).write.parquet(f"{root}/loaded")
+    records.filter(F.col("server_time") < F.lit("1999-01-01").cast("timestamp")).write.parquet(f"{root}/older")
+    streams = [spark.readStream.schema(records.schema).parquet(f"{root}/{name}") for name in ("loaded", "older")]
+    run_available(to_table(cur.merge_old_new_stream(*streams, "4000 days"), f"{root}/table"), "merged", root)
+    return spark.read.parquet(f"{root}/table").select(*records.columns)
+
+
 # --- graph ----------------------------------------------------------------------------
 
 

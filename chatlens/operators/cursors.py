@@ -280,6 +280,33 @@ def typing_now(writing: DataFrame, lifetime: str = "1 second", me: str | None =
     )
 
 
+def typing_intervals(
+    writing: DataFrame, lifetime: str = "1 second", me: str | None = None, watermark: str | None = None
+) -> DataFrame:
+    """From when until when each writer was typing in a chat: (chat_id, writer_id, writer_login, typing_from, typing_until, signals).
+
+    A signal lasts for ``lifetime``; one that comes while, or just as, the one before it ends goes on with the interval.
+    An interval so ends a lifetime after its last signal. On a stream it appears once the watermark has passed its
+    end; without ``watermark`` it appears in update mode only.
+    """
+    if me is not None:
+        writing = writing.filter(F.col("writer_id") != F.lit(me))
+    if watermark is not None and writing.isStreaming:
+        writing = writing.withWatermark("server_time", watermark)
+    return (
+        writing.groupBy(F.session_window("server_time", lifetime).alias("_typing"), "chat_id", "writer_id")
+        .agg(F.min("writer_login").alias("writer_login"), F.count(F.lit(1)).alias("signals"))
+        .select(
+            "chat_id",
+            "writer_id",
+            "writer_login",
+            F.col("_typing.start").alias("typing_from"),
+            F.col("_typing.end").alias("typing_until"),
+            "signals",
+        )
+    )
+
+
 # --- orders ---------------------------------------------------------------------------
 
 
@@ -312,3 +339,12 @@ def timeline(messages: DataFrame) -> DataFrame:
 def merge_old_new(loaded: DataFrame, older: DataFrame) -> DataFrame:
     """Loaded records with an older page added; a record present in both appears once."""
     return loaded.unionByName(older.select(*loaded.columns)).dropDuplicates(_RECORD)
+
+
+def merge_old_new_stream(loaded: DataFrame, older: DataFrame, watermark: str) -> DataFrame:
+    """The same on streams: a record that comes again within ``watermark`` of event time appears once.
+
+    The state forgets a record once the watermark has passed it, so it is bounded however long the streams run.
+    """
+    both = loaded.unionByName(older.select(*loaded.columns))
+    return both.withWatermark("server_time", watermark).dropDuplicatesWithinWatermark(_RECORD)

@@ -85,6 +85,41 @@ def num_messages(messages: DataFrame) -> DataFrame:
     )
 
 
+# A sliding window is a whole number of panes: each pane is added up once, and windows are put together from panes.
+
+
+def delay_panes(messages: DataFrame, *keys: str) -> DataFrame:
+    """Sums per pane of one slide and ``keys``: (pane, *keys, diff_sum, messages, delays).
+
+    One table by all keys feeds every metric by some of them; store it where several are wanted.
+    """
+    pane = F.window("server_time", DELAY_SLIDE)
+    sums = with_delay(messages, *keys).groupBy(pane.alias("_pane"), *keys).agg(
+        F.sum("diff_time_ms").alias("diff_sum"), F.count("diff_time_ms").alias("delays"), F.count(F.lit(1)).alias("messages")
+    )
+    return sums.select(F.col("_pane.start").alias("pane"), *keys, "diff_sum", "delays", "messages")
+
+
+def _from_panes(panes: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
+    # Panes are few beside messages, so only they are doubled.
+    summed = panes.groupBy("pane", *keys).agg(*[F.sum(name).alias(name) for name in ("diff_sum", "delays", "messages")])
+    starts = F.array(F.col("pane"), F.col("pane") - F.expr(f"INTERVAL {DELAY_SLIDE}"))
+    spread = summed.select(*keys, "diff_sum", "delays", "messages", F.explode(starts).alias("window_start"))
+    totals = spread.groupBy("window_start", *keys).agg(*[expr.alias(name) for name, expr in aggs.items()])
+    end = (F.col("window_start") + F.expr(f"INTERVAL {DELAY_SIZE}")).alias("window_end")
+    return totals.select("window_start", end, *keys, *aggs)
+
+
+def delay_from_panes(panes: DataFrame, *keys: str) -> DataFrame:
+    """``avg_delay_by_user`` and its like from a table of panes."""
+    average = F.sum("diff_sum").cast("double") / F.nullif(F.sum("delays"), F.lit(0))
+    return _from_panes(panes, keys, {"avg_diff_time_ms": average})
+
+
+def num_messages_from_panes(panes: DataFrame) -> DataFrame:
+    return _from_panes(panes, (), {"num_of_messages_per_time": F.sum("messages")})
+
+
 def delays_by(messages: DataFrame, metrics: Mapping[str, str | None]) -> DataFrame:
     """Several delay metrics from one read: (window_start, window_end, metric, key, avg_diff_time_ms, messages).
 

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
 # These run jobs when called and return a finished table.
 EAGER = {"sink_table", "sink_csv", "stream_avg_words_updates", "pagerank", "pagerank_reversed", "pagerank_symmetric", "pagerank_cut"}
-EAGER |= {"stream_updates_compacted", "late_records_streamed", "apply_offset_updates_streamed"}
+EAGER |= {"stream_updates_compacted", "late_records_streamed", "apply_offset_updates_streamed", "merge_old_new_streamed"}
 
 
 @pytest.fixture(scope="module")
@@ -55,6 +55,19 @@ def test_windows_need_one_shuffle(spark):
         assert plan.count("Exchange hashpartitioning") == 1 and "partial_" in plan
 
 
+def test_panes_are_added_up_before_they_are_doubled(spark):
+    lines = plan_of(QUERIES["avg_delay_by_user_panes"](spark, SF)).splitlines()
+    doubled = max(at for at, line in enumerate(lines) if re.search("Generate explode|Expand", line))
+    # The plan is read from below: two aggregates of panes, then the doubling.
+    assert sum("HashAggregate" in line for line in lines[doubled:]) >= 2
+    assert not any("Expand" in line for line in lines)
+
+
+def test_invitations_are_read_once(spark):
+    plan = plan_of(QUERIES["new_chats_from_invitations"](spark, SF))
+    assert plan.count("FileScan") == 2
+
+
 @pytest.mark.parametrize("name", ["apply_offset_updates", "new_chats_from_invitations"])
 def test_no_sort_before_aggregates(spark, name):
     assert "SortAggregate" not in plan_of(QUERIES[name](spark, SF))

@@ -221,3 +221,60 @@ def test_an_unfinished_batch_is_not_read(spark, tmp_path):
     table.write(spark.createDataFrame([(1, 2)], schema), 1)
     (tmp_path / "batch_id=1" / "_SUCCESS").unlink()
     assert [row.v for row in table.state().collect()] == [1]
+
+
+# --- typing and merging --------------------------------------------------------------------
+
+WRITING = "chat_id string, writer_id string, writer_login string, server_time timestamp"
+
+
+def signals(*times, writer="w", chat="c"):
+    return [(chat, writer, f"login {writer}", START + dt.timedelta(milliseconds=ms)) for ms in times]
+
+
+def test_typing_goes_on_while_signals_come_and_ends_after_the_last(spark):
+    given = spark.createDataFrame(signals(0, 900, 1900, 2901, 5000) + signals(100, writer="me"), WRITING)
+    got = cursors.typing_intervals(given, "1 second", me="me").orderBy("typing_from").collect()
+    spans = [((r.typing_from - START).total_seconds(), (r.typing_until - START).total_seconds(), r.signals) for r in got]
+    # A signal just as the last one ends goes on (900 to 1900); a millisecond later is a new interval.
+    assert spans == [(0, 2.9, 3), (2.901, 3.901, 1), (5, 6, 1)]
+
+
+def test_typing_over_two_batches(spark, tmp_path):
+    from chatlens.streaming import to_table
+
+    files = Files(spark, tmp_path / "writing", WRITING)
+    files.add(signals(0, 800))
+    files.add(signals(1500, 9_000) + signals(300, writer="x"))  # goes on with the interval of the batch before
+    files.add(signals(60_000, writer="late"))
+    files.add(signals(90_000, writer="late"))
+    result = cursors.typing_intervals(files.stream(), "1 second", watermark="10 seconds")
+    run_available(to_table(result, str(tmp_path / "out")), "typing", str(tmp_path / "checkpoints"))
+    want = cursors.typing_intervals(files.batch(), "1 second").filter(F.col("writer_id") != "late")
+    got = spark.read.parquet(str(tmp_path / "out")).select(*want.columns).filter(F.col("writer_id") != "late")
+    assert rows(got) == rows(want) and got.count() == 3
+
+
+def test_merged_streams_hold_each_record_once(spark, tmp_path):
+    from chatlens.streaming import to_table
+
+    draw = random.Random(2)
+    records = [(f"c{i % 3}", i % 2, i, START + dt.timedelta(seconds=i), "x", i) for i in range(80)]
+    loaded, older = Files(spark, tmp_path / "loaded", LOG), Files(spark, tmp_path / "older", LOG)
+    for files, low, high in ((loaded, 30, 80), (older, 0, 50)):
+        for _ in range(2):  # files fed twice, records out of order
+            part = records[low:high]
+            draw.shuffle(part)
+            files.add(part[:20])
+            files.add(part[20:])
+
+    def run():
+        merged = cursors.merge_old_new_stream(loaded.stream(), older.stream(), "10 minutes")
+        run_available(to_table(merged, str(tmp_path / "out")), "merged", str(tmp_path / "checkpoints"))
+        return spark.read.parquet(str(tmp_path / "out"))
+
+    want = rows(cursors.merge_old_new(loaded.batch(), older.batch()))
+    columns = loaded.batch().columns
+    assert rows(run().select(*columns)) == want
+    older.add(records[:10])
+    assert rows(run().select(*columns)) == want
