@@ -15,6 +15,7 @@ from chatlens.plans import materialize, scratch_path
 from chatlens.session import prepare
 from chatlens.sources import fixtures as fx
 from chatlens.sources import layout, log
+from chatlens.sources.sessions import SessionDays
 from chatlens.streaming import (
     VersionedTable,
     latest_rows,
@@ -250,6 +251,29 @@ def purge_expired_sessions(spark, sf):
     return relational.purge_expired_sessions(fx.sessions(spark, sf), cutoffs)
 
 
+def _session_days(spark, sf):
+    found = fx.sessions(spark, sf)
+    held = SessionDays(spark, scratch_path(spark, "sessions"), found.schema)
+    held.add(found)
+    return held
+
+
+@query
+def purge_expired_sessions_by_day(spark, sf):
+    """The same as a rewrite of sessions stored by day of expiry."""
+    held = _session_days(spark, sf)
+    held.purge(fx.users(spark, sf).select("user_id", (F.lit(fx.NOW_MS) - F.col("user_num_id") * 3_600_000).alias("cutoff")))
+    return held.frame()
+
+
+@query
+def purge_all_sessions_by_day(spark, sf):
+    """One time for all users: older days are dropped unread."""
+    held = _session_days(spark, sf)
+    held.purge(fx.NOW_MS + 10_000_000)
+    return held.frame()
+
+
 @query
 def search_users(spark, sf):
     return relational.search_users(fx.users(spark, sf), LOGIN_PATTERNS)

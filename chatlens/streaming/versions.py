@@ -11,7 +11,6 @@ the parts with changes.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -20,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from chatlens.plans.lineage import discard, listed, publish
+from chatlens.plans.lineage import discard, listed
+from chatlens.plans.manifest import Manifests
 
 BATCH, PART = "batch_id", "part"
 PARTS = 16
@@ -30,17 +30,12 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], parts: int = PARTS):
         self.spark, self.path, self.schema, self.keys, self.parts = spark, path.rstrip("/"), schema, list(keys), parts
         self.values = [name for name in schema.fieldNames() if name not in keys]
+        self.manifests = Manifests(spark, self.path)
 
     # --- what there is ---
 
-    def manifests(self) -> list[str]:
-        return sorted(name for name in listed(self.spark, f"{self.path}/_manifests") if name.endswith(".json"))
-
-    def _manifest(self, name: str | None = None) -> dict:
-        names = [name] if name else self.manifests()
-        if not names:
-            return {"through": -1, PART: {}}
-        return json.loads(self.spark.read.text(f"{self.path}/_manifests/{names[-1]}", wholetext=True).first()[0])
+    def _manifest(self) -> dict:
+        return self.manifests.read() or {"through": -1, PART: {}}
 
     def folded(self) -> int:
         """The last batch that the snapshot holds, -1 without one."""
@@ -102,7 +97,7 @@ class VersionedTable:
 
     def load(self, rows: DataFrame) -> None:
         """Start a new table with these rows."""
-        if self.manifests():
+        if self.manifests.names():
             raise ValueError(f"{self.path} already holds a table")
         self._fold(rows.withColumn(BATCH, F.lit(-1).cast("long")), -1, {})
 
@@ -111,8 +106,7 @@ class VersionedTable:
         target = f"{self.path}/_snapshots/{folder}"
         rows.withColumn(PART, self.part_of()).repartition(self.parts, PART).write.partitionBy(PART).parquet(target)
         made = {name.split("=")[1]: folder for name in listed(self.spark, target) if name.startswith(f"{PART}=")}
-        text = json.dumps({"through": through, PART: kept | made})
-        publish(self.spark, f"{self.path}/_manifests/{through + 1:020d}.json", text)
+        self.manifests.publish(through + 1, {"through": through, PART: kept | made})
 
     def compact(self) -> None:
         """Fold all complete batches into the snapshot, then remove what neither this nor the state before needs."""
@@ -128,12 +122,7 @@ class VersionedTable:
 
     def clean(self) -> None:
         """Readers of the state before the last fold may still be at work, so its files stay until the next."""
-        names = self.manifests()
-        recent = [self._manifest(name) for name in names[-2:]]
-        if not recent:
-            return
-        for name in names[:-2]:
-            discard(self.spark, f"{self.path}/_manifests/{name}")
+        recent = self.manifests.recent()
         if len(recent) > 1:
             for name in listed(self.spark, self.path):
                 if name.startswith(f"{BATCH}=") and int(name.split("=")[1]) <= recent[0]["through"]:

@@ -15,6 +15,7 @@ QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
 # These run jobs when called and return a finished table.
 EAGER = {"sink_table", "sink_csv", "stream_avg_words_updates", "pagerank", "pagerank_reversed", "pagerank_symmetric", "pagerank_cut"}
 EAGER |= {"stream_updates_compacted", "late_records_streamed", "apply_offset_updates_streamed", "merge_old_new_streamed"}
+EAGER |= {"purge_expired_sessions_by_day", "purge_all_sessions_by_day"}
 
 
 @pytest.fixture(scope="module")
