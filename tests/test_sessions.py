@@ -12,7 +12,7 @@ SCHEMA = "session_id string, user_id string, validity_time long"
 
 
 def rows(df):
-    return sorted(map(str, (tuple(row) for row in df.collect())))
+    return sorted(map(str, (tuple(row) for row in df.select("session_id", "user_id", "validity_time").collect())))
 
 
 @pytest.fixture
