@@ -315,6 +315,8 @@ _BODIES: dict[str, str] = {
 # The same results with a cut forced on every group.
 for _name in ("unread_count", "chat_list_order", "late_records", "chats_with_members", "pagerank"):
     _BODIES[f"{_name}_cut"] = _BODIES[_name]
+for _name in ("route_inbound", "route_outbound", "decode_commands"):
+    _BODIES[f"{_name}_variant"] = _BODIES[_name]
 _BODIES["purge_expired_sessions_by_day"] = _BODIES["purge_expired_sessions"]
 _BODIES["purge_all_sessions_by_day"] = f"SELECT * FROM sessions WHERE validity_time >= {NOW_MS + 10_000_000}"
 _BODIES["search_users_indexed"] = """SELECT pattern, user_id, login FROM users, (

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from chatlens import functions as fn
 from chatlens.operators import cursors as cur
-from chatlens.operators import encode, graph, relational, routing, search, windows
+from chatlens.operators import encode, graph, relational, routing, search, variants, windows
 from chatlens.plans import materialize, scratch_path
 from chatlens.session import prepare
 from chatlens.sources import fixtures as fx
@@ -897,6 +897,25 @@ def decode_commands(spark, sf):
     )
 
 
+@query
+def route_inbound_variant(spark, sf):
+    routed = variants.route_inbound(variants.parse(fx.inbound_json(spark, sf)))
+    first = [F.try_variant_get("json", f"$.{path}", "string") for path in ("chatId", "message.chatId", "userId", "user.userId", "me.userId")]
+    return routed.select("arrival", "kind", F.coalesce(*first[:2]).alias("chat_id"), F.coalesce(*first[2:]).alias("sender"))
+
+
+@query
+def route_outbound_variant(spark, sf):
+    routed = variants.route_outbound(variants.parse(fx.outbound_json(spark, sf)), me="user_id")
+    return routed.select("arrival", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query
+def decode_commands_variant(spark, sf):
+    decoded = variants.decode_commands(variants.parse(fx.command_json(spark, sf)))
+    return decoded.select("arrival", "command", F.try_variant_get("json", "$.chatName", "string").alias("chat_name"))
+
+
 @query
 def encode_profile(spark, sf):
     profile = relational.user_profile(
