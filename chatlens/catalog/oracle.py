@@ -315,6 +315,10 @@ _BODIES: dict[str, str] = {
 # The same results with a cut forced on every group.
 for _name in ("unread_count", "chat_list_order", "late_records", "chats_with_members", "pagerank"):
     _BODIES[f"{_name}_cut"] = _BODIES[_name]
+_BODIES["records_since"] = """SELECT m.* FROM message_log m
+    JOIN (SELECT chat_id, "partition", min("offset") AS low FROM positions GROUP BY chat_id, "partition") p
+    ON p.chat_id = m.chat_id AND p."partition" = m."partition" AND m."offset" >= p.low"""
+_BODIES["records_since_bucketed"] = _BODIES["records_since"]
 for _name in ("route_inbound", "route_outbound", "decode_commands"):
     _BODIES[f"{_name}_variant"] = _BODIES[_name]
 _BODIES["purge_expired_sessions_by_day"] = _BODIES["purge_expired_sessions"]

@@ -663,6 +663,17 @@ def unread_messages_bucketed(spark, sf):
     return cur.unread_messages(_laid_out(spark, sf), _positions(spark, sf))
 
 
+@query
+def records_since(spark, sf):
+    """What a reader that starts from the stored positions fetches."""
+    return cur.records_since(fx.message_log(spark, sf), _positions(spark, sf))
+
+
+@query
+def records_since_bucketed(spark, sf):
+    return cur.records_since(_laid_out(spark, sf), _positions(spark, sf))
+
+
 @query
 def history_page(spark, sf):
     return cur.history_page(fx.message_log(spark, sf), _positions(spark, sf))

@@ -126,6 +126,21 @@ def unread_in_time_order(log: DataFrame | LaidOutLog, positions: DataFrame) -> D
     return unread_messages(log, positions).orderBy("user_id", "server_time", *_RECORD)
 
 
+def records_since(log: DataFrame | LaidOutLog, positions: DataFrame) -> DataFrame:
+    """The records that somebody has still to read, once each: those at or after the smallest position of their partition.
+
+    This is what a reader fetches that starts from the stored positions. Of a laid-out log, cells before them
+    are told by the summary, and nothing of the log is shuffled.
+    """
+    starts = positions.groupBy("chat_id", "partition").agg(F.min("offset").alias("_from"))
+    if isinstance(log, LaidOutLog):
+        wanted = log.cells.select("chat_id", "partition", CELL).distinct().join(starts, ["chat_id", "partition"])
+        wanted = wanted.filter(F.col(CELL) >= _block("_from", log.per_cell))
+        found = log.in_cells.join(wanted.hint("merge"), ["chat_id", "partition", CELL])
+        return found.filter(F.col("offset") >= F.col("_from")).select(*log.records.columns)
+    return log.join(starts.hint("merge"), ["chat_id", "partition"]).filter(F.col("offset") >= F.col("_from")).select(*log.columns)
+
+
 # --- history --------------------------------------------------------------------------
 
 
