@@ -3,11 +3,15 @@
 A small network sees two words on each side of a masked word and predicts it; the sum of the
 log-probabilities of all words of a document is its score. A word is predicted in two steps: the
 network predicts its class, corpus counts give the word within its class. Counts belong to the full
-64-bit hash of a word and lie in a table. The most frequent words have classes of their own, the
-others share classes by ranges of their count; the number of classes grows with the square root of
-the number of distinct words. Counts and network come from all documents, and every word of them is
-a target of the training once a round: every task trains on its documents, starting from the same
-parameters, and the results are averaged.
+64-bit hash of a word and lie in a table.
+
+Classes follow the company that words keep. The most frequent words have classes of their own and are
+clustered by the words around them; every other word joins the cluster that its neighbours speak for,
+and shares a class with words of its cluster and of like count. Classes of a cluster follow each
+other, so the first step of the network is near to a choice of cluster. The number of classes grows
+with the square root of the number of distinct words. Counts, clusters and network come from all
+documents, and every word of them is a target of the training once a round: every task trains on its
+documents, starting from the same parameters, and the results are averaged.
 """
 
 from __future__ import annotations
@@ -15,13 +19,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.llm.common import Scratch, hash_words, slices, table
 
-# Places of a model that is given as arrays over hashes, see ``scores``.
-VOCABULARY = 1 << 20
 # Classes of a small corpus; larger ones have the square root of their distinct words.
 CLASSES = 128
 HIDDEN = 32
@@ -30,21 +32,26 @@ SIDE = 2
 MASKED = 8
 ROUNDS = 1
 RATE = 0.08
-BATCH = 4096
-# Bytes of text in one row of encoded words, and words that share one dictionary.
+# Words of a step of training: few at first, then more.
+FIRST_BATCH, BATCH = 512, 4096
+# Bytes of text hashed at a time, and words that share one dictionary and one row.
 STRETCH = 1 << 20
 DICTIONARY = 1 << 20
+# Columns that own words are dealt to where neighbours are counted.
+BUCKETS = 128
+# Rounds of k-means, and of votes within a dictionary.
+MEANS = 20
+VOTES = 2
+# Bounds of a class of counts: so many for each doubling.
+STEPS = 8
+# Values in one row of a sum over tasks.
+BLOCK = 1 << 16
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
     return [b"" if text is None else text for text in column.cast(pa.binary()).to_pylist()]
 
 
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    hashes, counts = hash_words(texts)
-    return (hashes & np.uint64(VOCABULARY - 1)).astype(np.int64), counts
-
-
 def _planes(values: np.ndarray) -> bytes:
     """The bytes of 32-bit values, first all lowest ones; the highest are mostly zero and compress well."""
     return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
@@ -55,23 +62,21 @@ def _unplaned(data: pa.Buffer) -> np.ndarray:
 
 
 def encoded(docs: DataFrame) -> DataFrame:
-    """Rows of consecutive documents: part, doc_ids, counts (words of each) and local (places of all
-    words in the dictionary of the part). One row of a part has the dictionary, words and n of each."""
+    """Rows of consecutive documents: part, doc_ids, counts (words of each), local (places of all words
+    in the row's dictionary), words (the dictionary) and n (how often each occurs)."""
 
     def encode(batches):
         held, size, number = [], 0, 0
 
-        def flush():
+        def row():
             part = (TaskContext.get().partitionId() << 32) + number
             found = pa.array(np.concatenate([hashes for _, _, hashes in held]).view(np.int64)).dictionary_encode()
             local = found.indices.to_numpy()
             words, n = found.dictionary.to_numpy(), np.bincount(local, minlength=len(found.dictionary)).astype(np.int64)
-            start = 0
-            for at, (ids, counts, hashes) in enumerate(held):
-                stop = start + len(hashes)
-                row = [[part], [ids], [counts], [_planes(local[start:stop])], [None if at else words.tobytes()], [None if at else n.tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, field.type) for x, field in zip(row, encode.schema, strict=True)], schema=encode.schema)
-                start = stop
+            ids = [doc for some, _, _ in held for doc in some]
+            counts = np.concatenate([some for _, some, _ in held])
+            cells = [[part], [ids], [counts], [_planes(local)], [words.tobytes()], [n.tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(x, field.type) for x, field in zip(cells, encode.schema, strict=True)], schema=encode.schema)
 
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
@@ -82,11 +87,11 @@ def encoded(docs: DataFrame) -> DataFrame:
                     held.append((few.column("doc_id").slice(low, high - low).to_pylist(), counts, hashes))
                     size += len(hashes)
                     if size >= DICTIONARY:
-                        yield from flush()
+                        yield row()
                         held, size, number = [], 0, number + 1
                         pa.default_memory_pool().release_unused()
         if held:
-            yield from flush()
+            yield row()
 
     long = pa.list_(pa.int64())
     kinds = {"part": pa.int64(), "doc_ids": long, "counts": long, "local": pa.binary(), "words": pa.binary(), "n": pa.binary()}
@@ -95,96 +100,251 @@ def encoded(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(encode, "part long, doc_ids array<long>, counts array<long>, local binary, words binary, n binary")
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """Per word of a part (``encoded``): part, at, word, n in the part and total, its count in all texts."""
+def word_totals(rows: DataFrame) -> DataFrame:
+    """word and total, its count in all texts, from the rows of ``encoded``."""
 
     def flat(batches):
         for batch in batches:
-            for part, words, n in zip(*batch.columns, strict=True):
-                part, words, n = part.as_py(), np.frombuffer(words.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int64)
+            for words, n in zip(*batch.columns, strict=True):
+                words, n = np.frombuffer(words.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int64)
+                for low in range(0, len(words), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(words[low : low + 100_000]), pa.array(n[low : low + 100_000])], ["word", "n"])
+
+    return rows.select("words", "n").mapInArrow(flat, "word long, n long").groupBy("word").agg(F.sum("n").alias("total"))
+
+
+def _blocks(values: np.ndarray):
+    for at, low in enumerate(range(0, len(values), BLOCK)):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([at], pa.int32()), pa.array([values[low : low + BLOCK].astype("<f8").tobytes()], pa.binary())], ["at", "block"]
+        )
+
+
+def summed(blocks: DataFrame, size: int) -> np.ndarray:
+    """The sum of the vectors that tasks give in rows of ``_blocks``, added up in two steps."""
+
+    def add(batches):
+        held = {}
+        for batch in batches:
+            for at, block in zip(batch.column("at").to_pylist(), batch.column("block"), strict=True):
+                values = np.frombuffer(block.as_buffer(), "<f8")
+                held[at] = held[at] + values if at in held else values
+        for at, values in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["at", "block"])
+
+    kind = "at int, block binary"
+    first = blocks.withColumn("salt", F.spark_partition_id() % 32).repartition("at", "salt").select("at", "block").mapInArrow(add, kind)
+    found = first.repartition("at").mapInArrow(add, kind).toArrow()
+    total = np.zeros(size)
+    for at, block in zip(found.column("at").to_pylist(), found.column("block").to_pylist(), strict=True):
+        total[at * BLOCK : at * BLOCK + len(block) // 8] = np.frombuffer(block, "<f8")
+    return total
+
+
+class Own:
+    """The words with classes of their own, most frequent first, and how many classes there are."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, number: int):
+        self.counts, self.number = counts, number
+        self.order = np.argsort(words)
+        self.sorted = words[self.order]
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """The place of each word among the own ones, or -1."""
+        if not len(self.sorted):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == words, self.order[at], -1)
+
+
+def own_words(words: DataFrame) -> Own:
+    """The most frequent words of ``word_totals``: three quarters of the classes."""
+    distinct = words.count()
+    number = max(CLASSES, int(np.ceil(np.sqrt(distinct))))
+    top = words.orderBy(F.desc("total"), "word").limit(number * 3 // 4).collect()
+    return Own(np.array([x["word"] for x in top], np.int64), np.array([x["total"] for x in top], np.int64), number)
+
+
+def _sequence(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a row's dictionary, places of its words there, and these in a sequence with edges, and where."""
+    words, local = np.frombuffer(row["words"], np.int64), _unplaned(row["local"]).astype(np.int64)
+    return words, local, *_contexts(local, np.asarray(row["counts"]), len(words))
+
+
+def neighbours(rows: DataFrame, own: Own) -> np.ndarray:
+    """Per own word, how often words of each bucket of own words stand in its window."""
+    shared, size = rows.sparkSession.sparkContext.broadcast(own), len(own.counts) * BUCKETS
+
+    def count(batches):
+        known, total = shared.value, np.zeros(size)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                words, _, padded, place = _sequence({name: batch.column(name)[at].as_py() if name == "counts" else batch.column(name)[at].as_buffer()
+                                                     for name in batch.schema.names})
+                mine = np.append(known.find(words), -1)[padded]
+                place = place[mine[place] >= 0]
+                for shift in _SHIFTS:
+                    other = mine[place + shift]
+                    met = other >= 0
+                    total += np.bincount(mine[place[met]] * BUCKETS + other[met] % BUCKETS, minlength=size)
+        yield from _blocks(total)
+
+    found = rows.select("counts", "local", "words").mapInArrow(count, "at int, block binary")
+    return summed(found, size).reshape(-1, BUCKETS)
+
+
+def clusters(seen: np.ndarray, number: int) -> np.ndarray:
+    """k-means of the rows of ``seen`` by the roots of their shares; far rows with many counts start clusters."""
+    weight = seen.sum(axis=1)
+    points = np.sqrt(seen / np.maximum(weight, 1)[:, None])
+    weight = np.sqrt(weight) + 1e-9
+    chosen = [int(weight.argmax())] if len(points) else []
+    far = np.full(len(points), np.inf)
+    while chosen and len(chosen) < min(number, len(points)):
+        far = np.minimum(far, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+        chosen.append(int((far * weight).argmax()))
+    centres, kind = points[chosen], np.zeros(len(points), np.int64)
+    for _ in range(MEANS if chosen else 0):
+        kind = ((centres**2).sum(axis=1) - 2 * points @ centres.T).argmin(axis=1)
+        for at in range(len(centres)):
+            mine = kind == at
+            if mine.any():
+                centres[at] = (points[mine] * weight[mine, None]).sum(axis=0) / weight[mine].sum()
+    return kind
+
+
+def evidence(seen: np.ndarray, kind: np.ndarray, number: int) -> np.ndarray:
+    """Per bucket and cluster, the log of how much likelier the bucket is near a word of the cluster; a last row of zeros."""
+    counts = np.zeros((number, BUCKETS))
+    np.add.at(counts, kind, seen)
+    base = (counts.sum(axis=0) + 1) / (counts.sum() + BUCKETS)
+    shares = (counts + 5 * base) / (counts.sum(axis=1, keepdims=True) + 5)
+    return np.vstack([np.log(shares / base).T, np.zeros(number)]).astype(np.float32)
+
+
+def votes(words: np.ndarray, local: np.ndarray, padded: np.ndarray, place: np.ndarray, own: np.ndarray, kind: np.ndarray, speaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cluster of each word of a dictionary, and by how much it leads.
+
+    First the own words around a word speak, by ``speaks``; then all words around it, as far as their own
+    clusters are sure and clusters differ in the company they keep.
+    """
+    number = speaks.shape[1]
+    order = np.argsort(local, kind="stable")
+    heard = speaks[np.append(np.where(own >= 0, own % BUCKETS, BUCKETS), BUCKETS)]
+    sure = np.flatnonzero(own >= 0)
+    for last in range(VOTES):
+        scores = np.zeros((len(words), number), np.float32)
+        for low in range(0, len(order), 1 << 16):
+            part = order[low : low + (1 << 16)]
+            spots, mine = place[part], local[part]
+            said = heard[padded[spots + _SHIFTS[0]]]
+            for shift in _SHIFTS[1:]:
+                said += heard[padded[spots + shift]]
+            first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+            scores[mine[first]] += np.add.reduceat(said, first, axis=0)
+        if last == VOTES - 1:
+            break
+        share = _softmax(scores)
+        share[sure] = 0
+        share[sure, kind[own[sure]]] = 1
+        share = np.vstack([share, np.zeros(number, np.float32)])
+        near = np.zeros((number, number))
+        for low in range(0, len(place), 1 << 16):
+            spots = place[low : low + (1 << 16)]
+            near += share[padded[spots]].T @ share[padded[spots + 1]]
+        near += near.T + 0.1
+        ratio = near * near.sum() / (near.sum(axis=0) * near.sum(axis=1)[:, None])
+        heard = np.log(np.maximum(share @ ratio.astype(np.float32), 1e-3))
+        heard[-1] = 0
+    best = scores.argmax(axis=1)
+    lead = -np.partition(-scores, 1, axis=1)[:, 1] + scores.max(axis=1) if number > 1 else np.ones(len(words))
+    return best, lead
+
+
+def voted(rows: DataFrame, own: Own, kind: np.ndarray, speaks: np.ndarray) -> DataFrame:
+    """Per word of a dictionary: part, at, word, n, and its own place (else -1), cluster and lead."""
+    shared = rows.sparkSession.sparkContext.broadcast((own, kind, speaks))
+
+    def vote(batches):
+        known, cluster_of, heard = shared.value
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {name: batch.column(name)[at].as_py() if name in ("part", "counts") else batch.column(name)[at].as_buffer()
+                       for name in batch.schema.names}
+                words, local, padded, place = _sequence(row)
+                mine = known.find(words)
+                best, lead = votes(words, local, padded, place, mine, cluster_of, heard)
+                n = np.frombuffer(row["n"], np.int64)
                 for low in range(0, len(words), 100_000):
-                    own = words[low : low + 100_000]
-                    at = np.arange(low, low + len(own), dtype=np.int32)
+                    some = np.arange(low, min(low + 100_000, len(words)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(own), part)), pa.array(at), pa.array(own), pa.array(n[low : low + len(own)])],
-                        ["part", "at", "word", "n"],
+                        [pa.array(np.full(len(some), row["part"])), pa.array(some.astype(np.int32)), pa.array(words[some]), pa.array(n[some]),
+                         pa.array(mine[some].astype(np.int32)), pa.array(best[some].astype(np.int32)), pa.array(lead[some].astype(np.float32))],
+                        ["part", "at", "word", "n", "own", "cluster", "lead"],
                     )
 
-    each = rows.filter("words is not null").select("part", "words", "n").mapInArrow(flat, "part long, at int, word long, n long")
-    return each.withColumn("total", F.sum("n").over(Window.partitionBy("word")))
+    kinds = "part long, at int, word long, n long, own int, cluster int, lead float"
+    return rows.select("part", "counts", "local", "words", "n").mapInArrow(vote, kinds)
 
 
-def ranges(totals: np.ndarray, tokens: np.ndarray, most: int) -> np.ndarray:
-    """The least counts of at most ``most`` classes that take about as many ``tokens`` each; ``totals`` ascend."""
-    if not len(totals):
-        return np.ones(1, np.int64)
-    middle = (np.cumsum(tokens) - tokens / 2) / tokens.sum()
-    place = np.minimum((middle * most).astype(np.int64), most - 1)
-    return totals[np.concatenate([[True], place[1:] != place[:-1]])]
+def shared_words(found: DataFrame) -> DataFrame:
+    """word, total and cluster of the words without a class of their own: the cluster with the largest leads."""
+    each = found.filter("own < 0").groupBy("word", "cluster").agg(F.sum("n").alias("n"), F.sum("lead").alias("lead"))
+    # Sums of fractions depend on their order in the last places only; these do not decide.
+    best = F.max(F.struct(F.round("lead", 3).alias("lead"), (-F.col("cluster")).alias("minus")))
+    return each.groupBy("word").agg(F.sum("n").alias("total"), (-best["minus"]).alias("cluster"))
 
 
-class Classes:
-    """Classes of words by their counts: ``own`` words with a class each, then ranges of counts.
+def _step(totals: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(totals, 1)) * STEPS + 1e-9).astype(np.int64)
 
-    ``totals`` (ascending) and ``tokens`` say how many words of the texts have which count; ``top`` has
-    the own words, most frequent first, with their counts.
-    """
 
-    def __init__(self, totals: np.ndarray, tokens: np.ndarray, top: list[tuple[int, int]], number: int):
-        self.number, self.own = number, len(top)
-        words, counts = np.array([x[0] for x in top], np.int64), np.array([x[1] for x in top], np.int64)
-        rest = tokens.astype(np.int64)
-        np.subtract.at(rest, np.searchsorted(totals, counts), counts)
-        left = rest > 0
-        self.least = ranges(totals[left], rest[left], number - self.own)
-        self.order = np.argsort(words)
-        self.words, self.floor = words[self.order], counts.min(initial=np.iinfo(np.int64).max)
-        self.tokens = np.zeros(number, np.int64)
-        self.tokens[: self.own] = counts
-        np.add.at(self.tokens, self._shared(totals[left]), rest[left])
+class Classes:
+    """Classes of words, those of a cluster one after the other: first its own words, then ranges of counts.
 
-    def _shared(self, totals: np.ndarray) -> np.ndarray:
-        return self.own + np.maximum(np.searchsorted(self.least, totals, side="right") - 1, 0)
+    ``cluster``, ``step`` and ``tokens`` say how many words of the texts belong to the other words of a
+    cluster whose counts lie in one step.
+    """
 
-    def of(self, words: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, own: Own, kind: np.ndarray, cluster: np.ndarray, step: np.ndarray, tokens: np.ndarray):
+        shared = max(own.number - len(own.counts), 1)
+        order = np.lexsort((-step, cluster))
+        cluster, step, tokens = cluster[order], step[order], tokens[order]
+        self.own = np.zeros(len(own.counts), np.int64)
+        self.shared = np.zeros((int(max(cluster.max(initial=0), kind.max(initial=0))) + 1, int(step.max(initial=0)) + 1), np.int64)
+        self.counts, self.cluster, number, sums = own.counts, [], 0, []
+        for at in range(len(self.shared)):
+            mine = np.flatnonzero(kind == at)
+            self.own[mine] = number + np.arange(len(mine))
+            sums += own.counts[mine].tolist()
+            number += len(mine)
+            held = np.flatnonzero(cluster == at)
+            if len(held):
+                weight = tokens[held]
+                most = max(1, round(shared * weight.sum() / tokens.sum()))
+                place = np.minimum(((np.cumsum(weight) - weight / 2) / weight.sum() * most).astype(np.int64), most - 1)
+                place = np.unique(place, return_inverse=True)[1]
+                self.shared[at, step[held]] = number + place
+                sums += np.bincount(place, weights=weight).astype(np.int64).tolist()
+                number += int(place.max()) + 1
+            self.cluster += [at] * (number - len(self.cluster))
+        self.number, self.tokens, self.cluster = max(number, 1), np.array(sums or [0], np.int64), np.array(self.cluster or [0])
+
+    def of(self, own: np.ndarray, cluster: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The class of each word, and the logarithm of its share in the class."""
-        kind = self._shared(totals)
-        often = np.flatnonzero(totals >= self.floor)
-        at = np.minimum(np.searchsorted(self.words, words[often]), max(self.own - 1, 0))
-        same = self.words[at] == words[often]
-        kind[often[same]] = self.order[at[same]]
+        kind, totals = np.empty(len(own), np.int64), totals.copy()
+        mine = own >= 0
+        kind[mine], totals[mine] = self.own[own[mine]], self.counts[own[mine]]
+        kind[~mine] = self.shared[cluster[~mine], _step(totals[~mine])]
         return kind, np.log(totals / self.tokens[kind])
 
 
-def corpus_classes(words: DataFrame) -> Classes:
-    """Classes from the table of ``word_counts``. A count is met as often as it has tokens by it."""
-    # Distinct counts: fewer than the square root of twice the words of all texts.
-    found = words.groupBy("total").agg(F.sum("n").alias("tokens")).orderBy("total").toArrow()
-    totals, tokens = found.column("total").to_numpy(), found.column("tokens").to_numpy()
-    having = tokens // np.maximum(totals, 1)
-    distinct = int(having.sum())
-    number = max(CLASSES, int(np.ceil(np.sqrt(distinct))))
-    own = number * 3 // 4
-    top = []
-    if distinct:
-        above = np.cumsum(having[::-1])[::-1]
-        floor = int(totals[max(int(np.count_nonzero(above >= own)) - 1, 0)])
-        often = words.filter(F.col("total") >= floor).select("word", "total").distinct()
-        top = [(row["word"], row["total"]) for row in often.orderBy(F.desc("total"), "word").limit(own).collect()]
-    return Classes(totals, tokens, top, number)
-
-
-def classes_of(counts: np.ndarray, number: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each place of ``counts``, and the logarithm of its share in the class."""
-    own = number * 3 // 4
-    kind = np.zeros(len(counts), np.int64)
-    top = np.argsort(-counts, kind="stable")[:own]
-    kind[top] = np.arange(len(top))
-    rest = np.argsort(-counts, kind="stable")[own:]
-    totals, n = np.unique(counts[rest], return_counts=True)
-    kind[rest] = own + np.maximum(np.searchsorted(ranges(totals, (totals + 0.1) * n, number - own), counts[rest], side="right") - 1, 0)
-    smooth = counts + 0.1
-    return kind, np.log(smooth / np.bincount(kind, weights=smooth, minlength=number)[kind]).astype(np.float32)
+def corpus_classes(own: Own, kind: np.ndarray, words: DataFrame) -> Classes:
+    """Classes from the table of ``shared_words``; steps of counts are few, however many words there are."""
+    # The floor of the logarithm as in ``_step``.
+    step = F.floor(F.log2("total") * STEPS + 1e-9)
+    found = words.groupBy("cluster", step.alias("step")).agg(F.sum("total").alias("tokens")).toArrow()
+    return Classes(own, kind, *[found.column(name).to_numpy().astype(np.int64) for name in ("cluster", "step", "tokens")])
 
 
 def _softmax(scores: np.ndarray) -> np.ndarray:
@@ -221,12 +381,14 @@ class Network:
         return parts
 
     @classmethod
-    def start(cls, share: np.ndarray) -> Network:
-        """Small random embeddings; the biases give every class its share in the corpus."""
+    def start(cls, share: np.ndarray, cluster: np.ndarray) -> Network:
+        """Small random embeddings, alike within a cluster; the biases give every class its share in the corpus."""
         made = cls(None, len(share))
         random = np.random.default_rng(11)
-        for at, spread in ((0, 0.2), (2, 0.1), (4, 0.1)):
+        for at, spread in ((0, 0.1), (2, 0.1), (4, 0.1)):
             made.parts[at][:] = random.normal(0, spread, made.shapes[at])
+        common = random.normal(0, 0.5, (int(cluster.max()) + 1, HIDDEN)).astype(np.float32)
+        made.parts[0][:, :-1] += common[cluster]
         grid = np.zeros(made.shapes[5])
         grid.ravel()[: len(share)] = share
         made.parts[3][:] = np.log(grid.sum(axis=1))
@@ -322,7 +484,7 @@ def _width(classes: int) -> np.dtype:
     return np.dtype(np.uint16 if classes < 1 << 16 else np.uint32)
 
 
-def with_classes(rows: DataFrame, words: DataFrame, classes: Classes) -> DataFrame:
+def with_classes(rows: DataFrame, found: DataFrame, words: DataFrame, classes: Classes) -> DataFrame:
     """``rows`` of ``encoded`` with the classes of their words: doc_ids, counts, inside (per document, the
     sum of the log shares of its words in their classes) and kinds."""
     shared = rows.sparkSession.sparkContext.broadcast(vars(classes))
@@ -331,7 +493,7 @@ def with_classes(rows: DataFrame, words: DataFrame, classes: Classes) -> DataFra
         known = Classes.__new__(Classes)
         vars(known).update(shared.value)
         order = np.argsort(right.column("at").to_numpy())
-        kind, share = known.of(right.column("word").to_numpy()[order], right.column("total").to_numpy()[order])
+        kind, share = known.of(*[right.column(name).to_numpy()[order] for name in ("own", "cluster", "total")])
         kind = kind.astype(_width(known.number))
         inside, kinds = [], []
         for counts, data in zip(left.column("counts"), left.column("local"), strict=True):
@@ -346,7 +508,10 @@ def with_classes(rows: DataFrame, words: DataFrame, classes: Classes) -> DataFra
         })
 
     left = rows.select("part", "doc_ids", "counts", "local").groupBy("part")
-    right = words.select("part", "at", "word", "total").groupBy("part")
+    # Own words, which nearly all dictionaries have, are known from the broadcast and not joined.
+    mine = found.filter("own >= 0").select("part", "at", "own", F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("total"))
+    rest = found.filter("own < 0").select("part", "at", "word", "own").join(words, "word").select("part", "at", "own", "cluster", "total")
+    right = mine.unionByName(rest).groupBy("part")
     return left.cogroup(right).applyInArrow(look_up, "doc_ids array<long>, counts array<long>, inside array<double>, kinds binary")
 
 
@@ -368,19 +533,15 @@ def trained(rows: DataFrame, start: Network, rounds: int = ROUNDS) -> Network:
                 for counts, data in zip(batch.column("counts"), batch.column("kinds"), strict=True):
                     kinds = np.frombuffer(data.as_buffer(), _width(classes))
                     padded, place = _contexts(kinds, counts.values.to_numpy(), classes)
-                    chosen = positions(len(kinds))
-                    for at in range(0, len(chosen), BATCH):
-                        part = chosen[at : at + BATCH]
+                    chosen, at = positions(len(kinds)), 0
+                    while at < len(chosen):
+                        part = chosen[at : at + min(BATCH, max(FIRST_BATCH, (seen + at) // 16))]
                         own.train(padded[place[part][:, None] + _SHIFTS], kinds[part], memory, RATE)
+                        at += len(part)
                     seen += len(chosen)
-            at = np.arange(len(own.values) + 1, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at), pa.array(np.append(own.values.astype(np.float64) * seen, seen))], ["at", "value"]
-            )
-
-        sums = rows.select("counts", "kinds").mapInArrow(fit, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
-        total = np.zeros(len(network.values) + 1)
-        total[sums.column("at").to_numpy()] = sums.column("value").to_numpy()
+            yield from _blocks(np.append(own.values.astype(np.float64) * seen, seen))
+
+        total = summed(rows.select("counts", "kinds").mapInArrow(fit, "at int, block binary"), len(network.values) + 1)
         if total[-1]:
             network = Network(total[:-1] / total[-1], classes)
     return network
@@ -405,28 +566,6 @@ def _scored(net: Network, ids: pa.Array, counts: np.ndarray, kinds: np.ndarray,
 _SCHEMA = "doc_id long, n_tokens long, log_likelihood double, per_token double"
 
 
-def scores(docs: DataFrame, parts: tuple[np.ndarray, np.ndarray, Network]) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text) its score under a given model: (class, log share) for each of
-    VOCABULARY places that words are hashed to, and network. Operator 3 does not use it: its words share no place.
-    """
-    kind, inside, network = parts
-    shared = docs.sparkSession.sparkContext.broadcast((kind, inside, network.values, network.classes))
-
-    def score(batches):
-        kind_of, share_of, values, classes = shared.value
-        net = Network(values, classes)
-        for batch in batches:
-            texts = _bytes(batch.column("text"))
-            for low, high in slices(texts):
-                words, counts = _words(texts[low:high])
-                ends = np.concatenate([[0.0], np.cumsum(share_of[words].astype(np.float64))])
-                bounds = np.concatenate([[0], np.cumsum(counts)])
-                yield _scored(net, batch.column("doc_id").slice(low, high - low), counts, kind_of[words], ends[bounds[1:]] - ends[bounds[:-1]])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(score, _SCHEMA)
-
-
 def scored_rows(rows: DataFrame, network: Network) -> DataFrame:
     """Scores of the documents in the rows of ``with_classes``."""
     shared, classes = rows.sparkSession.sparkContext.broadcast(network.values), network.classes
@@ -441,21 +580,31 @@ def scored_rows(rows: DataFrame, network: Network) -> DataFrame:
     return rows.mapInArrow(score, _SCHEMA)
 
 
+def modelled(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Network, Scratch]:
+    """The documents with the classes of their words, the network, and the tables to clear in the end."""
+    scratch, large = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    rows = scratch.table(encoded(docs), "encoded")
+    totals = scratch.table(word_totals(rows), "totals")
+    own = own_words(totals)
+    seen = neighbours(rows, own)
+    number = int(np.ceil(np.sqrt(own.number)))
+    kind = clusters(seen, number)
+    found = scratch.table(voted(rows, own, kind, evidence(seen, kind, number)), "votes")
+    words = scratch.table(shared_words(found), "words")
+    classes = corpus_classes(own, kind, words)
+    share = classes.tokens + 0.1
+    known = large.table(with_classes(rows, found, words, classes), "classes")
+    scratch.clear()
+    return known, trained(known, Network.start(share / share.sum(), classes.cluster), rounds), large
+
+
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_tokens, log_likelihood and its mean per word, per_token,
     under a model of all documents.
 
     A text without words has log_likelihood 0 and no mean. Every row is scored, also with a null or repeated doc_id.
     """
-    scratch = Scratch(docs.sparkSession)
-    rows = scratch.table(encoded(docs), "encoded")
-    words = scratch.table(word_counts(rows), "words")
-    classes = corpus_classes(words)
-    share = classes.tokens + 0.1
-    large = Scratch(docs.sparkSession)
-    known = large.table(with_classes(rows, words, classes), "classes")
-    scratch.clear()
-    network = trained(known, Network.start(share / share.sum()), rounds)
+    known, network, large = modelled(docs, rounds)
     found = table(scored_rows(known, network), "scores")
     large.clear()
     return found

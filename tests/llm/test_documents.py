@@ -309,49 +309,114 @@ def test_language_model_learns_and_scores_all(spark):
     assert lm.pseudo_likelihood(documents(spark, []), 1).count() == 0
 
 
+def hashes_of(text):
+    return hash_words([(text or "").encode()])[0].view(np.int64).tolist()
+
+
+def topics(words=60, documents_each=40, seed=5):
+    """Documents of runs of 30 words of one of four topics, whose words differ but are alike in counts."""
+    draw = np.random.default_rng(seed)
+    names = [[f"t{topic}w{at}" for at in range(words)] for topic in range(4)]
+    share = 1 / np.arange(1, words + 1)
+    return [" ".join(word for _ in range(12) for word in draw.choice(names[draw.integers(4)], 30, p=share / share.sum())) for _ in range(documents_each)]
+
+
 def test_score_equals_the_network_word_by_word(spark):
-    text = b"one two three one two four one two three five"
-    counts = np.zeros(lm.VOCABULARY, np.int64)
-    words, _ = lm._words([text])
-    np.add.at(counts, words, 1)
-    kind, inside = lm.classes_of(counts)
-    net = lm.Network.start(np.full(lm.CLASSES, 1 / lm.CLASSES))
-    edge = [lm.CLASSES] * 2
-    row = [*edge, *kind[words].tolist(), *edge]
-    total = 0.0
-    for at in range(len(words)):
-        context = np.array([[row[at], row[at + 1], row[at + 3], row[at + 4]]])
-        hidden, scores = net.forward(context)
-        total += scores[0, row[at + 2]] - np.log(np.exp(scores[0]).sum()) + inside[words[at]]
-    found = lm.scores(documents(spark, [(1, text.decode(), "en", "a", 0)]), (kind, inside, net)).first()
-    assert abs(found["log_likelihood"] - total) < 1e-3
+    """The rows of the whole path against its network asked word by word, and shares counted from the texts."""
+    texts = [*topics(30, 8), "one two three one two four one two three five", "alone", "", None]
+    docs = documents(spark, [(i, text, "en", "a", 0) for i, text in enumerate(texts)])
+    known, network, tables = lm.modelled(docs)
+    width, kind_of = lm._width(network.classes), {}
+    for row in known.collect():
+        assert [len(hashes_of(texts[doc])) for doc in row["doc_ids"]] == row["counts"]
+        words = [word for doc in row["doc_ids"] for word in hashes_of(texts[doc])]
+        for word, kind in zip(words, np.frombuffer(row["kinds"], width).tolist(), strict=True):
+            assert kind_of.setdefault(word, kind) == kind
+    tables.clear()
+    totals = Counter(word for text in texts for word in hashes_of(text))
+    within = Counter()
+    for word, n in totals.items():
+        within[kind_of[word]] += n
+    got = {row["doc_id"]: row["log_likelihood"] for row in lm.pseudo_likelihood(docs).collect()}
+    edge = [network.classes] * 2
+    for doc, text in enumerate(texts):
+        words = hashes_of(text)
+        row, want = [*edge, *[kind_of[word] for word in words], *edge], 0.0
+        for at, word in enumerate(words):
+            _, scores = network.forward(np.array([[row[at], row[at + 1], row[at + 3], row[at + 4]]]))
+            # What lies behind the last class has a probability of nearly nothing.
+            assert abs(np.exp(scores[0].astype(float)).sum() - 1) < 1e-4
+            want += scores[0, row[at + 2]] + np.log(totals[word] / within[row[at + 2]])
+        assert abs(got[doc] - want) < 1e-3 * max(len(words), 1)
+
+
+def test_neighbours_tell_words_of_like_counts_apart(spark):
+    """Better than word frequencies by most of what the topic tells, and worse on the same words without their order."""
+    texts = topics()
+    draw = np.random.default_rng(7)
+    mixed = [" ".join(draw.permutation(text.split())) for text in texts]
+    rows = [(i, text, "en", "a", 0) for i, text in enumerate(texts)]
+    totals = Counter(word for text in texts for word in text.split())
+    unigram = sum(n * np.log(n / sum(totals.values())) for n in totals.values()) / sum(totals.values())
+    alone = lm.pseudo_likelihood(documents(spark, rows), 4).toPandas()
+    assert alone.log_likelihood.sum() / alone.n_tokens.sum() > unigram + 0.5
+    both = lm.pseudo_likelihood(documents(spark, rows + [(1000 + i, text, "en", "a", 0) for i, text in enumerate(mixed)]), 4).toPandas()
+    assert both[both.doc_id < 1000].per_token.mean() > both[both.doc_id >= 1000].per_token.mean() + 0.2
+
+
+def test_words_of_a_topic_share_a_cluster(spark):
+    docs = documents(spark, [(i, text, "en", "a", 0) for i, text in enumerate(topics(150, 60))])
+    rows = lm.table(lm.encoded(docs), "test-rows")
+    own = lm.own_words(lm.word_totals(rows))
+    seen = lm.neighbours(rows, own)
+    kind = lm.clusters(seen, 4)
+    names = {word: int(name[1]) for name in {word for text in topics(150, 60) for word in text.split()} for word in hashes_of(name)}
+    found = lm.table(lm.voted(rows, own, kind, lm.evidence(seen, kind, 4)), "test-votes")
+    best, found = lm.shared_words(found).toPandas(), found.toPandas()
+    pairs = Counter((names[word], cluster) for word, cluster in zip(best.word, best.cluster, strict=True))
+    main = {topic: max(range(4), key=lambda c: pairs[topic, c]) for topic in range(4)}
+    assert len(set(main.values())) == 4 and found.own[found.own >= 0].nunique() == len(own.counts)
+    assert sum(n for (topic, c), n in pairs.items() if main[topic] == c) > 0.95 * sum(pairs.values())
 
 
 def test_no_words_share_a_count_and_classes_grow_with_the_words(spark):
-    # Two words whose hashes agree in the lowest 20 bits.
-    names = [b"w%d" % i for i in range(20_000)]
-    low, _ = lm._words([b" ".join(names)])
-    order = np.argsort(low, kind="stable")
-    at = int(np.flatnonzero(low[order][1:] == low[order][:-1])[0])
-    often, rare = names[order[at]].decode(), names[order[at + 1]].decode()
-    texts = [f"{often} " * 500, rare, "", None, *[name.decode() for name in names]]
+    names = [f"w{i}" for i in range(20_000)]
+    texts = ["w7 " * 500, "w8", "", None, *names]
     docs = documents(spark, [(i, text, "en", "a", 0) for i, text in enumerate(texts)])
-    truth = Counter(word for text in texts for word in (text or "").split())
-    words = lm.word_counts(lm.encoded(docs)).select("word", "total").distinct()
-    found = {row["word"]: row["total"] for row in words.collect()}
-    hashed = hash_words([" ".join(truth).encode()])[0].view(np.int64).tolist()
-    assert found == dict(zip(hashed, truth.values(), strict=True))
-    classes = lm.corpus_classes(lm.word_counts(lm.encoded(docs)))
-    assert classes.number == int(np.ceil(np.sqrt(20_000))) > lm.CLASSES and classes.tokens.sum() == sum(truth.values())
-    kind, share = classes.of(np.array(list(found)), np.array(list(found.values())))
-    assert np.allclose(np.exp(share) * classes.tokens[kind], list(found.values())) and kind.max() < classes.number
+    truth = Counter(word for text in texts for word in hashes_of(text))
+    totals = lm.table(lm.word_totals(lm.encoded(docs)), "test-totals")
+    assert {row["word"]: row["total"] for row in totals.collect()} == truth
+    own = lm.own_words(totals)
+    assert own.number == int(np.ceil(np.sqrt(20_000))) > lm.CLASSES and len(own.counts) == own.number * 3 // 4
+    known, network, tables = lm.modelled(docs)
+    assert own.number - 40 <= network.classes <= own.number + 40
+    assert sum(len(row["kinds"]) for row in known.collect()) == lm._width(network.classes).itemsize * sum(truth.values())
+    tables.clear()
     got = {row["doc_id"]: row["log_likelihood"] for row in lm.pseudo_likelihood(docs).filter("doc_id < 4").collect()}
     assert len(got) == 4 and got[2] == got[3] == 0 and got[0] / 500 > got[1] + 3
 
 
+def test_model_stands_long_texts_and_clashing_columns(spark):
+    found = lm.pseudo_likelihood(documents(spark, [*odd_documents(), (99, "a b c " * 400_000, "en", "a", 0)], clashing=True)).toPandas()
+    want = [len(WORD.findall(text or "")) for text in [*[row[1] for row in odd_documents()], "a b c " * 400_000]]
+    assert sorted(found.n_tokens) == sorted(want) and np.isfinite(found.log_likelihood).all()
+
+
+def test_sums_over_tasks(spark):
+    values = [np.arange(150_000) * k for k in range(1, 5)]
+
+    def give(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield from lm._blocks(values[k])
+
+    rows = spark.range(4).repartition(3).mapInArrow(give, "at int, block binary")
+    assert (lm.summed(rows, 150_000) == sum(values)).all()
+
+
 def test_every_word_is_a_target_of_training(spark):
     assert all(sorted(lm.positions(length)) == list(range(length)) for length in range(40))
-    start = lm.Network.start(np.full(lm.CLASSES, 1 / lm.CLASSES))
+    start = lm.Network.start(np.full(lm.CLASSES, 1 / lm.CLASSES), np.zeros(lm.CLASSES, int))
     kinds = np.array([5, 70, 9, 5, 90], np.uint16)
     rows = spark.createDataFrame([([2, 3], bytearray(kinds.tobytes()))], "counts array<long>, kinds binary")
     after = lm.trained(rows, start)
