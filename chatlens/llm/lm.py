@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlens.llm.common import Scratch, hash_words, slices, table
@@ -222,42 +222,44 @@ def evidence(seen: np.ndarray, kind: np.ndarray, number: int) -> np.ndarray:
     return np.vstack([np.log(shares / base).T, np.zeros(number)]).astype(np.float32)
 
 
-def votes(words: np.ndarray, local: np.ndarray, padded: np.ndarray, place: np.ndarray, own: np.ndarray, kind: np.ndarray, speaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cluster of each word of a dictionary, and by how much it leads.
+def _said(order: np.ndarray, starts: np.ndarray, labels: np.ndarray, place: np.ndarray, speaks: np.ndarray) -> np.ndarray:
+    """Per word, the rows of ``speaks`` at the ``labels`` around all its occurrences, added up."""
+    wide, few = len(speaks), 8192
+    scores = np.empty((len(starts) - 1, speaks.shape[1]), np.float32)
+    for low in range(0, len(scores), few):
+        high = min(low + few, len(scores))
+        spots = place[order[starts[low] : starts[high]]]
+        cells = np.repeat(np.arange(high - low) * wide, np.diff(starts[low : high + 1]))
+        counts = np.bincount(np.concatenate([cells + labels[spots + shift] for shift in _SHIFTS]), minlength=(high - low) * wide)
+        scores[low:high] = counts.reshape(-1, wide).astype(np.float32) @ speaks
+    return scores
+
+
+def votes(local: np.ndarray, padded: np.ndarray, place: np.ndarray, own: np.ndarray, kind: np.ndarray, speaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cluster of each word of a dictionary, and by how much it leads; a last cluster has the words that none speaks for.
 
-    First the own words around a word speak, by ``speaks``; then all words around it, as far as their own
-    clusters are sure and clusters differ in the company they keep.
+    First the own words around a word speak, by ``speaks``; then all words around it by their clusters, as
+    far as clusters differ in the company they keep.
     """
-    number = speaks.shape[1]
-    order = np.argsort(local, kind="stable")
-    heard = speaks[np.append(np.where(own >= 0, own % BUCKETS, BUCKETS), BUCKETS)]
-    sure = np.flatnonzero(own >= 0)
+    number, mine = speaks.shape[1], np.flatnonzero(own >= 0)
+    order = np.argsort(local)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(local, minlength=len(own)))])
+    labels = np.append(np.where(own >= 0, own % BUCKETS, BUCKETS), BUCKETS)
     for last in range(VOTES):
-        scores = np.zeros((len(words), number), np.float32)
-        for low in range(0, len(order), 1 << 16):
-            part = order[low : low + (1 << 16)]
-            spots, mine = place[part], local[part]
-            said = heard[padded[spots + _SHIFTS[0]]]
-            for shift in _SHIFTS[1:]:
-                said += heard[padded[spots + shift]]
-            first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-            scores[mine[first]] += np.add.reduceat(said, first, axis=0)
-        if last == VOTES - 1:
-            break
-        share = _softmax(scores)
-        share[sure] = 0
-        share[sure, kind[own[sure]]] = 1
-        share = np.vstack([share, np.zeros(number, np.float32)])
-        near = np.zeros((number, number))
-        for low in range(0, len(place), 1 << 16):
-            spots = place[low : low + (1 << 16)]
-            near += share[padded[spots]].T @ share[padded[spots + 1]]
-        near += near.T + 0.1
-        ratio = near * near.sum() / (near.sum(axis=0) * near.sum(axis=1)[:, None])
-        heard = np.log(np.maximum(share @ ratio.astype(np.float32), 1e-3))
-        heard[-1] = 0
-    best = scores.argmax(axis=1)
-    lead = -np.partition(-scores, 1, axis=1)[:, 1] + scores.max(axis=1) if number > 1 else np.ones(len(words))
+        scores = _said(order, starts, labels[padded], place, speaks)
+        best, lead = scores.argmax(axis=1), np.ones(len(own), np.float32)
+        if number > 1:
+            two = np.partition(scores, number - 2, axis=1)
+            lead = two[:, -1] - two[:, -2]
+        best[lead <= 0] = number
+        if last < VOTES - 1:
+            best[mine] = kind[own[mine]]
+            labels = np.append(best, number)
+            met = labels[padded]
+            near = np.bincount(met[:-1] * (number + 1) + met[1:], minlength=(number + 1) ** 2).reshape(number + 1, -1)[:number, :number]
+            near = near + near.T + 0.1
+            speaks = np.log(near * near.sum() / (near.sum(axis=0) * near.sum(axis=1)[:, None]))
+            speaks = np.vstack([speaks, np.zeros(number)]).astype(np.float32)
     return best, lead
 
 
@@ -273,7 +275,7 @@ def voted(rows: DataFrame, own: Own, kind: np.ndarray, speaks: np.ndarray) -> Da
                        for name in batch.schema.names}
                 words, local, padded, place = _sequence(row)
                 mine = known.find(words)
-                best, lead = votes(words, local, padded, place, mine, cluster_of, heard)
+                best, lead = votes(local, padded, place, mine, cluster_of, heard)
                 n = np.frombuffer(row["n"], np.int64)
                 for low in range(0, len(words), 100_000):
                     some = np.arange(low, min(low + 100_000, len(words)))
@@ -287,12 +289,18 @@ def voted(rows: DataFrame, own: Own, kind: np.ndarray, speaks: np.ndarray) -> Da
     return rows.select("part", "counts", "local", "words", "n").mapInArrow(vote, kinds)
 
 
-def shared_words(found: DataFrame) -> DataFrame:
-    """word, total and cluster of the words without a class of their own: the cluster with the largest leads."""
-    each = found.filter("own < 0").groupBy("word", "cluster").agg(F.sum("n").alias("n"), F.sum("lead").alias("lead"))
-    # Sums of fractions depend on their order in the last places only; these do not decide.
-    best = F.max(F.struct(F.round("lead", 3).alias("lead"), (-F.col("cluster")).alias("minus")))
-    return each.groupBy("word").agg(F.sum("n").alias("total"), (-best["minus"]).alias("cluster"))
+def settled(found: DataFrame) -> DataFrame:
+    """Per word of a dictionary: part, at, own, n, and for words without a class of their own the total and
+    the cluster in all texts, that of the dictionary where it leads most.
+
+    Own words, which nearly all dictionaries hold, are known to every task and not brought together; of
+    another word a dictionary has one row among its 100,000 and more.
+    """
+    one = Window.partitionBy("word", F.when(F.col("own") >= 0, F.col("part")))
+    # Lead and cluster in one number: largest lead, then smallest cluster.
+    ballot = (F.col("lead") * 1000).cast("long") * (1 << 20) + ((1 << 20) - 1 - F.col("cluster"))
+    each = found.select("part", "at", "own", "n", F.sum("n").over(one).alias("total"), F.max(ballot).over(one).alias("ballot"))
+    return each.select("part", "at", "own", "n", "total", ((1 << 20) - 1 - F.col("ballot").bitwiseAND((1 << 20) - 1)).cast("int").alias("cluster"))
 
 
 def _step(totals: np.ndarray) -> np.ndarray:
@@ -340,10 +348,10 @@ class Classes:
 
 
 def corpus_classes(own: Own, kind: np.ndarray, words: DataFrame) -> Classes:
-    """Classes from the table of ``shared_words``; steps of counts are few, however many words there are."""
+    """Classes from the table of ``settled``; steps of counts are few, however many words there are."""
     # The floor of the logarithm as in ``_step``.
     step = F.floor(F.log2("total") * STEPS + 1e-9)
-    found = words.groupBy("cluster", step.alias("step")).agg(F.sum("total").alias("tokens")).toArrow()
+    found = words.filter("own < 0").groupBy("cluster", step.alias("step")).agg(F.sum("n").alias("tokens")).toArrow()
     return Classes(own, kind, *[found.column(name).to_numpy().astype(np.int64) for name in ("cluster", "step", "tokens")])
 
 
@@ -484,7 +492,7 @@ def _width(classes: int) -> np.dtype:
     return np.dtype(np.uint16 if classes < 1 << 16 else np.uint32)
 
 
-def with_classes(rows: DataFrame, found: DataFrame, words: DataFrame, classes: Classes) -> DataFrame:
+def with_classes(rows: DataFrame, words: DataFrame, classes: Classes) -> DataFrame:
     """``rows`` of ``encoded`` with the classes of their words: doc_ids, counts, inside (per document, the
     sum of the log shares of its words in their classes) and kinds."""
     shared = rows.sparkSession.sparkContext.broadcast(vars(classes))
@@ -508,10 +516,7 @@ def with_classes(rows: DataFrame, found: DataFrame, words: DataFrame, classes: C
         })
 
     left = rows.select("part", "doc_ids", "counts", "local").groupBy("part")
-    # Own words, which nearly all dictionaries have, are known from the broadcast and not joined.
-    mine = found.filter("own >= 0").select("part", "at", "own", F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("total"))
-    rest = found.filter("own < 0").select("part", "at", "word", "own").join(words, "word").select("part", "at", "own", "cluster", "total")
-    right = mine.unionByName(rest).groupBy("part")
+    right = words.select("part", "at", "own", "cluster", "total").groupBy("part")
     return left.cogroup(right).applyInArrow(look_up, "doc_ids array<long>, counts array<long>, inside array<double>, kinds binary")
 
 
@@ -589,11 +594,10 @@ def modelled(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Network,
     seen = neighbours(rows, own)
     number = int(np.ceil(np.sqrt(own.number)))
     kind = clusters(seen, number)
-    found = scratch.table(voted(rows, own, kind, evidence(seen, kind, number)), "votes")
-    words = scratch.table(shared_words(found), "words")
+    words = scratch.table(settled(voted(rows, own, kind, evidence(seen, kind, number))), "words")
     classes = corpus_classes(own, kind, words)
     share = classes.tokens + 0.1
-    known = large.table(with_classes(rows, found, words, classes), "classes")
+    known = large.table(with_classes(rows, words, classes), "classes")
     scratch.clear()
     return known, trained(known, Network.start(share / share.sum(), classes.cluster), rounds), large
 

@@ -371,11 +371,15 @@ def test_words_of_a_topic_share_a_cluster(spark):
     seen = lm.neighbours(rows, own)
     kind = lm.clusters(seen, 4)
     names = {word: int(name[1]) for name in {word for text in topics(150, 60) for word in text.split()} for word in hashes_of(name)}
-    found = lm.table(lm.voted(rows, own, kind, lm.evidence(seen, kind, 4)), "test-votes")
-    best, found = lm.shared_words(found).toPandas(), found.toPandas()
+    found = lm.voted(rows, own, kind, lm.evidence(seen, kind, 4))
+    words = found.select("part", "at", "word").join(lm.settled(found), ["part", "at"]).toPandas()
+    best, mine = words[words.own < 0], words[words.own >= 0]
+    assert best.groupby("word").cluster.nunique().max() == 1 and mine.own.nunique() == len(own.counts)
+    assert best.groupby("word").total.first().to_dict() == best.groupby("word").n.sum().to_dict()
+    best = best.drop_duplicates("word")
     pairs = Counter((names[word], cluster) for word, cluster in zip(best.word, best.cluster, strict=True))
     main = {topic: max(range(4), key=lambda c: pairs[topic, c]) for topic in range(4)}
-    assert len(set(main.values())) == 4 and found.own[found.own >= 0].nunique() == len(own.counts)
+    assert len(set(main.values())) == 4
     assert sum(n for (topic, c), n in pairs.items() if main[topic] == c) > 0.95 * sum(pairs.values())
 
 
