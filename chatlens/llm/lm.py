@@ -26,7 +26,7 @@ from chatlens.llm.common import Scratch, hash_words, slices, table
 
 # Classes of a small corpus; larger ones have the square root of their distinct words.
 CLASSES = 128
-HIDDEN = 32
+HIDDEN = 16
 SIDE = 2
 # The words of a stretch are trained in so many strides.
 MASKED = 8
