@@ -33,7 +33,7 @@ MASKED = 8
 ROUNDS = 1
 RATE = 0.08
 # Words of a step of training: few at first, then more.
-FIRST_BATCH, BATCH = 512, 4096
+FIRST_BATCH, BATCH = 512, 8192
 # Bytes of text hashed at a time, and words that share one dictionary and one row.
 STRETCH = 1 << 20
 DICTIONARY = 1 << 20
@@ -356,9 +356,10 @@ def corpus_classes(own: Own, kind: np.ndarray, words: DataFrame) -> Classes:
 
 
 def _softmax(scores: np.ndarray) -> np.ndarray:
-    scores -= scores.max(axis=1, keepdims=True)
+    # Scores stay far below the bound; it only keeps float32 finite.
+    np.minimum(scores, 80, out=scores)
     np.exp(scores, out=scores)
-    scores /= scores.sum(axis=1, keepdims=True)
+    scores *= 1 / (scores @ np.ones((scores.shape[1], 1), np.float32))
     return scores
 
 
@@ -434,8 +435,11 @@ class Network:
             inner[rows] += hidden[rows] @ self.parts[4][at]
         return hidden, outer, _softmax(inner), group, place, runs
 
+    def _by_group(self, target: np.ndarray) -> np.ndarray:
+        return np.argsort((target // self.width).astype(np.uint16), kind="stable")
+
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        order = np.argsort(target // self.width, kind="stable")
+        order = self._by_group(target)
         _, outer, inner, group, place, _ = self._steps(context[order], target[order])
         found, rows = np.empty(len(target), np.float64), np.arange(len(target))
         tiny = np.finfo(np.float32).tiny
@@ -444,7 +448,7 @@ class Network:
 
     def train(self, context: np.ndarray, target: np.ndarray, memory: np.ndarray, rate: float) -> None:
         """One step of Adagrad; ``memory`` holds the sums of squared gradients."""
-        order = np.argsort(target // self.width, kind="stable")
+        order = self._by_group(target)
         context = context[order]
         hidden, outer, inner, group, place, runs = self._steps(context, target[order])
         rows = np.arange(len(target))
@@ -464,15 +468,18 @@ class Network:
         for part, held, slope in zip(self.parts[1:], sums[1:], (ones @ back, hidden.T @ outer, ones @ outer, within, within_bias), strict=True):
             held += slope**2
             part -= rate * slope / np.sqrt(held + 1e-8)
-        units = np.ascontiguousarray(back.T)
-        for at in range(2 * SIDE):
-            # Only the classes met have a gradient.
-            own = context[:, at].astype(np.int64)
-            met = np.flatnonzero(np.bincount(own, minlength=self.classes + 1))
-            slope = np.stack([np.bincount(own, weights=unit, minlength=self.classes + 1)[met] for unit in units], axis=1).astype(np.float32)
-            held = sums[0][at][met] + slope**2
-            sums[0][at][met] = held
-            self.parts[0][at][met] -= rate * slope / np.sqrt(held + 1e-8)
+        # Only the classes met have a gradient; the places of the window lie in one table, one after the other.
+        wide = self.classes + 1
+        met = (context + np.arange(2 * SIDE) * wide).astype(_width(2 * SIDE * wide)).ravel()
+        order = np.argsort(met, kind="stable")
+        met = met[order]
+        first = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
+        slope = np.add.reduceat(np.ascontiguousarray(back.T).take(order // (2 * SIDE), axis=1), first, axis=1).T
+        met = met[first]
+        table, held = self.parts[0].reshape(-1, HIDDEN), sums[0].reshape(-1, HIDDEN)
+        now = held[met] + slope**2
+        held[met] = now
+        table[met] -= rate * slope / np.sqrt(now + 1e-8)
 
 
 def _contexts(kinds: np.ndarray, counts: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
