@@ -265,6 +265,7 @@ _BODIES: dict[str, str] = {
     "pagerank": _rank("rank_forward"),
     "pagerank_reversed": _rank("rank_reversed"),
     "pagerank_symmetric": _rank("page_rank"),
+    "saved_ranks": _rank("page_rank"),
     # scalar functions
     "word_count": f"SELECT doc_id, {words('text')} AS words FROM documents",
     "local_time": """SELECT arrival, strftime(make_timestamp(epoch_us(server_time)) AT TIME ZONE 'UTC' AT TIME ZONE zone_id,

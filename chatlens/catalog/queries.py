@@ -15,6 +15,7 @@ from chatlens.plans import materialize, scratch_path
 from chatlens.session import prepare
 from chatlens.sources import fixtures as fx
 from chatlens.sources import layout, log
+from chatlens.sources.ranks import RankTable
 from chatlens.sources.sessions import SessionDays
 from chatlens.streaming import (
     VersionedTable,
@@ -834,6 +835,16 @@ def pagerank_symmetric(spark, sf):
     return _ranks(spark, sf, "page_rank")
 
 
+@query
+def saved_ranks(spark, sf):
+    """Ranks as a stored table: a run of both directions replaces one that knew the forward edges only."""
+    found = graph.page_ranks(fx.users(spark, sf), fx.users_chats(spark, sf))
+    held = RankTable(spark, scratch_path(spark, "rank-table"))
+    held.save(found.withColumn("page_rank", F.col("rank_forward")))
+    held.save(found)
+    return held.ranks().select("user_num_id", F.round("page_rank", 6).alias("page_rank"))
+
+
 # --- scalar functions -----------------------------------------------------------------
 
 

@@ -101,6 +101,12 @@ class VersionedTable:
             raise ValueError(f"{self.path} already holds a table")
         self._fold(rows.withColumn(BATCH, F.lit(-1).cast("long")), -1, {})
 
+    def replace(self, rows: DataFrame) -> None:
+        """These rows in place of all there are, batches included; a reader sees the old ones until all are written."""
+        through = max([self.folded(), *self.batches()]) + 1
+        self._fold(rows.select(*self.schema.fieldNames()).withColumn(BATCH, F.lit(through).cast("long")), through, {})
+        self.clean()
+
     def _fold(self, rows: DataFrame, through: int, kept: dict) -> None:
         folder = f"s-{through}-{uuid.uuid4().hex}"
         target = f"{self.path}/_snapshots/{folder}"
