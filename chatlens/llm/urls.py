@@ -100,6 +100,8 @@ def fitting(automaton: Automaton, urls: list[bytes], area: int = 1 << 24) -> np.
             seen[begin:] |= state[begin:]
         hit[part] = seen
         low = high
+    if not automaton.last:
+        return np.zeros((len(urls), 0), bool)
     return np.stack([(hit[:, word] >> np.uint64(bit)) & np.uint64(1) for word, bit in automaton.last], axis=1).astype(bool)
 
 
@@ -121,7 +123,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
     """Per row of ``pages`` (page_id, url): page_id, host, path, rule, verdict.
 
     The longest fitting rule decides, of equally long ones the first; without any, rule is null and the
-    verdict is ``default``. A null url, or one without `://`, has an empty host and path and fits no rule.
+    verdict is ``default``; so it is for all urls where there are no rules. A null url, or one without `://`, has an empty host and path and fits no rule.
     Every row is judged, also with a null or repeated page_id.
     """
     automaton = compile_rules(rules)

@@ -115,6 +115,13 @@ def test_url_rules_equal_a_plain_reading(spark):
     assert got == sorted(want, key=lambda r: (r[0], r[1]))  or sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_no_rules_and_no_pages(spark):
+    pages = spark.createDataFrame(URLS, "page_id long, url string")
+    found = urls.judge(pages, rules=[], default="block").collect()
+    assert len(found) == len(URLS) and {(r["rule"], r["verdict"]) for r in found} == {(None, "block")}
+    assert urls.judge(pages.limit(0)).count() == 0 and urls.judge(pages.limit(0), rules=[]).count() == 0
+
+
 def test_wildcards_and_many_words():
     rules = [("block", "ads.com", "/*/banner"), ("allow", "a?c.org", "/x*y"), ("allow", "shop*.net", "/")] * 9
     machine = urls.compile_rules(rules)
