@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatlens.plans.lineage import discard, materialize, scratch_path
@@ -234,6 +234,39 @@ def keep_marked(df: DataFrame, column: str, marks: DataFrame, bits: int = 24) ->
     return df.withColumn("_spot", spot).mapInArrow(passing, df.schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {column.lower() for column in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each value of ``keys``, the first in the order of a hash of the other columns.
+
+    A task passes on one row a value, so a value that many rows have costs one row a task.
+    """
+    place = fresh(df, "place")
+    other = [F.col(f"`{field.name}`") for field in df.schema if field.name not in keys and "map<" not in field.dataType.simpleString()]
+    ranked = Window.partitionBy(*[F.col(f"`{key}`") for key in keys]).orderBy(F.xxhash64(*other) if other else F.lit(0))
+    return df.withColumn(place, F.row_number().over(ranked)).filter(F.col(place) == 1).drop(place)
+
+
+def lookup(rows: DataFrame, values: DataFrame, key: str, times: str, spread: list[str], pieces: int = 1000) -> DataFrame:
+    """``rows`` with the one row of the table ``values`` for their ``key``; ``times`` there tells how many rows each key has.
+
+    A key with more than 1 / ``pieces`` of the rows is cut into pieces of that size by a hash of the
+    columns ``spread``. There are at most ``pieces`` such keys, so their list goes to every task.
+    """
+    total = values.agg(F.sum(times)).first()[0] or 1
+    few = values.withColumn("_pieces", F.ceil(F.col(times) * F.lit(pieces) / F.lit(total)).cast("int")).drop(times)
+    hot = F.broadcast(few.filter("_pieces > 1").select(key, "_pieces"))
+    dealt = rows.join(hot, key, "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_pieces")).cast("int"), F.lit(0)))
+    copies = few.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).drop("_pieces")
+    return dealt.drop("_pieces").join(copies.hint("merge"), [key, "_piece"]).drop("_piece")
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); a component is named by its smallest node.
 

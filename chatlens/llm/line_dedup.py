@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.llm.common import char_hashes, char_shingles, lists, mix, slices, table
+from chatlens.llm.common import char_hashes, char_shingles, fresh, lists, lookup, mix, one_of_each, slices, table
 from chatlens.llm.setjoin import join_buckets
 
 # Characters of a shingle, similarity in percent, bands of the signature and values in each. A pair
@@ -25,7 +25,6 @@ BANDS = 8
 ROWS = 3
 _BITS = 24
 
-
 def _identity(line: str) -> int:
     """64 bits of a digest; equal for equal lines."""
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
@@ -74,28 +73,38 @@ def signatures(lines: list[str], width: int = WIDTH, bands: int = BANDS, rows: i
 
 
 def line_rows(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per line that is not blank: doc_id, line_no, node (its identity), n (characters) and band keys."""
+    """Per line that is not blank: doc_id, digest, line_no, node (its identity), n (characters) and band keys.
+
+    ``docs``: (doc_id, digest, text). Of equal lines in a stretch of texts only the first has band keys.
+    """
 
     def make(batches):
         for batch in batches:
             texts = [text or "" for text in batch.column("text").to_pylist()]
-            owners = batch.column("doc_id")
+            owners = batch.select(["doc_id", "digest"])
             for low, high in slices(texts):
                 found = [(at, number, line) for at in range(low, high) for number, line in _lines(texts[at])]
                 if not found:
                     continue
+                first: dict[str, int] = {}
+                for at, (_, _, line) in enumerate(found):
+                    first.setdefault(line, at)
+                nodes = {line: _identity(line) for line in first}
+                keys = dict(zip(first.values(), signatures(list(first), width, bands, rows), strict=True))
+                none = np.zeros(0, np.uint64)
+                owner = owners.take(pa.array([at for at, _, _ in found]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        owners.take(pa.array([at for at, _, _ in found])),
+                        *owner.columns,
                         pa.array([number for _, number, _ in found], pa.int32()),
-                        pa.array([_identity(line) for _, _, line in found], pa.int64()),
+                        pa.array([nodes[line] for _, _, line in found], pa.int64()),
                         pa.array([len(line) for _, _, line in found], pa.int64()),
-                        lists(signatures([line for _, _, line in found], width, bands, rows)),
+                        lists([keys.get(at, none) for at in range(len(found))]),
                     ],
-                    ["doc_id", "line_no", "node", "n", "bands"],
+                    ["doc_id", "digest", "line_no", "node", "n", "bands"],
                 )
 
-    return docs.mapInArrow(make, "doc_id long, line_no int, node long, n long, bands array<long>")
+    return docs.mapInArrow(make, "doc_id long, digest long, line_no int, node long, n long, bands array<long>")
 
 
 def _texts_of(docs: DataFrame):
@@ -132,13 +141,13 @@ def _texts_of(docs: DataFrame):
 
 def line_classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per line of ``docs`` (doc_id, text) that is not blank: doc_id, line_no, the first line of its
-    group as class_doc_id and class_line_no, and kept.
+    group as class_doc_id and class_line_no, kept, and digest, which tells texts of one doc_id apart.
 
     Lines end at line feeds; blanks around a line do not count. Rows without doc_id or text have no
-    lines here. Rows that repeat a doc_id are one document: lines with the same number share their fate.
+    lines here. Different texts under one doc_id are judged apart; rows equal in both share their fate.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.filter("doc_id is not null and text is not null")
+    docs = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("digest"), "text")
     lines = table(line_rows(docs, width, bands, rows), "lines")
     banded = lines.select("node", "n", F.explode("bands").alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("bucket")
@@ -148,15 +157,21 @@ def line_classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, ba
         return char_shingles(texts, width)
 
     near = join_buckets(buckets, _texts_of(docs), sets_of, percent)
-    place = (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(38,0)")
-    named = lines.select("doc_id", "line_no", "node", place.alias("place")).join(near, "node", "left")
-    named = named.select("doc_id", "line_no", "place", F.coalesce("component", "node").alias("class"))
-    first = named.groupBy("class").agg(F.min("place").alias("first"))
-    span = F.lit(1 << 31).cast("decimal(11,0)")
-    line = F.pmod(F.col("first"), span)
-    return named.join(first, "class").select(
-        "doc_id", "line_no", ((F.col("first") - line) / span).cast("long").alias("class_doc_id"),
-        line.cast("int").alias("class_line_no"), (F.col("place") == F.col("first")).alias("kept"),
+    # A place is doc_id, 31 bits of line number and 31 bits of the text's digest, in this order.
+    low, span = F.lit(1 << 31).cast("decimal(10,0)"), F.lit(1 << 62).cast("decimal(19,0)")
+    place = F.col("doc_id").cast("decimal(20,0)") * span + F.col("line_no").cast("decimal(10,0)") * low
+    place = (place + F.pmod("digest", F.lit(1 << 31))).cast("decimal(38,0)")
+    nodes = table(lines.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")), "nodes")
+    linked = table(nodes.join(near.hint("merge"), "node").select("node", "first", F.col("component").alias("class")), "linked")
+    firsts = table(linked.groupBy("class").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("times")), "classes")
+    least = lookup(linked.select("node", "class"), firsts, "class", "times", ["node"]).select("node", "least")
+    named = nodes.join(least.hint("merge"), "node", "left").select("node", "times", F.coalesce("least", "first").alias("least"))
+    found = lookup(lines.select("doc_id", "digest", "line_no", "node"), table(named, "named"), "node", "times", ["doc_id", "digest", "line_no"])
+    below = F.pmod("least", span)
+    line = ((below - F.pmod(below, low)) / low).cast("int")
+    return found.select(
+        "doc_id", "line_no", ((F.col("least") - below) / span).cast("long").alias("class_doc_id"),
+        line.alias("class_line_no"), (place == F.col("least")).alias("kept"), "digest",
     )
 
 
@@ -164,18 +179,22 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one line kept of each group of similar lines; all columns stay.
 
     A document all of whose lines go is left out; blank lines, and documents without any line, stay.
+    Of rows equal in doc_id and text one stays; rows without doc_id stay as they are.
     """
-    gone = line_classes(docs, **options).filter("not kept")
-    gone = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
-    marked = docs.join(gone, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
     names, schema = docs.columns, docs.schema
+    digest, out, owner = fresh(docs, "digest"), fresh(docs, "out"), fresh(docs, "owner")
+    gone = line_classes(docs, **options).filter("not kept")
+    gone = gone.groupBy(F.col("doc_id").alias(owner), F.col("digest").alias(f"{digest}_of")).agg(F.collect_set("line_no").alias(out))
+    known = one_of_each(docs.filter("doc_id is not null").withColumn(digest, F.xxhash64(F.col("text").cast("string"))), ["doc_id", digest])
+    same = (F.col("doc_id").cast("long") == F.col(owner)) & (F.col(digest) == F.col(f"{digest}_of"))
+    marked = known.join(gone, same, "left")
 
     def rebuild(batches):
         for batch in batches:
             texts, keep = [], []
-            for text, out in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
-                if out:
-                    dropped = set(out)
+            for text, numbers in zip(batch.column("text").to_pylist(), batch.column(out).to_pylist(), strict=True):
+                if numbers:
+                    dropped = set(numbers)
                     left = [line for number, line in enumerate(text.split("\n")) if number not in dropped]
                     keep.append(any(line.strip() for line in left))
                     text = "\n".join(left)
@@ -186,4 +205,5 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
             batch = batch.select(names)
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).filter(pa.array(keep, pa.bool_()))
 
-    return marked.select(*names, "_gone").mapInArrow(rebuild, schema)
+    columns = [f"`{name}`" for name in names]
+    return marked.select(*columns, out).mapInArrow(rebuild, schema).unionByName(docs.filter("doc_id is null"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlens.llm.common import Scratch, components, keep_marked, lists, mix, slices, table, word_shingles
+from chatlens.llm.common import Scratch, components, fresh, keep_marked, lists, mix, one_of_each, slices, table, word_shingles
 from chatlens.llm.setjoin import opened_links, star_links
 from chatlens.plans.lineage import discard, materialize, scratch_path
 
@@ -32,6 +32,8 @@ OFTEN = 24
 SHARE = 4e-6
 # Bits of the bitmap of frequent elements (2 MB).
 BITS = 24
+# Type of the identity of a row: doc_id, then 62 bits of a digest of its text.
+IDENTITY = "decimal(38,0)"
 # Ratio of sizes inside a group.
 STEP = 1.08
 
@@ -140,8 +142,9 @@ def profiles(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, percent:
                     ["doc_id", "n", "rare", "f1", "f2", "group", "heads"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        make, "doc_id long, n long, rare long, f1 long, f2 long, group long, heads array<long>"
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(
+        make, f"doc_id {kind}, n long, rare long, f1 long, f2 long, group long, heads array<long>"
     )
 
 
@@ -198,11 +201,12 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
 
     Rows without words (null, empty, blank) have n_shingles 0 and are their own component. Rows
     that repeat a doc_id are one document: what any of them links to, it links to. A row without doc_id links with
-    nothing and has no component. Other columns are ignored; an empty table gives an empty result.
+    nothing and has no component. Ids are long, or decimals of 38 digits. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kind = IDENTITY if dict(docs.dtypes)["doc_id"] == IDENTITY else "long"
+    docs = docs.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = frequent_elements(docs, width)
     path = scratch_path(spark, "llm-profiles")
     profile = materialize(profiles(docs, frequent, width, percent), path)
@@ -286,9 +290,19 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id; columns stay."""
-    found = ngram_components(docs, percent, width).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"] == found["doc_id"], "left_anti")
+    """``docs`` without the documents whose component has a smaller one, by doc_id; columns stay.
+
+    Different texts under one doc_id are documents of their own. Of rows equal in doc_id and text one
+    stays; rows without doc_id stay as they are.
+    """
+    row = fresh(docs, "row")
+    digest = F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(1 << 62))
+    identity = F.col("doc_id").cast("long").cast("decimal(20,0)") * F.lit(1 << 62).cast("decimal(19,0)") + digest
+    known = docs.filter("doc_id is not null").withColumn(row, identity.cast(IDENTITY))
+    found = ngram_components(known.select(F.col(row).alias("doc_id"), "text"), percent, width)
+    found = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(f"{row}_gone")).distinct()
+    kept = one_of_each(known, [row]).join(found, F.col(row) == F.col(f"{row}_gone"), "left_anti")
+    return kept.drop(row).unionByName(docs.filter("doc_id is null"))
 
 
 ORACLE_SQL = r"""

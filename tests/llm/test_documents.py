@@ -11,10 +11,10 @@ sys.path[:0] = [str(Path(__file__).resolve().parent)]
 import re  # noqa: E402
 import zlib  # noqa: E402
 
-from fixtures import documents, odd_documents  # noqa: E402
+from fixtures import documents, odd_documents, prose  # noqa: E402
 
 from chatlens.llm import hilbert, langid, line_dedup, lm, mixing, ngram_join, packing  # noqa: E402
-from chatlens.llm.common import char_shingles, components, hash_words, word_shingles  # noqa: E402
+from chatlens.llm.common import char_shingles, components, hash_words, lookup, word_shingles  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -87,7 +87,7 @@ def test_keep_first_keeps_columns_and_odd_rows(spark):
     kept = ngram_join.keep_first(docs)
     assert kept.columns == docs.columns
     ids = Counter(row["doc_id"] for row in kept.collect())
-    assert ids[1] == 1 and ids[2] == ids[3] == 0 and ids[None] == 1 and ids[5] == ids[6] == ids[7] == 1
+    assert ids[1] == 1 and ids[2] == ids[3] == 0 and ids[None] == 1 and ids[10] == 2 and ids[5] == ids[6] == ids[7] == 1
     assert ngram_join.keep_first(documents(spark, [])).count() == 0
 
 
@@ -111,6 +111,56 @@ def test_line_classes_equal_brute_force(spark, clashing):
     assert left == {1: "\n".join(lines), 2: "new line here", None: "short", 4: None, 5: "a"}
 
 
+def test_rows_of_one_doc_id_are_judged_apart(spark):
+    """Two texts under one id keep what only they have; of a row that stands there three times one stays."""
+    one, two, three = prose(40, 21), prose(40, 22), prose(40, 23)
+    rows = [(1, one, "en", "a", 0), (2, f"{one}\n{two}", "en", "a", 0), (2, f"{three}\n{prose(40, 24)}", "en", "a", 0),
+            *[(3, prose(40, 25), "en", "a", at % 2) for at in range(3)], (None, one, "en", "a", 0), (None, one, "en", "a", 0),
+            (4, "", "en", "a", 0), (4, None, "en", "a", 0), (4, None, "en", "a", 0)]
+    docs = documents(spark, rows, clashing=True).selectExpr("*", "1 as digest", "2 as `out`", "3 as row", "4 as place", "5 as owner")
+    lines = line_dedup.dedup_lines(docs)
+    assert lines.columns == docs.columns
+    want = Counter([(1, one), (2, two), (2, f"{three}\n{prose(40, 24)}"), (3, prose(40, 25)), (None, one), (None, one), (4, ""), (4, None)])
+    assert Counter((r["doc_id"], r["text"]) for r in lines.collect()) == want
+    near = [(1, one, "en", "a", 0), (2, one + " more", "en", "a", 0), *rows[2:]]
+    docs = documents(spark, near, clashing=True).selectExpr("*", "1 as digest", "2 as `out`", "3 as row", "4 as place", "5 as owner")
+    kept = ngram_join.keep_first(docs)
+    assert kept.columns == docs.columns
+    want = Counter([(1, one), (2, f"{three}\n{prose(40, 24)}"), (3, prose(40, 25)), (None, one), (None, one), (4, ""), (4, None)])
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
+
+
+def test_most_lines_equal_are_dealt_over_tasks(spark):
+    """A line that two of three rows have is looked up in pieces of a thousandth of the rows; the result is the plain one."""
+    rows = [(at, "the very same line in many documents\n" * 2 + f"line {at} " + prose(6, at), "en", "a", 0) for at in range(300)]
+    found = line_dedup.line_classes(documents(spark, rows)).collect()
+    assert len(found) == 900
+    same = [r for r in found if r["line_no"] < 2]
+    assert {(r["class_doc_id"], r["class_line_no"]) for r in same} == {(0, 0)}
+    assert [(r["doc_id"], r["line_no"]) for r in same if r["kept"]] == [(0, 0)]
+    values = spark.createDataFrame([(1, 600, "a"), (2, 300, "b")], "k long, times long, v string")
+    rows = spark.range(900).selectExpr("id", "if(id % 3 < 2, 1L, 2L) as k")
+    got = lookup(rows, values, "k", "times", ["id"], pieces=30)
+    assert {r["id"]: r["v"] for r in got.collect()} == {at: "a" if at % 3 < 2 else "b" for at in range(900)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoop" not in plan and "SortMergeJoin" in plan
+
+
+@pytest.mark.parametrize("length", [20, 60, 400])
+def test_bands_find_lines_at_the_bound(length):
+    """Of pairs of lines whose similarity is 0.80 to 0.84, at least 98 % share a band."""
+    draw, hit = np.random.default_rng(length), 0
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    for _ in range(400):
+        base = "".join(draw.choice(letters, length + 8))
+        longer = base + "".join(draw.choice(letters, (length + 1) // 4))
+        x, y = (set(found.tolist()) for found in char_shingles([base, longer], 8))
+        assert 80 * len(x | y) <= 100 * len(x & y) <= 84 * len(x | y)
+        a, b = line_dedup.signatures([base, longer])
+        hit += bool((a == b).any())
+    assert hit >= 0.98 * 400
+
+
 def test_line_dedup_of_odd_and_empty_tables(spark):
     docs = documents(spark, clashing=True)
     assert line_dedup.dedup_lines(docs).columns == docs.columns
