@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.llm.common import char_hashes, char_shingles, fresh, lists, lookup, mix, one_of_each, slices, table
+from chatlens.llm.common import char_hashes, char_shingles, fresh, lookup, mix, one_of_each, slices, table
 from chatlens.llm.setjoin import join_buckets
 
 # Characters of a shingle, similarity in percent, bands of the signature and values in each. A pair
@@ -38,20 +38,20 @@ def _lines(text: str | None):
             yield number, line
 
 
-def signatures(lines: list[str], width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> list[np.ndarray]:
-    """Band keys of each line; none for lines shorter than a shingle, which only equal lines resemble."""
+def band_keys(lines: list[str], width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of each line, and which lines have them: those shorter than a shingle only resemble equal ones."""
     slots = bands * rows
     points = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     count = np.array([len(line) for line in lines], np.int64)
-    starts = np.concatenate([[0], np.cumsum(count + 1)[:-1]])
+    ends = np.cumsum(count + 1) - 1
+    owners = np.repeat(np.arange(len(lines)), count + 1)
     least = np.full(len(lines) * slots, np.iinfo(np.uint64).max, np.uint64)
     step = 1 << 17
     for low in range(0, len(points) - width + 1, step):
         value = char_hashes(points[low : low + step + width - 1], width)
         size = len(value)
-        place = np.arange(low, low + size)
-        owner = np.searchsorted(starts, place, side="right") - 1
-        inside = place + width <= starts[owner] + count[owner]
+        owner = owners[low : low + size]
+        inside = np.arange(low + width, low + width + size) <= ends[owner]
         value, owner = value[inside], owner[inside]
         slot = ((value >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
         np.minimum.at(least, owner * slots + slot.astype(np.int64), value)
@@ -67,9 +67,7 @@ def signatures(lines: list[str], width: int = WIDTH, bands: int = BANDS, rows: i
     keys = np.zeros((len(lines), bands), np.uint64)
     for row in range(rows):
         keys = mix(keys * np.uint64(31) + found.reshape(len(lines), bands, rows)[:, :, row])
-    keys = mix(keys + np.arange(bands, dtype=np.uint64)[None, :])
-    none = np.zeros(0, np.uint64)
-    return [keys[at] if count[at] >= width else none for at in range(len(lines))]
+    return mix(keys + np.arange(bands, dtype=np.uint64)[None, :]), count >= width
 
 
 def line_rows(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -90,8 +88,10 @@ def line_rows(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int
                 for at, (_, _, line) in enumerate(found):
                     first.setdefault(line, at)
                 nodes = {line: _identity(line) for line in first}
-                keys = dict(zip(first.values(), signatures(list(first), width, bands, rows), strict=True))
-                none = np.zeros(0, np.uint64)
+                keys, long = band_keys(list(first), width, bands, rows)
+                size = np.zeros(len(found) + 1, np.int32)
+                size[np.fromiter(first.values(), np.int64)[long] + 1] = bands
+                offsets = pa.array(np.cumsum(size, dtype=np.int32))
                 owner = owners.take(pa.array([at for at, _, _ in found]))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -99,7 +99,7 @@ def line_rows(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int
                         pa.array([number for _, number, _ in found], pa.int32()),
                         pa.array([nodes[line] for _, _, line in found], pa.int64()),
                         pa.array([len(line) for _, _, line in found], pa.int64()),
-                        lists([keys.get(at, none) for at in range(len(found))]),
+                        pa.ListArray.from_arrays(offsets, pa.array(keys[long].view(np.int64).ravel())),
                     ],
                     ["doc_id", "digest", "line_no", "node", "n", "bands"],
                 )
