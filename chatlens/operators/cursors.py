@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlens.functions import offset_sum
-from chatlens.plans import numbered, with_running
+from chatlens.plans import met, numbered, with_running
 from chatlens.sources.layout import CELL, LaidOutLog
 
 PAGE_SIZE = 15  # fixed value: records of history per partition and page
@@ -81,15 +81,17 @@ def unread_ranges(log: DataFrame | LaidOutLog, positions: DataFrame, per_block:
         "*", F.when(F.col("_record") == 1, F.col("offset")).alias("_seen")
     )
     counted = with_running(
-        merged.withColumn("_block", _block("offset", per_block)),
+        # Offsets below zero, which no broker gives, lie in block 0 too: it is the last of every partition.
+        merged.withColumn("_block", F.greatest(_block("offset", per_block), F.lit(0).cast("long"))),
         ["chat_id", "partition"],
         [["_block"]],
         [F.desc("offset"), F.desc("_record")],
         {"unread": ("sum", "_record"), "last_offset": ("max", "_seen"), "newest_ms": ("max", "_ms")},
         descending=True,
+        final=0,
     )
     answers = counted.filter("_record = 0").select(*_RECORD, "unread", "last_offset", "newest_ms")
-    return positions.hint("merge").join(answers, _RECORD)
+    return met(positions, answers, _RECORD)
 
 
 def unread_count(log: DataFrame | LaidOutLog, positions: DataFrame, per_block: int | None = None) -> DataFrame:
@@ -110,14 +112,15 @@ def unread_messages(log: DataFrame | LaidOutLog, positions: DataFrame) -> DataFr
     records, columns, size = _in_blocks(log, OFFSETS_PER_BLOCK)
     blocks = F.sequence(_block("_from", size), _block("last_offset", size))
     readers = (
-        positions.select("user_id", "chat_id", "partition", F.col("offset").alias("_from"))
-        .join(_ends(log), ["chat_id", "partition"])
+        met(positions.select("user_id", "chat_id", "partition", F.col("offset").alias("_from")), _ends(log), ["chat_id", "partition"])
         .filter(F.col("_from") <= F.col("last_offset"))
         .select("user_id", "chat_id", "partition", "_from", F.explode(blocks).alias("_block"))
     )
+    # Records of a laid-out log lie by their cells and are not dealt again, as they would be by a digest.
+    keys = ["chat_id", "partition", "_block"]
+    pairs = records.join(readers.hint("merge"), keys) if isinstance(log, LaidOutLog) else met(records, readers, keys)
     return (
-        records.join(readers.hint("merge"), ["chat_id", "partition", "_block"])
-        .filter(F.col("offset") >= F.col("_from"))
+        pairs.filter(F.col("offset") >= F.col("_from"))
         .select("user_id", *columns)
     )
 
@@ -138,7 +141,7 @@ def records_since(log: DataFrame | LaidOutLog, positions: DataFrame) -> DataFram
         wanted = wanted.filter(F.col(CELL) >= _block("_from", log.per_cell))
         found = log.in_cells.join(wanted.hint("merge"), ["chat_id", "partition", CELL])
         return found.filter(F.col("offset") >= F.col("_from")).select(*log.records.columns)
-    return log.join(starts.hint("merge"), ["chat_id", "partition"]).filter(F.col("offset") >= F.col("_from")).select(*log.columns)
+    return met(log, starts, ["chat_id", "partition"]).filter(F.col("offset") >= F.col("_from")).select(*log.columns)
 
 
 # --- history --------------------------------------------------------------------------

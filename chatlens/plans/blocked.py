@@ -26,6 +26,22 @@ _KINDS = {
 }
 
 
+def digest(*columns: Column | str) -> Column:
+    """A number to sort and meet by before the columns themselves. Sorts compare eight bytes first, and names that begin
+    alike tie there; equal digests are told apart by the columns, so results do not depend on it."""
+    return F.hash(*columns)
+
+
+def met(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, keys, how)``, inner or left, as a sort-merge join by the digest of the keys first."""
+    copies = {name: f"_other_{name}" for name in keys}
+    equal = [F.col(name) == F.col(copy) for name, copy in copies.items()]
+    joined = left.hint("merge").join(
+        right.withColumnsRenamed(copies), [digest(*copies) == digest(*copies.values()), *equal], how
+    )
+    return joined.select(*keys, *[name for name in left.columns if name not in keys], *[name for name in right.columns if name not in keys])
+
+
 def _all_equal(left: Sequence[str], right: Sequence[str]) -> Column:
     pairs = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)]
     return reduce(lambda one, other: one & other, pairs)
@@ -51,15 +67,23 @@ def _carried(
     levels: Sequence[Sequence[str]],
     aggs: Mapping[str, tuple[str, str]],
     descending: bool,
+    final: int | None = None,
 ) -> DataFrame:
-    """Per block, what all earlier blocks of its group add up to."""
+    """Per block, what all earlier blocks of its group add up to.
+
+    Rows of the block numbered ``final`` feed no other block, so only the rows before it are added up.
+    """
     *outer, last = levels
     above = [*group, *[name for level in outer for name in level]]
     keys = [*above, *last]
     direction = F.desc if descending else F.asc
     chain = Window.partitionBy(*above).orderBy(*[direction(name) for name in last])
     earlier = chain.rowsBetween(Window.unboundedPreceding, -1)
-    blocks = df.groupBy(*keys).agg(*[_KINDS[kind][0](column).alias(name) for name, (kind, column) in aggs.items()])
+    feeding = df if final is None else df.filter(F.col(last[0]) != F.lit(final))
+    blocks = feeding.groupBy(*keys).agg(*[_KINDS[kind][0](column).alias(name) for name, (kind, column) in aggs.items()])
+    if final is not None:
+        ends = blocks.select(*above).distinct().withColumn(last[0], F.lit(final).cast("long"))
+        blocks = blocks.unionByName(ends, allowMissingColumns=True)
     carried = blocks.select(
         *keys, *[_KINDS[kind][1](name).over(earlier).alias(f"_carried_{name}") for name, (kind, _) in aggs.items()]
     )
@@ -86,6 +110,7 @@ def with_running(
     order: Sequence[Column | str],
     aggs: Mapping[str, tuple[str, str]],
     descending: bool = False,
+    final: int | None = None,
 ) -> DataFrame:
     """Add, per row, aggregates over the row and all rows of its group before it.
 
@@ -94,6 +119,8 @@ def with_running(
     the level above. ``order`` sorts inside the finest block.
     ``aggs`` maps a new column to (kind, input column) with kind one of count, sum, max, min.
     ``descending`` reverses the blocks (the caller gives ``order`` in the wanted direction).
+    ``final`` is the number of the block that comes last in every group that has it, for one level of one block
+    column; groups that lie in this block alone, most as a rule, then take no part in the chaining.
     """
     keys = [*group, *[name for level in levels for name in level]]
     fed = df.select(
@@ -106,12 +133,12 @@ def with_running(
     )
     # What a block inherits enters as one more row at its head, so rows are shuffled only once. The
     # first block of a group inherits nothing.
-    heads = _carried(df, group, levels, aggs, descending).select(
+    heads = _carried(df, group, levels, aggs, descending, final).select(
         *keys, F.lit(0).alias("_turn"), *[F.col(f"_carried_{name}").alias(f"_fed_{name}") for name in aggs]
     )
     heads = heads.filter(F.coalesce(*[F.col(f"_fed_{name}").cast("string") for name in aggs]).isNotNull())
     inside = (
-        Window.partitionBy(*keys).orderBy("_turn", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(digest(*keys), *keys).orderBy("_turn", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     merged = fed.unionByName(heads, allowMissingColumns=True)
     return merged.select(

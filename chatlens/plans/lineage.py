@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
@@ -21,6 +22,16 @@ def materialize(df: DataFrame, path: str, observation: Observation | None = None
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_dealt(
+    df: DataFrame, path: str, buckets: int, keys: Sequence[str], order: Sequence[str], observation: Observation, *metrics
+) -> tuple[DataFrame, str]:
+    """The same, of rows dealt by ``keys`` to so many partitions, as a table in ``order`` inside a bucket: what groups by
+    the keys needs no shuffle. Gives the table and its name; ``spark.sql("DROP TABLE ...")`` and ``discard`` remove it."""
+    name = f"dealt_{uuid.uuid4().hex}"
+    df.observe(observation, *metrics).write.format("parquet").bucketBy(buckets, *keys).sortBy(*order).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name), name
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a table that nothing reads any more."""
     location = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.plans import discard, materialize, scratch_path, with_running
+from chatlens.plans import discard, materialize, met, scratch_path, with_running
 
 PER_CELL = 256
 CELLS_PER_BLOCK = 65_536
@@ -68,21 +68,22 @@ class LaidOutLog:
         merged = known.unionByName(asked, allowMissingColumns=True)
         # A cell that is asked for comes before its own records, so only later cells are added up.
         later = with_running(
-            merged.withColumn("_block", F.floor(F.col(CELL) / F.lit(CELLS_PER_BLOCK))),
+            merged.withColumn("_block", F.greatest(F.floor(F.col(CELL) / F.lit(CELLS_PER_BLOCK)), F.lit(0).cast("long"))),
             ["chat_id", "partition"],
             [["_block"]],
             [F.desc(CELL), F.asc("_known")],
             {"_more": ("sum", "records"), "_end": ("max", "last_offset"), "_latest": ("max", "newest_ms")},
             descending=True,
+            final=0,
         )
         later = later.filter("_known = 0").select(*KEYS, "_more", "_end", "_latest")
-        answers = near.join(later.hint("merge"), KEYS).select(
+        answers = met(near, later, KEYS).select(
             *record,
             (F.col("_n") + F.coalesce("_more", F.lit(0))).alias("unread"),
             F.coalesce("_end", "_last").alias("last_offset"),
             F.greatest("_newest", "_latest").alias("newest_ms"),
         )
-        return positions.hint("merge").join(answers, record)
+        return met(positions, answers, record)
 
     def ends(self) -> DataFrame:
         """(chat_id, partition, last_offset) without a look at the records."""

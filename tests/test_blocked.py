@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chatlens.plans import numbered, ranged, with_running
+from chatlens.plans import met, numbered, ranged, with_running
+from chatlens.plans.blocked import _carried
+from chatlens.session import prepare
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +81,31 @@ def test_every_large_group_is_cut_whatever_its_ids_look_like(spark, key):
     cut = ranged(rows, ["g"], ["k"], 50)
     sizes = [row["count"] for row in cut.filter("g = 0").groupBy("_block").count().collect()]
     assert len(sizes) > 30 and max(sizes) < 2_000
+
+
+def test_groups_in_the_final_block_alone_are_not_chained(spark):
+    """Rows of the final block feed no other: chaining adds up the rows of the blocks before it only."""
+    rows = spark.createDataFrame([("a", 0, 1), ("a", 9, 2), ("b", 0, 5), (None, 9, 3), (None, 0, 4)], "g string, at long, v long")
+    cut = rows.withColumn("b", F.floor(F.col("at") / 4))
+    got = with_running(cut, ["g"], [["b"]], [F.desc("at")], {"s": ("sum", "v")}, descending=True, final=0)
+    assert {(row.g, row.at): row.s for row in got.collect()} == {("a", 0): 3, ("a", 9): 2, ("b", 0): 5, (None, 9): 3, (None, 0): 7}
+    chained = _carried(cut.withColumn("_fed_s", F.col("v")), ["g"], [["b"]], {"s": ("sum", "v")}, True, 0)
+    assert "b" not in {row.g for row in chained.collect()}
+
+
+def test_rows_meet_by_digest_as_by_their_keys(spark):
+    left = spark.createDataFrame([("a", 1, "x"), ("a", None, "y"), (None, 1, "z"), ("b", 2, "u"), ("b", 2, "u")], "k string, n int, v string")
+    right = spark.createDataFrame([("a", 1, 1.0), ("a", None, 2.0), (None, 1, 3.0), ("b", 2, 4.0)], "k string, n int, w double")
+    want = left.join(right, ["k", "n"])
+    got = met(left, right, ["k", "n"])
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+
+
+def test_a_task_takes_the_same_however_many_rows(spark):
+    """Shuffles begin with more partitions than the session's few, so adaptive execution can bound what a task takes."""
+    session = prepare(spark.newSession())
+    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    session.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+    dealt = session.range(400_000).withColumn("k", F.xxhash64("id")).groupBy("k").count()
+    assert dealt.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 8
