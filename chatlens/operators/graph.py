@@ -14,10 +14,11 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from chatlens.plans import discard, materialize, ranged, scratch_path, with_running
+from chatlens.plans import digest, discard, materialize, materialize_dealt, ranged, scratch_path
 
 TOLERANCE = 0.001  # fixed value: smaller changes of a rank are not passed on
 RESET = 0.15  # fixed value: rank every vertex starts from
+ROWS_PER_BUCKET = 2_000_000  # memberships that one task passes ranks along
 
 
 def vertices(users: DataFrame) -> DataFrame:
@@ -35,22 +36,41 @@ def co_membership_edges(members: DataFrame, pieces: int | None = None) -> DataFr
 
     Edges of a row lead to the ``out_edges`` members with the next larger numbers.
     """
-    return _placed_edges(members, pieces).drop("block")
-
-
-def _placed_edges(members: DataFrame, pieces: int | None = None) -> DataFrame:
-    """The same with ``block``, the part of its chat a row lies in; null in chats that lie in one part."""
-    blocked = ranged(members, ["chat_id"], ["id"], pieces).withColumn("_one", F.lit(1))
-    placed = with_running(blocked, ["chat_id"], [["_block"]], ["id"], {"_place": ("count", "_one")})
-    sizes = blocked.groupBy("chat_id").agg(
-        F.count(F.lit(1)).alias("_size"), (F.min("_block") < F.max("_block")).alias("_parted")
+    return _placed_edges(ranged(members, ["chat_id"], ["id"], pieces)).drop("block", "mark")
+
+
+def _placed_edges(blocked: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The same of members in ranges, dealt by ``mark``, a digest of chat and range; with ``block``, the part of its chat
+    a row lies in; null in chats that lie in one part."""
+    spark = blocked.sparkSession
+    # Only chats on a bound lie in several ranges. They are written first, so the planner knows how few they are.
+    counts = blocked.filter("chat_id is not null").groupBy("chat_id", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    of_chat = Window.partitionBy(digest("chat_id"), "chat_id").orderBy("_block")
+    whole = of_chat.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cut = counts.select(
+        "chat_id",
+        "_block",
+        F.sum("_n").over(of_chat.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.sum("_n").over(whole).alias("_size"),
+        F.count("_n").over(whole).alias("_parts"),
+    )
+    cut = materialize(cut.filter("_parts > 1").drop("_parts"), scratch_path(spark, "cut"))
+    marked = blocked.filter("chat_id is not null").withColumn("mark", digest("chat_id", "_block"))
+    dealt = marked.repartition(buckets, "mark") if buckets else marked
+    inside = Window.partitionBy("mark", "chat_id", "_block").orderBy("id")
+    placed = dealt.select(
+        "*",
+        F.row_number().over(inside).alias("_place"),
+        F.count(F.lit(1)).over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_own"),
     )
-    return placed.join(sizes, "chat_id").select(
+    place = F.col("_place") + F.coalesce("_before", F.lit(0))
+    return placed.join(cut, ["chat_id", "_block"], "left").select(
+        "mark",
         "chat_id",
-        F.when(F.col("_parted"), F.col("_block")).alias("block"),
+        F.when(F.col("_size").isNotNull(), F.col("_block")).alias("block"),
         "id",
-        (F.col("_size") - F.col("_place")).alias("out_edges"),
-        (F.col("_place") - 1).alias("in_edges"),
+        (F.coalesce("_size", "_own") - place).alias("out_edges"),
+        (place - 1).alias("in_edges"),
     )
 
 
@@ -71,7 +91,8 @@ def edges_of(members: DataFrame, who: DataFrame) -> DataFrame:
 def _superstep(members: DataFrame, state: DataFrame, tolerance: float, chained: bool) -> DataFrame:
     """Pass changes above the tolerance along all edges, in both directions at once.
 
-    ``chained`` says whether any chat is cut into blocks.
+    ``chained`` says whether any chat is cut into blocks. Members lie by ``mark``, a digest of chat and range, so
+    they are neither shuffled nor put in order again where what is passed on fits a broadcast.
     """
     sent = members.join(
         state.selectExpr(
@@ -81,13 +102,13 @@ def _superstep(members: DataFrame, state: DataFrame, tolerance: float, chained:
         ),
         "id",
     )
-    block = "over (partition by chat_id, block"
+    block = "over (partition by mark, chat_id, block order by id rows between unbounded preceding and"
     received = sent.selectExpr(
         "chat_id",
         "block",
         "id",
-        f"sum(down) {block} order by id rows between unbounded preceding and current row) - down as down",
-        f"sum(up) {block}) - sum(up) {block} order by id rows between unbounded preceding and current row) as up",
+        f"sum(down) {block} current row) - down as down",
+        f"sum(up) {block} unbounded following) - sum(up) {block} current row) as up",
     )
     if chained:
         totals = sent.filter("block is not null").groupBy("chat_id", "block").agg(
@@ -100,8 +121,10 @@ def _superstep(members: DataFrame, state: DataFrame, tolerance: float, chained:
             f"sum(down) over (partition by chat_id order by block {other}) as _down",
             f"sum(up) over (partition by chat_id order by block desc {other}) as _up",
         )
-        received = received.join(carried, F.expr("chat_id = _chat and block = _block"), "left").selectExpr(
-            "id", "down + coalesce(_down, 0D) as down", "up + coalesce(_up, 0D) as up"
+        # What the parts before and after pass on is added to the members of cut chats alone.
+        further = members.filter("block is not null").join(carried, F.expr("chat_id = _chat and block = _block"))
+        received = received.select("id", "down", "up").unionByName(
+            further.selectExpr("id", "coalesce(_down, 0D) as down", "coalesce(_up, 0D) as up")
         )
     received = received.groupBy("id").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
     kept = 1.0 - RESET
@@ -132,13 +155,18 @@ def page_ranks(
     spark = users.sparkSession
     root = scratch_path(spark, "ranks")
     cut = Observation()
-    edges = materialize(
-        _placed_edges(graph_membership(users, users_chats), pieces),
+    blocked = ranged(graph_membership(users, users_chats), ["chat_id"], ["id"], pieces)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocked.count() // ROWS_PER_BUCKET + 1)
+    edges, name = materialize_dealt(
+        _placed_edges(blocked, buckets),
         f"{root}/edges",
+        buckets,
+        ["mark"],
+        ["mark", "chat_id", "block", "id"],
         cut,
         F.count("block").alias("rows"),
     )
-    members = edges.select("chat_id", "block", "id")
+    members = edges.select("mark", "chat_id", "block", "id")
     degrees = edges.groupBy("id").agg(F.sum("out_edges").alias("out_degree"), F.sum("in_edges").alias("in_degree"))
     state = vertices(users).select("id").join(degrees, "id", "left").selectExpr(
         "id",
@@ -146,6 +174,8 @@ def page_ranks(
         "coalesce(in_degree, 0) as in_degree",
         *[f"{RESET}D as {name}" for name in ("rank", "change", "rank_rev", "change_rev")],
     )
+    # Written before the first step, so that the planner knows its size in every step.
+    state = materialize(state, f"{root}/start")
     moving = f"(change > {tolerance}D and out_degree > 0) or (change_rev > {tolerance}D and in_degree > 0)"
     # What is passed on shrinks by RESET in every step, so the loop ends.
     for step in count():
@@ -163,6 +193,8 @@ def page_ranks(
             discard(spark, f"{root}/step-{step - 1}")
         if not seen.get["moving"]:
             break
+    spark.sql(f"DROP TABLE {name}")
+    discard(spark, f"{root}/edges")
     figures = seen.get
     scale, scale_rev = (
         figures["users"] / figures[name] if figures["users"] else 1.0 for name in ("total", "total_rev")
