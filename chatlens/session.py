@@ -23,9 +23,23 @@ def build_session(app: str = "chatlens", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+# A task of a shuffle takes this much, however large the input: shuffles begin with many partitions, which adaptive
+# execution joins up to the size.
+TASK_SIZE = "16m"
+MOST_TASKS = 1024
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the session options every result depends on (window bounds, date text)."""
+    """Pin the session options every result depends on (window bounds, date text), and set how much a task takes
+    where the session does not say."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    most = max(MOST_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for key, value in {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_SIZE,
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(most),
+    }.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark
 
 
