@@ -29,15 +29,24 @@ def table(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, scratch_path(df.sparkSession, f"llm-{label}"))
 
 
+def gathered(df: DataFrame, rows: int, each: int = 20_000, least: int = 16) -> DataFrame:
+    """``df`` in one partition for about ``each`` of its ``rows``, ``least`` ones or more, but in no more than it has.
+
+    A small table otherwise has a file for each partition of the shuffle before it, and every step that reads it a task for each file.
+    """
+    return df.coalesce(max(least, -(-rows // each)))
+
+
 class Scratch:
     """Tables of one operator that nobody reads once its result is written."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def table(self, df: DataFrame, label: str) -> DataFrame:
+    def table(self, df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+        """``rows``: about how many units (documents, say) the table speaks of, where it has a few rows for each."""
         self.paths.append(scratch_path(self.spark, f"llm-{label}"))
-        return materialize(df, self.paths[-1])
+        return materialize(df if rows is None else gathered(df, rows), self.paths[-1])
 
     def drop(self, path: str) -> None:
         discard(self.spark, path)
@@ -267,11 +276,12 @@ def lookup(rows: DataFrame, values: DataFrame, key: str, times: str, spread: lis
     return dealt.drop("_pieces").join(copies.hint("merge"), [key, "_piece"]).drop("_piece")
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
+def components(edges: DataFrame, label: str = "components", rows: int | None = None) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); a component is named by its smallest node.
 
     Union-find over tables: each round hangs the larger neighbours of every node, and then its
-    smaller ones, below the smallest, until nothing moves. Every round is a written table.
+    smaller ones, below the smallest, until nothing moves. Every round is a written table. ``rows``: about how many edges
+    there are, if known; the rounds know it from the table before.
     """
     spark = edges.sparkSession
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
@@ -283,7 +293,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         got = seen.get
         return out, (got["n"], got["h"]), path
 
-    now, state, path = write(pairs)
+    now, state, path = write(pairs if rows is None else gathered(pairs, rows))
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -291,7 +301,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(root.select("u", F.col("m").alias("v"))).distinct()
-        after, new_state, new_path = write(small)
+        after, new_state, new_path = write(gathered(small, state[0]))
         discard(spark, path)
         done = new_state == state
         now, state, path = after, new_state, new_path

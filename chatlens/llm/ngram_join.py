@@ -212,14 +212,15 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
     profile = materialize(profiles(docs, frequent, width, percent), path)
     ids = table(profile.drop("heads"), "ids")
     usable = ids.filter("n > 0 and doc_id is not null")
+    size = ids.count()
     shared = scratch.table(shared_elements(profile.filter("n > 0 and doc_id is not null")), "matrix")
     discard(spark, path)
     sets = scratch.table(
         usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.min("group").alias("group"), F.min("n").alias("n"),
-                                         F.min("rare").alias("rare")), "sets"
+                                         F.min("rare").alias("rare")), "sets", size
     )
-    members = scratch.table(sets.select("group", "node", "n", "rare").distinct(), "members")
-    spans = scratch.table(_spans(members, percent, F.min("node").alias("head")), "groups")
+    members = scratch.table(sets.select("group", "node", "n", "rare").distinct(), "members", size)
+    spans = scratch.table(_spans(members, percent, F.min("node").alias("head")), "groups", size)
     reach = int(np.ceil(np.log(100 / percent) / np.log(STEP))) + 1
 
     def named_texts(nodes: DataFrame) -> DataFrame:
@@ -241,10 +242,10 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
     star = star.groupBy(F.col("head").alias("g1"), F.col("group").alias("g2")).agg(*_common())
     star = _qualifying(star, spans, percent).select(F.col("head2").alias("a"), F.col("head1").alias("b"))
     inner = members.join(spans.filter("members > 1").select("group", "head"), "group").filter("node <> head")
-    pairs = scratch.table(star.unionByName(inner.select(F.col("node").alias("a"), F.col("head").alias("b"))).distinct(), "stars")
+    pairs = scratch.table(star.unionByName(inner.select(F.col("node").alias("a"), F.col("head").alias("b"))).distinct(), "stars", size)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = scratch.table(star_links(pairs, named_texts(nodes), _sets(width), percent), "links")
-    joined = scratch.table(components(links), "joined")
+    links = scratch.table(star_links(pairs, named_texts(nodes), _sets(width), percent), "links", size)
+    joined = scratch.table(components(links, rows=size), "joined", size)
 
     # Groups within one component merge with the component's other groups of their size.
     placed = members.join(joined, "node", "left").select("group", "node", "n", "rare", F.coalesce("component", "node").alias("c"))
@@ -252,11 +253,11 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
     merged = F.xxhash64(F.lit("m"), "c", _band("group")).bitwiseAND(~1023).bitwiseOR(_band("group"))
     whole = F.col("c") == F.col("d")
     named = pure.select("group", F.when(whole, merged).otherwise(F.col("group")).alias("super"), F.when(whole, F.col("c")).alias("pure"))
-    named = scratch.table(named, "supers")
-    placed = scratch.table(placed.join(named, "group").select(F.col("super").alias("group"), "node", "n", "rare", "c", "pure"), "placed")
-    spans = scratch.table(_spans(placed, percent, F.min("pure").alias("pure")), "spans")
+    named = scratch.table(named, "supers", size)
+    placed = scratch.table(placed.join(named, "group").select(F.col("super").alias("group"), "node", "n", "rare", "c", "pure"), "placed", size)
+    spans = scratch.table(_spans(placed, percent, F.min("pure").alias("pure")), "spans", size)
     matrix = shared.join(named, "group").select("token", "rare", F.col("super").alias("g1"), F.col("pure").alias("pure1")).distinct()
-    matrix = scratch.table(matrix, "merged")
+    matrix = scratch.table(matrix, "merged", size)
     other = matrix.select("token", F.col("g1").alias("g2"), F.col("pure1").alias("pure2"))
     apart = F.coalesce(F.col("pure1") != F.col("pure2"), F.lit(True))
     overlap = matrix.join(other, "token").filter(
@@ -267,22 +268,22 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
     larger = F.col("members1") >= F.col("members2")
     opened = opened.select(F.when(larger, F.col("g1")).otherwise(F.col("g2")).alias("host"),
                            F.when(larger, F.col("g2")).otherwise(F.col("g1")).alias("group"))
-    opened = scratch.table(opened, "opened-groups")
+    opened = scratch.table(opened, "opened-groups", size)
     guests = opened.join(placed, "group").select(F.col("host").alias("bucket"), "node", "n", F.lit(True).alias("left"), F.lit(False).alias("right"))
     hosts = opened.select(F.col("host").alias("group")).distinct()
     heads = placed.filter("pure is null").groupBy("group").agg(F.min(F.struct("node", "c"))["c"].alias("hc"))
     hosts = hosts.unionByName(heads.select("group")).distinct()
     own = placed.join(hosts, "group").join(heads, "group", "left").select(
         F.col("group").alias("bucket"), "node", "n", F.coalesce(F.col("c") != F.col("hc"), F.lit(False)).alias("left"), F.lit(True).alias("right"))
-    rows = scratch.table(own.unionByName(guests), "rows")
+    rows = scratch.table(own.unionByName(guests), "rows", size)
     texts = named_texts(rows.select("node").distinct())
     more = scratch.table(opened_links(rows, texts, _sets(width), percent), "opened")
 
-    # Equal sets link without being compared; repeated ids are one node.
+    # Equal sets link without being compared; repeated ids are one node. What the first links join hangs below its component already.
     copies = usable.join(sets.select("f1", "f2", "node"), ["f1", "f2"]).filter("doc_id <> node")
     edges = copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    edges = edges.unionByName(links).unionByName(more)
-    whole = components(edges).withColumnRenamed("node", "doc_id")
+    edges = edges.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(more)
+    whole = components(edges, rows=size).withColumnRenamed("node", "doc_id")
     scratch.clear()
     return ids.select("doc_id", F.col("n").alias("n_shingles")).join(whole, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")

@@ -14,7 +14,7 @@ import zlib  # noqa: E402
 from fixtures import documents, odd_documents, prose  # noqa: E402
 
 from chatlens.llm import hilbert, langid, line_dedup, lm, mixing, ngram_join, packing  # noqa: E402
-from chatlens.llm.common import char_shingles, components, hash_words, lookup, word_shingles  # noqa: E402
+from chatlens.llm.common import Scratch, char_shingles, components, hash_words, lookup, word_shingles  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -477,3 +477,12 @@ def test_every_word_is_a_target_of_training(spark):
     edge = lm.CLASSES
     context = np.array([[edge, edge, 70, edge], [edge, 5, edge, edge], [edge, edge, 5, 90], [edge, 9, 90, edge], [9, 5, edge, edge]])
     assert (after.log_probability(context, kinds) > start.log_probability(context, kinds)).all()
+
+
+def test_a_small_table_has_few_files(spark):
+    scratch = Scratch(spark)
+    many = spark.range(2000).repartition(64, "id")
+    assert len(scratch.table(many, "few", 2000).inputFiles()) <= 16
+    assert len(scratch.table(many, "more", 1_000_000).inputFiles()) > 16
+    assert scratch.table(many, "few", 2000).count() == 2000
+    scratch.clear()
