@@ -144,7 +144,8 @@ def stream_updates_compacted(spark, sf):
 
 
 def _in_thirds(df, arrival):
-    """The rows in three parts of rising ``arrival``, as they would come one after another."""
+    """The rows in three parts of rising ``arrival``, as they would come one after another. They are worked out once."""
+    df = materialize(df, scratch_path(df.sparkSession, "arrivals"))
     low, high = df.agg(F.percentile_approx(arrival, [1 / 3, 2 / 3])).first()[0]
     return [df.filter(F.col(arrival) <= low), df.filter((F.col(arrival) > low) & (F.col(arrival) <= high)), df.filter(F.col(arrival) > high)]
 

@@ -80,12 +80,16 @@ class VersionedTable:
         return found
 
     def _last(self, versions: DataFrame) -> DataFrame:
-        last = versions.groupBy(*self.keys).agg(F.max_by(F.struct(*self.values, BATCH), BATCH).alias("_last"))
+        # Few keys have several versions: sorted once, behind the shuffle, instead of on both sides of it.
+        last = versions.repartition(*self.keys).groupBy(*self.keys).agg(F.max_by(F.struct(*self.values, BATCH), BATCH).alias("_last"))
         return last.select(*self.keys, "_last.*")
 
-    def state(self, before: int | None = None, parts: Sequence[int] | None = None) -> DataFrame:
-        """The last version of each key, of all batches or those ``before`` one."""
-        return self._last(self._versions(*self.paths(before, parts))).select(*self.schema.fieldNames())
+    def state(self, before: int | None = None, parts: Sequence[int] | None = None, of: DataFrame | None = None) -> DataFrame:
+        """The last version of each key, of all batches or those ``before`` one; only of the keys in ``of``, if given."""
+        versions = self._versions(*self.paths(before, parts))
+        if of is not None:
+            versions = versions.join(of.select(*self.keys).distinct(), self.keys, "left_semi")
+        return self._last(versions).select(*self.schema.fieldNames())
 
     # --- writing ---
 
@@ -110,7 +114,8 @@ class VersionedTable:
     def _fold(self, rows: DataFrame, through: int, kept: dict) -> None:
         folder = f"s-{through}-{uuid.uuid4().hex}"
         target = f"{self.path}/_snapshots/{folder}"
-        rows.withColumn(PART, self.part_of()).repartition(self.parts, PART).write.partitionBy(PART).parquet(target)
+        # A part is one file while it is small; large ones are cut, so that no task writes a whole part.
+        rows.withColumn(PART, self.part_of()).hint("rebalance", F.col(PART)).write.partitionBy(PART).parquet(target)
         made = {name.split("=")[1]: folder for name in listed(self.spark, target) if name.startswith(f"{PART}=")}
         self.manifests.publish(through + 1, {"through": through, PART: kept | made})
 
@@ -178,8 +183,7 @@ def to_keyed(
         held = VersionedTable(batch.sparkSession, path, schema, keys, parts)
         if batch_id > held.folded():
             touched = [row[0] for row in batch.select(held.part_of()).distinct().collect()]  # at most ``parts``
-            stored = held.state(before=batch_id, parts=touched)
-            stored = stored.join(batch.select(*keys).distinct(), list(keys), "left_semi")
+            stored = held.state(before=batch_id, parts=touched, of=batch)
             held.write(merge(stored, batch), batch_id)
         if batch_id % compact_every == compact_every - 1:
             held.compact()

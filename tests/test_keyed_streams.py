@@ -276,3 +276,20 @@ def test_merged_streams_hold_each_record_once(spark, tmp_path):
     assert rows(run().select(*columns)) == want
     older.add(records[:10])
     assert rows(run().select(*columns)) == want
+
+
+def test_no_task_writes_a_whole_large_part(spark, tmp_path):
+    rows = spark.range(20000).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    table = VersionedTable(spark, str(tmp_path), rows.schema, ["k"], parts=2)
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64k")
+    try:
+        table.load(rows.repartition(8))
+    finally:
+        spark.conf.set(name, before)
+    snapshot, _ = table.paths()
+    assert all(len(spark.read.parquet(folder).inputFiles()) > 1 for folder in snapshot)
+    wanted = spark.createDataFrame([(5,), (7,), (99999,), (None,)], "k long")
+    assert {row.k for row in table.state(of=wanted).collect()} == {5, 7}
+    assert table.state().count() == 20000
