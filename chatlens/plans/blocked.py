@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlens.plans.lineage import materialize, scratch_path
+from chatlens.plans.lineage import materialize, materialize_dealt, scratch_path
 
 # kind -> (aggregate of rows, aggregate of block summaries, how two parts combine)
 _KINDS = {
@@ -47,6 +47,12 @@ def _all_equal(left: Sequence[str], right: Sequence[str]) -> Column:
     return reduce(lambda one, other: one & other, pairs)
 
 
+def _in_ranges(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], pieces: int | None) -> DataFrame:
+    keys = [*group, *order]
+    dealt = df.repartitionByRange(pieces, *keys) if pieces else df.repartitionByRange(*keys)
+    return dealt.withColumn("_block", F.spark_partition_id().cast("long"))
+
+
 def ranged(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], pieces: int | None = None) -> DataFrame:
     """``df`` as a table with ``_block``, the piece of a range partitioning by group and order.
 
@@ -55,10 +61,7 @@ def ranged(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], p
     what adaptive execution makes of the shuffle. The table is written once to the shared folder, so
     everything that reads it sees the same blocks.
     """
-    keys = [*group, *order]
-    dealt = df.repartitionByRange(pieces, *keys) if pieces else df.repartitionByRange(*keys)
-    blocked = dealt.withColumn("_block", F.spark_partition_id().cast("long"))
-    return materialize(blocked, scratch_path(df.sparkSession, "ranged"))
+    return materialize(_in_ranges(df, group, order, pieces), scratch_path(df.sparkSession, "ranged"))
 
 
 def _carried(
@@ -149,6 +152,21 @@ def with_running(
 def numbered(
     df: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str, pieces: int | None = None
 ) -> DataFrame:
-    """Add the 1-based position of each row in its group. ``order`` leaves no ties."""
-    blocked = ranged(df, group, order, pieces).withColumn("_one", F.lit(1))
-    return with_running(blocked, group, [["_block"]], order, {name: ("count", "_one")}).drop("_one", "_block")
+    """Add the 1-based position of each row in its group. ``order`` leaves no ties.
+
+    Rows move once, into their ranges: these are written bucketed by ``_block``, and rows are counted where they lie. Of the
+    groups of a range only the first can have begun before it, so there is one row to carry for a block at most, and
+    every task gets them all.
+    """
+    spark = df.sparkSession
+    buckets = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocked, _ = materialize_dealt(_in_ranges(df, group, order, pieces), scratch_path(spark, "ranged"), buckets, ["_block"])
+    keys = ["_block", *group]
+    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    copies = {key: f"_head_{key}" for key in keys}
+    heads = counts.select(*[F.col(key).alias(copy) for key, copy in copies.items()], F.sum("_rows").over(earlier).alias("_before"))
+    heads = F.broadcast(heads.filter("_before is not null"))
+    inside = blocked.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    position = F.coalesce("_before", F.lit(0)) + F.col("_at")
+    return inside.join(heads, _all_equal(list(copies), list(copies.values())), "left").select(*df.columns, position.alias(name))

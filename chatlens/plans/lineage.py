@@ -23,12 +23,14 @@ def materialize(df: DataFrame, path: str, observation: Observation | None = None
 
 
 def materialize_dealt(
-    df: DataFrame, path: str, buckets: int, keys: Sequence[str], order: Sequence[str], observation: Observation, *metrics
+    df: DataFrame, path: str, buckets: int, keys: Sequence[str], order: Sequence[str] = (), observation: Observation | None = None, *metrics
 ) -> tuple[DataFrame, str]:
     """The same, of rows dealt by ``keys`` to so many partitions, as a table in ``order`` inside a bucket: what groups by
     the keys needs no shuffle. Gives the table and its name; ``spark.sql("DROP TABLE ...")`` and ``discard`` remove it."""
     name = f"dealt_{uuid.uuid4().hex}"
-    df.observe(observation, *metrics).write.format("parquet").bucketBy(buckets, *keys).sortBy(*order).option("path", path).saveAsTable(name)
+    observed = df.observe(observation, *metrics) if observation is not None else df
+    dealt = observed.write.format("parquet").bucketBy(buckets, *keys)
+    (dealt.sortBy(*order) if order else dealt).option("path", path).saveAsTable(name)
     return df.sparkSession.table(name), name
 
 

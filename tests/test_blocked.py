@@ -98,3 +98,12 @@ def test_rows_meet_by_digest_as_by_their_keys(spark):
     want = left.join(right, ["k", "n"])
     got = met(left, right, ["k", "n"])
     assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize("pieces", [1, 30, None])
+def test_positions_are_counted_where_the_ranges_lie(rows, pieces):
+    got = numbered(rows, ["g"], ["at", "id"], "p", pieces)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the counts of blocks, by group
+    want = rows.withColumn("p", F.row_number().over(Window.partitionBy("g").orderBy("at", "id")))
+    assert {row.id: row.p for row in got.collect()} == {row.id: row.p for row in want.collect()}
