@@ -16,10 +16,13 @@ documents, starting from the same parameters, and the results are averaged.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatlens.llm.common import Scratch, hash_words, slices, table
@@ -37,6 +40,8 @@ FIRST_BATCH, BATCH = 512, 8192
 # Bytes of text hashed at a time, and words that share one dictionary and one row.
 STRETCH = 1 << 20
 DICTIONARY = 1 << 20
+# Words whose neighbours are looked at together, and so many of their occurrences at a time.
+FEW, SPOTS = 8192, 1 << 16
 # Columns that own words are dealt to where neighbours are counted.
 BUCKETS = 128
 # Rounds of k-means, and of votes within a dictionary.
@@ -48,6 +53,19 @@ STEPS = 8
 BLOCK = 1 << 16
 
 
+@contextmanager
+def one_row_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written inside hands Python one row at a time: rows of ``encoded`` have some 10 MB, and a batch
+    otherwise holds all rows of a task, in the executor and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _bytes(column: pa.Array) -> list[bytes]:
     return [b"" if text is None else text for text in column.cast(pa.binary()).to_pylist()]
 
@@ -222,17 +240,22 @@ def evidence(seen: np.ndarray, kind: np.ndarray, number: int) -> np.ndarray:
     return np.vstack([np.log(shares / base).T, np.zeros(number)]).astype(np.float32)
 
 
-def _said(order: np.ndarray, starts: np.ndarray, labels: np.ndarray, place: np.ndarray, speaks: np.ndarray) -> np.ndarray:
-    """Per word, the rows of ``speaks`` at the ``labels`` around all its occurrences, added up."""
-    wide, few = len(speaks), 8192
-    scores = np.empty((len(starts) - 1, speaks.shape[1]), np.float32)
-    for low in range(0, len(scores), few):
-        high = min(low + few, len(scores))
-        spots = place[order[starts[low] : starts[high]]]
-        cells = np.repeat(np.arange(high - low) * wide, np.diff(starts[low : high + 1]))
-        counts = np.bincount(np.concatenate([cells + labels[spots + shift] for shift in _SHIFTS]), minlength=(high - low) * wide)
-        scores[low:high] = counts.reshape(-1, wide).astype(np.float32) @ speaks
-    return scores
+def _said(order: np.ndarray, starts: np.ndarray, labels: np.ndarray, place: np.ndarray, speaks: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Words of a dictionary, a few at a time, and the rows of ``speaks`` at the ``labels`` around all their occurrences,
+    added up. A frequent word has many occurrences, so these are counted in stretches."""
+    wide = len(speaks)
+    for low in range(0, len(starts) - 1, FEW):
+        high = min(low + FEW, len(starts) - 1)
+        counts = np.zeros((high - low) * wide, np.int64)
+        for begin in range(starts[low], starts[high], SPOTS):
+            some = slice(begin, min(begin + SPOTS, starts[high]))
+            first = np.searchsorted(starts, begin, side="right") - 1
+            last = np.searchsorted(starts, some.stop, side="left")
+            held = np.minimum(starts[first + 1 : last + 1], some.stop) - np.maximum(starts[first:last], begin)
+            cells, spots = np.repeat(np.arange(last - first) * wide, held), place[order[some]]
+            cells = np.concatenate([cells + labels[spots + shift] for shift in _SHIFTS])
+            counts[(first - low) * wide : (last - low) * wide] += np.bincount(cells, minlength=(last - first) * wide)
+        yield slice(low, high), counts.reshape(-1, wide).astype(np.float32) @ speaks
 
 
 def votes(local: np.ndarray, padded: np.ndarray, place: np.ndarray, own: np.ndarray, kind: np.ndarray, speaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,11 +269,13 @@ def votes(local: np.ndarray, padded: np.ndarray, place: np.ndarray, own: np.ndar
     starts = np.concatenate([[0], np.cumsum(np.bincount(local, minlength=len(own)))])
     labels = np.append(np.where(own >= 0, own % BUCKETS, BUCKETS), BUCKETS)
     for last in range(VOTES):
-        scores = _said(order, starts, labels[padded], place, speaks)
-        best, lead = scores.argmax(axis=1), np.ones(len(own), np.float32)
-        if number > 1:
-            two = np.partition(scores, number - 2, axis=1)
-            lead = two[:, -1] - two[:, -2]
+        best, lead = np.empty(len(own), np.int64), np.ones(len(own), np.float32)
+        around = labels[padded]
+        for some, scores in _said(order, starts, around, place, speaks):
+            best[some] = scores.argmax(axis=1)
+            if number > 1:
+                scores.partition(number - 2, axis=1)
+                lead[some] = scores[:, -1] - scores[:, -2]
         best[lead <= 0] = number
         if last < VOTES - 1:
             best[mine] = kind[own[mine]]
@@ -594,19 +619,24 @@ def scored_rows(rows: DataFrame, network: Network) -> DataFrame:
 
 def modelled(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Network, Scratch]:
     """The documents with the classes of their words, the network, and the tables to clear in the end."""
-    scratch, large = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    spark = docs.sparkSession
+    scratch, large = Scratch(spark), Scratch(spark)
     rows = scratch.table(encoded(docs), "encoded")
-    totals = scratch.table(word_totals(rows), "totals")
+    with one_row_batches(spark):
+        totals = scratch.table(word_totals(rows), "totals")
     own = own_words(totals)
-    seen = neighbours(rows, own)
     number = int(np.ceil(np.sqrt(own.number)))
-    kind = clusters(seen, number)
-    words = scratch.table(settled(voted(rows, own, kind, evidence(seen, kind, number))), "words")
+    with one_row_batches(spark):
+        seen = neighbours(rows, own)
+        kind = clusters(seen, number)
+        words = scratch.table(settled(voted(rows, own, kind, evidence(seen, kind, number))), "words")
     classes = corpus_classes(own, kind, words)
     share = classes.tokens + 0.1
     known = large.table(with_classes(rows, words, classes), "classes")
     scratch.clear()
-    return known, trained(known, Network.start(share / share.sum(), classes.cluster), rounds), large
+    with one_row_batches(spark):
+        network = trained(known, Network.start(share / share.sum(), classes.cluster), rounds)
+    return known, network, large
 
 
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -616,6 +646,7 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     A text without words has log_likelihood 0 and no mean. Every row is scored, also with a null or repeated doc_id.
     """
     known, network, large = modelled(docs, rounds)
-    found = table(scored_rows(known, network), "scores")
+    with one_row_batches(docs.sparkSession):
+        found = table(scored_rows(known, network), "scores")
     large.clear()
     return found

@@ -1,6 +1,7 @@
 """Operators on documents: brute force on a small table, and the cases each docstring names."""
 
 import sys
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
@@ -433,6 +434,56 @@ def test_words_of_a_topic_share_a_cluster(spark):
     assert sum(n for (topic, c), n in pairs.items() if main[topic] == c) > 0.95 * sum(pairs.values())
 
 
+def test_votes_of_a_large_dictionary_stay_small():
+    rng = np.random.default_rng(3)
+    counts, words = np.full(40, 10_000), 50_000
+    local = np.concatenate([np.arange(words), (rng.random(350_000) ** 6 * words).astype(np.int64)])
+    own = np.where(np.arange(words) < 500, np.arange(words), -1)
+    kind, speaks = rng.integers(0, 40, 500), np.vstack([rng.normal(size=(lm.BUCKETS, 40)), np.zeros(40)]).astype(np.float32)
+    padded, place = lm._contexts(local, counts, words)
+    tracemalloc.start()
+    best, lead = lm.votes(local, padded, place, own, kind, speaks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45e6
+    # By a plain sum over the first votes.
+    near = np.append(np.where(own >= 0, own % lm.BUCKETS, lm.BUCKETS), lm.BUCKETS)[padded]
+    scores = np.zeros((words, 40))
+    for shift in lm._SHIFTS:
+        np.add.at(scores, local, speaks[near[place + shift]])
+    sums = np.zeros((words, 40), np.float32)
+    labels, order = np.append(np.where(own >= 0, own % lm.BUCKETS, lm.BUCKETS), lm.BUCKETS), np.argsort(local)
+    for some, found in lm._said(order, np.concatenate([[0], np.cumsum(np.bincount(local))]), labels[padded], place, speaks):
+        sums[some] = found
+    assert np.abs(sums - scores).max() < 1e-3 * np.abs(scores).max()
+    assert len(best) == len(lead) == words and 0 <= best.min() <= best.max() <= 40
+
+
+def test_tasks_of_the_model_take_one_row_at_a_time(spark, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+
+    def watched(make):
+        def wrapped(rows, *args):
+            def look(batches):
+                for batch in batches:
+                    sizes.add(int(batch.num_rows > 1))
+                    yield batch
+
+            return make(rows.mapInArrow(look, rows.schema), *args)
+
+        return wrapped
+
+    monkeypatch.setattr(lm, "DICTIONARY", 100)
+    monkeypatch.setattr(lm, "STRETCH", 1000)
+    for name in ("word_totals", "neighbours", "voted", "scored_rows"):
+        monkeypatch.setattr(lm, name, watched(getattr(lm, name)))
+    docs = documents(spark, [(i, text, "en", "a", 0) for i, text in enumerate(topics(60, 20))]).coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    assert lm.pseudo_likelihood(docs, 1).count() == 20
+    assert sizes.value == 0 and spark.conf.get(key) == before
+
+
 def test_no_words_share_a_count_and_classes_grow_with_the_words(spark):
     names = [f"w{i}" for i in range(20_000)]
     texts = ["w7 " * 500, "w8", "", None, *names]
