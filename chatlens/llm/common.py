@@ -60,10 +60,11 @@ class Scratch:
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit values that spreads every bit over all others."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _power(name: str, base: np.uint64, length: int) -> np.ndarray:
@@ -148,10 +149,13 @@ def char_hashes(points: np.ndarray, span: int) -> np.ndarray:
     """Hash of the ``span`` code points from each place on."""
     size = len(points) - span + 1
     factors = mix(np.arange(101, 101 + span, dtype=np.uint64)) | np.uint64(1)
-    value = points[:size].astype(np.uint64) * factors[0]
+    points = points.astype(np.uint64)
+    value, term = points[:size] * factors[0], np.empty(size, np.uint64)
     for at in range(1, span):
-        value += points[at : at + size].astype(np.uint64) * factors[at]
-    return mix(value + np.uint64(span))
+        np.multiply(points[at : at + size], factors[at], out=term)
+        value += term
+    value += np.uint64(span)
+    return mix(value)
 
 
 def char_shingles(lines: list[str], width: int) -> list[np.ndarray]:

@@ -8,6 +8,7 @@ tables makes the groups. The first line of a group in the order of (doc_id, line
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,11 @@ BANDS = 8
 ROWS = 3
 _BITS = 24
 
-def _identity(line: str) -> int:
-    """64 bits of a digest; equal for equal lines."""
-    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+def _identities(lines: Iterable[str]) -> np.ndarray:
+    """64 bits of a digest of each line; equal for equal lines."""
+    digests = [hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest() for line in lines]
+    return np.frombuffer(b"".join(digests), "<i8")
 
 
 def _lines(text: str | None):
@@ -44,17 +47,19 @@ def band_keys(lines: list[str], width: int = WIDTH, bands: int = BANDS, rows: in
     points = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     count = np.array([len(line) for line in lines], np.int64)
     ends = np.cumsum(count + 1) - 1
-    owners = np.repeat(np.arange(len(lines)), count + 1)
+    owners = np.repeat(np.arange(len(lines)) * slots, count + 1)
+    # Shingles from here on would go beyond their line.
+    beyond, outside = (ends[:, None] - np.arange(width)).ravel(), np.zeros(len(points) + 1, bool)
+    outside[beyond[beyond >= 0]] = True
     least = np.full(len(lines) * slots, np.iinfo(np.uint64).max, np.uint64)
-    step = 1 << 17
+    step = 1 << 15
     for low in range(0, len(points) - width + 1, step):
         value = char_hashes(points[low : low + step + width - 1], width)
-        size = len(value)
-        owner = owners[low : low + size]
-        inside = np.arange(low + width, low + width + size) <= ends[owner]
-        value, owner = value[inside], owner[inside]
-        slot = ((value >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
-        np.minimum.at(least, owner * slots + slot.astype(np.int64), value)
+        slot = value >> np.uint64(32)
+        slot *= np.uint64(slots)
+        slot >>= np.uint64(32)
+        value[outside[low : low + len(value)]] = np.iinfo(np.uint64).max
+        np.minimum.at(least, owners[low : low + len(value)] + slot.view(np.int64), value)
     found = least.reshape(len(lines), slots)
     full = found != np.iinfo(np.uint64).max
     # An empty slot takes the value of the next one that is filled, marked by the distance.
@@ -81,24 +86,32 @@ def line_rows(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int
             texts = [text or "" for text in batch.column("text").to_pylist()]
             owners = batch.select(["doc_id", "digest"])
             for low, high in slices(texts):
-                found = [(at, number, line) for at in range(low, high) for number, line in _lines(texts[at])]
-                if not found:
+                # Per line: its text, its number, and its place among the different lines, which are told by their first place.
+                rank: dict[str, int] = {}
+                held, numbers, ranks, firsts = [], [], [], []
+                for at in range(low, high):
+                    for number, line in _lines(texts[at]):
+                        place = rank.setdefault(line, len(firsts))
+                        if place == len(firsts):
+                            firsts.append(len(ranks))
+                        held.append(at)
+                        numbers.append(number)
+                        ranks.append(place)
+                if not ranks:
                     continue
-                first: dict[str, int] = {}
-                for at, (_, _, line) in enumerate(found):
-                    first.setdefault(line, at)
-                nodes = {line: _identity(line) for line in first}
-                keys, long = band_keys(list(first), width, bands, rows)
-                size = np.zeros(len(found) + 1, np.int32)
-                size[np.fromiter(first.values(), np.int64)[long] + 1] = bands
+                lines, ranks = list(rank), np.array(ranks)
+                keys, long = band_keys(lines, width, bands, rows)
+                size = np.zeros(len(ranks) + 1, np.int32)
+                size[np.array(firsts)[long] + 1] = bands
                 offsets = pa.array(np.cumsum(size, dtype=np.int32))
-                owner = owners.take(pa.array([at for at, _, _ in found]))
+                owner = owners.take(pa.array(held))
+                count = np.fromiter(map(len, lines), np.int64, len(lines))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *owner.columns,
-                        pa.array([number for _, number, _ in found], pa.int32()),
-                        pa.array([nodes[line] for _, _, line in found], pa.int64()),
-                        pa.array([len(line) for _, _, line in found], pa.int64()),
+                        pa.array(numbers, pa.int32()),
+                        pa.array(_identities(lines)[ranks]),
+                        pa.array(count[ranks]),
                         pa.ListArray.from_arrays(offsets, pa.array(keys[long].view(np.int64).ravel())),
                     ],
                     ["doc_id", "digest", "line_no", "node", "n", "bands"],
@@ -122,15 +135,14 @@ def _texts_of(docs: DataFrame):
         def find(batches):
             marked = shared.value
             for batch in batches:
-                found = {}
-                for text in batch.column("text").to_pylist():
-                    for _, line in _lines(text):
-                        node = _identity(line)
-                        at = node & ((1 << _BITS) - 1)
-                        if (int(marked[at >> 6]) >> (at & 63)) & 1:
-                            found[node] = line
-                if found:
-                    yield pa.RecordBatch.from_pydict({"node": list(found), "text": list(found.values())}, schema=find.schema)
+                texts = [text or "" for text in batch.column("text").to_pylist()]
+                for low, high in slices(texts):
+                    own = list({line: None for text in texts[low:high] for _, line in _lines(text)})
+                    nodes = _identities(own)
+                    at = nodes & ((1 << _BITS) - 1)
+                    hit = np.flatnonzero((marked[at >> 6] >> (at & 63)) & 1)
+                    if len(hit):
+                        yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array([own[i] for i in hit])], schema=find.schema)
 
         find.schema = pa.schema([("node", pa.int64()), ("text", pa.string())])
         lines = docs.select("text").mapInArrow(find, "node long, text string")
@@ -151,7 +163,8 @@ def line_classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, ba
     lines = table(line_rows(docs, width, bands, rows), "lines")
     banded = lines.select("node", "n", F.explode("bands").alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("bucket")
-    buckets = banded.join(crowded, "bucket", "left_semi").select("bucket", "node", "n").distinct()
+    # Crowded buckets are few beside all band keys, which need no sort to be looked up among them.
+    buckets = banded.join(crowded.hint("shuffle_hash"), "bucket", "left_semi").select("bucket", "node", "n").distinct()
 
     def sets_of(texts: list) -> list:
         return char_shingles(texts, width)

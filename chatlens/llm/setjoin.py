@@ -2,9 +2,9 @@
 
 A bucket is any set of nodes among which similar ones must be found. First every node is
 compared with the smallest node of each of its buckets; that joins nearly all copies. Only
-buckets whose nodes are then still in different components are opened: the nodes outside the
-component of the bucket's head are compared with all nodes of the bucket. Buckets above a
-bound are cut into chunks for this, so no task holds a whole bucket.
+buckets whose other nodes are then still in different components are opened: the nodes outside the
+component of the bucket's head are compared with all nodes of other components but the head, which
+they have met. Buckets above a bound are cut into chunks for this, so no task holds a whole bucket.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from chatlens.llm.common import Scratch, components, runs, shared_count, slices
 Sets = Callable[[list], list]
 # Elements of the sets of one side of an opened unit.
 CHUNK = 2_000_000
+# Pairs compared at once, and cells of a matrix of sets and elements (4 bytes each).
+PAIRS, CELLS = 1 << 21, 1 << 22
 
 
 def similar(common, size_a, size_b, percent: int):
@@ -28,42 +30,62 @@ def similar(common, size_a, size_b, percent: int):
     return 100 * common >= percent * (size_a + size_b - common)
 
 
-def spanning_links(sets: list[np.ndarray], left: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def spanning_links(sets: list[np.ndarray], left: np.ndarray, percent: int, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links among sets that join everything connected by (left, any) pairs; no link is left out
     unless its ends are joined already.
 
-    ``left`` marks the sets to be compared with all others. Postings of shared elements give the
-    overlaps of one set with all others at once, the union of the others bounds them before.
+    ``left`` marks the sets to be compared with all others, ``joined`` has equal numbers for sets that are joined
+    from the beginning. Sizes rule pairs out first. Overlaps come from one product of the matrix of sets and shared
+    elements where that is small and not much work; else postings of shared elements give the overlaps of one
+    set with all others at once. The union of the others bounds them before.
     """
     sizes = np.array([len(x) for x in sets], np.int64)
-    values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    parent = np.arange(len(sets)) if joined is None else joined.copy()
+    nodes = np.flatnonzero(left)
+    few = len(nodes) * len(sets) <= PAIRS
+    if few:
+        own = sizes[nodes, None]
+        fits = 100 * np.minimum(own, sizes) >= percent * np.maximum(own, sizes)
+        nodes = nodes[(fits & (parent[nodes, None] != parent)).any(axis=1)]
+    if not len(nodes):
+        return []
+    values = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
+    values = values[order]
     first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
     length = np.diff(np.concatenate([first, [len(values)]]))
-    shared = length > 1
-    group = np.repeat(np.arange(len(first)), length)
-    kept = shared[group]
-    by_owner = np.argsort(owner[kept], kind="stable")
-    groups_of = group[kept][by_owner]
-    bounds = np.searchsorted(owner[kept][by_owner], np.arange(len(sets) + 1))
-    parent = np.arange(len(sets))
+    group = np.empty(len(values), np.int64)
+    group[order] = np.repeat(np.arange(len(first)), length)
+    kept = length[group] > 1
+    groups_of = group[kept]
+    bounds = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(sizes)])]
+    rank = np.cumsum(length > 1) - 1
+    wide = int(rank[-1]) + 1 if len(rank) else 0
+    marks = None
+    if few and len(sets) * wide <= CELLS and len(nodes) * len(sets) * wide <= 64 * int(length[groups_of].sum()):
+        marks = np.zeros((len(sets), wide), np.float32)
+        marks[owner[kept], rank[groups_of]] = 1
+        overlaps = (marks[nodes] @ marks.T).astype(np.int64)
+    else:
+        owner = owner[order]
     links = []
-    for node in np.flatnonzero(left):
+    for at, node in enumerate(nodes):
         own = groups_of[bounds[node] : bounds[node + 1]]
         # Elements that the union of all other sets has too.
         if 100 * len(own) < percent * sizes[node] or (parent == parent[node]).all():
             continue
-        spans = length[own]
-        total = int(spans.sum())
-        at = np.repeat(first[own] - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(total)
-        common = np.bincount(owner[at], minlength=len(sets))
-        for other in np.flatnonzero(similar(common, sizes[node], sizes, percent) & (common > 0)):
-            a, b = parent[node], parent[other]
-            if a != b:
-                parent[parent == b] = a
-                links.append((int(node), int(other)))
+        if marks is None:
+            spans = length[own]
+            places = np.repeat(first[own] - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(int(spans.sum()))
+            common = np.bincount(owner[places], minlength=len(sets))
+        else:
+            common = overlaps[at]
+        others = np.flatnonzero(similar(common, sizes[node], sizes, percent) & (common > 0) & (parent != parent[node]))
+        while len(others):
+            parent[parent == parent[others[0]]] = parent[node]
+            links.append((int(node), int(others[0])))
+            others = others[parent[others] != parent[node]]
     return links
 
 
@@ -92,25 +114,28 @@ def star_links(pairs: DataFrame, texts: DataFrame, sets_of: Sets, percent: int)
 def opened_links(rows: DataFrame, texts: DataFrame, sets_of: Sets, percent: int, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) that join what is similar between the left and the right nodes of each bucket.
 
-    ``rows``: (bucket, node, n, left, right). Each side is cut into chunks of about ``chunk`` elements, and
-    every left chunk meets every right chunk in a unit of its own.
+    ``rows``: (bucket, node, n, left, right), and ``component`` where nodes are joined already; a bucket within one
+    component is not opened. Each side is cut into chunks of about ``chunk`` elements, and every left chunk
+    meets every right chunk in a unit of its own.
     """
+    known = [name for name in ("component",) if name in rows.columns]
     total = lambda side: F.sum(F.when(F.col(side), F.greatest("n", F.lit(1))).otherwise(0))
-    sizes = rows.groupBy("bucket").agg(total("left").alias("l"), total("right").alias("r"))
-    cuts = sizes.filter("l > 0 and r > 0").select(
+    apart = (F.min("component") < F.max("component")) if known else F.lit(True)
+    sizes = rows.groupBy("bucket").agg(total("left").alias("l"), total("right").alias("r"), apart.alias("apart"))
+    cuts = sizes.filter("l > 0 and r > 0 and apart").select(
         "bucket", F.ceil(F.col("l") / chunk).cast("int").alias("lefts"), F.ceil(F.col("r") / chunk).cast("int").alias("rights")
     )
     cut = rows.join(cuts, "bucket")
     mine = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)).cast("int")
     left = cut.filter("left").select(
-        "bucket", "node", F.lit(True).alias("left"), (mine % F.col("lefts")).alias("i"),
+        "bucket", "node", *known, F.lit(True).alias("left"), (mine % F.col("lefts")).alias("i"),
         F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"),
     )
     right = cut.filter("right").select(
-        "bucket", "node", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"),
+        "bucket", "node", *known, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"),
         (mine % F.col("rights")).alias("j"),
     )
-    units = left.unionByName(right).select("node", "left", F.concat_ws("/", F.col("bucket").cast("string"), "i", "j").alias("unit"))
+    units = left.unionByName(right).select("node", *known, "left", F.concat_ws("/", F.col("bucket").cast("string"), "i", "j").alias("unit"))
     kind = dict(units.dtypes)["node"]
 
     def check(batches):
@@ -124,7 +149,10 @@ def opened_links(rows: DataFrame, texts: DataFrame, sets_of: Sets, percent: int,
             texts = [text for _, text in keys]
             sets = [one for low, high in slices(texts, 1 << 20) for one in sets_of(texts[low:high])]
             marked = np.array([any(marks[at] for at in places) for places in seen.values()], bool)
-            found = spanning_links(sets, marked, percent)
+            joined = None
+            if known:
+                joined = unit.column("component").to_numpy()[[places[0] for places in seen.values()]]
+            found = spanning_links(sets, marked, percent, joined)
             del sets
             kinds = unit.schema.field("node").type
             yield pa.RecordBatch.from_arrays(
@@ -157,11 +185,11 @@ def join_buckets(
     own = joined.select(F.col("node"), F.col("component").alias("c"))
     head = joined.select(F.col("node").alias("head"), F.col("component").alias("hc"))
     marked = (
-        inside.filter("members > 2").join(own, "node", "left").join(head, "head", "left")
-        .select("bucket", "node", "n", (F.coalesce("c", "node") != F.coalesce("hc", "head")).alias("out"))
+        inside.filter("members > 2 and node <> head").join(own, "node", "left").join(head, "head", "left")
+        .select("bucket", "node", "n", F.coalesce("c", "node").alias("component"), F.coalesce("hc", "head").alias("hc"))
     )
     marked = scratch.table(marked, "marked")
-    rows = marked.select("bucket", "node", "n", F.col("out").alias("left"), F.lit(True).alias("right"))
+    rows = marked.select("bucket", "node", "n", "component", (F.col("component") != F.col("hc")).alias("left"), F.lit(True).alias("right"))
     more = scratch.table(opened_links(rows, found, sets_of, percent, chunk), "opened")
     found = components(links.unionByName(more))
     scratch.clear()

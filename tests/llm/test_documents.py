@@ -14,7 +14,7 @@ import zlib  # noqa: E402
 
 from fixtures import documents, odd_documents, prose  # noqa: E402
 
-from chatlens.llm import hilbert, langid, line_dedup, lm, mixing, ngram_join, packing  # noqa: E402
+from chatlens.llm import hilbert, langid, line_dedup, lm, mixing, ngram_join, packing, setjoin  # noqa: E402
 from chatlens.llm.common import Scratch, char_shingles, components, hash_words, lookup, word_shingles  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -112,6 +112,34 @@ def test_line_classes_equal_brute_force(spark, clashing):
     assert left == {1: "\n".join(lines), 2: "new line here", None: "short", 4: None, 5: "a"}
 
 
+@pytest.mark.parametrize("pairs", [0, 1 << 20])
+def test_spanning_links_join_what_brute_force_joins(monkeypatch, pairs):
+    monkeypatch.setattr(setjoin, "PAIRS", pairs)
+    rng = np.random.default_rng(8)
+    for size in (1, 2, 3, 30):
+        bases = [rng.integers(0, 400, 40) for _ in range(4)]
+        sets = [np.unique(np.concatenate([bases[rng.integers(4)][rng.random(40) < 0.9], rng.integers(400, 900, 2)])).astype(np.uint64) for _ in range(size)]
+        left, joined = rng.random(size) < 0.7, rng.integers(0, size + 1, size)
+        near = [(a, b) for a in range(size) for b in range(size) if a != b and (left[a] or left[b])
+                and 100 * len(np.intersect1d(sets[a], sets[b])) >= 60 * len(np.union1d(sets[a], sets[b]))]
+        together = [(a, b) for a in range(size) for b in range(size) if joined[a] == joined[b]]
+        links = setjoin.spanning_links(sets, left, 60, joined)
+        assert roots(links + together, range(size)) == roots(near + together, range(size))
+        assert set(links) <= set(near) and all(joined[a] != joined[b] for a, b in links)
+        assert roots(setjoin.spanning_links(sets, left, 60), range(size)) == roots(near, range(size))
+
+
+def test_buckets_within_one_component_are_not_opened(spark):
+    def sets_of(texts):
+        raise AssertionError("nothing to compare")
+
+    rows = spark.createDataFrame([(1, node, 50, 7, node != 7, True) for node in (7, 8, 9)], "bucket long, node long, n long, component long, left boolean, right boolean")
+    texts = spark.createDataFrame([(node, f"text {node}") for node in (7, 8, 9)], "node long, text string")
+    assert setjoin.opened_links(rows, texts, sets_of, 80).count() == 0
+    with pytest.raises(Exception, match="nothing to compare"):
+        setjoin.opened_links(rows.drop("component"), texts, sets_of, 80).count()
+
+
 def test_rows_of_one_doc_id_are_judged_apart(spark):
     """Two texts under one id keep what only they have; of a row that stands there three times one stays."""
     one, two, three = prose(40, 21), prose(40, 22), prose(40, 23)
