@@ -4,8 +4,8 @@ A *cursor* row says where a user stands in one partition of a chat: (user_id, ch
 partition, offset), ``offset`` being the next record to read. The *log* has one row per
 record: (chat_id, partition, offset, server_time, ...).
 
-Counts and latest times of unread records never pair users with records: cursors and
-records of a partition are merged in offset order and each cursor reads a running total.
+Counts and latest times of unread records never pair users with records: a cursor meets the
+directory of its chat, in which it reads the entries of one cell and the totals of all after it.
 Only ``unread_messages``, whose result is the pairs themselves, joins the two.
 
 Where a function takes a log, a ``LaidOutLog`` does as well; its records are then not shuffled.
@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlens.functions import offset_sum
-from chatlens.plans import met, numbered, with_running
+from chatlens.plans import materialize, met, numbered, scratch_path
+from chatlens.sources.cells import Directory, cells_of, sizes
 from chatlens.sources.layout import CELL, LaidOutLog
 
 PAGE_SIZE = 15  # fixed value: records of history per partition and page
@@ -63,35 +64,26 @@ def _ends(log: DataFrame | LaidOutLog) -> DataFrame:
     return log.groupBy("chat_id", "partition").agg(F.max("offset").alias("last_offset"))
 
 
-def unread_ranges(log: DataFrame | LaidOutLog, positions: DataFrame, per_block: int | None = None) -> DataFrame:
+def unread_ranges(
+    log: DataFrame | LaidOutLog, positions: DataFrame, per_block: int | None = None, offset_columns: Sequence[str] | None = None
+) -> DataFrame:
     """Per cursor, with all its columns, the unread part of its partition: count, last offset
     and latest time.
 
     ``[offset, last_offset]`` is the range a reader has to fetch; it is empty (nulls and a
-    zero count) for a reader who is up to date. Partitions are scanned in blocks of ``per_block``
-    offsets.
+    zero count) for a reader who is up to date. Partitions are gathered in blocks of about ``per_block``
+    offsets. ``positions`` may be memberships with one of ``offset_columns`` per partition: they move as such
+    and come out as cursors.
     """
     if isinstance(log, LaidOutLog):
-        return log.unread_ranges(positions)
-    # Many users share a position, so each position is looked up once.
-    places = positions.select(*_RECORD).distinct()
-    records = log.select(*_RECORD, F.unix_millis("server_time").alias("_ms"), F.lit(1).alias("_record"))
-    asked = places.select(*_RECORD, F.lit(None).cast("long").alias("_ms"), F.lit(0).alias("_record"))
-    merged = records.unionByName(asked).select(
-        "*", F.when(F.col("_record") == 1, F.col("offset")).alias("_seen")
-    )
-    counted = with_running(
-        # Offsets below zero, which no broker gives, lie in block 0 too: it is the last of every partition.
-        merged.withColumn("_block", F.greatest(_block("offset", per_block), F.lit(0).cast("long"))),
-        ["chat_id", "partition"],
-        [["_block"]],
-        [F.desc("offset"), F.desc("_record")],
-        {"unread": ("sum", "_record"), "last_offset": ("max", "_seen"), "newest_ms": ("max", "_ms")},
-        descending=True,
-        final=0,
+        return log.unread_ranges(positions, offset_columns)
+    per_cell, cells = sizes(per_block or OFFSETS_PER_BLOCK)
+    directory = Directory(cells_of(log, per_cell, cells), per_cell, cells)
+    found = directory.meet(positions, offset_columns).withColumn("_ahead", directory.ahead())
+    others = [name for name in positions.columns if name not in [*_RECORD, *(offset_columns or [])]]
+    return found.select(
+        *_RECORD, *others, F.col("_ahead.n").alias("unread"), F.col("_ahead.last").alias("last_offset"), F.col("_ahead.newest").alias("newest_ms")
     )
-    answers = counted.filter("_record = 0").select(*_RECORD, "unread", "last_offset", "newest_ms")
-    return met(positions, answers, _RECORD)
 
 
 def unread_count(log: DataFrame | LaidOutLog, positions: DataFrame, per_block: int | None = None) -> DataFrame:
@@ -231,7 +223,8 @@ def apply_offset_updates(
 def mark_read(log: DataFrame | LaidOutLog, users_chats: DataFrame, offset_columns: Sequence[str], per_block: int | None = None) -> DataFrame:
     """Fold the unread records into what is read: per partition the last offset seen, and per
     (user, chat) the latest time, both only ever growing."""
-    ranges = unread_ranges(log, cursors(users_chats, offset_columns, "message_time"), per_block)
+    members = users_chats.select("user_id", "chat_id", "message_time", *offset_columns)
+    ranges = unread_ranges(log, members, per_block, offset_columns)
     last = F.greatest("offset", "last_offset")
     return ranges.groupBy("user_id", "chat_id").agg(
         F.greatest(F.max("message_time"), F.max("newest_ms")).alias("message_time"),
@@ -336,10 +329,13 @@ def chat_list_order(
     pieces: int | None = None,
 ) -> DataFrame:
     """Each user's chats, newest first: by the latest unread record, else by the last one read."""
-    ranges = unread_ranges(log, cursors(users_chats, offset_columns, "message_time"), per_block)
+    members = users_chats.select("user_id", "chat_id", "message_time", *offset_columns)
+    ranges = unread_ranges(log, members, per_block, offset_columns)
     keyed = ranges.groupBy("user_id", "chat_id").agg(
         F.coalesce(F.max("newest_ms"), F.max("message_time")).alias("sort_time")
     )
+    # Written before it is put in order: the ranges are found by a first look at it, and what led to it leaves the disk.
+    keyed = materialize(keyed, scratch_path(users_chats.sparkSession, "keyed"))
     return numbered(keyed, ["user_id"], [F.desc("sort_time"), F.col("chat_id")], "position", pieces)
 
 

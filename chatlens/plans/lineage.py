@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
@@ -15,10 +16,29 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Writes begun inside remove their shuffle files when they have ended; nothing reads these again, as the table
+    written stands for them. Else the files stay until the driver happens to collect garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, path: str, observation: Observation | None = None, *metrics) -> DataFrame:
     """Write ``df`` once and return the table; ``metrics`` are gathered during the write."""
     observed = df.observe(observation, *metrics) if observation is not None else df
-    observed.write.mode("overwrite").parquet(path)
+    with shuffles_removed(df.sparkSession):
+        observed.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -30,7 +50,8 @@ def materialize_dealt(
     name = f"dealt_{uuid.uuid4().hex}"
     observed = df.observe(observation, *metrics) if observation is not None else df
     dealt = observed.write.format("parquet").bucketBy(buckets, *keys)
-    (dealt.sortBy(*order) if order else dealt).option("path", path).saveAsTable(name)
+    with shuffles_removed(df.sparkSession):
+        (dealt.sortBy(*order) if order else dealt).option("path", path).saveAsTable(name)
     return df.sparkSession.table(name), name
 
 

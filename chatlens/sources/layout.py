@@ -9,14 +9,15 @@ it instead of the records.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.plans import discard, materialize, met, scratch_path, with_running
+from chatlens.plans import discard, materialize, met, scratch_path, shuffles_removed
+from chatlens.sources.cells import CELLS_PER_BLOCK, Directory, block_of
 
 PER_CELL = 256
-CELLS_PER_BLOCK = 65_536
 CELL = "cell"
 KEYS = ["chat_id", "partition", CELL]
 
@@ -46,44 +47,39 @@ class LaidOutLog:
         """The log as it was."""
         return self.in_cells.drop(CELL)
 
-    def unread_ranges(self, positions: DataFrame) -> DataFrame:
+    def unread_ranges(self, positions: DataFrame, offset_columns: Sequence[str] | None = None) -> DataFrame:
         """Per cursor of ``positions``: unread records, last offset and latest time of its partition.
 
-        Records are read in the cells that hold a cursor; all cells after them count by their summary.
+        Cells count by their summary, but for the one a cursor stands inside of: its records are read, once for all
+        cursors at that place. Positions may be wide, as for ``cursors.unread_ranges``.
         """
         record = ["chat_id", "partition", "offset"]
         spark = positions.sparkSession
+        cells = self.cells.withColumn("_block", block_of(CELL, CELLS_PER_BLOCK)).repartition("chat_id", "_block")
+        cells = cells.groupBy("chat_id", "_block", "partition", CELL).agg(
+            F.sum("records").alias("n"), F.max("last_offset").alias("last"), F.max("newest_ms").alias("newest")
+        )
+        directory = Directory(cells, self.per_cell, CELLS_PER_BLOCK)
+        found = directory.meet(positions, offset_columns)
+        others = [name for name in positions.columns if name not in [*record, *(offset_columns or [])]]
+        found = found.withColumn("_ahead", directory.ahead()).select(*record, *others, "_ahead.*", directory.inside().alias("_inside"))
         # Read three times below, so it is written once.
-        places = positions.select(*record).distinct().withColumn(CELL, cell_of("offset", self.per_cell))
-        places = materialize(places, scratch_path(spark, "places"))
+        found = materialize(found, scratch_path(spark, "places"))
+        inside = found.filter("_inside").drop("_inside").withColumn(CELL, cell_of("offset", self.per_cell))
+        places = inside.select(*KEYS, "offset").distinct()
         held = self.in_cells.select(*KEYS, F.col("offset").alias("_at"), F.unix_millis("server_time").alias("_ms"))
         held = held.withColumnsRenamed({name: f"_{name}" for name in KEYS})
-        meet = [F.col(name) == F.col(f"_{name}") for name in KEYS]
-        near = places.hint("merge").join(held, [*meet, F.col("_at") >= F.col("offset")], "left")
+        together = [F.col(name) == F.col(f"_{name}") for name in KEYS]
+        near = places.hint("merge").join(held, [*together, F.col("_at") >= F.col("offset")])
         near = near.groupBy(*KEYS, "offset").agg(
             F.count("_at").alias("_n"), F.max("_at").alias("_last"), F.max("_ms").alias("_newest")
         )
-        known = self.cells.select(*KEYS, "records", "last_offset", "newest_ms", F.lit(1).alias("_known"))
-        asked = places.select(*KEYS).distinct().withColumn("_known", F.lit(0))
-        merged = known.unionByName(asked, allowMissingColumns=True)
-        # A cell that is asked for comes before its own records, so only later cells are added up.
-        later = with_running(
-            merged.withColumn("_block", F.greatest(F.floor(F.col(CELL) / F.lit(CELLS_PER_BLOCK)), F.lit(0).cast("long"))),
-            ["chat_id", "partition"],
-            [["_block"]],
-            [F.desc(CELL), F.asc("_known")],
-            {"_more": ("sum", "records"), "_end": ("max", "last_offset"), "_latest": ("max", "newest_ms")},
-            descending=True,
-            final=0,
+        seen = met(inside, near, [*KEYS, "offset"]).select(
+            *record, *others, (F.col("n") + F.col("_n")).alias("n"), F.greatest("last", "_last").alias("last"), F.greatest("newest", "_newest").alias("newest")
         )
-        later = later.filter("_known = 0").select(*KEYS, "_more", "_end", "_latest")
-        answers = met(near, later, KEYS).select(
-            *record,
-            (F.col("_n") + F.coalesce("_more", F.lit(0))).alias("unread"),
-            F.coalesce("_end", "_last").alias("last_offset"),
-            F.greatest("_newest", "_latest").alias("newest_ms"),
+        return found.filter("not _inside").drop("_inside").unionByName(seen).withColumnsRenamed(
+            {"n": "unread", "last": "last_offset", "newest": "newest_ms"}
         )
-        return met(positions, answers, record)
 
     def ends(self) -> DataFrame:
         """(chat_id, partition, last_offset) without a look at the records."""
@@ -122,9 +118,10 @@ def add_records(log: DataFrame, path: str, buckets: int, per_cell: int = PER_CEL
     schema = _fields(celled)
     name = _register(spark, f"{path}/records", schema, buckets)
     dealt = celled.repartition(buckets, *KEYS)
-    dealt.write.mode(mode).format("parquet").bucketBy(buckets, *KEYS).sortBy(*KEYS, "offset").option("path", f"{path}/records").saveAsTable(name)
-    files = spark.table(name) if mode == "overwrite" else celled
-    summary_of(files).write.mode(mode).parquet(f"{path}/cells")
+    with shuffles_removed(spark):
+        dealt.write.mode(mode).format("parquet").bucketBy(buckets, *KEYS).sortBy(*KEYS, "offset").option("path", f"{path}/records").saveAsTable(name)
+        files = spark.table(name) if mode == "overwrite" else celled
+        summary_of(files).write.mode(mode).parquet(f"{path}/cells")
     spark.sql(f"DROP TABLE {name}")  # the files stay
     return schema
 

@@ -1,12 +1,13 @@
 """Block-wise running totals against plain windows, with one group holding most rows."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chatlens.plans import met, numbered, ranged, with_running
+from chatlens.plans import materialize, materialize_dealt, met, numbered, ranged, scratch_path, with_running
 from chatlens.plans.blocked import _carried
 
 
@@ -107,3 +108,22 @@ def test_positions_are_counted_where_the_ranges_lie(rows, pieces):
     assert plan.count("Exchange hashpartitioning") == 1  # the counts of blocks, by group
     want = rows.withColumn("p", F.row_number().over(Window.partitionBy("g").orderBy("at", "id")))
     assert {row.id: row.p for row in got.collect()} == {row.id: row.p for row in want.collect()}
+
+
+@pytest.mark.parametrize("dealt", [False, True])
+def test_a_written_table_leaves_no_shuffle_files(spark, dealt):
+    """Whatever led to a table is not read again; on disk it would add up over the steps of a query."""
+    def shuffles():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(at).getName() for at in range(files.size()) if files.apply(at).getName().startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    df = spark.range(10_000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    path = scratch_path(spark, "written")
+    table = materialize_dealt(df, path, 2, ["k"])[0] if dealt else materialize(df, path)
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert table.count() == 7 and df.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting

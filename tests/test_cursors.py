@@ -75,6 +75,52 @@ def test_unread_ranges(world, per_block):
     assert len(got) == len(want)
 
 
+@pytest.mark.parametrize("per_block", [1, 2, 100, 65_536])
+def test_unread_ranges_over_gaps_and_repeated_records(spark, per_block):
+    """Blocks without records, partitions that end early, records and positions that repeat, nulls, offsets below zero."""
+    rng = random.Random(per_block)
+    places = [-3, 0, 1, 2, 250, 255, 256, 257, 511, 512, 70_000, 70_001, 200_000, 10**12]
+    log = [("a", p, o, START + dt.timedelta(seconds=rng.randrange(999)) if rng.random() < 0.9 else None, "x")
+           for p, some in ((0, places), (1, places[:4]), (2, places[9:])) for o in some for _ in range(rng.choice([1, 1, 3]))]
+    log += [("b", 0, 5, START, "x"), (None, 0, 0, START, "x"), ("a", None, 0, START, "x"), ("a", 0, None, START, "x")]
+    asked = [(f"u{n}", chat, p, o + d) for chat in ("a", "b", "c") for p in range(3) for n, o in enumerate(places) for d in (0, 1)]
+    asked += [asked[0], (None, "a", 0, 2)]
+    lost = [("u", None, 0, 1), ("u", "a", None, 1), ("u", "a", 0, None)]  # positions that are nowhere
+    log_df = spark.createDataFrame(log, "chat_id string, partition int, offset long, server_time timestamp, content string")
+    got = cur.unread_ranges(log_df, spark.createDataFrame(asked + lost, "user_id string, chat_id string, partition int, offset long"), per_block)
+    want = []
+    for user, chat, part, offset in asked:
+        left = [(o, at) for c, p, o, at, _ in log if (c, p) == (chat, part) and o is not None and o >= offset]
+        want.append((user, chat, part, offset, len(left), max((o for o, _ in left), default=None), max((ms_of(t) for _, t in left if t), default=None)))
+    assert sorted(map(str, want)) == sorted(
+        str((r.user_id, r.chat_id, r.partition, r.offset, r.unread, r.last_offset, r.newest_ms)) for r in got.collect())
+
+
+@pytest.mark.parametrize("per_block", [2, 7, None])
+def test_memberships_come_out_as_cursors(world, per_block):
+    _, _, log_df, members_df = world
+    want = cur.unread_ranges(log_df, cur.cursors(members_df, OFFSETS, "message_time"), per_block)
+    got = cur.unread_ranges(log_df, members_df.select("user_id", "chat_id", "message_time", *OFFSETS), per_block, OFFSETS)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_positions_and_records_move_once(world):
+    """Positions meet one directory: they are not dealt by place first, and answers do not travel back to them."""
+    _, _, log_df, members_df = world
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges(cur.unread_ranges(log_df, cur.cursors(members_df, OFFSETS))) == 2
+    assert exchanges(cur.unread_count(log_df, cur.cursors(members_df, OFFSETS))) == 3
+    assert exchanges(cur.mark_read(log_df, members_df, OFFSETS)) == 3
+
+
+def test_an_empty_log_leaves_nothing_unread(world):
+    _, _, log_df, members_df = world
+    got = cur.unread_ranges(log_df.limit(0), cur.cursors(members_df, OFFSETS))
+    assert {(r.unread, r.last_offset, r.newest_ms) for r in got.collect()} == {(0, None, None)}
+    assert cur.unread_count(log_df, cur.cursors(members_df.limit(0), OFFSETS)).collect() == []
+
+
 @pytest.mark.parametrize("pieces", [40, None])
 def test_chat_list(world, pieces):
     log, members, log_df, members_df = world

@@ -89,6 +89,24 @@ def test_records_meet_cursors_where_they_are(both, operator):
     assert not log_is_shuffled(getattr(cursors, operator)(laid, where))
 
 
+def test_records_are_met_by_positions_inside_a_cell_only(spark):
+    """Positions at the begin of a cell, past its end or in a cell without records need the summary alone."""
+    rows = [("c", 0, offset, START + dt.timedelta(seconds=offset), "x") for offset in (0, 1, 2, 3, 8, 9, 40)]
+    laid = layout.lay_out(spark.createDataFrame(rows, LOG), buckets=2, per_cell=4)
+    laid.in_cells = laid.in_cells.filter("offset < 8 or offset > 9")  # the summary still has these two
+    where = spark.createDataFrame([("u", "c", 0, offset) for offset in (0, 1, 4, 6, 8, 10, 12, 40, 41)], POSITIONS)
+    got = {row["offset"]: (row["unread"], row["last_offset"]) for row in cursors.unread_ranges(laid, where).collect()}
+    assert got == {0: (7, 40), 1: (6, 40), 4: (3, 40), 6: (3, 40), 8: (3, 40), 10: (1, 40), 12: (1, 40), 40: (1, 40), 41: (0, None)}
+
+
+def test_wide_positions_give_the_same(both):
+    log, laid, where = both
+    wide = where.groupBy("user_id", "chat_id").pivot("partition", [0, 1]).agg(F.max("offset")).withColumnsRenamed({"0": "a", "1": "b"})
+    want = cursors.unread_ranges(log, cursors.cursors(wide, ["a", "b"]))
+    got = cursors.unread_ranges(laid, wide, offset_columns=["a", "b"])
+    assert listed(got.select(*want.columns)) == listed(want)
+
+
 def test_records_since_the_smallest_position(both):
     log, _, where = both
     low = {}
