@@ -110,6 +110,8 @@ def unread_messages(log: DataFrame | LaidOutLog, positions: DataFrame) -> DataFr
     )
     # Records of a laid-out log lie by their cells and are not dealt again, as they would be by a digest.
     keys = ["chat_id", "partition", "_block"]
+    # Written before they meet the records: what led to them, mostly readers who are up to date, leaves the disk.
+    readers = materialize(readers, scratch_path(positions.sparkSession, "readers"))
     pairs = records.join(readers.hint("merge"), keys) if isinstance(log, LaidOutLog) else met(records, readers, keys)
     return (
         pairs.filter(F.col("offset") >= F.col("_from"))

@@ -121,6 +121,13 @@ def test_an_empty_log_leaves_nothing_unread(world):
     assert cur.unread_count(log_df, cur.cursors(members_df.limit(0), OFFSETS)).collect() == []
 
 
+def test_readers_are_found_before_the_log_is_dealt(world):
+    """The pairs read a table of readers with something left; who is up to date has left the disk by then."""
+    _, _, log_df, members_df = world
+    plan = cur.unread_in_time_order(log_df, cur.cursors(members_df, OFFSETS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1
+
+
 @pytest.mark.parametrize("pieces", [40, None])
 def test_chat_list(world, pieces):
     log, members, log_df, members_df = world
