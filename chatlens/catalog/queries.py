@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from chatlens import functions as fn
 from chatlens.operators import cursors as cur
 from chatlens.operators import encode, graph, relational, routing, search, variants, windows
-from chatlens.plans import materialize, scratch_path
+from chatlens.plans import discard, materialize, scratch_path
 from chatlens.session import prepare
 from chatlens.sources import fixtures as fx
 from chatlens.sources import layout, log
@@ -144,8 +144,8 @@ def stream_updates_compacted(spark, sf):
 
 
 def _in_thirds(df, arrival):
-    """The rows in three parts of rising ``arrival``, as they would come one after another. They are worked out once."""
-    df = materialize(df, scratch_path(df.sparkSession, "arrivals"))
+    """The rows in three parts of rising ``arrival``, as they would come one after another. They come straight from their
+    table each time: a copy would take the disk of all of them once more."""
     low, high = df.agg(F.percentile_approx(arrival, [1 / 3, 2 / 3])).first()[0]
     return [df.filter(F.col(arrival) <= low), df.filter((F.col(arrival) > low) & (F.col(arrival) <= high)), df.filter(F.col(arrival) > high)]
 
@@ -183,6 +183,7 @@ def apply_offset_updates_streamed(spark, sf):
         part.write.mode("append").parquet(f"{root}/changes")
         changes = spark.readStream.schema(updates.schema).parquet(f"{root}/changes")
         run_available(to_keyed(changes, f"{root}/table", members.schema, keys, merge), "updates", root)
+        discard(spark, f"{root}/changes")  # applied, so the stream does not come back to them
     return held.state().drop("accepted")
 
 

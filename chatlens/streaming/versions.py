@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from chatlens.plans.lineage import discard, listed
+from chatlens.plans.lineage import discard, listed, shuffles_removed
 from chatlens.plans.manifest import Manifests
 
 BATCH, PART = "batch_id", "part"
@@ -97,7 +97,8 @@ class VersionedTable:
         """Add a batch. One that is written again replaces itself; one already folded changes nothing."""
         if batch > self.folded():
             dealt = rows.select(*self.schema.fieldNames()).withColumn(PART, self.part_of())
-            dealt.write.mode("overwrite").partitionBy(PART).parquet(f"{self.path}/{BATCH}={batch}")
+            with shuffles_removed(self.spark):
+                dealt.write.mode("overwrite").partitionBy(PART).parquet(f"{self.path}/{BATCH}={batch}")
 
     def load(self, rows: DataFrame) -> None:
         """Start a new table with these rows."""
@@ -115,7 +116,8 @@ class VersionedTable:
         folder = f"s-{through}-{uuid.uuid4().hex}"
         target = f"{self.path}/_snapshots/{folder}"
         # A part is one file while it is small; large ones are cut, so that no task writes a whole part.
-        rows.withColumn(PART, self.part_of()).hint("rebalance", F.col(PART)).write.partitionBy(PART).parquet(target)
+        with shuffles_removed(self.spark):
+            rows.withColumn(PART, self.part_of()).hint("rebalance", F.col(PART)).write.partitionBy(PART).parquet(target)
         made = {name.split("=")[1]: folder for name in listed(self.spark, target) if name.startswith(f"{PART}=")}
         self.manifests.publish(through + 1, {"through": through, PART: kept | made})
 

@@ -1,7 +1,9 @@
 """Keyed state on streams: the per-record grace rule, stored tables that streams update, folding of versions."""
 
 import datetime as dt
+import importlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -293,3 +295,33 @@ def test_no_task_writes_a_whole_large_part(spark, tmp_path):
     wanted = spark.createDataFrame([(5,), (7,), (99999,), (None,)], "k long")
     assert {row.k for row in table.state(of=wanted).collect()} == {5, 7}
     assert table.state().count() == 20000
+
+
+def test_batches_and_folds_leave_no_shuffle_files(spark, tmp_path):
+    """A stream runs on for long; what its batches shuffled would stay on disk beside the table."""
+    def shuffles():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(at).getName() for at in range(files.size()) if files.apply(at).getName().startswith("shuffle_")}
+
+    before = shuffles()
+    rows_ = spark.range(500).selectExpr("cast(id as string) as k", "id as v").repartition(3, "k")
+    held = VersionedTable(spark, str(tmp_path / "table"), rows_.schema, ["k"])
+    held.load(rows_)
+    for batch in range(2):
+        held.write(rows_.groupBy("k").agg((F.max("v") + batch + 1).alias("v")), batch)
+    held.compact()
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert held.state().agg(F.count("v"), F.sum("v")).first() == (500, 500 * 499 // 2 + 2 * 500)
+
+
+def test_parts_of_a_stream_are_not_copied_first(spark, monkeypatch):
+    """Rows that come in thirds are read from their table, without a copy of all of them on disk."""
+    queries = importlib.import_module("chatlens.catalog.queries")
+    monkeypatch.setattr(queries, "scratch_path", lambda *_: pytest.fail("a table is written"))
+    data = [(n, (n * 7) % 100) for n in range(100)] + [(100, None)]
+    parts = queries._in_thirds(spark.createDataFrame(data, "id long, at long"), "at")
+    found = [[row["at"] for row in part.collect()] for part in parts]
+    assert sorted(sum(found, [])) == list(range(100)) and max(found[0]) < min(found[1]) and max(found[1]) < min(found[2])
